@@ -1,11 +1,13 @@
 """The queries of this subpackage and their SQL, where SQL can express them."""
 
-from gazette.llm import byte_bpe, mpeg_audio, packing, sharding
+from gazette.llm import byte_bpe, lm_scoring, mpeg_audio, packing, sharding, toxicity
 
 QUERIES = {
     "op1_packing": packing.query,
+    "op3_toxicity": toxicity.query,
     "op4_sharding": sharding.query,
     "op5_byte_bpe": byte_bpe.query,
     "op7_mpeg_audio": mpeg_audio.query,
+    "op10_lm_scoring": lm_scoring.query,
 }
 ORACLE_SQL: dict[str, str] = {}
