@@ -2,10 +2,10 @@
 
 Two character models of words share one backoff: the counts of the highest order are kept per
 class, all lower orders are continuation counts over both, so that a rare expression is as
-likely under either and only what a class is known to prefer sets them apart. A word's score
-is its log-likelihood under the toxic model less that under the ordinary one, over its length.
-A document is described by that figure over the whole text, over its most toxic passage and
-over its most toxic words; a logistic curve, fitted on labelled rows that the counts did not
+likely under either and only what a class is known to prefer sets them apart. A word's ratio
+is its log-likelihood under the toxic model less that under the ordinary one. A document is
+described by the sum of ratios over the length, of the whole text and of its most toxic
+passage, and by the three largest ratios; a logistic curve, fitted on labelled rows that the counts did not
 use, turns them into a score from 0 to 1.
 
 The classifier is fitted on at most max_rows labelled rows of each class, those whose ids have
@@ -30,14 +30,15 @@ from pyspark.sql import functions as F
 
 from gazette.llm.common import documents, fold, mix, text_blocks
 
-MAX_ROWS = 8000
-ORDER = 5
+MAX_ROWS = 6000
+ORDER = 8
 DISCOUNT = 0.75
+TOP_DISCOUNT = 2.0  # an expression seen once or twice in a class says nothing of the class
 THRESHOLD = 0.7
 PASSAGE = 24  # chunks between spaces
 CALIBRATION = 3  # every third labelled row fits the curve, the others the counts
 LIMIT = 500_000
-FEATURES = 4
+FEATURES = 5
 _words = regex.compile(r"[^\W\d_]+").findall
 _START, _END = 2, 3
 
@@ -82,13 +83,14 @@ def _sums(keys: np.ndarray, values: np.ndarray) -> Table:
 class KneserNey:
     """grams: strings of order code points; counts: a column for each class."""
 
-    def __init__(self, grams: list[str], counts: np.ndarray, order: int = ORDER, discount: float = DISCOUNT):
-        self.order, self.discount, self.classes = order, discount, counts.shape[1]
+    def __init__(self, grams: list[str], counts: np.ndarray, order: int = ORDER, discount: float = DISCOUNT, top_discount: float = TOP_DISCOUNT):
+        self.order, self.discount, self.top_discount, self.classes = order, discount, top_discount, counts.shape[1]
         points = np.frombuffer("".join(grams).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, order)
         hashes = lambda p: _grams(np.ascontiguousarray(p).reshape(-1), p.shape[1])[-1].reshape(p.shape)[:, -1]
         counts = counts.astype(float)
         self.top = Table(hashes(points), counts)
-        self.top_context = _sums(hashes(points[:, :-1]), np.concatenate((counts, (counts > 0) * 1.0), 1))
+        # The mass that a class's discounts set free in a context goes to the shared backoff.
+        self.top_context = _sums(hashes(points[:, :-1]), np.concatenate((counts, np.minimum(counts, top_discount)), 1))
         self.lower: list[tuple[Table, Table | None]] = [(None, None)]  # by order: continuations of a gram, and of its context with its types
         for n in range(order - 1, 0, -1):
             points, kinds = np.unique(points[:, 1:], axis=0, return_counts=True)
@@ -109,7 +111,7 @@ class KneserNey:
             seen = c[:, 0] > 0
             p = np.where(seen, (np.maximum(gram(grams[n - 1])[:, 0] - d, 0) + d * c[:, 1] * p) / np.maximum(c[:, 0], 1), p)
         c, own, k = self.top_context(before(self.order)), self.top(grams[-1]), self.classes
-        logs = [np.log(np.where(c[:, i] > 0, (np.maximum(own[:, i] - d, 0) + d * c[:, k + i] * p) / np.maximum(c[:, i], 1), p)) for i in range(k)]
+        logs = [np.log(np.where(c[:, i] > 0, (np.maximum(own[:, i] - self.top_discount, 0) + c[:, k + i] * p) / np.maximum(c[:, i], 1), p)) for i in range(k)]
         keep = owner >= 0
         return np.bincount(owner[keep], (logs[1] - logs[0])[keep], len(words))
 
@@ -162,10 +164,9 @@ class Scorer:
             upto = np.concatenate((np.zeros((1, 2)), np.cumsum(v, 0)))
             span = min(PASSAGE, len(v))
             windows = upto[span:] - upto[:-span]
-            each = v[:, 0] / v[:, 1]
-            best = np.partition(each, len(each) - 3)[-3:] if len(each) > 3 else each
+            best = np.partition(v[:, 0], len(v) - 3)[-3:] if len(v) > 3 else v[:, 0]
             best = np.sort(best)[::-1]
-            out[i] = upto[-1, 0] / upto[-1, 1], (windows[:, 0] / windows[:, 1]).max(), best[0], best[min(1, len(best) - 1)]
+            out[i] = upto[-1, 0] / upto[-1, 1], (windows[:, 0] / windows[:, 1]).max(), best[0], best[min(1, len(best) - 1)], best[-1]
         return out
 
 
@@ -197,21 +198,21 @@ def _with_features(df: DataFrame, model, into: list[str]) -> DataFrame:
 
 
 def _gram_counts(df: DataFrame, order: int) -> DataFrame:
-    """gram, ordinary, toxic: occurrences, summed up in each batch first."""
+    """gram, ordinary, toxic: occurrences in words, with start marks before and an end mark behind them."""
 
     def run(batches):
         for values, rows in text_blocks(batches):
-            counts = Counter()
+            counts = (Counter(), Counter())
             for text, toxic in zip(values, rows.column(1).to_pylist(), strict=True):
-                for word, n in Counter(_words(text.decode("utf-8", "replace").lower())).items():
-                    marked = chr(_START) * (order - 1) + word + chr(_END)
-                    for i in range(len(marked) - order + 1):
-                        counts[marked[i : i + order], toxic] += n
-            yield pa.RecordBatch.from_arrays([pa.array([g for g, _ in counts]), pa.array([t for _, t in counts], pa.int32()), pa.array(counts.values(), pa.int64())], ["gram", "toxic", "n"])
+                counts[toxic].update(_words(text.decode("utf-8", "replace").lower()))
+            for toxic, own in enumerate(counts):
+                yield pa.RecordBatch.from_arrays([pa.array(own.keys(), pa.string()), pa.array([toxic] * len(own), pa.int32()), pa.array(own.values(), pa.int64())], ["word", "toxic", "n"])
 
-    found = df.select("text", "toxic").mapInArrow(run, "gram string, toxic int, n long")
     total = lambda t: F.sum(F.when(F.col("toxic") == t, F.col("n")).otherwise(0))
-    return found.groupBy("gram").agg(total(0).alias("ordinary"), total(1).alias("toxic"))
+    words = df.select("text", "toxic").mapInArrow(run, "word string, toxic int, n long").groupBy("word").agg(total(0).alias("a"), total(1).alias("b"))
+    marked = F.concat(F.lit(chr(_START) * (order - 1)), "word", F.lit(chr(_END)))
+    gram = F.explode(F.transform(F.sequence(F.lit(1), F.length("word") + 1), lambda i: F.substr(marked, i, F.lit(order))))
+    return words.select("a", "b", gram.alias("gram")).groupBy("gram").agg(F.sum("a").alias("ordinary"), F.sum("b").alias("toxic"))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 0.02, steps: int = 40) -> np.ndarray:
