@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 
 from gazette.llm.common import documents, fold, mix, text_blocks
 
-MAX_ROWS = 6000
-ORDER = 8
+MAX_ROWS = 5000
+ORDER, SHARED_ORDER = 8, 5
 DISCOUNT = 0.75
 TOP_DISCOUNT = 2.0  # an expression seen once or twice in a class says nothing of the class
 THRESHOLD = 0.7
@@ -80,23 +80,44 @@ def _sums(keys: np.ndarray, values: np.ndarray) -> Table:
     return Table(unique, np.stack([np.bincount(inverse, v, len(unique)) for v in values.T], 1))
 
 
+def _points(grams: list[str]) -> np.ndarray:
+    n = len(grams[0]) if grams else 1
+    return np.frombuffer("".join(grams).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, n)
+
+
+def _hashes(points: np.ndarray) -> np.ndarray:
+    n = points.shape[1]
+    return _grams(np.ascontiguousarray(points).reshape(-1), n)[-1].reshape(-1, n)[:, -1]
+
+
+@dataclass
+class Counts:
+    """What the model needs of the grams of the highest order, each with a count per class.
+
+    top: the grams that some class has more often than the discount takes off; contexts: what
+    stands before those, with its occurrences per class and what the discounts set free per
+    class; lower: the suffixes of the shared order with the number of grams that end so.
+    All other contexts hand their whole mass to the backoff and needn't be kept.
+    """
+
+    top: tuple[list[str], np.ndarray]
+    contexts: tuple[list[str], np.ndarray]
+    lower: tuple[list[str], np.ndarray]
+
+
 class KneserNey:
-    """grams: strings of order code points; counts: a column for each class."""
-
-    def __init__(self, grams: list[str], counts: np.ndarray, order: int = ORDER, discount: float = DISCOUNT, top_discount: float = TOP_DISCOUNT):
-        self.order, self.discount, self.top_discount, self.classes = order, discount, top_discount, counts.shape[1]
-        points = np.frombuffer("".join(grams).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, order)
-        hashes = lambda p: _grams(np.ascontiguousarray(p).reshape(-1), p.shape[1])[-1].reshape(p.shape)[:, -1]
-        counts = counts.astype(float)
-        self.top = Table(hashes(points), counts)
-        # The mass that a class's discounts set free in a context goes to the shared backoff.
-        self.top_context = _sums(hashes(points[:, :-1]), np.concatenate((counts, np.minimum(counts, top_discount)), 1))
-        self.lower: list[tuple[Table, Table | None]] = [(None, None)]  # by order: continuations of a gram, and of its context with its types
-        for n in range(order - 1, 0, -1):
-            points, kinds = np.unique(points[:, 1:], axis=0, return_counts=True)
+    def __init__(self, counts: Counts, order: int = ORDER, shared_order: int = SHARED_ORDER, discount: float = DISCOUNT, top_discount: float = TOP_DISCOUNT):
+        self.order, self.shared, self.discount, self.top_discount = order, shared_order, discount, top_discount
+        self.top = Table(_hashes(_points(counts.top[0])), counts.top[1].astype(float))
+        self.top_context = Table(_hashes(_points(counts.contexts[0])), counts.contexts[1].astype(float))
+        self.classes = counts.top[1].shape[1]
+        points, kinds = _points(counts.lower[0]), counts.lower[1]
+        self.lower: list[tuple] = [()]  # by order: continuations of a gram, and of its context with its types
+        for n in range(shared_order, 0, -1):
             value = kinds[:, None].astype(float)
-            context = _sums(hashes(points[:, :-1]), np.concatenate((value, np.ones_like(value)), 1)) if n > 1 else (float(value.sum()), len(value))
-            self.lower.insert(1, (Table(hashes(points), value), context))
+            context = _sums(_hashes(points[:, :-1]), np.concatenate((value, np.ones_like(value)), 1)) if n > 1 else (float(value.sum()), len(value))
+            self.lower.insert(1, (Table(_hashes(points), value), context))
+            points, kinds = np.unique(points[:, 1:], axis=0, return_counts=True) if n > 1 else (points, kinds)
 
     def ratios(self, words: list[str]) -> np.ndarray:
         """Per word, the log-likelihood under class 1 less that under class 0."""
@@ -105,7 +126,7 @@ class KneserNey:
         total, kinds = self.lower[1][1]
         p = (np.maximum(self.lower[1][0](grams[0])[:, 0] - d, 0) + d * kinds / 65536) / total
         before = lambda n: np.concatenate(([np.uint64(0)], grams[n - 2][:-1]))  # noqa: E731  contexts of the grams of order n
-        for n in range(2, self.order):
+        for n in range(2, self.shared + 1):
             gram, context = self.lower[n]
             c = context(before(n))
             seen = c[:, 0] > 0
@@ -215,6 +236,25 @@ def _gram_counts(df: DataFrame, order: int) -> DataFrame:
     return words.select("a", "b", gram.alias("gram")).groupBy("gram").agg(F.sum("a").alias("ordinary"), F.sum("b").alias("toxic"))
 
 
+def _counts(df: DataFrame, order: int, shared_order: int, top_discount: float) -> Counts | None:
+    grams = _gram_counts(df, order).persist()
+
+    def taken(x: DataFrame) -> tuple[list[str], np.ndarray]:
+        rows = x.toPandas().sort_values("gram", ignore_index=True)
+        return rows["gram"].tolist(), rows.drop(columns="gram").to_numpy(float).squeeze()
+
+    try:
+        lower = taken(grams.groupBy(F.substr("gram", F.lit(order - shared_order + 1)).alias("gram")).agg(F.count("*").alias("n")))
+        much = F.greatest("ordinary", "toxic")
+        top = taken(grams.where(much > top_discount).select("gram", "ordinary", "toxic"))
+        freed = [F.sum(F.least(c, F.lit(top_discount))).alias(f"free_{c}") for c in ("ordinary", "toxic")]
+        by_context = grams.groupBy(F.substr("gram", F.lit(1), F.lit(order - 1)).alias("gram"))
+        contexts = taken(by_context.agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"), *freed, F.max(much).alias("much")).where(F.col("much") > top_discount).drop("much"))
+    finally:
+        grams.unpersist()
+    return Counts((top[0], top[1].reshape(-1, 2)), (contexts[0], contexts[1].reshape(-1, 4)), (lower[0], lower[1].reshape(-1))) if top[0] else None
+
+
 def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 0.02, steps: int = 40) -> np.ndarray:
     """Weights and intercept by Newton's method on balanced classes; the features are scaled for the penalty."""
     scale = np.maximum(x.std(0), 1e-9)
@@ -242,11 +282,10 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, held_out_f
     bounded = spark.createDataFrame([(r.doc_id, r.toxic, i % CALIBRATION == 0) for i, r in enumerate(sorted(ids, key=lambda r: (r.toxic, r.at)))], "doc_id long, toxic int, calibrates boolean")
     rows = docs.select("doc_id", "text").join(F.broadcast(bounded), "doc_id").select("text", "toxic", "calibrates").persist()
     try:
-        grams = _gram_counts(rows.where("not calibrates"), order).toPandas()
-        if not len(grams):
+        counts = _counts(rows.where("not calibrates"), order, SHARED_ORDER, TOP_DISCOUNT)
+        if counts is None:
             return Model(None, prior=prior)
-        grams = grams.sort_values("gram", ignore_index=True)
-        model = Model(KneserNey(grams["gram"].tolist(), grams[["ordinary", "toxic"]].to_numpy(), order), prior=prior)
+        model = Model(KneserNey(counts, order), prior=prior)
         shared = spark.sparkContext.broadcast(model)
         names = [f"x{i}" for i in range(FEATURES)]
         found = _with_features(rows.where("calibrates").select("text", "toxic"), shared, names).drop("text").toPandas().sort_values(names, ignore_index=True)
