@@ -1,9 +1,10 @@
 """The queries of this subpackage and their SQL, where SQL can express them."""
 
-from gazette.llm import byte_bpe, lm_scoring, mpeg_audio, packing, sharding, toxicity
+from gazette.llm import byte_bpe, lm_scoring, mpeg_audio, near_dedup, packing, sharding, toxicity
 
 QUERIES = {
     "op1_packing": packing.query,
+    "op2_near_dedup": near_dedup.query,
     "op3_toxicity": toxicity.query,
     "op4_sharding": sharding.query,
     "op5_byte_bpe": byte_bpe.query,
