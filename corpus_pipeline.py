@@ -1,11 +1,51 @@
-"""The corpus pipeline: STAGES, each written and read again before the next."""
+"""The corpus pipeline: toxic documents go, boilerplate lines go, one document of each group of
+near duplicates stays, and what is left is packed into training sequences.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes each stage's result
+as Parquet in the shared folder and rereads it. SQL can't express the stages, so ORACLE_SQL is None.
+"""
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gazette.llm import line_dedup, near_dedup, packing, toxicity
+from gazette.llm.common import documents, materialise
+
+
+def toxic_documents_go(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without documents whose score reaches the threshold; null texts stay."""
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.score(docs, model, "_toxicity").where(F.col("_toxicity") < toxicity.THRESHOLD).drop("_toxicity")
+
+
+def boilerplate_lines_go(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without cross-site boilerplate, n_chars counted anew."""
+    out = line_dedup.remove_boilerplate(docs).withColumn("text", F.col("_clean")).select(docs.columns)
+    return out.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns) if "n_chars" in docs.columns else out
+
+
+def one_of_each_group_stays(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without documents that have a near duplicate with a lesser id; a null id stays."""
+    gone = near_dedup.near_duplicates(docs).where("not kept").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the training sequences."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("toxicity", toxic_documents_go),
+    ("line_dedup", boilerplate_lines_go),
+    ("near_dedup", one_of_each_group_stays),
+    ("packing", packed),
+]
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    for name, stage in STAGES:
+        docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
     return docs

@@ -1,6 +1,6 @@
 """The queries of this subpackage and their SQL, where SQL can express them."""
 
-from gazette.llm import byte_bpe, lm_scoring, mpeg_audio, near_dedup, packing, sharding, toxicity
+from gazette.llm import byte_bpe, license_scan, line_dedup, lm_scoring, mpeg_audio, near_dedup, packing, sharding, spot_sigs, toxicity
 
 QUERIES = {
     "op1_packing": packing.query,
@@ -8,7 +8,12 @@ QUERIES = {
     "op3_toxicity": toxicity.query,
     "op4_sharding": sharding.query,
     "op5_byte_bpe": byte_bpe.query,
+    "op6_spot_sigs": spot_sigs.query,
     "op7_mpeg_audio": mpeg_audio.query,
+    "op8_license_scan": license_scan.query,
+    "op9_line_dedup": line_dedup.query,
     "op10_lm_scoring": lm_scoring.query,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op9_line_dedup": line_dedup.ORACLE_SQL,
+}
