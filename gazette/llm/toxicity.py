@@ -37,7 +37,7 @@ TOP_DISCOUNT = 2.0  # an expression seen once or twice in a class says nothing o
 THRESHOLD = 0.7
 PASSAGE = 24  # chunks between spaces
 CALIBRATION = 3  # every third labelled row fits the curve, the others the counts
-LIMIT = 500_000
+LIMIT = 300_000
 FEATURES = 5
 _words = regex.compile(r"[^\W\d_]+").findall
 _START, _END = 2, 3
@@ -119,8 +119,11 @@ class KneserNey:
             self.lower.insert(1, (Table(_hashes(points), value), context))
             points, kinds = np.unique(points[:, 1:], axis=0, return_counts=True) if n > 1 else (points, kinds)
 
-    def ratios(self, words: list[str]) -> np.ndarray:
+    def ratios(self, words: list[str], at_once: int = 20_000) -> np.ndarray:
         """Per word, the log-likelihood under class 1 less that under class 0."""
+        return np.concatenate([self._ratios(words[i : i + at_once]) for i in range(0, len(words), at_once)] or [np.zeros(0)])
+
+    def _ratios(self, words: list[str]) -> np.ndarray:
         points, owner = _codes(words, self.order)
         grams, d = _grams(points, self.order), self.discount
         total, kinds = self.lower[1][1]
@@ -208,7 +211,7 @@ def _with_features(df: DataFrame, model, into: list[str]) -> DataFrame:
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         scorer = _scorer(model.value)
-        for values, rows in text_blocks(batches, limit=8 << 20):
+        for values, rows in text_blocks(batches):
             x = scorer.features([v.decode("utf-8", "replace") for v in values])
             if len(into) == 1:
                 w = model.value.weights
