@@ -57,22 +57,29 @@ def scan_search(index: DataFrame, queries: DataFrame, k: int = TOP) -> DataFrame
 
 
 def _trigrams(c: Column) -> Column:
-    at = F.sequence(F.lit(1), F.length(c) - 2)
-    return F.when(F.length(c) >= 3, F.array_distinct(F.transform(at, lambda i: F.substr(c, i, F.lit(3))))).otherwise(F.array().cast("array<string>"))
+    """Distinct runs of three characters, in one pass over the characters."""
+
+    def of(chars: Column) -> Column:
+        runs = F.transform(chars, lambda x, i: F.concat(x, F.coalesce(F.get(chars, i + 1), F.lit("")), F.coalesce(F.get(chars, i + 2), F.lit(""))))
+        return F.array_distinct(F.slice(runs, 1, F.greatest(F.size(chars) - 2, F.lit(0))))
+
+    return F.transform(F.array(F.split(c, "")), of)[0]
 
 
 def search(index: DataFrame, queries: DataFrame, k: int = TOP) -> DataFrame:
     """query_id, pos and the first k rows of the index that hold all of a query's tokens.
 
     A row that holds a token holds the token's trigrams: each query looks for the rarest trigram
-    of its tokens and then checks all tokens. Queries of short tokens alone take the scan.
+    of its tokens and then checks all tokens. Rows are known by (type_pos, item_pos), so their
+    texts move once, for the check. Queries of short tokens alone take the scan.
     """
     asked = queries.select("query_id", tokens(F.col("q")).alias("toks")).withColumn("grams", F.array_distinct(F.flatten(F.transform("toks", _trigrams))))
-    wanted = asked.where(F.size("grams") > 0).select("query_id", "toks", F.explode("grams").alias("gram"))
-    posted = index.withColumn("gram", F.explode(_trigrams(F.col("search_text"))))
+    wanted = asked.where(F.size("grams") > 0).select("query_id", F.explode("grams").alias("gram"))
+    posted = index.select("type_pos", "item_pos", F.explode(_trigrams(F.col("search_text"))).alias("gram"))
     needed = posted.join(wanted.select("gram").distinct(), "gram", "left_semi")
     often = needed.groupBy("gram").agg(F.count("*").alias("n"))
-    rarest = wanted.join(often, "gram", "left").groupBy("query_id").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("r"), F.first("toks").alias("toks"))
-    hits = needed.join(rarest.select("query_id", "toks", F.col("r.gram").alias("gram")), "gram").where(all_in(F.col("search_text"), F.col("toks")))
+    rarest = wanted.join(often, "gram", "left").groupBy("query_id").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("r"))
+    found = needed.join(rarest.select("query_id", F.col("r.gram").alias("gram")), "gram").drop("gram").join(asked.select("query_id", "toks"), "query_id")
+    hits = index.join(found, ["type_pos", "item_pos"]).where(all_in(F.col("search_text"), F.col("toks")))
     short = asked.where((F.size("grams") == 0) & (F.size("toks") > 0)).select("query_id", F.array_join("toks", " ").alias("q"))
     return _top(hits, k).unionByName(scan_search(index, short, k))
