@@ -176,16 +176,19 @@ def _table(frame: bytes, header: Header) -> dict:
 def probe(data: bytes) -> Probe:
     out = Probe()
     at, end = _tag(data, out.tags), len(data)
-    if data[-128:-125] == b"TAG":
-        end -= 128
-        out.tags["id3v1_title"] = data[-125:-95].rstrip(b"\0 ").decode("latin-1")
+    # The letters of a closing tag may also be the content of the last frame, which then ends with the data.
+    tail = end - 128 if data[-128:-125] == b"TAG" else end
     sure, first = False, True
     while at + 4 <= end:
+        if at == tail:
+            out.tags["id3v1_title"] = data[-125:-95].rstrip(b"\0 ").decode("latin-1")
+            break
         header = parse_header(data[at : at + 4])
         after = at + header.size if header else 0
-        if header is None or after > end or not (sure or after == end or parse_header(data[after : after + 4])):
-            to = data.find(b"\xff", at + 1, end)
-            to = end if to < 0 else to
+        if header is None or tail < after != end or not (sure or after in (tail, end) or parse_header(data[after : after + 4])):
+            limit = tail if at < tail else end
+            to = data.find(b"\xff", at + 1, limit)
+            to = limit if to < 0 else to
             out.skipped += to - at
             at, sure = to, False
             continue
