@@ -123,6 +123,24 @@ def test_near_duplicates_against_all_pairs(spark):
     assert got == {i: (len(sets[i]), least[i], least[i] == i) for i in range(len(texts))}
 
 
+def test_no_link_within_a_bucket_is_lost(spark):
+    """One band of one bin: most texts share a bucket with texts unlike them, so centres must change."""
+    common = [f"shared{i}" for i in range(70)]
+    texts = [" ".join(common + [f"own{i // 2}x{j}" for j in range(30)] + ["tail"] * (i % 2)) for i in range(60)]
+    sets = near_dedup.shingle_sets([t.encode() for t in texts])
+    keys = near_dedup.signatures(sets, 1, 1)[:, 0]
+    assert Counter(keys.tolist()).most_common(1)[0][1] > 20
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            a, b = set(sets[i].tolist()), set(sets[j].tolist())
+            if keys[i] == keys[j] and 100 * len(a & b) >= 85 * len(a | b):
+                root = [min(root[i], root[j]) if r in (root[i], root[j]) else r for r in root]
+    got = near_dedup.near_duplicates(docs(spark, texts), bands=1, per_band=1).collect()
+    assert {r.doc_id: r.component_id for r in got} == dict(enumerate(root))
+    assert len(set(root)) < 60
+
+
 def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 90)], "a long, b long")
     assert {r.node: r.label for r in near_dedup.components(links).collect()} == {**dict.fromkeys(range(41), 0), 90: 90, 100: 90}
@@ -172,6 +190,14 @@ def test_audio_round_trip_and_resynchronisation():
     with pytest.raises(ValueError):
         mpeg_audio.probe(bytes(broken)).payload()
     assert mpeg_audio.probe(b"").offsets == []
+    # The letters of a closing tag as content, and as a tag.
+    ends = mpeg_audio.mux(payload[:64])
+    letters = bytearray(mpeg_audio.padded(b"x" * 81 * 4))
+    for at in range(len(letters) - 2):
+        inside = bytes(letters[:at]) + b"TAG" + bytes(letters[at + 3 :])
+        assert mpeg_audio.probe(mpeg_audio.mux(inside)).payload() == inside
+    tagged = mpeg_audio.probe(ends + b"TAG" + b"name".ljust(125, b"\0"))
+    assert tagged.tags["id3v1_title"] == "name" and tagged.payload() == payload[:64]
 
 
 def test_spot_signatures(spark):
