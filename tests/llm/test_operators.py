@@ -5,6 +5,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
@@ -123,8 +124,11 @@ def test_near_duplicates_against_all_pairs(spark):
     assert got == {i: (len(sets[i]), least[i], least[i] == i) for i in range(len(texts))}
 
 
-def test_no_link_of_two_bands_is_lost(spark):
-    """Bands of one bin: most texts share buckets with texts unlike them, so centres change and buckets split."""
+@pytest.mark.parametrize(("split_above", "tile", "shared_bands"), [(2048, 7, 1), (8, 256, 2)])
+def test_no_link_of_mixed_buckets_is_lost(spark, monkeypatch, split_above, tile, shared_bands):
+    """Bands of one bin: most texts share buckets with texts unlike them, so buckets are compared in tiles or split."""
+    monkeypatch.setattr(near_dedup, "SPLIT_ABOVE", split_above)
+    monkeypatch.setattr(near_dedup, "TILE", tile)
     common = [f"shared{i}" for i in range(70)]
     texts = [" ".join(common + [f"own{i // 2}x{j}" for j in range(30)] + ["tail"] * (i % 2)) for i in range(60)]
     sets = near_dedup.shingle_sets([t.encode() for t in texts])
@@ -136,12 +140,19 @@ def test_no_link_of_two_bands_is_lost(spark):
         assert got[i] in (i, i - 1)
         for j in range(i):
             a, b = set(sets[i].tolist()), set(sets[j].tolist())
-            if len(set(keys[i]) & set(keys[j])) > 1 and 100 * len(a & b) >= 85 * len(a | b):
+            if len(set(keys[i].tolist()) & set(keys[j].tolist())) >= shared_bands and 100 * len(a & b) >= 85 * len(a | b):
                 linked += 1
                 assert got[i] == got[j]
     assert linked > 10
 
 
+def test_overlaps_by_columns():
+    rng = np.random.default_rng(3)
+    left, right = ([np.unique(rng.integers(0, 90, n).astype(np.uint64)) for n in sizes] for sizes in ((0, 5, 40), (30, 0, 60, 1)))
+    assert near_dedup.overlaps(left, right, columns=7).tolist() == [[len(set(a.tolist()) & set(b.tolist())) for b in right] for a in left]
+    assert near_dedup.overlaps([], right).shape == (0, 4)
+
+
 def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 90)], "a long, b long")
     assert {r.node: r.label for r in near_dedup.components(links).collect()} == {**dict.fromkeys(range(41), 0), 90: 90, 100: 90}
