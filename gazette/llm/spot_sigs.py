@@ -6,6 +6,10 @@ one have a single signature of all their words, so no fingerprint is empty. Like
 Jaccard coefficient of two sets; sets whose sizes alone keep it below a bound needn't be
 intersected (likeness(..., at_least)).
 
+near_pairs() finds all similar texts: rows of equal sets are one class, and classes meet only if
+their set lengths fall in the same or neighbouring length partitions and they share one of the
+rarest signatures of each, at places that leave enough to share; what is left is compared in full.
+
 Null texts count as empty. The next document is the next row by ascending doc_id (nulls first,
 equal ids by text), after the last the first; a single row is its own next. An empty table
 gives no rows.
@@ -13,12 +17,13 @@ gives no rows.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gazette.llm.common import documents
+from gazette.llm.common import documents, materialise
 
 # Common words of English, French, German and Spanish that serve as anchors.
 ANCHORS = (
@@ -92,6 +97,43 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", signatures(F.coalesce("text", F.lit(""))).alias("signatures"))
 
 
+def class_members(docs: DataFrame) -> DataFrame:
+    """doc_id, fingerprint (equal for equal sets), class_id (the least doc_id of that fingerprint), signatures.
+
+    A class of null ids alone has a null class_id.
+    """
+    rows = fingerprints(docs).withColumn("fingerprint", digest(F.col("signatures")))
+    least = rows.groupBy("fingerprint").agg(F.min("doc_id").alias("class_id"))
+    return rows.join(least, "fingerprint").select("doc_id", "fingerprint", "class_id", "signatures")
+
+
+def near_pairs(docs: DataFrame, at_least: float = 0.8) -> DataFrame:
+    """a, b, likeness, a_fingerprint, b_fingerprint: classes (by class_id) with a likeness of at_least (over 0, below 1) or more.
+
+    a has the smaller set; with as many signatures, the lesser fingerprint. Copies are not
+    expanded: class_members() has them. An empty table gives no rows.
+    """
+    rows = fingerprints(docs).withColumn("fingerprint", digest(F.col("signatures")))
+    sets = materialise(rows.groupBy("fingerprint").agg(F.min("doc_id").alias("class_id"), F.any_value("signatures").alias("signatures")), "spot-classes")
+    held = sets.select("fingerprint", F.size("signatures").alias("size"), F.explode("signatures").alias("signature"))
+    known = held.join(held.groupBy("signature").agg(F.count("*").alias("rows")), "signature")
+    # Sets with this likeness share one of their rarest size - ceil(at_least * size) + 1 signatures.
+    # Partition p + 1 starts where the sets of p's start become too short to be similar.
+    part = F.floor(F.log("size") / -math.log(at_least) + 1e-9).alias("part")
+    rarest = known.groupBy("fingerprint", "size").agg(F.array_sort(F.collect_list(F.struct("rows", "signature"))).alias("_all"))
+    enough = (F.col("size") - F.ceil(F.col("size") * at_least - 1e-9) + 1).cast("int")
+    rarest = rarest.select("fingerprint", "size", part, F.posexplode(F.slice("_all", F.lit(1), enough)).alias("place", "s"))
+    rarest = materialise(rarest.select("fingerprint", "size", "part", "place", "s.signature"), "spot-index")
+    short = rarest.select(F.col("fingerprint").alias("a"), F.col("size").alias("a_size"), F.col("place").alias("a_place"), "signature", F.explode(F.array(F.col("part"), F.col("part") + 1)).alias("part"))
+    long = rarest.select(F.col("fingerprint").alias("b"), F.col("size").alias("b_size"), F.col("place").alias("b_place"), "signature", "part")
+    shared = F.least(F.expr("a_size - a_place"), F.expr("b_size - b_place"))
+    pairs = short.join(long, ["signature", "part"]).where("a_size < b_size or (a_size = b_size and a < b)")
+    pairs = pairs.where((F.col("a_size") >= at_least * F.col("b_size") - 1e-9) & (shared * (1 + at_least) >= at_least * F.expr("a_size + b_size") - 1e-9)).select("a", "b").distinct()
+    side = lambda x: sets.select(F.col("fingerprint").alias(x), F.col("class_id").alias(f"{x}_id"), F.col("signatures").alias(f"{x}_set"))
+    compared = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("likeness", likeness(F.col("a_set"), F.col("b_set"), at_least))
+    return compared.where(F.col("likeness") >= at_least).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), "likeness", F.col("a").alias("a_fingerprint"), F.col("b").alias("b_fingerprint"))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     rows = with_next(docs, {"signatures": signatures(F.col("text"))})

@@ -153,6 +153,22 @@ def test_overlaps_by_columns():
     assert near_dedup.overlaps([], right).shape == (0, 4)
 
 
+@pytest.mark.parametrize("at_least", [0.5, 0.8])
+def test_spot_pairs_against_all_pairs(spark, at_least):
+    base = [" ".join(f"the c{(i * 13 + k * 7) % 211} d{(k * k + i) % 97} of" for k in range(4 + 3 * (i % 9))) for i in range(30)]
+    texts = [*TEXTS[:11], None, *base, *[b.replace("c", "e", 1) for b in base], *[b + " the last words" for b in base], *base[:5]]
+    table = docs(spark, texts)
+    members = {r.doc_id: r for r in spot_sigs.class_members(table).collect()}
+    sets = {m.class_id: set(m.signatures) for m in members.values()}
+    assert all(m.class_id == min(d for d, x in members.items() if set(x.signatures) == set(m.signatures)) for m in members.values())
+    likeness = {(a, b): len(x & y) / len(x | y) for a, x in sets.items() for b, y in sets.items() if a < b}
+    got = spot_sigs.near_pairs(table, at_least).collect()
+    assert len(got) > 20
+    assert {(min(r.a, r.b), max(r.a, r.b)): r.likeness for r in got} == {k: v for k, v in likeness.items() if v >= at_least}
+    assert len(got) == len({(r.a, r.b) for r in got})
+    assert spot_sigs.near_pairs(table.limit(0)).count() == 0
+
+
 def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 90)], "a long, b long")
     assert {r.node: r.label for r in near_dedup.components(links).collect()} == {**dict.fromkeys(range(41), 0), 90: 90, 100: 90}
