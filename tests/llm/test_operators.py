@@ -169,6 +169,13 @@ def test_spot_pairs_against_all_pairs(spark, at_least):
     assert spot_sigs.near_pairs(table.limit(0)).count() == 0
 
 
+def test_least_hashes_are_those_of_a_full_sort(spark):
+    rows = spark.range(20000).select(F.xxhash64("id").alias("at"), F.col("id").cast("string").alias("line"))
+    assert license_scan._least(rows, 50).collect() == rows.orderBy("at").limit(50).collect()
+    assert license_scan._least(rows.limit(9), 50).count() == 9
+    assert license_scan._least(rows.limit(0), 50).count() == 0
+
+
 def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 90)], "a long, b long")
     assert {r.node: r.label for r in near_dedup.components(links).collect()} == {**dict.fromkeys(range(41), 0), 90: 90, 100: 90}
