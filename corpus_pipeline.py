@@ -11,6 +11,11 @@ from pyspark.sql import functions as F
 from gazette.llm import line_dedup, near_dedup, packing, toxicity
 from gazette.llm.common import documents, materialise
 
+#: Similarity, in per cent, from which the pipeline takes documents for near copies (op2 has its own bound).
+NEAR_PERCENT = 80
+#: At that similarity 5 links in a billion share no band, 1.3 in ten million fewer than two.
+NEAR_BANDS, NEAR_BINS_PER_BAND = 48, 5
+
 
 def toxic_documents_go(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without documents whose score reaches the threshold; null texts stay."""
@@ -26,7 +31,7 @@ def boilerplate_lines_go(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def one_of_each_group_stays(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without documents that have a near duplicate with a lesser id; a null id stays."""
-    gone = near_dedup.near_duplicates(docs).where("not kept").select("doc_id").distinct()
+    gone = near_dedup.near_duplicates(docs, NEAR_PERCENT, NEAR_BANDS, NEAR_BINS_PER_BAND).where("not kept").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 
 

@@ -70,6 +70,18 @@ def test_pipeline_edges(spark, folder, empty):
     assert corpus_pipeline.run(spark, folder).count() > 0
 
 
+def test_pipeline_takes_near_copies_from_four_fifths(spark):
+    """Similarities of 0.80 to 0.85 between texts 2 i and 2 i + 1."""
+    texts = []
+    for i in range(40):
+        words = [f"w{i}x{k}" for k in range(100 + i)]
+        texts += [" ".join(words), " ".join([*words, *(f"end{i}x{k}" for k in range(20 + i // 8))])]
+    sets = [shingles(t) for t in texts]
+    assert all(80 * len(a | b) <= 100 * len(a & b) < 85 * len(a | b) for a, b in zip(sets[::2], sets[1::2], strict=True))
+    kept = corpus_pipeline.one_of_each_group_stays(spark, docs(spark, texts), "")
+    assert sorted(r.doc_id for r in kept.collect()) == list(range(0, 80, 2))
+
+
 def test_packing_against_the_library(spark):
     library = Tokenizer.from_file(packing.TOKENIZER)
     pieces = packing.pack(docs(spark, TEXTS), with_ids=True).collect()
