@@ -4,7 +4,11 @@ A line's spread is the number of distinct sites (column source) it stands on. Li
 sites or more get a HyperLogLog sketch each, merged by aggregation; lines whose estimate is near
 the threshold get an exact distinct count. Lines that reach the threshold are boilerplate and
 go from the documents. A document more than half of whose characters would go is a copy, not
-a page with boilerplate: it stays whole, for near-duplicate removal to judge.
+a page with boilerplate: it stays whole, for near-duplicate removal to judge. That is the rule
+of the query and its SQL. Without a share (max_share None, as in the pipeline) only real copies
+stay whole: texts that stand on several rows, texts all of whose lines are shared, and, of the
+documents that have the same COPY_LINES or more distinct shared lines, the one with the least
+id, so that the body of near copies is not lost from all of them.
 
 Lines are compared without white space around them; blank lines never go. Null texts stay
 null with no lines; a null source is no site; repeated rows are treated alike; an empty table
@@ -23,6 +27,8 @@ LG_K = 12
 #: Estimates within this share of the threshold are counted exactly: several standard errors of a sketch with LG_K.
 MARGIN = 0.25
 MAX_SHARE = 0.5
+#: Distinct shared lines from which an equal set of them on several documents may be a copied body.
+COPY_LINES = 5
 
 
 def _stripped(line: Column) -> Column:
@@ -45,7 +51,16 @@ def spread_lines(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     return sure.unionByName(exact.select("line"))
 
 
-def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, max_share: float = MAX_SHARE) -> DataFrame:
+def _with_copies(bad: DataFrame, keyed: DataFrame) -> DataFrame:
+    """bad (doc_id, _text_hash, _bad) with _copy: the text is on several rows, or the first with these shared lines."""
+    repeated = keyed.groupBy("_text_hash").agg(F.count("*").alias("_rows")).where("_rows > 1")
+    body = bad.withColumn("_body", F.when(F.size("_bad") >= COPY_LINES, F.xxhash64(F.array_sort("_bad"))))
+    bodies = body.where("_body is not null").groupBy("_body").agg(F.min("doc_id").alias("_first"), F.count("*").alias("_bodies")).where("_bodies > 1")
+    copy = F.col("_rows").isNotNull() | F.coalesce(F.col("doc_id") == F.col("_first"), F.lit(False))
+    return body.join(repeated, "_text_hash", "left").join(bodies, "_body", "left").select("doc_id", "_text_hash", "_bad", copy.alias("_copy"))
+
+
+def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, max_share: float | None = MAX_SHARE) -> DataFrame:
     """docs with _lines, _spread, _removed (counts of lines) and _clean, the text without boilerplate."""
     keyed = docs.withColumn("_text_hash", F.xxhash64("text"))
     each = keyed.select("doc_id", "_text_hash", F.xxhash64("source").alias("_site"), F.col("source").isNotNull().alias("_has_site"), F.explode(_split(F.col("text"))).alias("_line"))
@@ -53,15 +68,16 @@ def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, max_share: f
     lines = materialise(each.select("doc_id", "_text_hash", F.when(F.col("_has_site"), F.col("_site")).alias("site"), F.xxhash64("_line").alias("line")), "lines")
     spread = materialise(spread_lines(lines.select("line", "site"), min_sites), "boilerplate")
     bad = lines.join(spread, "line", "left_semi").groupBy("doc_id", "_text_hash").agg(F.collect_set("line").alias("_bad"))
-    joined = keyed.alias("k").join(bad.alias("b"), F.col("k.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("k._text_hash") == F.col("b._text_hash")), "left").select("k.*", "_bad")
+    bad = _with_copies(bad, keyed) if max_share is None else bad.withColumn("_copy", F.lit(False))
+    joined = keyed.alias("k").join(bad.alias("b"), F.col("k.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("k._text_hash") == F.col("b._text_hash")), "left").select("k.*", "_bad", "_copy")
     is_bad = lambda line: F.array_contains("_bad", F.xxhash64(_stripped(line)))
     kept = F.when(F.col("_bad").isNull(), F.col("text")).otherwise(F.array_join(F.filter(_split(F.col("text")), lambda x: ~is_bad(x)), "\n"))
     out = joined.withColumn("_short", kept)
     spread_count = F.when(F.col("_bad").isNull(), 0).otherwise(F.size(F.filter(_split(F.col("text")), is_bad)))
-    goes = F.length("_short") >= F.length("text") * (1 - max_share)
+    goes = F.coalesce(~F.col("_copy") & F.col("_short").rlike(r"[^ \t\r\x0b\x0c\n]"), F.lit(True)) if max_share is None else F.length("_short") >= F.length("text") * (1 - max_share)
     out = out.withColumns({"_lines": F.coalesce(F.size(_split(F.col("text"))), F.lit(0)), "_spread": spread_count})
     out = out.withColumns({"_removed": F.when(goes, F.col("_spread")).otherwise(0), "_clean": F.when(goes, F.col("_short")).otherwise(F.col("text"))})
-    return out.drop("_text_hash", "_bad", "_short")
+    return out.drop("_text_hash", "_bad", "_copy", "_short")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -287,6 +287,19 @@ def test_boilerplate_goes_and_copies_stay(spark):
     assert all(out[i]._clean == texts[i] for i in range(9, 19))
 
 
+def test_pipeline_removes_boilerplate_whatever_its_share(spark):
+    line, body = "Subscribe to our letter, it comes on every first day of the month", [f"body line {k}" for k in range(6)]
+    mostly = [f"{line}\nown {i}" for i in range(10)]
+    near = ["\n".join([*body, f"edit {i}"]) for i in range(10)]
+    texts = [*mostly, *["copied line one\ncopied line two"] * 10, *near, line, None, f"{line}\n \n{line}", *["twice\n" + line] * 2]
+    stage = {r.doc_id: r for r in corpus_pipeline.boilerplate_lines_go(spark, docs(spark, texts), "").collect()}
+    left = {i: r.text for i, r in stage.items()}
+    assert [left[i] for i in range(10)] == [f"own {i}" for i in range(10)] and stage[3].n_chars == 5
+    assert [left[i] for i in range(10, 21)] == texts[10:21]  # copies, and the first of the near ones
+    assert [left[i] for i in range(21, 30)] == [f"edit {i}" for i in range(1, 10)]
+    assert [left[i] for i in range(30, len(texts))] == texts[30:]
+
+
 def test_lm_scores_against_plain_counts(spark):
     texts = [*TEXTS, *[f"{WORDS} {i} {i * i} the fox" for i in range(60)]]
     rows = {r.doc_id: r for r in lm_scoring.score(docs(spark, texts)).collect()}
