@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from gazette.functions import scalars as X
 
 TOP = 30
+FOUND = ("pos", "type", "title", "url", "type_pos", "item_pos")
 COLUMNS = ("type", "title", "sub", "url", "external", "search_text", "type_pos", "item_pos")
 
 
@@ -45,41 +46,65 @@ def all_in(text: Column, toks: Column) -> Column:
     return (F.size(toks) > 0) & F.forall(toks, lambda t: F.contains(text, t))
 
 
-def _top(hits: DataFrame, k: int) -> DataFrame:
-    order = Window.partitionBy("query_id").orderBy("type_pos", "item_pos")
-    return hits.withColumn("pos", F.row_number().over(order).cast("long")).where(F.col("pos") <= k).select("query_id", "pos", "type", "title", "url", "type_pos", "item_pos")
+def _first(hits: DataFrame, k: int, by: str = "toks") -> DataFrame:
+    order = Window.partitionBy(by).orderBy("type_pos", "item_pos")
+    return hits.withColumn("pos", F.row_number().over(order).cast("long")).where(F.col("pos") <= k)
 
 
 def scan_search(index: DataFrame, queries: DataFrame, k: int = TOP) -> DataFrame:
-    """Every query against every row of the index: for a few queries, or tokens shorter than a trigram."""
+    """Every query against every row of the index: for a few queries."""
     asked = queries.select("query_id", tokens(F.col("q")).alias("toks"))
-    return _top(index.join(asked, all_in(F.col("search_text"), F.col("toks"))), k)
+    return _first(index.join(asked, all_in(F.col("search_text"), F.col("toks"))), k, "query_id").select("query_id", *FOUND)
 
 
-def _trigrams(c: Column) -> Column:
-    """Distinct runs of three characters, in one pass over the characters."""
+def _runs(c: Column, *sizes: int) -> Column:
+    """Distinct runs of so many characters, in one pass over the characters."""
 
     def of(chars: Column) -> Column:
-        runs = F.transform(chars, lambda x, i: F.concat(x, F.coalesce(F.get(chars, i + 1), F.lit("")), F.coalesce(F.get(chars, i + 2), F.lit(""))))
-        return F.array_distinct(F.slice(runs, 1, F.greatest(F.size(chars) - 2, F.lit(0))))
+        runs = lambda n: F.transform(chars, lambda x, i: F.concat(x, *[F.coalesce(F.get(chars, i + k), F.lit("")) for k in range(1, n)]))
+        return F.array_distinct(F.concat(*[F.slice(runs(n), 1, F.greatest(F.size(chars) - n + 1, F.lit(0))) for n in sizes]))
 
     return F.transform(F.array(F.split(c, "")), of)[0]
 
 
+def _trigrams(c: Column) -> Column:
+    return _runs(c, 3)
+
+
+def _short_search(index: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """Sets of tokens (toks) that all have one or two characters, and their first k rows.
+
+    Such a token is itself a run of the rows that hold it. Each row keeps the wanted runs it has;
+    a set looks for its rarest one among the rows and is checked on the row's runs. Texts don't
+    move, and only first rows meet the index.
+    """
+    wanted = asked.select("toks", F.explode("toks").alias("run"))
+    posted = index.select("type_pos", "item_pos", F.explode(_runs(F.col("search_text"), 1, 2)).alias("run")).join(wanted.select("run").distinct(), "run", "left_semi")
+    often = posted.groupBy("run").agg(F.count("*").alias("n"))
+    rarest = wanted.join(often, "run", "left").groupBy("toks").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "run")).alias("r"))
+    rows = posted.groupBy("type_pos", "item_pos").agg(F.collect_set("run").alias("runs")).withColumn("run", F.explode("runs"))
+    hits = rows.join(rarest.select("toks", F.col("r.run").alias("run")), "run").where(F.size(F.array_except("toks", "runs")) == 0)
+    first = _first(hits.select("toks", "type_pos", "item_pos"), k)
+    return first.join(index.select("type_pos", "item_pos", "type", "title", "url"), ["type_pos", "item_pos"]).select("toks", *FOUND)
+
+
 def search(index: DataFrame, queries: DataFrame, k: int = TOP) -> DataFrame:
     """query_id, pos and the first k rows of the index that hold all of a query's tokens.
 
     A row that holds a token holds the token's trigrams: each query looks for the rarest trigram
-    of its tokens and then checks all tokens. Rows are known by (type_pos, item_pos), so their
-    texts move once, for the check. Queries of short tokens alone take the scan.
+    of its tokens and then checks all tokens; equal sets of tokens are looked for once. Rows are
+    known by (type_pos, item_pos), so their texts move once, for the check. Queries of short
+    tokens alone look for the tokens themselves.
     """
-    asked = queries.select("query_id", tokens(F.col("q")).alias("toks")).withColumn("grams", F.array_distinct(F.flatten(F.transform("toks", _trigrams))))
-    wanted = asked.where(F.size("grams") > 0).select("query_id", F.explode("grams").alias("gram"))
+    asked = queries.select("query_id", F.array_sort(tokens(F.col("q"))).alias("toks")).where(F.size("toks") > 0)
+    sets = asked.select("toks").distinct().withColumn("grams", F.array_distinct(F.flatten(F.transform("toks", _trigrams))))
+    wanted = sets.select("toks", F.explode("grams").alias("gram"))
     posted = index.select("type_pos", "item_pos", F.explode(_trigrams(F.col("search_text"))).alias("gram"))
     needed = posted.join(wanted.select("gram").distinct(), "gram", "left_semi")
     often = needed.groupBy("gram").agg(F.count("*").alias("n"))
-    rarest = wanted.join(often, "gram", "left").groupBy("query_id").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("r"))
-    found = needed.join(rarest.select("query_id", F.col("r.gram").alias("gram")), "gram").drop("gram").join(asked.select("query_id", "toks"), "query_id")
+    rarest = wanted.join(often, "gram", "left").groupBy("toks").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("r"))
+    found = needed.join(rarest.select("toks", F.col("r.gram").alias("gram")), "gram").drop("gram")
     hits = index.join(found, ["type_pos", "item_pos"]).where(all_in(F.col("search_text"), F.col("toks")))
-    short = asked.where((F.size("grams") == 0) & (F.size("toks") > 0)).select("query_id", F.array_join("toks", " ").alias("q"))
-    return _top(hits, k).unionByName(scan_search(index, short, k))
+    short = sets.where(F.size("grams") == 0).select("toks")
+    first = _first(hits, k).select("toks", *FOUND).unionByName(_short_search(index, short, k))
+    return asked.join(first, "toks").select("query_id", *FOUND)

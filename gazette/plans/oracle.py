@@ -124,6 +124,7 @@ SELECT CAST(list_position(['officer', 'chair', 'dcm'], section) AS BIGINT) AS se
     "active_announcement_top": ANNOUNCEMENTS + " SELECT row_id, id, title, body, CASE WHEN url = '' THEN '' WHEN starts_with(url, 'http') THEN url ELSE '#' || url END AS link, CAST(priority AS BIGINT) AS priority FROM live ORDER BY live.priority NULLS LAST, row_id LIMIT 1",
     "search_index": f"WITH {INDEX} SELECT * FROM idx",
     "search_batch": f"WITH {INDEX}, q0 AS (SELECT p_partkey AS query_id, CASE WHEN p_partkey % 5 = 0 THEN substr('k ' || p_partkey, 1, 4) ELSE substr(lower(p_name), 3, 40) || '  ' || upper(p_brand) END AS q FROM part WHERE p_size = 7), {SEARCH}",
+    "search_parts": f"WITH {INDEX}, q0 AS (SELECT p_partkey AS query_id, CASE WHEN p_partkey % 5 = 0 THEN substr('k ' || p_partkey, 1, 4) ELSE substr(lower(p_name), 3, 40) || '  ' || upper(p_brand) END AS q FROM part), {SEARCH}",
     "search_documents": f"WITH idx AS (SELECT 'document' AS type, '' AS title, '' AS url, lower(text) AS search_text, 0::BIGINT AS type_pos, doc_id AS item_pos FROM documents), q0 AS (SELECT item_id AS query_id, substr(text, 12, 7) || ' ' || substr(text, 31, 6) AS q FROM benchmark), {SEARCH}",
     "parse_datetime": f"""WITH r AS (SELECT o_orderkey AS row_id, CASE o_orderkey % 7 WHEN 0 THEN concat(year(o_orderdate), '-13-31') WHEN 1 THEN concat('98-02-', o_orderkey % 40) WHEN 2 THEN 'TBA' ELSE CAST(CAST(o_orderdate AS DATE) AS VARCHAR) END AS d,
   CASE o_orderkey % 5 WHEN 0 THEN concat(o_orderkey % 14, ':30 p.m.') WHEN 1 THEN concat(o_orderkey % 30, ':75') WHEN 2 THEN 'noon' WHEN 3 THEN concat(o_orderkey % 13, 'AM') ELSE lpad(CAST(o_orderkey % 24 AS VARCHAR), 2, '0') END AS t FROM orders)

@@ -39,8 +39,17 @@ def search_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def search_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The queries of search_parts for the parts of size 7 alone, as the SQL has it."""
+    return _search_parts(spark, sf_dir, "p_size = 7")
+
+
+def search_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A query for every part: the end of its name and its brand; every fifth has short tokens alone."""
-    part = spark.read.parquet(f"{sf_dir}/part.parquet").where("p_size = 7")
+    return _search_parts(spark, sf_dir, "true")
+
+
+def _search_parts(spark: SparkSession, sf_dir: str, where: str) -> DataFrame:
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").where(where)
     q = F.when(F.col("p_partkey") % 5 == 0, F.concat(F.lit("k "), F.col("p_partkey").cast("string"))).otherwise(F.concat(F.substring(F.lower("p_name"), 3, 40), F.lit("  "), F.upper(F.col("p_brand"))))
     q = F.when(F.col("p_partkey") % 5 == 0, F.substring(q, 1, 4)).otherwise(q)
     return search.search(search_index(spark, sf_dir), part.select(F.col("p_partkey").alias("query_id"), q.alias("q")))
@@ -101,6 +110,7 @@ QUERIES: dict[str, Query] = {
     "active_announcement_top": _of("announcements", lambda a: listings.active_announcement(a, ORDERS_AS_OF)),
     "search_index": search_index,
     "search_batch": search_batch,
+    "search_parts": search_parts,
     "search_documents": search_documents,
     "parse_datetime": parse_datetime,
     "text_scalars": text_scalars,

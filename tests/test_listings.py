@@ -59,6 +59,16 @@ def test_search_is_substring_and(spark):
         assert sorted((r.query_id, r.title) for r in how(index, queries).collect()) == [(1, "a"), (2, "b"), (4, "a"), (5, "a"), (5, "b")]
 
 
+def test_short_tokens_without_a_scan(spark):
+    texts = ["k 12 a", "ka k1", "1k 2", "", "😀k 12", "k  b", *[f"row {i} k{i}" for i in range(50)]]
+    index = spark.createDataFrame([("t", str(i), "", t, i % 3, i) for i, t in enumerate(texts)], "type string, title string, url string, search_text string, type_pos long, item_pos long")
+    asked = ["k 12", "12 k k", "K", "2 k", "😀", "zz k", "z", "a 1", "row 1", "ro w", "1"]
+    queries = spark.createDataFrame(list(enumerate(asked)), "query_id long, q string")
+    found, scanned = (how(index, queries) for how in (search.search, search.scan_search))
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, scanned.collect()))
+    assert "NestedLoop" not in found._jdf.queryExecution().toString() and "Cartesian" not in found._jdf.queryExecution().toString()
+
+
 def test_window_and_dismissal(spark):
     raw = spark.createDataFrame([(1, "a", "2026-01-05", "soon", "2"), (2, "b", "", "2026-01-05", "1"), (3, "c", "2026-01-06", "", "0")], "row_id long, id string, starts string, ends string, priority string")
     found = normalise.announcements(raw)
