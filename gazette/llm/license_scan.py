@@ -5,8 +5,10 @@ regression over the licence families and a class for everything else. It is trai
 of the templates below and on a bounded sample of the table's own paragraphs that share no
 three-word run with a template. The unknown class is calibrated: on sampled paragraphs that
 training did not see, the least threshold under which at most one in FALSE_SHARE gets a
-licence, and at least FLOOR. A prediction counts once the paragraph's word pairs compare well
-with the predicted family's template.
+licence, and at least FLOOR. A paragraph is classified by overlapping windows of SPAN words, so
+that a notice within a longer text isn't outweighed by what stands around it. A prediction
+counts once the windows that made it hold most word pairs of one of the family's templates,
+whatever else the paragraph says: holder names, or a whole notice with a text before and after.
 
 Every paragraph (line) of every text is classified. Null and empty texts have no paragraphs;
 repeated rows get equal results; without sampled paragraphs the templates alone train the model.
@@ -28,13 +30,24 @@ TEMPLATES = [
     ("mit", "Released under the MIT License."),
     ("mit", "This software is licensed under the MIT License. See the LICENSE file for details."),
     ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the software without restriction."),
+    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"),
+    ("mit", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."),
+    ("mit", "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
     ("apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License."),
+    ("apache-2.0", "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
+    ("apache-2.0", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
     ("gpl-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("gpl-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version."),
+    ("gpl-3.0", "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."),
+    ("gpl-3.0", "You should have received a copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>."),
     ("bsd-3-clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met."),
+    ("bsd-3-clause", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."),
+    ("bsd-3-clause", "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."),
+    ("bsd-3-clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
     ("bsd-3-clause", "Use of this source code is governed by a BSD style license that can be found in the LICENSE file."),
     ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("mpl-2.0", "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
     ("cc-by-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("cc-by-4.0", "Licensed under CC BY 4.0."),
     ("cc-by-nc-4.0", "Licensed under CC BY-NC 4.0."),
@@ -49,6 +62,7 @@ FALSE_SHARE = 1000
 FLOOR = 0.5
 CONFIRM = 0.6
 WINDOW = 6  # words; shorter templates are used whole
+SPAN, STEP = 16, 8  # words of a paragraph that are classified together, and from one such window to the next
 
 
 def words(text: Column) -> Column:
@@ -60,6 +74,12 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def spans(ws: Column) -> Column:
+    """Windows of SPAN words, STEP apart, over all words; one window if there are no more."""
+    starts = lambda x: F.sequence(F.lit(0), F.greatest(F.size(x) - (SPAN - STEP) - 1, F.lit(0)), F.lit(STEP))
+    return let(ws, lambda x: F.transform(starts(x), lambda i: F.slice(x, i + 1, SPAN)))
+
+
 def grams(ws: Column, n: int) -> Column:
     """Runs of n words, joined by spaces; ws must be a column or bound by let()."""
     runs = F.transform(ws, lambda w, i: F.concat_ws(" ", w, *[F.get(ws, i + k) for k in range(1, n)]))
@@ -121,7 +141,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> tuple[PipelineModel, float]:
     # Paragraphs whose hashes are least: the same ones however the table is partitioned.
     least = _least(paragraphs(docs).select(F.xxhash64("line").alias("at"), "line"), 2 * sample)
     bounded = least.withColumn("words", words(F.col("line")))
-    clean = bounded.where(~F.arrays_overlap(let(F.col("words"), lambda x: grams(x, 3)), F.array(*map(F.lit, runs)))).select(F.lit(OTHER).alias("family"), "words", F.pmod("at", F.lit(2)).alias("part")).persist()
+    clean = bounded.where(~F.arrays_overlap(let(F.col("words"), lambda x: grams(x, 3)), F.array(*map(F.lit, runs)))).select(F.lit(OTHER).alias("family"), "at", F.explode(spans(F.col("words"))).alias("words"), F.pmod("at", F.lit(2)).alias("part")).persist()
     try:
         positives = windows.unionByName(wholes).unionByName(wholes)
         rows = _with_terms(positives.unionByName(clean.where("part = 0").select("family", "words"))).withColumn("label", _label())
@@ -129,7 +149,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> tuple[PipelineModel, float]:
         rows = rows.join(F.broadcast(share), "family").coalesce(4)
         pipeline = Pipeline(stages=[HashingTF(inputCol="terms", outputCol="features", numFeatures=FEATURES, binary=True), LogisticRegression(maxIter=30, regParam=0.003, family="multinomial", weightCol="weight")])
         model = pipeline.fit(rows)
-        held = _likely(model.transform(_with_terms(clean.where("part = 1"))))
+        held = _likely(model.transform(_with_terms(clean.where("part = 1")))).groupBy("at").agg(F.max("probability_of").alias("probability_of"))
         cut = held.agg(F.expr(f"percentile_approx(probability_of, {1 - 1 / FALSE_SHARE}, 10000)")).first()[0]
     finally:
         clean.unpersist()
@@ -147,13 +167,17 @@ def _likely(scored: DataFrame) -> DataFrame:
 def scan(docs: DataFrame, model: PipelineModel, threshold: float, confirm: float = CONFIRM) -> DataFrame:
     """doc_id, paragraph, family, probability, likeness of the paragraphs that carry a licence."""
     spark = docs.sparkSession
-    scored = model.transform(paragraphs(docs).select("doc_id", "paragraph", terms(words(F.col("line"))).alias("terms")))
-    likely = _likely(scored).where(F.col("probability_of") >= threshold)
-    known = templates(spark).select("family", F.explode(F.when(F.size("words") > 1, grams(F.col("words"), 2))).alias("pair")).groupBy("family").agg(F.collect_set("pair").alias("template"))
-    found = likely.select("doc_id", "paragraph", "family", F.col("probability_of").alias("probability"), F.array_distinct(pairs(F.col("terms"))).alias("pairs"))
+    windows = paragraphs(docs).select("doc_id", "paragraph", F.xxhash64("line").alias("line"), F.explode(spans(words(F.col("line")))).alias("words"))
+    likely = _likely(model.transform(_with_terms(windows))).where(F.col("probability_of") >= threshold)
+    known = templates(spark).where(F.size("words") > 1).groupBy("family").agg(F.collect_list(F.array_distinct(grams(F.col("words"), 2))).alias("templates"))
+    own = F.array_distinct(F.flatten(F.collect_list("pairs")))
+    found = likely.withColumn("pairs", pairs(F.col("terms"))).groupBy("doc_id", "paragraph", "line", "family").agg(F.max("probability_of").alias("probability"), own.alias("pairs"))
     found = found.join(F.broadcast(known), "family")  # one row per family
-    alike = F.size(F.array_intersect("pairs", "template")) / F.greatest(F.size("pairs"), F.lit(1))
-    return found.withColumn("likeness", alike).where(F.col("likeness") >= confirm).drop("pairs", "template")
+    alike = F.array_max(F.transform("templates", lambda t: F.size(F.array_intersect(t, F.col("pairs"))) / F.size(t)))
+    found = found.withColumn("likeness", alike).where(F.col("likeness") >= confirm)
+    # Windows of one paragraph may show several families: the likeliest confirmed one counts.
+    best = F.max(F.struct("probability", "likeness", "family")).alias("best")
+    return found.groupBy("doc_id", "paragraph", "line").agg(best).select("doc_id", "paragraph", "best.family", "best.probability", "best.likeness")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -279,6 +279,24 @@ def test_license_families(spark):
     assert found == {i: f for i, (f, _) in enumerate(license_scan.TEMPLATES)}
 
 
+def test_license_notices_within_longer_texts(spark):
+    of = lambda family, *starts: " ".join(next(t for f, t in license_scan.TEMPLATES if f == family and t.startswith(x) and len(t) > 80) for x in starts)
+    mit = of("mit", "Permission is", "The above", "THE SOFTWARE")
+    notices = [
+        ("proprietary", "Copyright 2024 Acme Inc. All rights reserved."),
+        ("mit", "This package is released under the MIT License, see the accompanying readme for details and credits."),
+        ("mit", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:'),
+        ("mit", f"MIT License Copyright (c) 2021 Jo Doe {mit}"),
+        ("apache-2.0", f"Copyright 2020 The Authors. {of('apache-2.0', 'Licensed', 'You may', 'Unless')}"),
+        ("gpl-3.0", f"{WORDS} {of('gpl-3.0', 'This program is free')} {WORDS}"),
+        ("cc-by-4.0", f"{WORDS} {WORDS} This work is licensed under a Creative Commons Attribution 4.0 International License. {WORDS} {WORDS}"),
+        ("bsd-3-clause", f"Copyright 1999 Ann Roe {of('bsd-3-clause', 'Redistribution and', 'Redistributions of', 'Redistributions in', 'Neither')}"),
+    ]
+    table = docs(spark, [t for _, t in notices] + [f"{WORDS} {i} {w}" for i, w in enumerate(WORDS.split())])
+    found = {r.doc_id: r.family for r in license_scan.scan(table, *license_scan.train(table)).collect()}
+    assert found == {i: f for i, (f, _) in enumerate(notices)}
+
+
 def test_boilerplate_goes_and_copies_stay(spark):
     line = "Subscribe to our letter"
     texts = [f"{line}\n{WORDS} number {i} with words of its own\nend {i}" for i in range(9)] + ["copied line one\ncopied line two"] * 10
