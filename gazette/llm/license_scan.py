@@ -143,8 +143,10 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> tuple[PipelineModel, float]:
     bounded = least.withColumn("words", words(F.col("line")))
     clean = bounded.where(~F.arrays_overlap(let(F.col("words"), lambda x: grams(x, 3)), F.array(*map(F.lit, runs)))).select(F.lit(OTHER).alias("family"), "at", F.explode(spans(F.col("words"))).alias("words"), F.pmod("at", F.lit(2)).alias("part")).persist()
     try:
+        # One window of each paragraph trains, so that long ones don't make the sample grow.
+        mine = clean.where("part = 0").groupBy("at").agg(F.min_by("words", F.xxhash64("words")).alias("words")).select(F.lit(OTHER).alias("family"), "words")
         positives = windows.unionByName(wholes).unionByName(wholes)
-        rows = _with_terms(positives.unionByName(clean.where("part = 0").select("family", "words"))).withColumn("label", _label())
+        rows = _with_terms(positives.unionByName(mine)).withColumn("label", _label())
         share = rows.groupBy("family").agg((1 / F.count("*")).alias("weight"))
         rows = rows.join(F.broadcast(share), "family").coalesce(4)
         pipeline = Pipeline(stages=[HashingTF(inputCol="terms", outputCol="features", numFeatures=FEATURES, binary=True), LogisticRegression(maxIter=30, regParam=0.003, family="multinomial", weightCol="weight")])
