@@ -20,7 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gazette.llm.common import documents, materialise
+from gazette.llm.common import documents
+from gazette.sources.tables import materialise
 
 MIN_SITES = 8
 LG_K = 12

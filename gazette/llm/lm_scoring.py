@@ -25,7 +25,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gazette.llm.common import documents, hashed_words, materialise, mix, text_blocks
+from gazette.llm.common import documents, hashed_words, mix, text_blocks
+from gazette.sources.tables import materialise
 
 FOLDS, HELD_OUT, TUNING = 7, 2, 3
 BUCKETS = 24

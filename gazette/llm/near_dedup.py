@@ -31,7 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gazette.llm.common import documents, hashed_words, materialise, mix, text_blocks
+from gazette.llm.common import documents, hashed_words, mix, text_blocks
+from gazette.sources.tables import materialise
 
 WORDS, PERCENT = 5, 85
 BANDS, BINS_PER_BAND = 32, 6

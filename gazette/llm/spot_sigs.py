@@ -23,7 +23,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gazette.llm.common import documents, materialise
+from gazette.llm.common import documents
+from gazette.sources.tables import materialise
 
 # Common words of English, French, German and Spanish that serve as anchors.
 ANCHORS = (

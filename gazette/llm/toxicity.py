@@ -8,10 +8,15 @@ described by the sum of ratios over the length, of the whole text and of its mos
 passage, and by the three largest ratios; a logistic curve, fitted on labelled rows that the counts did not
 use, turns them into a score from 0 to 1.
 
-The classifier is fitted on at most max_rows labelled rows of each class, those whose ids have
-the least hashes; every text is scored as a whole. Labels repeated for an id count once (toxic
-if any says so). Null and empty texts have no words and get the curve's value for all-zero
-features; without both labels every score is the smoothed share of toxic rows.
+The classifier is fitted on at most max_rows labelled rows and max_chars code points of each class,
+those whose ids have the least hashes; every text, however long, is scored as a whole. Grams are
+known by 64-bit hashes, computed and counted on Spark; a model holds some hundred thousand, of
+which two are taken for one with odds below one in a hundred million.
+
+Labels repeated for an id count once (toxic if any says so). Null and empty texts have no words
+and get the curve's value for all-zero features. With labels of one kind only there is nothing to
+learn: every score is the smoothed share of toxic rows and model.language is None. Repeated rows
+get equal scores; an empty table gives no rows; a column of the score's name is replaced.
 """
 
 from __future__ import annotations
@@ -27,17 +32,19 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from gazette.llm.common import documents, fold, mix, text_blocks
 
-MAX_ROWS = 5000
+MAX_ROWS = 5000  # labelled rows of a class
+MAX_CHARS = 32_000_000  # of their texts together; one text of a class may be longer
 ORDER, SHARED_ORDER = 8, 5
 DISCOUNT = 0.75
 TOP_DISCOUNT = 2.0  # an expression seen once or twice in a class says nothing of the class
 THRESHOLD = 0.7
 PASSAGE = 24  # chunks between spaces
 CALIBRATION = 3  # every third labelled row fits the curve, the others the counts
-LIMIT = 300_000
+LIMIT, LIMIT_CHARS = 300_000, 16 << 20
 FEATURES = 5
 _words = regex.compile(r"[^\W\d_]+").findall
 _START, _END = 2, 3
@@ -80,44 +87,37 @@ def _sums(keys: np.ndarray, values: np.ndarray) -> Table:
     return Table(unique, np.stack([np.bincount(inverse, v, len(unique)) for v in values.T], 1))
 
 
-def _points(grams: list[str]) -> np.ndarray:
-    n = len(grams[0]) if grams else 1
-    return np.frombuffer("".join(grams).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, n)
-
-
-def _hashes(points: np.ndarray) -> np.ndarray:
-    n = points.shape[1]
-    return _grams(np.ascontiguousarray(points).reshape(-1), n)[-1].reshape(-1, n)[:, -1]
-
-
 @dataclass
 class Counts:
-    """What the model needs of the grams of the highest order, each with a count per class.
+    """What the model needs of the grams of the highest order, each with a count per class; grams are known by their hashes.
 
     top: the grams that some class has more often than the discount takes off; contexts: what
     stands before those, with its occurrences per class and what the discounts set free per
-    class; lower: the suffixes of the shared order with the number of grams that end so.
+    class; lower: the suffixes of the shared order (and for n = shared order to 2, each one's
+    context of n - 1 and suffix of n - 1 code points) with the number of grams that end so.
     All other contexts hand their whole mass to the backoff and needn't be kept.
     """
 
-    top: tuple[list[str], np.ndarray]
-    contexts: tuple[list[str], np.ndarray]
-    lower: tuple[list[str], np.ndarray]
+    top: tuple[np.ndarray, np.ndarray]
+    contexts: tuple[np.ndarray, np.ndarray]
+    lower: tuple[np.ndarray, np.ndarray]
 
 
 class KneserNey:
     def __init__(self, counts: Counts, order: int = ORDER, shared_order: int = SHARED_ORDER, discount: float = DISCOUNT, top_discount: float = TOP_DISCOUNT):
         self.order, self.shared, self.discount, self.top_discount = order, shared_order, discount, top_discount
-        self.top = Table(_hashes(_points(counts.top[0])), counts.top[1].astype(float))
-        self.top_context = Table(_hashes(_points(counts.contexts[0])), counts.contexts[1].astype(float))
+        self.top = Table(counts.top[0], counts.top[1].astype(float))
+        self.top_context = Table(counts.contexts[0], counts.contexts[1].astype(float))
         self.classes = counts.top[1].shape[1]
-        points, kinds = _points(counts.lower[0]), counts.lower[1]
+        hashes, kinds = counts.lower  # columns: gram, then context and suffix by descending order
         self.lower: list[tuple] = [()]  # by order: continuations of a gram, and of its context with its types
         for n in range(shared_order, 0, -1):
             value = kinds[:, None].astype(float)
-            context = _sums(_hashes(points[:, :-1]), np.concatenate((value, np.ones_like(value)), 1)) if n > 1 else (float(value.sum()), len(value))
-            self.lower.insert(1, (Table(_hashes(points), value), context))
-            points, kinds = np.unique(points[:, 1:], axis=0, return_counts=True) if n > 1 else (points, kinds)
+            context = _sums(hashes[:, 1], np.concatenate((value, np.ones_like(value)), 1)) if n > 1 else (float(value.sum()), len(value))
+            self.lower.insert(1, (Table(hashes[:, 0], value), context))
+            if n > 1:
+                _, first, kinds = np.unique(hashes[:, 2], return_index=True, return_counts=True)
+                hashes = hashes[first, 2:]
 
     def ratios(self, words: list[str], at_once: int = 20_000) -> np.ndarray:
         """Per word, the log-likelihood under class 1 less that under class 0."""
@@ -149,24 +149,27 @@ class Model:
 
 
 class Scorer:
-    """Features of texts; what it knows of a chunk between spaces is kept, the later half beyond LIMIT forgotten."""
+    """Features of texts; what it knows of a chunk between spaces is kept until the chunks are LIMIT or hold LIMIT_CHARS."""
 
     def __init__(self, language: KneserNey):
         self.language = language
+        self._forget()
+
+    def _forget(self) -> None:
         self.known: defaultdict[str, int] = defaultdict(count().__next__)
         self.values = np.zeros((0, 2))  # log-likelihood ratio, length
+        self.chars = 0
 
     def features(self, texts: list[str]) -> np.ndarray:
-        if len(self.known) > LIMIT:
-            keep = LIMIT // 2
-            self.known = defaultdict(count(keep).__next__, zip(list(islice(self.known, keep)), range(keep), strict=True))
-            self.values = self.values[:keep].copy()
+        if len(self.known) > LIMIT or self.chars > LIMIT_CHARS:
+            self._forget()
         get, rows = self.known.__getitem__, []
         for text in texts:
             parts = text.lower().replace("\n", " ").split(" ")
             rows.append(np.fromiter(map(get, parts), np.int64, len(parts)))
         if (old := len(self.values)) < len(self.known):
             chunks = list(islice(self.known, old, None))
+            self.chars += sum(map(len, chunks))
             words: defaultdict[str, int] = defaultdict(count().__next__)
             owner, use = [], []
             for i, chunk in enumerate(chunks):
@@ -205,9 +208,10 @@ def _scorer(model: Model) -> Scorer:
 
 
 def _with_features(df: DataFrame, model, into: list[str]) -> DataFrame:
-    """df with the columns into: features (two or more names), or the score (one name)."""
-    types = {f.name: f for f in df.schema.fields}
-    schema = ", ".join([f"`{n}` {f.dataType.simpleString()}" for n, f in types.items()] + [f"`{n}` double" for n in into])
+    """df with the columns into, in place of any of these names: features (two or more names), or the score (one name)."""
+    kept = [c for c in df.columns if c.lower() not in {n.lower() for n in into}]
+    names = kept if "text" in kept else [*kept, "text"]
+    out = StructType([f for f in df.schema.fields if f.name in kept] + [StructField(n, DoubleType()) for n in into])
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         scorer = _scorer(model.value)
@@ -216,13 +220,13 @@ def _with_features(df: DataFrame, model, into: list[str]) -> DataFrame:
             if len(into) == 1:
                 w = model.value.weights
                 x = 1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -35, 35)))[:, None]
-            yield pa.RecordBatch.from_arrays([*rows.columns, *[pa.array(c) for c in x.T]], names=[*rows.schema.names, *into])
+            yield pa.RecordBatch.from_arrays([*rows.columns[: len(kept)], *[pa.array(c) for c in x.T]], names=[*kept, *into])
 
-    return df.mapInArrow(run, schema)
+    return df.select(*[F.col(f"`{n}`") for n in names]).mapInArrow(run, out)
 
 
-def _gram_counts(df: DataFrame, order: int) -> DataFrame:
-    """gram, ordinary, toxic: occurrences in words, with start marks before and an end mark behind them."""
+def _word_counts(df: DataFrame) -> DataFrame:
+    """word, ordinary, toxic: occurrences of words, by class."""
 
     def run(batches):
         for values, rows in text_blocks(batches):
@@ -233,29 +237,54 @@ def _gram_counts(df: DataFrame, order: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(own.keys(), pa.string()), pa.array([toxic] * len(own), pa.int32()), pa.array(own.values(), pa.int64())], ["word", "toxic", "n"])
 
     total = lambda t: F.sum(F.when(F.col("toxic") == t, F.col("n")).otherwise(0))
-    words = df.select("text", "toxic").mapInArrow(run, "word string, toxic int, n long").groupBy("word").agg(total(0).alias("a"), total(1).alias("b"))
-    marked = F.concat(F.lit(chr(_START) * (order - 1)), "word", F.lit(chr(_END)))
-    gram = F.explode(F.transform(F.sequence(F.lit(1), F.length("word") + 1), lambda i: F.substr(marked, i, F.lit(order))))
-    return words.select("a", "b", gram.alias("gram")).groupBy("gram").agg(F.sum("a").alias("ordinary"), F.sum("b").alias("toxic"))
+    return df.select("text", "toxic").mapInArrow(run, "word string, toxic int, n long").groupBy("word").agg(total(0).alias("ordinary"), total(1).alias("toxic"))
 
 
-def _counts(df: DataFrame, order: int, shared_order: int, top_discount: float) -> Counts | None:
-    grams = _gram_counts(df, order).persist()
+def _gram_counts(words: DataFrame, order: int, shared_order: int) -> DataFrame:
+    """gram, ordinary, toxic, context, and gN, cN for orders N up to the shared one: hashes of the last N code points and of those before the last of them.
+
+    Words have start marks before and an end mark behind them.
+    """
+    hashes = ["gram", "context", *[f"{k}{n}" for n in range(shared_order, 1, -1) for k in "gc"], "g1"]
+
+    def run(batches):
+        for batch in batches:
+            points, owner = _codes(batch.column(0).to_pylist(), order)
+            grams, ends = _grams(points, order), np.flatnonzero(owner >= 0)
+            before = lambda n: grams[n - 2][ends - 1]  # noqa: E731  context of the grams of order n
+            columns = [grams[order - 1][ends], before(order)]
+            for n in range(shared_order, 1, -1):
+                columns += [grams[n - 1][ends], before(n)]
+            columns.append(grams[0][ends])
+            counts = [batch.column(i).to_numpy(zero_copy_only=False)[owner[ends]] for i in (1, 2)]
+            yield pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in columns] + [pa.array(c, pa.int64()) for c in counts], [*hashes, "ordinary", "toxic"])
+
+    rows = words.select("word", "ordinary", "toxic").mapInArrow(run, ", ".join(f"{h} long" for h in [*hashes, "ordinary", "toxic"]))
+    return rows.groupBy("gram").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"), *[F.first(h).alias(h) for h in hashes[1:]])
 
-    def taken(x: DataFrame) -> tuple[list[str], np.ndarray]:
-        rows = x.toPandas().sort_values("gram", ignore_index=True)
-        return rows["gram"].tolist(), rows.drop(columns="gram").to_numpy(float).squeeze()
 
+def _numbers(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """A table of longs on the driver, by Arrow: its columns of hashes and, of the names that don't begin with n_, the counts."""
+    table = df.toArrow()
+    of = lambda counts: np.stack([table[c].to_numpy() for c in table.column_names if c.startswith("n_") == counts] or [np.zeros(0)], 1)
+    return of(False).astype(np.int64).view(np.uint64), of(True)
+
+
+def _counts(df: DataFrame, order: int, shared_order: int, top_discount: float) -> Counts | None:
+    """The collected numbers are bounded as the fitted rows are, in number (max_rows) and in text (MAX_CHARS)."""
+    grams = _gram_counts(_word_counts(df), order, shared_order).persist()
+    both = ("ordinary", "toxic")
     try:
-        lower = taken(grams.groupBy(F.substr("gram", F.lit(order - shared_order + 1)).alias("gram")).agg(F.count("*").alias("n")))
-        much = F.greatest("ordinary", "toxic")
-        top = taken(grams.where(much > top_discount).select("gram", "ordinary", "toxic"))
-        freed = [F.sum(F.least(c, F.lit(top_discount))).alias(f"free_{c}") for c in ("ordinary", "toxic")]
-        by_context = grams.groupBy(F.substr("gram", F.lit(1), F.lit(order - 1)).alias("gram"))
-        contexts = taken(by_context.agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"), *freed, F.max(much).alias("much")).where(F.col("much") > top_discount).drop("much"))
+        below = [c for n in range(shared_order, 1, -1) for c in (f"c{n}", f"g{n - 1}")]
+        lower = _numbers(grams.groupBy(f"g{shared_order}").agg(*[F.first(c).alias(c) for c in below], F.count("*").alias("n_kinds")))
+        much = F.greatest(*both)
+        top = _numbers(grams.where(much > top_discount).select("gram", *[F.col(c).alias(f"n_{c}") for c in both]))
+        freed = [F.sum(F.least(c, F.lit(top_discount))).alias(f"n_free_{c}") for c in both]
+        by_context = grams.groupBy("context").agg(*[F.sum(c).alias(f"n_{c}") for c in both], *freed, F.max(much).alias("much"))
+        contexts = _numbers(by_context.where(F.col("much") > top_discount).drop("much"))
     finally:
         grams.unpersist()
-    return Counts((top[0], top[1].reshape(-1, 2)), (contexts[0], contexts[1].reshape(-1, 4)), (lower[0], lower[1].reshape(-1))) if top[0] else None
+    return Counts((top[0][:, 0], top[1]), (contexts[0][:, 0], contexts[1]), (lower[0], lower[1][:, 0])) if len(top[0]) else None
 
 
 def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 0.02, steps: int = 40) -> np.ndarray:
@@ -271,7 +300,7 @@ def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 0.02, steps: int = 4
     return np.append(w[:-1] / scale, w[-1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, held_out_fold: int = 1, folds: int = 3, order: int = ORDER) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, held_out_fold: int = 1, folds: int = 3, order: int = ORDER, max_chars: int = MAX_CHARS) -> Model:
     """Learns from labelled rows outside the held-out fold only."""
     spark = docs.sparkSession
     usable = labels.where("doc_id is not null and toxic in (0, 1)").where(fold(F.col("doc_id"), folds) != held_out_fold)
@@ -279,11 +308,19 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, held_out_f
     chosen = [usable.where(F.col("toxic") == t).orderBy("at", "doc_id").limit(max_rows) for t in (0, 1)]
     ids = chosen[0].unionByName(chosen[1]).collect()  # 2 * max_rows ids at most
     toxic = sum(r.toxic for r in ids)
-    prior = (toxic + 1) / (len(ids) + 2)
     if not 0 < toxic < len(ids):
-        return Model(None, prior=prior)
-    bounded = spark.createDataFrame([(r.doc_id, r.toxic, i % CALIBRATION == 0) for i, r in enumerate(sorted(ids, key=lambda r: (r.toxic, r.at)))], "doc_id long, toxic int, calibrates boolean")
-    rows = docs.select("doc_id", "text").join(F.broadcast(bounded), "doc_id").select("text", "toxic", "calibrates").persist()
+        return Model(None, prior=(toxic + 1) / (len(ids) + 2))
+    wanted = spark.createDataFrame([(r.doc_id,) for r in ids], "doc_id long")
+    length = {r.doc_id: r.n for r in docs.join(F.broadcast(wanted), "doc_id").groupBy("doc_id").agg(F.sum(F.length("text")).alias("n")).collect()}
+    bounded, used = [], Counter()
+    for i, r in enumerate(sorted(ids, key=lambda r: (r.toxic, r.at, r.doc_id))):
+        if not used[r.toxic] or used[r.toxic] + (length.get(r.doc_id) or 0) <= max_chars:
+            bounded.append((r.doc_id, r.toxic, i % CALIBRATION == 0))
+            used[r.toxic] += length.get(r.doc_id) or 0
+    toxic = sum(r[1] for r in bounded)
+    prior = (toxic + 1) / (len(bounded) + 2)
+    chosen = F.broadcast(spark.createDataFrame(bounded, "doc_id long, toxic int, calibrates boolean"))
+    rows = docs.select("doc_id", "text").join(chosen, "doc_id").select("text", "toxic", "calibrates").persist()
     try:
         counts = _counts(rows.where("not calibrates"), order, SHARED_ORDER, TOP_DISCOUNT)
         if counts is None:
@@ -291,16 +328,19 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, held_out_f
         model = Model(KneserNey(counts, order), prior=prior)
         shared = spark.sparkContext.broadcast(model)
         names = [f"x{i}" for i in range(FEATURES)]
-        found = _with_features(rows.where("calibrates").select("text", "toxic"), shared, names).drop("text").toPandas().sort_values(names, ignore_index=True)
+        found = _with_features(rows.where("calibrates").select("text", "toxic"), shared, names).drop("text").toArrow()
+        shared.destroy()
     finally:
         rows.unpersist()
-    if found["toxic"].nunique() == 2:
-        model.weights = logistic(found[names].to_numpy(float), found["toxic"].to_numpy(float))
+    x, y = np.stack([found[n].to_numpy() for n in names], 1), found["toxic"].to_numpy().astype(float)
+    order = np.lexsort((y, *x.T))
+    if len(set(y.tolist())) == 2:
+        model.weights = logistic(x[order], y[order])
     return model
 
 
 def score(df: DataFrame, model: Model, into: str = "score") -> DataFrame:
-    """df with the score of its column text."""
+    """df with the score of its column text, in place of a column of that name if there is one."""
     if model.language is None:
         return df.withColumn(into, F.lit(model.prior))
     return _with_features(df, df.sparkSession.sparkContext.broadcast(model), [into])
