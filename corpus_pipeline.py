@@ -2,14 +2,16 @@
 near duplicates stays, and what is left is packed into training sequences.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes each stage's result
-as Parquet in the shared folder and rereads it. SQL can't express the stages, so ORACLE_SQL is None.
+as Parquet in the shared folder, rereads it and deletes it once the next one is written. SQL can't
+express the stages, so ORACLE_SQL is None.
 """
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gazette.llm import line_dedup, near_dedup, packing, toxicity
-from gazette.llm.common import documents, materialise
+from gazette.llm.common import documents
+from gazette.sources.tables import Workspace, fresh, materialise
 
 #: Similarity, in per cent, from which the pipeline takes documents for near copies (op2 has its own bound).
 NEAR_PERCENT = 80
@@ -18,9 +20,16 @@ NEAR_BANDS, NEAR_BINS_PER_BAND = 48, 5
 
 
 def toxic_documents_go(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without documents whose score reaches the threshold; null texts stay."""
+    """Without documents whose score reaches the threshold.
+
+    Null texts stay; all documents do if the labels are of one kind only, as nothing can be learned from them.
+    """
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.score(docs, model, "_toxicity").where(F.col("_toxicity") < toxicity.THRESHOLD).drop("_toxicity")
+    if model.language is None:
+        return docs
+    (score,) = fresh(docs, "toxicity")
+    scored = toxicity.score(docs, model, score)
+    return scored.where(F.col("text").isNull() | (F.col(score) < toxicity.THRESHOLD)).select(docs.columns)
 
 
 def boilerplate_lines_go(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,6 +60,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    for name, stage in STAGES:
-        docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
-    return docs
+    with Workspace(spark, "pipeline") as tables:
+        for k, (name, stage) in enumerate(STAGES[:-1]):
+            docs = tables.write(stage(spark, docs, sf_dir), name)
+            if k:
+                tables.drop(STAGES[k - 1][0])
+        name, stage = STAGES[-1]
+        return materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
