@@ -18,6 +18,8 @@ import numpy as np
 NONE = np.int32(2**31 - 1)
 #: From so many positions on, a merge is applied with array operations.
 FEW = 10
+#: Chunks, and their code points together, beyond which what is known of them is forgotten.
+LIMIT, LIMIT_CHARS = 250_000, 8 << 20
 
 
 class Merges:
@@ -166,25 +168,21 @@ class Encoder:
 
     chunks(text) cuts a text where no token can cross, words(chunk) gives the strings within
     which merges go on. A word's bytes become symbols by the table first, its last byte by the
-    table final. Chunks once encoded are kept; beyond limit the later half is forgotten.
+    table final. Chunks once encoded are kept until they are limit or hold LIMIT_CHARS code points.
     """
 
-    def __init__(self, merges: Merges, chunks: Callable[[str], list[str]], words: Callable[[str], list[str]], first: list[int], final: list[int] | None = None, limit: int = 600_000):
+    def __init__(self, merges: Merges, chunks: Callable[[str], list[str]], words: Callable[[str], list[str]], first: list[int], final: list[int] | None = None, limit: int = LIMIT):
         self.merges, self.chunks, self.words, self.limit = merges, chunks, words, limit
         self.first, self.final = np.array(first, np.int32), None if final is None else np.array(final, np.int32)
-        self.known: defaultdict[str, int] = defaultdict(count().__next__)
-        self.flat, self.start, self.size = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self._forget()
 
     def _forget(self) -> None:
-        keep = self.limit // 2
-        old = list(islice(self.known, keep))
-        self.known = defaultdict(count(keep).__next__, zip(old, range(keep), strict=True))
-        self.start, self.size = self.start[:keep].copy(), self.size[:keep].copy()
-        self.flat = self.flat[: int(self.start[-1] + self.size[-1])].copy()
+        self.known: defaultdict[str, int] = defaultdict(count().__next__)
+        self.flat, self.start, self.size, self.chars = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64), 0
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids one text after the other, and ids per text."""
-        if len(self.known) > self.limit:
+        if len(self.known) > self.limit or self.chars > LIMIT_CHARS:
             self._forget()
         get, rows = self.known.__getitem__, []
         for text in texts:
@@ -201,6 +199,7 @@ class Encoder:
         return self.flat[shift], per_text
 
     def _learn(self, new: list[str]) -> None:
+        self.chars += sum(map(len, new))
         words: defaultdict[str, int] = defaultdict(count().__next__)
         get, uses, per_chunk = words.__getitem__, [], []
         for own in map(self.words, new):

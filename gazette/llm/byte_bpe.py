@@ -1,14 +1,14 @@
 """Operator 5: byte-level BPE encoding and decoding by merge replay.
 
 encode() returns one row per document with its ids, query() the digests of the contract.
-Nulls count as the empty text, which has no ids; repeated rows are encoded each on its own.
+Nulls count as the empty text, which has no ids; repeated rows are encoded each on its own; a text
+longer than a block is a block of its own; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -18,11 +18,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gazette.llm.bpe import Encoder, Merges
-from gazette.llm.common import documents, text_blocks
+from gazette.llm.common import documents, held, text_blocks
 
 TOKENIZER = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 #: Text whose distinct words are replayed together.
-GROUP_BYTES = 16 << 20
+GROUP_BYTES = 8 << 20
 _JOINT = regex.compile(r"\s ")
 
 
@@ -59,9 +59,8 @@ class ByteBpe:
         return self.bytes[at]
 
 
-@cache
 def _loaded(path: str, pattern: str) -> ByteBpe:
-    return ByteBpe(path, pattern)
+    return held(("byte_bpe", path, pattern), lambda: ByteBpe(path, pattern))
 
 
 def _encoded(batches, path: str, pattern: str):

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,20 +33,28 @@ def fold(doc_id: Column, folds: int) -> Column:
 def text_blocks(batches, text: str = "text", limit: int = BLOCK_BYTES) -> Iterator[tuple[list, object]]:
     """(texts as UTF-8 bytes with null as empty, the Arrow rows) in runs of at most limit bytes, at least one row each."""
     for batch in batches:
-        col = batch.column(batch.schema.get_field_index(text))
-        sizes = np.zeros(batch.num_rows, np.int64)
-        values = col.cast("binary").to_pylist()
-        values = [v or b"" for v in values]
-        sizes[:] = [len(v) for v in values]
+        col = batch.column(batch.schema.get_field_index(text)).cast("binary")
+        sizes = pc.fill_null(pc.binary_length(col), 0).to_numpy(zero_copy_only=False).astype(np.int64)
         ends = np.cumsum(sizes)
         at = 0
         while at < batch.num_rows:
             base = ends[at] - sizes[at]
             to = max(at + 1, int(np.searchsorted(ends, base + limit, "right")))
-            yield values[at:to], batch.slice(at, to - at)
+            yield [v or b"" for v in col.slice(at, to - at).to_pylist()], batch.slice(at, to - at)
             at = to
 
 
+_HELD: dict = {}
+
+
+def held(key, make: Callable):
+    """make(), kept in this Python worker until another key is asked for: workers outlive a stage, and models of several together would fill them."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every bit of the result depends on every bit of h."""
     h = h ^ (h >> np.uint64(33))

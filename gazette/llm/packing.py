@@ -18,7 +18,6 @@ import heapq
 import json
 import unicodedata
 import zlib
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,12 +28,12 @@ from pyspark.sql import DataFrame, SparkSession
 from tokenizers import Tokenizer
 
 from gazette.llm.bpe import Encoder, Merges
-from gazette.llm.common import documents, text_blocks
+from gazette.llm.common import documents, held, text_blocks
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 CAPACITY, CLOSING_ID = 2048, 1
 LINEAR, QUADRATIC = 1.0, 1.0 / 1024
-GROUP_BYTES = 16 << 20
+GROUP_BYTES = 8 << 20
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_tokens long, piece_cost double"
 
 
@@ -80,11 +79,6 @@ class WordBpe:
         return np.concatenate(rows), np.array([len(r) for r in rows])
 
 
-@cache
-def _loaded(path: str) -> WordBpe:
-    return WordBpe(path)
-
-
 def assign(lengths: list[int], capacities: list[int], linear: float = LINEAR, quadratic: float = QUADRATIC) -> tuple[list[tuple[int, int, int, int]], list[tuple[int, int]]]:
     """Cost-balanced packing of items into sequences.
 
@@ -118,7 +112,7 @@ def pack(docs: DataFrame, path: str = TOKENIZER, capacity: int = CAPACITY, closi
     """
 
     def run(batches):
-        bpe = _loaded(path)
+        bpe = held(("packing", path), lambda: WordBpe(path))
         part = TaskContext.get().partitionId() << 36
         made = 0
         left: list[tuple] = []  # (doc_id, start, doc_tokens, ids)

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from gazette.llm.common import documents, fold, mix, text_blocks
+from gazette.llm.common import documents, fold, held, mix, text_blocks
 
 MAX_ROWS = 5000  # labelled rows of a class
 MAX_CHARS = 32_000_000  # of their texts together; one text of a class may be longer
@@ -44,10 +44,11 @@ TOP_DISCOUNT = 2.0  # an expression seen once or twice in a class says nothing o
 THRESHOLD = 0.7
 PASSAGE = 24  # chunks between spaces
 CALIBRATION = 3  # every third labelled row fits the curve, the others the counts
-LIMIT, LIMIT_CHARS = 300_000, 16 << 20
+LIMIT, LIMIT_CHARS = 200_000, 8 << 20
 FEATURES = 5
 _words = regex.compile(r"[^\W\d_]+").findall
 _START, _END = 2, 3
+CLASSES = ("ordinary", "toxic")
 
 
 def _codes(words: list[str], order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -197,16 +198,6 @@ class Scorer:
         return out
 
 
-_SCORERS: dict[str, Scorer] = {}
-
-
-def _scorer(model: Model) -> Scorer:
-    if model.name not in _SCORERS:
-        _SCORERS.clear()
-        _SCORERS[model.name] = Scorer(model.language)
-    return _SCORERS[model.name]
-
-
 def _with_features(df: DataFrame, model, into: list[str]) -> DataFrame:
     """df with the columns into, in place of any of these names: features (two or more names), or the score (one name)."""
     kept = [c for c in df.columns if c.lower() not in {n.lower() for n in into}]
@@ -214,7 +205,7 @@ def _with_features(df: DataFrame, model, into: list[str]) -> DataFrame:
     out = StructType([f for f in df.schema.fields if f.name in kept] + [StructField(n, DoubleType()) for n in into])
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        scorer = _scorer(model.value)
+        scorer = held(("toxicity", model.value.name), lambda: Scorer(model.value.language))
         for values, rows in text_blocks(batches):
             x = scorer.features([v.decode("utf-8", "replace") for v in values])
             if len(into) == 1:
@@ -237,30 +228,44 @@ def _word_counts(df: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(own.keys(), pa.string()), pa.array([toxic] * len(own), pa.int32()), pa.array(own.values(), pa.int64())], ["word", "toxic", "n"])
 
     total = lambda t: F.sum(F.when(F.col("toxic") == t, F.col("n")).otherwise(0))
-    return df.select("text", "toxic").mapInArrow(run, "word string, toxic int, n long").groupBy("word").agg(total(0).alias("ordinary"), total(1).alias("toxic"))
+    return df.select("text", "toxic").mapInArrow(run, "word string, toxic int, n long").groupBy("word").agg(total(0).alias(CLASSES[0]), total(1).alias(CLASSES[1]))
 
 
 def _gram_counts(words: DataFrame, order: int, shared_order: int) -> DataFrame:
-    """gram, ordinary, toxic, context, and gN, cN for orders N up to the shared one: hashes of the last N code points and of those before the last of them.
+    """gram, context, ending, ordinary, toxic: hashes of grams of the highest order, of what stands before their last code point and of their last shared_order ones.
 
     Words have start marks before and an end mark behind them.
     """
-    hashes = ["gram", "context", *[f"{k}{n}" for n in range(shared_order, 1, -1) for k in "gc"], "g1"]
+    hashes = ["gram", "context", "ending"]
 
     def run(batches):
         for batch in batches:
             points, owner = _codes(batch.column(0).to_pylist(), order)
             grams, ends = _grams(points, order), np.flatnonzero(owner >= 0)
-            before = lambda n: grams[n - 2][ends - 1]  # noqa: E731  context of the grams of order n
-            columns = [grams[order - 1][ends], before(order)]
+            gram, first, at = np.unique(grams[order - 1][ends], return_index=True, return_inverse=True)
+            columns = [gram, grams[order - 2][ends[first] - 1], grams[shared_order - 1][ends[first]]]
+            counts = [np.bincount(at, batch.column(i).to_numpy(zero_copy_only=False)[owner[ends]], len(gram)) for i in (1, 2)]
+            yield pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in columns] + [pa.array(c.astype(np.int64)) for c in counts], [*hashes, *CLASSES])
+
+    rows = words.select("word", *CLASSES).mapInArrow(run, ", ".join(f"{h} long" for h in [*hashes, *CLASSES]))
+    return rows.groupBy("gram").agg(*[F.sum(c).alias(c) for c in CLASSES], *[F.first(h).alias(h) for h in hashes[1:]])
+
+
+def _lower_grams(words: DataFrame, order: int, shared_order: int) -> DataFrame:
+    """The distinct grams of the shared order, ending, and by descending order n the hashes of their contexts, cN, and suffixes, gN-1, of n - 1 code points."""
+    names = ["ending", *[c for n in range(shared_order, 1, -1) for c in (f"c{n}", f"g{n - 1}")]]
+
+    def run(batches):
+        for batch in batches:
+            points, owner = _codes(batch.column(0).to_pylist(), order)
+            grams, ends = _grams(points, shared_order), np.flatnonzero(owner >= 0)
+            gram, first = np.unique(grams[shared_order - 1][ends], return_index=True)
+            ends, columns = ends[first], [gram]
             for n in range(shared_order, 1, -1):
-                columns += [grams[n - 1][ends], before(n)]
-            columns.append(grams[0][ends])
-            counts = [batch.column(i).to_numpy(zero_copy_only=False)[owner[ends]] for i in (1, 2)]
-            yield pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in columns] + [pa.array(c, pa.int64()) for c in counts], [*hashes, "ordinary", "toxic"])
+                columns += [grams[n - 2][ends - 1], grams[n - 2][ends]]
+            yield pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in columns], names)
 
-    rows = words.select("word", "ordinary", "toxic").mapInArrow(run, ", ".join(f"{h} long" for h in [*hashes, "ordinary", "toxic"]))
-    return rows.groupBy("gram").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"), *[F.first(h).alias(h) for h in hashes[1:]])
+    return words.select("word").mapInArrow(run, ", ".join(f"{n} long" for n in names)).dropDuplicates(["ending"])
 
 
 def _numbers(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -272,18 +277,19 @@ def _numbers(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 def _counts(df: DataFrame, order: int, shared_order: int, top_discount: float) -> Counts | None:
     """The collected numbers are bounded as the fitted rows are, in number (max_rows) and in text (MAX_CHARS)."""
-    grams = _gram_counts(_word_counts(df), order, shared_order).persist()
-    both = ("ordinary", "toxic")
+    words = _word_counts(df).persist()
+    grams = _gram_counts(words, order, shared_order).persist()
     try:
-        below = [c for n in range(shared_order, 1, -1) for c in (f"c{n}", f"g{n - 1}")]
-        lower = _numbers(grams.groupBy(f"g{shared_order}").agg(*[F.first(c).alias(c) for c in below], F.count("*").alias("n_kinds")))
-        much = F.greatest(*both)
-        top = _numbers(grams.where(much > top_discount).select("gram", *[F.col(c).alias(f"n_{c}") for c in both]))
-        freed = [F.sum(F.least(c, F.lit(top_discount))).alias(f"n_free_{c}") for c in both]
-        by_context = grams.groupBy("context").agg(*[F.sum(c).alias(f"n_{c}") for c in both], *freed, F.max(much).alias("much"))
+        kinds = grams.groupBy("ending").agg(F.count("*").alias("n_kinds"))
+        lower = _numbers(_lower_grams(words, order, shared_order).join(kinds, "ending"))
+        much = F.greatest(*CLASSES)
+        top = _numbers(grams.where(much > top_discount).select("gram", *[F.col(c).alias(f"n_{c}") for c in CLASSES]))
+        freed = [F.sum(F.least(c, F.lit(top_discount))).alias(f"n_free_{c}") for c in CLASSES]
+        by_context = grams.groupBy("context").agg(*[F.sum(c).alias(f"n_{c}") for c in CLASSES], *freed, F.max(much).alias("much"))
         contexts = _numbers(by_context.where(F.col("much") > top_discount).drop("much"))
     finally:
         grams.unpersist()
+        words.unpersist()
     return Counts((top[0][:, 0], top[1]), (contexts[0][:, 0], contexts[1]), (lower[0], lower[1][:, 0])) if len(top[0]) else None
 
 
@@ -310,17 +316,19 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, held_out_f
     toxic = sum(r.toxic for r in ids)
     if not 0 < toxic < len(ids):
         return Model(None, prior=(toxic + 1) / (len(ids) + 2))
-    wanted = spark.createDataFrame([(r.doc_id,) for r in ids], "doc_id long")
-    length = {r.doc_id: r.n for r in docs.join(F.broadcast(wanted), "doc_id").groupBy("doc_id").agg(F.sum(F.length("text")).alias("n")).collect()}
+    wanted = F.broadcast(spark.createDataFrame([(r.doc_id,) for r in ids], "doc_id long"))
+    labelled = docs.select("doc_id", "text").join(wanted, "doc_id").persist()
+    length = {r.doc_id: r.n or 0 for r in labelled.groupBy("doc_id").agg(F.sum(F.length("text")).alias("n")).collect()}
     bounded, used = [], Counter()
     for i, r in enumerate(sorted(ids, key=lambda r: (r.toxic, r.at, r.doc_id))):
-        if not used[r.toxic] or used[r.toxic] + (length.get(r.doc_id) or 0) <= max_chars:
+        n = length.get(r.doc_id, 0)
+        if not used[r.toxic] or used[r.toxic] + n <= max_chars:
             bounded.append((r.doc_id, r.toxic, i % CALIBRATION == 0))
-            used[r.toxic] += length.get(r.doc_id) or 0
+            used[r.toxic] += n
     toxic = sum(r[1] for r in bounded)
     prior = (toxic + 1) / (len(bounded) + 2)
     chosen = F.broadcast(spark.createDataFrame(bounded, "doc_id long, toxic int, calibrates boolean"))
-    rows = docs.select("doc_id", "text").join(chosen, "doc_id").select("text", "toxic", "calibrates").persist()
+    rows = labelled.join(chosen, "doc_id").select("text", "toxic", "calibrates")
     try:
         counts = _counts(rows.where("not calibrates"), order, SHARED_ORDER, TOP_DISCOUNT)
         if counts is None:
@@ -331,7 +339,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, held_out_f
         found = _with_features(rows.where("calibrates").select("text", "toxic"), shared, names).drop("text").toArrow()
         shared.destroy()
     finally:
-        rows.unpersist()
+        labelled.unpersist()
     x, y = np.stack([found[n].to_numpy() for n in names], 1), found["toxic"].to_numpy().astype(float)
     order = np.lexsort((y, *x.T))
     if len(set(y.tolist())) == 2:
