@@ -3,16 +3,19 @@
 A line's spread is the number of distinct sites (column source) it stands on. Lines seen on two
 sites or more get a HyperLogLog sketch each, merged by aggregation; lines whose estimate is near
 the threshold get an exact distinct count. Lines that reach the threshold are boilerplate and
-go from the documents. A document more than half of whose characters would go is a copy, not
-a page with boilerplate: it stays whole, for near-duplicate removal to judge. That is the rule
-of the query and its SQL. Without a share (max_share None, as in the pipeline) only real copies
-stay whole: texts that stand on several rows, texts all of whose lines are shared, and, of the
-documents that have the same COPY_LINES or more distinct shared lines, the one with the least
-id, so that the body of near copies is not lost from all of them.
-
-Lines are compared without white space around them; blank lines never go. Null texts stay
-null with no lines; a null source is no site; repeated rows are treated alike; an empty table
-gives no rows.
+go from the documents, whatever their share of a text. Only copies stay whole, for near-duplicate
+removal to judge: texts that stand on several rows, texts all of whose lines are shared, and, of
+the documents that have the same COPY_LINES or more distinct shared lines, the one with the
+least id, so that the body of near copies isn't lost from all of them.
+
+Lines and texts are compared by 64-bit hashes, lines without white space around them. Two of n
+lines have the same hash with odds of n^2 / 2^65: one in a hundred thousand for 20 million
+lines, certain for some of the lines of 100 TB, where about one line in ten million shares its
+hash with another one.
+
+Blank lines never go. Null texts stay null with no lines; a null source is no site; repeated rows
+are copies; an empty table gives no rows; a text is taken line by line, so its length needs no
+rule. The result's columns replace columns of the same names.
 """
 
 from __future__ import annotations
@@ -21,13 +24,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gazette.llm.common import documents
-from gazette.sources.tables import materialise
+from gazette.sources.tables import Workspace, fresh, join_counted, materialise
 
 MIN_SITES = 8
 LG_K = 12
 #: Estimates within this share of the threshold are counted exactly: several standard errors of a sketch with LG_K.
 MARGIN = 0.25
-MAX_SHARE = 0.5
 #: Distinct shared lines from which an equal set of them on several documents may be a copied body.
 COPY_LINES = 5
 
@@ -40,45 +42,51 @@ def _split(text: Column) -> Column:
     return F.split(text, "\n")
 
 
-def spread_lines(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
-    """The hashes (line) of lines (line, site) on at least min_sites distinct sites."""
+def spread_lines(lines: DataFrame, tables: Workspace, min_sites: int = MIN_SITES) -> DataFrame:
+    """line and n, its occurrences: the hashes of lines (line, site) on at least min_sites distinct sites."""
     sited = lines.where("site is not null")
-    several = sited.groupBy("line").agg(F.min("site").alias("low"), F.max("site").alias("high")).where("low < high").select("line")
-    seen = sited.join(several, "line", "left_semi")
-    sketched = materialise(seen.groupBy("line").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", LG_K)).alias("sites")), "line-sites")
-    sure = sketched.where(F.col("sites") > min_sites * (1 + MARGIN)).select("line")
-    near = sketched.where(F.col("sites").between(min_sites * (1 - MARGIN), min_sites * (1 + MARGIN)))
-    exact = seen.join(near, "line", "left_semi").groupBy("line").agg(F.countDistinct("site").alias("sites")).where(F.col("sites") >= min_sites)
-    return sure.unionByName(exact.select("line"))
-
-
-def _with_copies(bad: DataFrame, keyed: DataFrame) -> DataFrame:
-    """bad (doc_id, _text_hash, _bad) with _copy: the text is on several rows, or the first with these shared lines."""
-    repeated = keyed.groupBy("_text_hash").agg(F.count("*").alias("_rows")).where("_rows > 1")
-    body = bad.withColumn("_body", F.when(F.size("_bad") >= COPY_LINES, F.xxhash64(F.array_sort("_bad"))))
-    bodies = body.where("_body is not null").groupBy("_body").agg(F.min("doc_id").alias("_first"), F.count("*").alias("_bodies")).where("_bodies > 1")
-    copy = F.col("_rows").isNotNull() | F.coalesce(F.col("doc_id") == F.col("_first"), F.lit(False))
-    return body.join(repeated, "_text_hash", "left").join(bodies, "_body", "left").select("doc_id", "_text_hash", "_bad", copy.alias("_copy"))
-
-
-def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, max_share: float | None = MAX_SHARE) -> DataFrame:
-    """docs with _lines, _spread, _removed (counts of lines) and _clean, the text without boilerplate."""
-    keyed = docs.withColumn("_text_hash", F.xxhash64("text"))
-    each = keyed.select("doc_id", "_text_hash", F.xxhash64("source").alias("_site"), F.col("source").isNotNull().alias("_has_site"), F.explode(_split(F.col("text"))).alias("_line"))
-    each = each.withColumn("_line", _stripped(F.col("_line"))).where(F.col("_line") != "")
-    lines = materialise(each.select("doc_id", "_text_hash", F.when(F.col("_has_site"), F.col("_site")).alias("site"), F.xxhash64("_line").alias("line")), "lines")
-    spread = materialise(spread_lines(lines.select("line", "site"), min_sites), "boilerplate")
-    bad = lines.join(spread, "line", "left_semi").groupBy("doc_id", "_text_hash").agg(F.collect_set("line").alias("_bad"))
-    bad = _with_copies(bad, keyed) if max_share is None else bad.withColumn("_copy", F.lit(False))
-    joined = keyed.alias("k").join(bad.alias("b"), F.col("k.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("k._text_hash") == F.col("b._text_hash")), "left").select("k.*", "_bad", "_copy")
-    is_bad = lambda line: F.array_contains("_bad", F.xxhash64(_stripped(line)))
-    kept = F.when(F.col("_bad").isNull(), F.col("text")).otherwise(F.array_join(F.filter(_split(F.col("text")), lambda x: ~is_bad(x)), "\n"))
-    out = joined.withColumn("_short", kept)
-    spread_count = F.when(F.col("_bad").isNull(), 0).otherwise(F.size(F.filter(_split(F.col("text")), is_bad)))
-    goes = F.coalesce(~F.col("_copy") & F.col("_short").rlike(r"[^ \t\r\x0b\x0c\n]"), F.lit(True)) if max_share is None else F.length("_short") >= F.length("text") * (1 - max_share)
-    out = out.withColumns({"_lines": F.coalesce(F.size(_split(F.col("text"))), F.lit(0)), "_spread": spread_count})
-    out = out.withColumns({"_removed": F.when(goes, F.col("_spread")).otherwise(0), "_clean": F.when(goes, F.col("_short")).otherwise(F.col("text"))})
-    return out.drop("_text_hash", "_bad", "_copy", "_short")
+    several = tables.write(sited.groupBy("line").agg(F.min("site").alias("low"), F.max("site").alias("high"), F.count("*").alias("n")).where("low < high").select("line", "n"), "several")
+    seen = join_counted(sited, several, ["line"], "n", "left_semi")
+    estimate = seen.groupBy("line").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", LG_K)).alias("sites"), F.count("*").alias("n"))
+    sketched = tables.write(estimate.where(F.col("sites") >= min_sites * (1 - MARGIN)), "sketched")
+    near = F.col("sites") <= min_sites * (1 + MARGIN)
+    doubtful = join_counted(sited, sketched.where(near).select("line", "n"), ["line"], "n", "left_semi")
+    exact = doubtful.groupBy("line").agg(F.countDistinct("site").alias("sites"), F.count("*").alias("n")).where(F.col("sites") >= min_sites)
+    return sketched.where(~near).select("line", "n").unionByName(exact.select("line", "n"))
+
+
+def _copies(bad: DataFrame, texts: DataFrame, tables: Workspace) -> DataFrame:
+    """bad (row, doc_id, hash, bad) with copy: the text is on several rows, or the first with these shared lines."""
+    repeated = tables.write(texts.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1"), "repeated")
+    body = tables.write(bad.withColumn("body", F.when(F.size("bad") >= COPY_LINES, F.xxhash64(F.array_sort("bad")))), "bodies")
+    first = tables.write(body.where("body is not null").groupBy("body").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1"), "first")
+    known = join_counted(body, repeated.withColumn("many", F.lit(True)), ["hash"], "n", "left")
+    known = join_counted(known, first, ["body"], "n", "left")
+    return known.select("doc_id", "hash", "bad", (F.col("many").isNotNull() | F.coalesce(F.col("doc_id") == F.col("first"), F.lit(False))).alias("copy"))
+
+
+def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, names: tuple[str, str, str, str] = ("_lines", "_spread", "_removed", "_clean")) -> DataFrame:
+    """docs with four columns: lines, lines of boilerplate, lines removed, and the text without boilerplate."""
+    docs = docs.drop(*names)
+    hash_, bad_, copy_ = fresh(docs, "hash", "bad", "copy")
+    with Workspace(docs.sparkSession, "line_dedup") as tables:
+        keyed = docs.select("doc_id", F.xxhash64("text").alias("hash"), "source", "text").where("text is not null")
+        each = keyed.select("doc_id", "hash", F.when(F.col("source").isNotNull(), F.xxhash64("source")).alias("site"), F.explode(_split(F.col("text"))).alias("line"))
+        each = each.withColumn("line", _stripped(F.col("line"))).where("line <> ''")
+        lines = tables.write(each.select("doc_id", "hash", "site", F.xxhash64("line").alias("line")), "lines")
+        spread = tables.write(spread_lines(lines.select("line", "site"), tables, min_sites), "boilerplate")
+        found = join_counted(lines, spread, ["line"], "n", "left_semi").groupBy("doc_id", "hash").agg(F.collect_set("line").alias("bad"))
+        bad = materialise(_copies(found, keyed.select("hash"), tables), "line_dedup-bad").select("doc_id", F.col("hash").alias(hash_), F.col("bad").alias(bad_), F.col("copy").alias(copy_))
+    rows = docs.withColumn(hash_, F.xxhash64("text"))
+    joined = rows.alias("k").join(bad.alias("b"), F.col("k.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col(f"k.{hash_}") == F.col(f"b.{hash_}")), "left").select("k.*", bad_, copy_)
+    is_bad = lambda line: F.array_contains(bad_, F.xxhash64(_stripped(line)))
+    lines, spread, removed, clean = names
+    has = F.col(bad_).isNotNull()
+    out = joined.withColumn(clean, F.when(has, F.array_join(F.filter(_split(F.col("text")), lambda x: ~is_bad(x)), "\n")))
+    goes = has & ~F.col(copy_) & F.col(clean).rlike(r"[^ \t\r\x0b\x0c\n]")
+    out = out.withColumns({lines: F.coalesce(F.size(_split(F.col("text"))), F.lit(0)), spread: F.when(has, F.size(F.filter(_split(F.col("text")), is_bad))).otherwise(0)})
+    out = out.withColumns({removed: F.when(goes, F.col(spread)).otherwise(0), clean: F.when(goes, F.col(clean)).otherwise(F.col("text"))})
+    return out.select(*[f"`{c}`" for c in docs.columns], *[f"`{c}`" for c in names])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,12 +104,13 @@ WITH l AS (
 ), spread AS (
   SELECT line FROM s WHERE line <> '' GROUP BY line HAVING count(DISTINCT source) >= 8
 ), d AS (
-  SELECT s.doc_id, count(*) AS n_lines, count(spread.line) AS n_spread,
-    coalesce(string_agg(s.raw, chr(10) ORDER BY s.pos) FILTER (WHERE spread.line IS NULL), '') AS short
+  SELECT s.doc_id, count(*) AS n_lines, count(spread.line) AS n_spread, list_sort(list(DISTINCT spread.line) FILTER (WHERE spread.line IS NOT NULL)) AS body,
+    coalesce(string_agg(s.raw, chr(10) ORDER BY s.pos) FILTER (WHERE spread.line IS NULL), '') AS short, count(*) FILTER (WHERE spread.line IS NULL AND s.line <> '') AS own
   FROM s LEFT JOIN spread USING (line) GROUP BY s.doc_id
 ), j AS (
-  SELECT doc_id, text, coalesce(n_lines, 0) AS n_lines, coalesce(n_spread, 0) AS n_spread,
-    length(short) >= length(text) * 0.5 AS goes, short
+  SELECT doc_id, text, coalesce(n_lines, 0) AS n_lines, coalesce(n_spread, 0) AS n_spread, short,
+    n_spread > 0 AND own > 0 AND count(*) OVER (PARTITION BY text) = 1
+      AND NOT (len(body) >= 5 AND count(*) OVER (PARTITION BY body) > 1 AND doc_id = min(doc_id) OVER (PARTITION BY body)) AS goes
   FROM documents LEFT JOIN d USING (doc_id)
 )
 SELECT doc_id, n_lines, n_spread, CASE WHEN goes THEN n_spread ELSE 0 END AS n_removed,
