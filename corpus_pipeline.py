@@ -34,8 +34,10 @@ def toxic_documents_go(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def boilerplate_lines_go(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without cross-site boilerplate, whatever its share unless they are copies; n_chars counted anew."""
-    out = line_dedup.remove_boilerplate(docs, max_share=None).withColumn("text", F.col("_clean")).select(docs.columns)
-    return out.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns) if "n_chars" in docs.columns else out
+    names = fresh(docs, "lines", "spread", "removed", "clean")
+    out = line_dedup.remove_boilerplate(docs, names=names).withColumn("text", F.col(names[-1]))
+    out = out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
+    return out.select(docs.columns)
 
 
 def one_of_each_group_stays(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
