@@ -8,20 +8,27 @@ hashes points to (optimal densification). Bands of bins are bucket keys.
 Documents with equal sets are one class. Classes that share a bucket are compared with one
 member of it, the star's centre, which differs from bucket to bucket, so the pairs are at most
 classes times bands. First each class is compared with the centre it shares most buckets with;
-then only pairs whose components still differ. A centre has met all members of its bucket and
-leaves it. In a bucket whose other members are still in several components, those outside its
-commonest component are compared with all members of other components, in tiles of at most
-TILE by TILE sets; no pairs are emitted. Mixed buckets of more than SPLIT_ABOVE members (texts
-that share a common passage and little else) are first bucketed anew by every pair of their
-keys, where unlike texts part. So every link of documents that share a bucket is found, or two
-buckets if they are that large; at a similarity of 0.85, 3 pairs in ten million share none and
-6 in a million fewer than two. Members of one large bucket that are near, but not near enough to
-be linked, still cost a comparison each, so that part grows with their number squared.
+then only pairs whose components still differ.
+
+What is left are buckets whose members, without the centre that has met them all, are still in
+several components. In each, those outside its commonest component are compared with all members
+of other components, in tiles of at most TILE by TILE sets; no pairs are emitted. Members of
+buckets larger than LARGE (texts that share a common passage and little else, or a large group of
+loose copies) are compared in smaller groups instead: those that share one of the rarest shingles
+of each, of which similar sets share at least one. So every link of documents that share a bucket
+is found, whatever the bucket's size; at a similarity of 0.85, 3 pairs in ten million share none.
+Unlike texts that share a passage cost no comparison, as their rarest shingles are their own;
+members of one group that are near, but not near enough to be linked, cost one each.
 Every link is confirmed on the full sets.
 
+Hashes: two of n different shingles are taken for one with odds of n^2 / 2^65. Sets of documents
+hold some thousand each, and a single such pair moves a similarity by a thousandth.
+
 Defined results: null texts and texts without words have size 0, are their own component and
-kept; rows that repeat a doc_id are one document; a null doc_id has a null component and is
-kept; ties need no rule, as the component is the least doc_id. An empty table gives no rows.
+kept; rows that repeat a doc_id are one document and link what they are linked with; repeated
+rows have equal results; a null doc_id has a null component and is kept; ties need no rule, as
+the component is the least doc_id. An empty table gives no rows. Long texts are taken whole, one
+in a block of its own.
 """
 
 from __future__ import annotations
@@ -32,15 +39,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gazette.llm.common import documents, hashed_words, mix, text_blocks
-from gazette.sources.tables import materialise
+from gazette.sources.tables import Workspace, join_counted, materialise
 
 WORDS, PERCENT = 5, 85
 BANDS, BINS_PER_BAND = 32, 6
 ATTEMPTS = 512
 #: Sets on either side of a tile, and their shingles together.
-TILE, TILE_SHINGLES = 256, 1 << 19
-#: Members of a mixed bucket beyond which it is split by pairs of keys.
-SPLIT_ABOVE = 2048
+TILE, TILE_SHINGLES = 512, 1 << 19
+#: Members of a mixed bucket beyond which they are grouped by rare shingles.
+LARGE = 64
+#: Sets of such buckets beyond which a shingle of theirs isn't among the rarest, unless there are no others.
+COMMON = 16
 #: Members that are compared with one copy of their centre.
 MEMBERS = 64
 _A = np.uint64(0x9E3779B97F4A7C15)
@@ -112,14 +121,14 @@ def _described(docs: DataFrame, n_bands: int, per_band: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>")
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int, tables: Workspace) -> DataFrame:
     """Of the pairs (a, b), those whose full sets are similar enough.
 
     The texts of up to MEMBERS members meet one copy of their centre's, in sorted order, so a task
     holds the sets of one centre and one block of texts.
     """
-    sizes = pairs.groupBy("a").agg(F.ceil(F.count("*") / MEMBERS).alias("parts"))
-    salted = pairs.join(sizes, "a").select("a", "b", F.pmod(F.xxhash64("b"), "parts").alias("part"))
+    sizes = tables.write(pairs.groupBy("a").agg(F.count("*").alias("n"), F.ceil(F.count("*") / MEMBERS).alias("parts")), "parts")
+    salted = join_counted(pairs, sizes, ["a"], "n").select("a", "b", F.pmod(F.xxhash64("b"), "parts").alias("part"))
     members = salted.join(texts, salted["b"] == texts["doc_id"]).select("a", "part", "b", "text")
     centres = salted.select("a", "part").distinct().join(texts, F.col("a") == F.col("doc_id")).select("a", "part", F.lit(None).cast("long").alias("b"), "text")
     together = centres.unionByName(members).repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
@@ -148,23 +157,25 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return together.mapInArrow(run, "a long, b long")
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, tables: Workspace | None = None) -> DataFrame:
     """node -> label, the least node reachable over the links (a, b), for nodes with links.
 
     Labels sink to the least of the neighbours' and then to their label's label, until none changes.
     """
+    if tables is None:
+        with Workspace(links.sparkSession, "components") as own:
+            return materialise(components(links, own), "components")
     both = links.select("a", "b").union(links.select("b", "a")).distinct()
-    edges = materialise(both, "edges")
-    labels = materialise(edges.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("label")).withColumnRenamed("a", "node"), "labels")
+    edges = tables.write(both, "edges")
+    moved = tables.write(edges.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("next")).withColumnRenamed("a", "node"), "sinking")
     while True:
+        labels = moved.select("node", F.col("next").alias("label"))
         near = edges.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         lower = labels.join(near, "node").select("node", "label", F.least("label", "near").alias("next"))
         jump = labels.select(F.col("node").alias("next"), F.col("label").alias("further"))
-        moved = materialise(lower.join(jump, "next").select("node", "label", F.least("next", "further").alias("next")), "labels")
-        changed = moved.where("label <> next").limit(1).count()
-        labels = moved.select("node", F.col("next").alias("label"))
-        if not changed:
-            return labels
+        moved = tables.write(lower.join(jump, "next").select("node", "label", F.least("next", "further").alias("next")), "sinking")
+        if moved.where("label <> next").isEmpty():
+            return moved.select("node", "label")
 
 
 def _labelled(pairs: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -176,27 +187,54 @@ def _labelled(pairs: DataFrame, labels: DataFrame | None) -> DataFrame:
     return pairs.where("la <> lb")
 
 
-def _merged(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+def _merged(labels: DataFrame | None, links: DataFrame, tables: Workspace) -> DataFrame:
     """Labels after more links: components of the components."""
-    over = components(_labelled(links, labels).select(F.col("la").alias("a"), F.col("lb").alias("b")))
+    over = components(_labelled(links, labels).select(F.col("la").alias("a"), F.col("lb").alias("b")), tables)
     if labels is None:
-        return over
+        return tables.write(over, "labels")
     both = labels.join(over.select(F.col("node").alias("label"), F.col("label").alias("new")), "label", "left").select("node", F.coalesce("new", "label").alias("label"))
     alone = over.join(labels.select("node"), "node", "left_anti")
-    return materialise(both.unionByName(alone), "labels")
+    return tables.write(both.unionByName(alone), "labels")
 
 
-def _mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """The members (key, rep, size) with their labels, of keys whose members have several."""
+def _mixed(members: DataFrame, labels: DataFrame, tables: Workspace, name: str) -> DataFrame:
+    """The members (key, rep, size) with their labels and their key's number of members, of keys whose members have several labels."""
     known = members.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-    keys = known.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
-    return materialise(known.join(keys, "key").select("key", "rep", "size", "label"), "mixed")
+    keys = known.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n")).where("low < high")
+    keys = tables.write(keys.select("key", "n", F.col("n").alias("members")), f"{name}-keys")
+    return tables.write(join_counted(known, keys, ["key"], "n").select("key", "rep", "size", "label", "members"), name)
 
 
-def _by_two_keys(members: DataFrame) -> DataFrame:
-    """The members under every pair of their keys (at most as many keys as bands)."""
-    two = F.expr("flatten(transform(keys, x -> transform(filter(keys, y -> y > x), y -> xxhash64(x, y))))")
-    return members.groupBy("rep", "size").agg(F.collect_set("key").alias("keys")).select(F.explode(two).alias("key"), "rep", "size")
+def _by_rare_shingles(sets: DataFrame, texts: DataFrame, percent: int, tables: Workspace) -> DataFrame:
+    """The sets (rep, size) under each of their rarest shingles (key), so many that similar sets share one at least.
+
+    All sets order their shingles alike: by occurrences beyond COMMON, then by hash. Sets with
+    a similarity of percent share one of the first size - ceil(size * percent / 100) + 1.
+    """
+    chosen = texts.join(sets.select(F.col("rep").alias("doc_id"), "size"), "doc_id")
+
+    def every(batches):
+        for values, rows in text_blocks(batches):
+            own = shingle_sets(values)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(rows.column(0).to_pylist(), np.int64), list(map(len, own)))), pa.array(np.concatenate(own).view(np.int64))], ["rep", "shingle"])
+
+    def rarest(batches):
+        for values, rows in text_blocks(batches):
+            keys, of, sizes = [], [], []
+            for rep, own, times, common in zip(rows.column(0).to_pylist(), shingle_sets(values), rows.column(2).to_pylist(), rows.column(3).to_pylist(), strict=True):
+                common = np.array(common or [], np.int64).view(np.uint64)
+                order = np.lexsort((common, np.array(times or [], np.int64)))
+                first = np.concatenate((np.setdiff1d(own, common, assume_unique=True), common[order]))[: len(own) - -(-len(own) * percent // 100) + 1]
+                keys.append(first)
+                of += [rep] * len(first)
+                sizes += [len(own)] * len(first)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(of, pa.int64()), pa.array(sizes, pa.int64())], ["key", "rep", "size"])
+
+    shingles = chosen.select("doc_id", "text").mapInArrow(every, "rep long, shingle long")
+    often = tables.write(shingles.groupBy("shingle").agg(F.count("*").alias("n")).where(F.col("n") > COMMON).withColumn("times", F.col("n")), "often")
+    common = join_counted(shingles, often, ["shingle"], "n").groupBy("rep").agg(F.collect_list("times").alias("times"), F.collect_list("shingle").alias("common"))
+    told = chosen.join(common.withColumnRenamed("rep", "doc_id"), "doc_id", "left").select("doc_id", "text", "times", "common")
+    return tables.write(told.mapInArrow(rarest, "key long, rep long, size long"), "rarest")
 
 
 def overlaps(left: list[np.ndarray], right: list[np.ndarray], columns: int = 4096) -> np.ndarray:
@@ -230,7 +268,7 @@ def _tile_links(tile: list[tuple], percent: int) -> list[tuple[int, int]]:
     return [(asked[i][0], others[j][0]) for i, j in zip(*np.nonzero(differ & (100 * same >= percent * union)), strict=True)]
 
 
-def _tiled(members: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+def _tiled(members: DataFrame, texts: DataFrame, percent: int, tables: Workspace) -> DataFrame:
     """Links (a, b) between members (key, rep, size, label) of a key that have different labels.
 
     A key's members outside its commonest label meet all its members, tile by tile. Tiles are
@@ -239,8 +277,8 @@ def _tiled(members: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     labels = members.groupBy("key", "label").agg(F.count("*").alias("n"), F.sum("size").alias("shingles"))
     parts = lambda n, shingles: F.ceil(F.greatest(n / TILE, shingles / TILE_SHINGLES)).cast("int")
     keys = labels.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("commonest"), F.max(F.struct("n", "label", "shingles")).alias("most"), F.sum("n").alias("n"), F.sum("shingles").alias("shingles"))
-    keys = keys.where(F.col("most.n") < F.col("n")).select("key", "commonest", parts(F.col("n") - F.col("most.n"), F.col("shingles") - F.col("most.shingles")).alias("asked_parts"), parts(F.col("n"), F.col("shingles")).alias("parts"))
-    placed = members.join(keys, "key")
+    keys = keys.where(F.col("most.n") < F.col("n")).select("key", "commonest", parts(F.col("n") - F.col("most.n"), F.col("shingles") - F.col("most.shingles")).alias("asked_parts"), parts(F.col("n"), F.col("shingles")).alias("parts"), "n")
+    placed = join_counted(members, tables.write(keys, "tiles"), ["key"], "n")
     own = lambda n: F.pmod(F.xxhash64("rep", "key"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     asked = placed.where("label <> commonest").select("key", own("asked_parts").alias("i"), every("parts").alias("j"), "rep", "label", F.lit(True).alias("asks"))
@@ -267,44 +305,52 @@ def _tiled(members: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS, per_band: int = BINS_PER_BAND) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs."""
-    rows = materialise(_described(docs, bands, per_band), "signatures")
-    real = rows.where("doc_id is not null and n_shingles > 0")
-    classes = materialise(real.groupBy("n_shingles", "d1", "d2").agg(F.min_by("bands", "doc_id").alias("bands"), F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
+    with Workspace(docs.sparkSession, "near_dedup") as tables:
+        rows = tables.write(_described(docs, bands, per_band), "signatures")
+        real = rows.where("doc_id is not null and n_shingles > 0")
+        classes = tables.write(real.groupBy("n_shingles", "d1", "d2").agg(F.first("bands").alias("bands"), F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
+        labels = _linked_classes(docs, classes, percent, tables)
+        named = classes.select("n_shingles", "d1", "d2", "rep", "copies").join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").withColumn("label", F.coalesce("label", "rep")).drop("rep")
+        out = join_counted(rows.drop("bands"), tables.write(named, "named"), ["n_shingles", "d1", "d2"], "copies", "left")
+        # Rows with one id are one document.
+        ids = tables.write(out.where("label is not null and doc_id is not null").groupBy("doc_id").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.array_distinct(F.collect_list("label")).alias("all")).where("a < b"), "repeated")
+        if not ids.isEmpty():
+            over = components(ids.select("a", F.explode("all").alias("b")).where("a < b"), tables)
+            out = out.join(over.withColumnsRenamed({"node": "label", "label": "new"}), "label", "left").withColumn("label", F.coalesce("new", "label"))
+        component = F.when(F.col("n_shingles") > 0, F.coalesce("label", "doc_id")).otherwise(F.col("doc_id"))
+        out = out.select("doc_id", "n_shingles", component.alias("component_id"))
+        return materialise(out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))), "near_dedup")
+
+
+def _linked_classes(docs: DataFrame, classes: DataFrame, percent: int, tables: Workspace) -> DataFrame:
+    """node -> label over the links between classes, by their reps."""
     banded = classes.select("rep", F.col("n_shingles").alias("size"), F.explode("bands").alias("key"))
     # XOR with the key orders each bucket's members differently and gives the centre back from the least.
     place = F.col("rep").bitwiseXOR(F.xxhash64("key").bitwiseAND(F.lit(2**62 - 1)))
     centre = F.min(F.struct(place.alias("place"), F.col("rep").alias("centre"), F.col("size").alias("centre_size")))
-    buckets = banded.groupBy("key").agg(F.count("*").alias("n"), centre.alias("c")).where("n > 1")
-    members = materialise(banded.join(buckets.select("key", "c.centre", "c.centre_size"), "key"), "members")
+    buckets = tables.write(banded.groupBy("key").agg(F.count("*").alias("n"), centre.alias("c")).where("n > 1").select("key", "n", "c.centre", "c.centre_size"), "buckets")
+    members = tables.write(join_counted(banded, buckets, ["key"], "n"), "members")
+    tables.drop("buckets")
     # Sets whose sizes alone keep them apart needn't be compared.
     fit = f"100 * least(size, centre_size) >= {percent} * greatest(size, centre_size)"
-    starred = members.where("rep <> centre").where(fit).groupBy(F.col("centre").alias("a"), F.col("rep").alias("b")).agg(F.count("*").alias("shared"))
-    pairs = materialise(starred, "pairs")
+    pairs = tables.write(members.where("rep <> centre").where(fit).groupBy(F.col("centre").alias("a"), F.col("rep").alias("b")).agg(F.count("*").alias("shared")), "pairs")
     best = pairs.groupBy("b").agg(F.max(F.struct("shared", "a")).alias("best")).select(F.col("best.a").alias("a"), "b")
-    tested = materialise(best, "tested")
+    tested = tables.write(best, "tested")
     # The ids grow with the data, so they are merged, not broadcast; the texts are shuffled this once.
-    texts = materialise(docs.select("doc_id", "text").join(members.select(F.col("rep").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi"), "candidates")
-    labels = _merged(None, materialise(_confirmed(tested, texts, percent), "links"))
-    fresh = materialise(_labelled(pairs.select("a", "b"), labels).select("a", "b").join(tested, ["a", "b"], "left_anti"), "fresh")
-    labels = _merged(labels, materialise(_confirmed(fresh, texts, percent), "links"))
-    mixed = _mixed(members.where("rep <> centre").select("key", "rep", "size"), labels)
-    large = mixed.groupBy("key").count().where(F.col("count") > SPLIT_ABOVE).select("key")
-    if large.isEmpty():
-        small = mixed
-    else:
-        small = materialise(mixed.join(large, "key", "left_anti").unionByName(_mixed(_by_two_keys(mixed.join(large, "key", "left_semi")), labels)), "split")
+    texts = tables.write(docs.select("doc_id", "text").join(members.select(F.col("rep").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi"), "candidates")
+    labels = _merged(None, tables.write(_confirmed(tested, texts, percent, tables), "links"), tables)
+    fresh = tables.write(_labelled(pairs.select("a", "b"), labels).select("a", "b").join(tested, ["a", "b"], "left_anti"), "fresh")
+    labels = _merged(labels, tables.write(_confirmed(fresh, texts, percent, tables), "links"), tables)
+    mixed = _mixed(members.where("rep <> centre").select("key", "rep", "size"), labels, tables, "mixed")
+    tables.drop("members", "pairs", "tested", "fresh")
+    small, large = mixed.where(F.col("members") <= LARGE), mixed.where(F.col("members") > LARGE)
     if not small.isEmpty():
-        labels = _merged(labels, materialise(_tiled(small, texts, percent), "links"))
-    # Rows of a large class are dealt out over copies of its one row.
-    copies = 8
-    salt = F.pmod(F.xxhash64("doc_id"), F.lit(copies)).alias("salt")
-    named = classes.select("n_shingles", "d1", "d2", "rep").join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-    # A repeated id counts as one document: it joins whatever any of its rows has joined.
-    spread = named.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
-    out = rows.select("doc_id", "n_shingles", "d1", "d2", salt).join(spread.select("n_shingles", "d1", "d2", "salt", "label"), ["n_shingles", "d1", "d2", "salt"], "left")
-    component = F.when(F.col("n_shingles") > 0, F.coalesce("label", "doc_id")).otherwise(F.col("doc_id"))
-    out = out.select("doc_id", "n_shingles", component.alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+        labels = _merged(labels, tables.write(_tiled(small, texts, percent, tables), "links"), tables)
+    if not large.isEmpty():
+        rare = _mixed(_by_rare_shingles(large.select("rep", "size").distinct(), texts, percent, tables), labels, tables, "rare")
+        if not rare.isEmpty():
+            labels = _merged(labels, tables.write(_tiled(rare, texts, percent, tables), "links"), tables)
+    return labels
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -136,13 +136,13 @@ def test_near_duplicates_against_all_pairs(spark):
     assert got == {i: (len(sets[i]), least[i], least[i] == i) for i in range(len(texts))}
 
 
-@pytest.mark.parametrize(("split_above", "tile", "shared_bands"), [(2048, 7, 1), (8, 256, 2)])
-def test_no_link_of_mixed_buckets_is_lost(spark, monkeypatch, split_above, tile, shared_bands):
-    """Bands of one bin: most texts share buckets with texts unlike them, so buckets are compared in tiles or split."""
-    monkeypatch.setattr(near_dedup, "SPLIT_ABOVE", split_above)
-    monkeypatch.setattr(near_dedup, "TILE", tile)
-    common = [f"shared{i}" for i in range(70)]
-    texts = [" ".join(common + [f"own{i // 2}x{j}" for j in range(30)] + ["tail"] * (i % 2)) for i in range(60)]
+@pytest.mark.parametrize(("large", "tile", "common"), [(64, 7, 16), (8, 256, 16), (8, 5, 2)])
+def test_no_link_of_mixed_buckets_is_lost(spark, monkeypatch, large, tile, common):
+    """Bands of one bin: most texts share buckets with texts unlike them, so buckets are compared in tiles or by rare shingles."""
+    for name, value in (("LARGE", large), ("TILE", tile), ("COMMON", common)):
+        monkeypatch.setattr(near_dedup, name, value)
+    shared = [f"shared{i}" for i in range(70)]
+    texts = [" ".join(shared + [f"own{i // 2}x{j}" for j in range(30)] + ["tail"] * (i % 2)) for i in range(60)]
     sets = near_dedup.shingle_sets([t.encode() for t in texts])
     keys = near_dedup.signatures(sets, 4, 1)
     assert Counter(keys.ravel().tolist()).most_common(1)[0][1] > 20
@@ -152,12 +152,39 @@ def test_no_link_of_mixed_buckets_is_lost(spark, monkeypatch, split_above, tile,
         assert got[i] in (i, i - 1)
         for j in range(i):
             a, b = set(sets[i].tolist()), set(sets[j].tolist())
-            if len(set(keys[i].tolist()) & set(keys[j].tolist())) >= shared_bands and 100 * len(a & b) >= 85 * len(a | b):
+            if set(keys[i].tolist()) & set(keys[j].tolist()) and 100 * len(a & b) >= 85 * len(a | b):
                 linked += 1
                 assert got[i] == got[j]
     assert linked > 10
 
 
+def test_a_hot_bucket_of_unlike_texts(spark, monkeypatch):
+    """Over 2,048 texts that share a passage and little else, near copies among them: every link is found, and few pairs are compared."""
+    compared = spark.sparkContext.accumulator(0)
+    links = near_dedup._tile_links
+
+    def counting(tile, percent):
+        asked = sum(x[2] for x in tile)
+        compared.add(asked * (len(tile) - asked))
+        return links(tile, percent)
+
+    monkeypatch.setattr(near_dedup, "_tile_links", counting)
+    passage = [f"shared{i}" for i in range(100)]
+    texts = [" ".join([*passage, *(f"own{i}x{j}" for j in range(40))]) for i in range(2400)]
+    texts += [t + " end" for t in texts[::60]]
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(docs(spark, texts)).collect()}
+    assert got == {**{i: i for i in range(2400)}, **{2400 + k: 60 * k for k in range(40)}}
+    assert compared.value < 20 * len(texts)
+
+
+def test_rows_that_repeat_an_id_are_one_document(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(40)) for x in "ab")
+    rows = spark.createDataFrame([(1, a), (5, a), (5, b), (9, b), (12, b + " c"), (20, "alone"), (20, "alone")], "doc_id long, text string")
+    got = near_dedup.near_duplicates(rows).collect()
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in got) == [(1, 1, True), (5, 1, False), (5, 1, False), (9, 1, False), (12, 1, False), (20, 20, True), (20, 20, True)]
+    assert sorted(map(tuple, corpus_pipeline.one_of_each_group_stays(spark, rows, "").collect())) == [(1, a), (20, "alone")]
+
+
 def test_overlaps_by_columns():
     rng = np.random.default_rng(3)
     left, right = ([np.unique(rng.integers(0, 90, n).astype(np.uint64)) for n in sizes] for sizes in ((0, 5, 40), (30, 0, 60, 1)))
