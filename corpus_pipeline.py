@@ -41,9 +41,14 @@ def boilerplate_lines_go(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def one_of_each_group_stays(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without documents that have a near duplicate with a lesser id; a null id stays."""
+    """Without documents that have a near duplicate with a lesser id; a null id stays.
+
+    Of rows that repeat an id and a text one stays, whichever; texts that differ under one id are one document, and stay or go together.
+    """
     gone = near_dedup.near_duplicates(docs, NEAR_PERCENT, NEAR_BANDS, NEAR_BINS_PER_BAND).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    left = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    repeated = docs.where("doc_id is not null").groupBy("doc_id").count().where(F.col("count") > 1).select("doc_id")
+    return left.join(repeated, "doc_id", "left_anti").select(docs.columns).unionByName(left.join(repeated, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id", "text"]))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
