@@ -45,11 +45,11 @@ WORDS, PERCENT = 5, 85
 BANDS, BINS_PER_BAND = 32, 6
 ATTEMPTS = 512
 #: Sets on either side of a tile, and their shingles together.
-TILE, TILE_SHINGLES = 512, 1 << 19
+TILE, TILE_SHINGLES = 256, 1 << 19
 #: Members of a mixed bucket beyond which they are grouped by rare shingles.
 LARGE = 64
-#: Sets of such buckets beyond which a shingle of theirs isn't among the rarest, unless there are no others.
-COMMON = 16
+#: Slots by which shingles are counted to tell rare ones: 4 MB that every task gets.
+SLOTS = 1 << 20
 #: Members that are compared with one copy of their centre.
 MEMBERS = 64
 _A = np.uint64(0x9E3779B97F4A7C15)
@@ -208,33 +208,37 @@ def _mixed(members: DataFrame, labels: DataFrame, tables: Workspace, name: str)
 def _by_rare_shingles(sets: DataFrame, texts: DataFrame, percent: int, tables: Workspace) -> DataFrame:
     """The sets (rep, size) under each of their rarest shingles (key), so many that similar sets share one at least.
 
-    All sets order their shingles alike: by occurrences beyond COMMON, then by hash. Sets with
-    a similarity of percent share one of the first size - ceil(size * percent / 100) + 1.
+    Any order of all shingles would do, as sets with a similarity of percent share one of the
+    first size - ceil(size * percent / 100) + 1; this one goes by how many shingles of all these
+    sets fall in the same of SLOTS slots, then by hash. A passage in g sets comes last once g
+    stands out among the shingles per slot, which is beyond a few times their square root.
     """
-    chosen = texts.join(sets.select(F.col("rep").alias("doc_id"), "size"), "doc_id")
+    chosen = texts.join(sets.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "text")
+    slot = lambda own: (own >> np.uint64(20) & np.uint64(SLOTS - 1)).astype(np.int64)
 
     def every(batches):
-        for values, rows in text_blocks(batches):
-            own = shingle_sets(values)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(rows.column(0).to_pylist(), np.int64), list(map(len, own)))), pa.array(np.concatenate(own).view(np.int64))], ["rep", "shingle"])
+        for values, _ in text_blocks(batches):
+            slots, n = np.unique(slot(np.concatenate(shingle_sets(values))), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(slots), pa.array(n.astype(np.int64))], ["slot", "n"])
+
+    found = chosen.select("text").mapInArrow(every, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # SLOTS rows at most
+    counts = np.zeros(SLOTS, np.int64)
+    counts[found["slot"].to_numpy()] = found["n"].to_numpy()
+    shared = texts.sparkSession.sparkContext.broadcast(np.minimum(counts, 2**31 - 1).astype(np.int32))
 
     def rarest(batches):
         for values, rows in text_blocks(batches):
             keys, of, sizes = [], [], []
-            for rep, own, times, common in zip(rows.column(0).to_pylist(), shingle_sets(values), rows.column(2).to_pylist(), rows.column(3).to_pylist(), strict=True):
-                common = np.array(common or [], np.int64).view(np.uint64)
-                order = np.lexsort((common, np.array(times or [], np.int64)))
-                first = np.concatenate((np.setdiff1d(own, common, assume_unique=True), common[order]))[: len(own) - -(-len(own) * percent // 100) + 1]
+            for rep, own in zip(rows.column(0).to_pylist(), shingle_sets(values), strict=True):
+                first = own[np.lexsort((own, shared.value[slot(own)]))][: len(own) - -(-len(own) * percent // 100) + 1]
                 keys.append(first)
                 of += [rep] * len(first)
                 sizes += [len(own)] * len(first)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(of, pa.int64()), pa.array(sizes, pa.int64())], ["key", "rep", "size"])
 
-    shingles = chosen.select("doc_id", "text").mapInArrow(every, "rep long, shingle long")
-    often = tables.write(shingles.groupBy("shingle").agg(F.count("*").alias("n")).where(F.col("n") > COMMON).withColumn("times", F.col("n")), "often")
-    common = join_counted(shingles, often, ["shingle"], "n").groupBy("rep").agg(F.collect_list("times").alias("times"), F.collect_list("shingle").alias("common"))
-    told = chosen.join(common.withColumnRenamed("rep", "doc_id"), "doc_id", "left").select("doc_id", "text", "times", "common")
-    return tables.write(told.mapInArrow(rarest, "key long, rep long, size long"), "rarest")
+    out = tables.write(chosen.mapInArrow(rarest, "key long, rep long, size long"), "rarest")
+    shared.destroy()
+    return out
 
 
 def overlaps(left: list[np.ndarray], right: list[np.ndarray], columns: int = 4096) -> np.ndarray:
@@ -316,7 +320,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS,
         ids = tables.write(out.where("label is not null and doc_id is not null").groupBy("doc_id").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.array_distinct(F.collect_list("label")).alias("all")).where("a < b"), "repeated")
         if not ids.isEmpty():
             over = components(ids.select("a", F.explode("all").alias("b")).where("a < b"), tables)
-            out = out.join(over.withColumnsRenamed({"node": "label", "label": "new"}), "label", "left").withColumn("label", F.coalesce("new", "label"))
+            out = out.join(over.select(F.col("node").alias("label"), F.col("label").alias("new")), "label", "left").withColumn("label", F.coalesce("new", "label"))
         component = F.when(F.col("n_shingles") > 0, F.coalesce("label", "doc_id")).otherwise(F.col("doc_id"))
         out = out.select("doc_id", "n_shingles", component.alias("component_id"))
         return materialise(out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))), "near_dedup")

@@ -136,10 +136,10 @@ def test_near_duplicates_against_all_pairs(spark):
     assert got == {i: (len(sets[i]), least[i], least[i] == i) for i in range(len(texts))}
 
 
-@pytest.mark.parametrize(("large", "tile", "common"), [(64, 7, 16), (8, 256, 16), (8, 5, 2)])
-def test_no_link_of_mixed_buckets_is_lost(spark, monkeypatch, large, tile, common):
+@pytest.mark.parametrize(("large", "tile", "slots"), [(64, 7, 1 << 20), (8, 5, 1 << 20), (8, 256, 2)])
+def test_no_link_of_mixed_buckets_is_lost(spark, monkeypatch, large, tile, slots):
     """Bands of one bin: most texts share buckets with texts unlike them, so buckets are compared in tiles or by rare shingles."""
-    for name, value in (("LARGE", large), ("TILE", tile), ("COMMON", common)):
+    for name, value in (("LARGE", large), ("TILE", tile), ("SLOTS", slots)):
         monkeypatch.setattr(near_dedup, name, value)
     shared = [f"shared{i}" for i in range(70)]
     texts = [" ".join(shared + [f"own{i // 2}x{j}" for j in range(30)] + ["tail"] * (i % 2)) for i in range(60)]
