@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MISSING_MINUTES = 9999
 # White space that the feeds' trim and \s cover, beyond ASCII.
 SPACE = r"(?U)[\s\x{FEFF}]"
+# The last year, and the last day from 1970-01-01, of the dates that feeds can state.
+LAST_YEAR, LAST_DAY = 275_760, 100_000_000
+# Clock texts in the strict and in the lenient form.
+STRICT_CLOCK, LENIENT_CLOCK = r"(?i)^(\d{1,2})(?::(\d{2}))?\s*(am|pm)?$", r"(?i)(\d{1,2}):?(\d{2})?\s*(am|pm)?"
+# Kinds of URLs, the first rule that holds.
+URL_KINDS = ((r"\.pdf$", "pdf"), (r"\.(docx?|odt)$", "word"), (r"\.(xlsx?|csv|ods)$", "sheet"), (r"\.(jpg|jpeg|png|gif|webp)$", "image"), (r"youtu", "video"), (r"docs\.google\.com", "doc"))
 
 
 def field(df: DataFrame, name: str) -> Column:
@@ -31,36 +39,52 @@ def header(name: str) -> str:  # X10
     return "_".join(name.strip("﻿ \t\r\n ").lower().split())
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value evaluated once a row however often body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def whole(c: Column) -> Column:
+    """try_cast to int; texts without a digit don't come to it, as a cast that fails costs an exception."""
+    return F.when(c.rlike("[0-9]"), c.try_cast("int"))
+
+
 def parse_date(text: Column) -> Column:
-    """Year-month-day; months and days beyond their range roll over, years below 100 are 19xx."""
-    part = lambda i: F.get(F.split(text, "-"), F.lit(i)).try_cast("int")
-    y, m, d = part(0), part(1), part(2)
-    year = F.when(y < 100, y + 1900).otherwise(y)
-    usable = y.between(1, 9999) & m.between(1, 1200) & d.between(1, 36600)
-    return F.when(usable, F.date_add(F.add_months(F.make_date(F.when(usable, year), F.lit(1), F.lit(1)), m - 1), d - 1))
+    """Year-month-day; months and days beyond their range roll over, years below 100 are 19xx.
+
+    Years beyond LAST_YEAR, months or days that reach no earlier than that, and dates after LAST_DAY are null.
+    """
+
+    def of(p: Column) -> Column:
+        y, m, d = (F.get(p, F.lit(i)) for i in range(3))
+        usable = y.between(1, LAST_YEAR) & m.between(1, 12 * LAST_YEAR) & d.between(1, 2 * LAST_DAY)
+        first = F.make_date(F.when(usable, F.when(y < 100, y + 1900).otherwise(y)), F.lit(1), F.lit(1))
+        return let(F.date_add(F.add_months(first, m - 1), d - 1), lambda x: F.when(x <= F.date_from_unix_date(F.lit(LAST_DAY)), x))
+
+    return let(F.transform(F.slice(F.split(text, "-"), 1, 3), whole), of)
 
 
 def _minutes(text: Column, pattern: str) -> Column:
-    hour = F.nullif(F.regexp_extract(text, pattern, 1), F.lit("")).try_cast("int")
-    minute = F.coalesce(F.nullif(F.regexp_extract(text, pattern, 2), F.lit("")).try_cast("int"), F.lit(0))
-    half = F.lower(F.regexp_extract(text, pattern, 3))
-    hour = F.when((half == "pm") & (hour < 12), hour + 12).when((half == "am") & (hour == 12), 0).otherwise(hour)
-    return hour * 60 + minute
+    def of(g: Column) -> Column:
+        half, minute = F.lower(F.get(g, F.lit(2))), F.coalesce(whole(F.get(g, F.lit(1))), F.lit(0))
+        return let(whole(F.get(g, F.lit(0))), lambda h: F.when((half == "pm") & (h < 12), h + 12).when((half == "am") & (h == 12), 0).otherwise(h) * 60 + minute)
+
+    return let(text, lambda t: let(F.array(*[F.regexp_extract(t, pattern, i) for i in (1, 2, 3)]), of))
 
 
 def parse_clock(text: Column) -> Column:
     """Minutes of the day by the strict form; 0 for anything else."""
     kept = F.trim(F.regexp_replace(text, r"(?i)[^0-9:apm ]", ""))
-    return F.coalesce(_minutes(kept, r"(?i)^(\d{1,2})(?::(\d{2}))?\s*(am|pm)?$"), F.lit(0))
+    return F.coalesce(_minutes(kept, STRICT_CLOCK), F.lit(0))
 
 
 def lenient_clock(text: Column) -> Column:
     """Minutes of the day by the first thing that looks like a time; MISSING_MINUTES without one."""
-    return F.coalesce(_minutes(text, r"(?i)(\d{1,2}):?(\d{2})?\s*(am|pm)?"), F.lit(MISSING_MINUTES))
+    return F.coalesce(_minutes(text, LENIENT_CLOCK), F.lit(MISSING_MINUTES))
 
 
 def parse_datetime(date: Column, clock: Column) -> Column:  # X4
-    return parse_date(date).cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), parse_clock(clock))
+    return F.timestamp_add("MINUTE", parse_clock(clock), parse_date(date).cast("timestamp_ntz"))
 
 
 def flag(c: Column) -> Column:  # X6
@@ -76,7 +100,7 @@ def tags(c: Column) -> Column:  # X8
 
 
 def int_prefix(c: Column) -> Column:  # X9
-    return F.nullif(F.regexp_extract(c, r"^\s*([+-]?\d+)", 1), F.lit("")).try_cast("int")
+    return whole(F.regexp_extract(c, r"^\s*([+-]?\d+)", 1))
 
 
 def search_text(*fields: Column) -> Column:  # X11
@@ -116,11 +140,11 @@ def contact_link(c: Column) -> Column:  # X19
     return F.when(F.contains(c, F.lit("@")), F.concat(F.lit("mailto:"), c)).otherwise(c)
 
 
-def url_kind(url: Column) -> Column:  # X20; the first rule that holds
+def url_kind(url: Column) -> Column:  # X20
     u = F.lower(F.coalesce(url, F.lit("")))
-    kinds = ((r"\.pdf$", "pdf"), (r"\.(docx?|odt)$", "word"), (r"\.(xlsx?|csv|ods)$", "sheet"), (r"\.(jpg|jpeg|png|gif|webp)$", "image"), (r"youtu", "video"), (r"docs\.google\.com", "doc"))
-    out = F.when(u.rlike(kinds[0][0]), kinds[0][1])
-    for pattern, kind in kinds[1:]:
+    (pattern, kind), *rest = URL_KINDS
+    out = F.when(u.rlike(pattern), kind)
+    for pattern, kind in rest:
         out = out.when(u.rlike(pattern), kind)
     return out.otherwise("link")
 

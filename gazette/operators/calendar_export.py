@@ -13,7 +13,7 @@ HEAD = ("BEGIN:VCALENDAR", "VERSION:2.0")
 
 def vevent(zone: str, uid_domain: str, dtstamp: str) -> Column:
     end = F.coalesce("end", F.col("start") + F.expr("interval 1 hour"))
-    place = F.concat(X.calendar_text(F.col("location")), F.when(X.present(F.col("address")), F.concat(F.lit(" "), F.lit(" "), X.calendar_text(F.col("address")))).otherwise(""))
+    place = F.concat(X.calendar_text(F.col("location")), F.when(X.present(F.col("address")), F.concat(F.lit("  "), X.calendar_text(F.col("address")))).otherwise(""))
     line = lambda name, value: F.concat(F.lit(name + ":"), value)
     return F.concat_ws(
         "\r\n", F.lit("BEGIN:VEVENT"), line("UID", F.concat("id", F.lit("@" + uid_domain))), F.lit("DTSTAMP:" + dtstamp), line("DTSTART", X.calendar_stamp(F.col("start"), zone)), line("DTEND", X.calendar_stamp(end, zone)),

@@ -1,4 +1,4 @@
-"""Typed rows from string feeds. Every output keeps row_id, the order of the file."""
+"""Typed rows from string feeds. Every output keeps row_id, the order of a file."""
 
 from __future__ import annotations
 
@@ -14,14 +14,14 @@ def _texts(df: DataFrame, *names: str):
 
 def events(raw: DataFrame) -> DataFrame:  # P1, F1
     f = lambda n: X.field(raw, n)
-    out = raw.select(
+    # A start is null if its date is: the clock always has a value.
+    return raw.where(X.parse_date(f("start_date")).isNotNull()).select(
         "row_id", X.default(f("id"), X.slug_id(f("start_date"), f("title"))).alias("id"), X.default(f("title"), "(Untitled event)").alias("title"),
         F.lower(X.default(f("category"), "other")).alias("category"), X.parse_datetime(f("start_date"), f("start_time")).alias("start"),
         X.parse_datetime(X.default(f("end_date"), f("start_date")), X.default(f("end_time"), f("start_time"))).alias("end"),
         X.default(f("end_date"), X.default(f("start_date"))).alias("end_date"), *_texts(raw, "start_date", "start_time", "end_time", "location", "address", "district", "url", "flyer_url", "description", "contact"),
         X.flag(f("featured")).alias("featured"),
     )
-    return out.where("start is not null")
 
 
 def officers(raw: DataFrame) -> DataFrame:  # P2

@@ -1,4 +1,8 @@
-"""The listing queries in DuckDB's SQL, written apart from the Spark code."""
+"""The listing queries in DuckDB's SQL, written apart from the Spark code.
+
+Shared with it are only the input: the SQL that cuts the feeds from the test tables, the static
+pages and the list of routes.
+"""
 
 from __future__ import annotations
 
@@ -8,7 +12,7 @@ from gazette.sources.adapters import SQL
 
 def _date(x: str) -> str:
     y, m, d = (f"try_cast(split_part({x}, '-', {i}) AS INT)" for i in (1, 2, 3))
-    return f"CASE WHEN {y} BETWEEN 1 AND 9999 AND {m} BETWEEN 1 AND 1200 AND {d} BETWEEN 1 AND 36600 THEN CAST(make_date(CASE WHEN {y} < 100 THEN {y} + 1900 ELSE {y} END, 1, 1) + to_months({m} - 1) + to_days({d} - 1) AS TIMESTAMP) END"
+    return f"CASE WHEN {y} BETWEEN 1 AND 275760 AND {m} BETWEEN 1 AND 3309120 AND {d} BETWEEN 1 AND 200000000 THEN CAST(make_date(CASE WHEN {y} < 100 THEN {y} + 1900 ELSE {y} END, 1, 1) + to_months({m} - 1) + to_days({d} - 1) AS TIMESTAMP) END"
 
 
 def _minutes(x: str, pattern: str) -> str:
@@ -83,6 +87,12 @@ MAIL = "CASE WHEN contains(email, '@') THEN 'mailto:' || email ELSE email END"
 STAMP = "strftime({0}, '%Y%m%dT%H%M%SZ')"
 
 
+VEVENT = rf"""concat_ws(chr(13) || chr(10), 'BEGIN:VEVENT', 'UID:' || id || '@example.org', 'DTSTAMP:20240101T000000Z', 'DTSTART:' || {STAMP.format("start")},
+  'DTEND:' || {STAMP.format('coalesce("end", start + INTERVAL 1 hour)')}, 'SUMMARY:' || regexp_replace(title, '[\n,;]', ' ', 'g'),
+  CASE WHEN location <> '' THEN 'LOCATION:' || regexp_replace(location || CASE WHEN address <> '' THEN ', ' || address ELSE '' END, '[\n,;]', ' ', 'g') END,
+  CASE WHEN description <> '' THEN 'DESCRIPTION:' || regexp_replace(description, '[\n,;]', ' ', 'g') END, 'END:VEVENT')"""
+
+
 def _routes() -> str:
     cases = {"/": "^/?$", "/p/:id": "^/p/([^/]+)/?$", "/item/:id": "^/item/([^/]+)/?$", "/wiki/*": "^/wiki/.*/?$", "/:section/:id": "^/([^/]+)/([^/]+)/?$", "/:section": "^/([^/]+)/?$"}
     assert list(cases) == ROUTES
@@ -106,15 +116,17 @@ UNION ALL SELECT * FROM (SELECT 'committee', row_number() OVER (ORDER BY r_regio
   days AS (SELECT CAST(unnest(generate_series(low, high, INTERVAL 1 day)) AS DATE) AS day FROM s) SELECT day, count(*) AS n_items FROM days WHERE day BETWEEN DATE '1995-01-01' AND DATE '1996-12-31' GROUP BY day""",
     "event_detail": rf"""WITH {EVENTS} SELECT row_id, id, title, {LABEL} AS label, strftime(start, '%A, %B %-d, %Y') AS date_text, {TIMES} AS times, CASE WHEN address <> '' THEN 'https://maps.example.org/?q=' || url_encode(address) ELSE '' END AS map_url,
   contact AS contact_url, lower(substr(regexp_replace(title, '[^A-Za-z0-9]+', '_', 'g'), 1, 60)) AS file_stem FROM e WHERE id = 'ev-100' ORDER BY start, row_id LIMIT 1""",
-    "export_calendar": rf"""WITH {EVENTS} SELECT row_id, start, concat_ws(chr(13) || chr(10), 'BEGIN:VEVENT', 'UID:' || id || '@example.org', 'DTSTAMP:20240101T000000Z', 'DTSTART:' || {STAMP.format("start")},
-  'DTEND:' || {STAMP.format('coalesce("end", start + INTERVAL 1 hour)')}, 'SUMMARY:' || regexp_replace(title, '[\n,;]', ' ', 'g'),
-  CASE WHEN location <> '' THEN 'LOCATION:' || regexp_replace(location || CASE WHEN address <> '' THEN ', ' || address ELSE '' END, '[\n,;]', ' ', 'g') END,
-  CASE WHEN description <> '' THEN 'DESCRIPTION:' || regexp_replace(description, '[\n,;]', ' ', 'g') END, 'END:VEVENT') AS vevent FROM e WHERE start >= TIMESTAMP '2024-01-15'""",
+    "export_calendar": rf"""WITH {EVENTS} SELECT row_id, start, {VEVENT} AS vevent FROM e WHERE start >= TIMESTAMP '2024-01-15'""",
+    "event_documents": rf"""WITH {EVENTS} SELECT row_id, id, concat_ws(chr(13) || chr(10), 'BEGIN:VCALENDAR', 'VERSION:2.0', 'PRODID:-//gazette//EN', {VEVENT}, 'END:VCALENDAR') AS document FROM e""",
     "meeting_finder": MEETINGS,
+    "meeting_finder_city": MEETINGS + " AND city = 'Brand#13'",
+    "csv_feed": f"WITH m AS ({SQL['meetings']}) SELECT name, day, time, address, city, district, array_to_string({TYPES}, '|') AS types, notes FROM m",
     "meeting_finder_filtered": MEETINGS + f" AND day = 'Tuesday' AND contains(lower(concat_ws(' ', name, array_to_string({TYPES}, ' '), notes, address)), 'oak ave')",
     "facet_values": f"WITH m AS ({SQL['meetings']}) SELECT DISTINCT city AS value FROM m WHERE city <> ''",
     "resource_browser": f"""WITH r0 AS ({SQL["resources"]}), r AS (SELECT row_id, {_or("category", "'General'")} AS category, {_or("url", "'#'")} AS url, title, updated FROM r0)
 SELECT min(row_id) OVER (PARTITION BY category) AS section_order, category, row_id, title, url, {KIND} AS kind, updated FROM r""",
+    "resource_browser_filtered": f"""WITH r0 AS ({SQL["resources"]}), r AS (SELECT row_id, {_or("category", "'General'")} AS category, {_or("url", "'#'")} AS url, title, description, updated FROM r0)
+SELECT min(row_id) OVER (PARTITION BY category) AS section_order, category, row_id, title, url, {KIND} AS kind, updated FROM r WHERE category = 'Cat 3' AND contains(lower(title || ' ' || description), 'ex')""",
     "roster": rf"""WITH o0 AS ({SQL["officers"]}), o AS (SELECT *, CASE WHEN lower(type) IN ('chair', 'dcm') THEN lower(type) ELSE 'officer' END AS section FROM o0)
 SELECT CAST(list_position(['officer', 'chair', 'dcm'], section) AS BIGINT) AS section_pos, section, CAST({_number(_or("sort", "'99'"))} AS BIGINT) AS sort, row_id, {_or("name", "'Open position'")} AS name,
   {_or(r"upper(array_to_string(list_transform(string_split_regex(trim(name), '\s+')[1:2], lambda w: w[1:1]), ''))", "'??'")} AS initials, position, {MAIL} AS contact_url FROM o""",
@@ -122,9 +134,12 @@ SELECT CAST(list_position(['officer', 'chair', 'dcm'], section) AS BIGINT) AS se
     "committee_directory": f"WITH k AS ({SQL['committees']}) SELECT row_id, name, purpose, chair, meeting_schedule, {_or('icon', chr(39) + 'people' + chr(39))} AS icon, {MAIL} AS contact_url FROM k",
     "active_announcements": ANNOUNCEMENTS + " SELECT row_id, id, starts, ends, CAST(priority AS BIGINT) AS priority FROM live",
     "active_announcement_top": ANNOUNCEMENTS + " SELECT row_id, id, title, body, CASE WHEN url = '' THEN '' WHEN starts_with(url, 'http') THEN url ELSE '#' || url END AS link, CAST(priority AS BIGINT) AS priority FROM live ORDER BY live.priority NULLS LAST, row_id LIMIT 1",
+    "announcement_dismissed": ANNOUNCEMENTS + """, top AS (SELECT * FROM live ORDER BY priority NULLS LAST, row_id LIMIT 1)
+SELECT row_id, id, title, body, CASE WHEN url = '' THEN '' WHEN starts_with(url, 'http') THEN url ELSE '#' || url END AS link, CAST(priority AS BIGINT) AS priority
+  FROM top WHERE id NOT IN (SELECT concat('an-', o_orderkey) FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'F')""",
     "search_index": f"WITH {INDEX} SELECT * FROM idx",
-    "search_batch": f"WITH {INDEX}, q0 AS (SELECT p_partkey AS query_id, CASE WHEN p_partkey % 5 = 0 THEN substr('k ' || p_partkey, 1, 4) ELSE substr(lower(p_name), 3, 40) || '  ' || upper(p_brand) END AS q FROM part WHERE p_size = 7), {SEARCH}",
-    "search_parts": f"WITH {INDEX}, q0 AS (SELECT p_partkey AS query_id, CASE WHEN p_partkey % 5 = 0 THEN substr('k ' || p_partkey, 1, 4) ELSE substr(lower(p_name), 3, 40) || '  ' || upper(p_brand) END AS q FROM part), {SEARCH}",
+    "search_batch": f"WITH {INDEX}, q0 AS (SELECT p_partkey AS query_id, CASE WHEN (p_partkey // 20) % 5 = 0 THEN substr('k ' || p_partkey, 1, 4) ELSE substr(lower(p_name), 3, 40) || '  ' || upper(p_brand) END AS q FROM part WHERE p_partkey % 20 = 0), {SEARCH}",
+    "search_parts": f"WITH {INDEX}, q0 AS (SELECT p_partkey AS query_id, CASE WHEN (p_partkey // 20) % 5 = 0 THEN substr('k ' || p_partkey, 1, 4) ELSE substr(lower(p_name), 3, 40) || '  ' || upper(p_brand) END AS q FROM part), {SEARCH}",
     "search_documents": f"WITH idx AS (SELECT 'document' AS type, '' AS title, '' AS url, lower(text) AS search_text, 0::BIGINT AS type_pos, doc_id AS item_pos FROM documents), q0 AS (SELECT item_id AS query_id, substr(text, 12, 7) || ' ' || substr(text, 31, 6) AS q FROM benchmark), {SEARCH}",
     "parse_datetime": f"""WITH r AS (SELECT o_orderkey AS row_id, CASE o_orderkey % 7 WHEN 0 THEN concat(year(o_orderdate), '-13-31') WHEN 1 THEN concat('98-02-', o_orderkey % 40) WHEN 2 THEN 'TBA' ELSE CAST(CAST(o_orderdate AS DATE) AS VARCHAR) END AS d,
   CASE o_orderkey % 5 WHEN 0 THEN concat(o_orderkey % 14, ':30 p.m.') WHEN 1 THEN concat(o_orderkey % 30, ':75') WHEN 2 THEN 'noon' WHEN 3 THEN concat(o_orderkey % 13, 'AM') ELSE lpad(CAST(o_orderkey % 24 AS VARCHAR), 2, '0') END AS t FROM orders)

@@ -2,21 +2,28 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gazette.functions import scalars as X
 from gazette.operators import calendar_export, listings, normalise, routing, search
 from gazette.sources.adapters import feed
+from gazette.sources.feeds import FeedCatalog
+from gazette.sources.tables import Workspace, materialise, shared_folder
 
 AS_OF, ORDERS_AS_OF = "2024-01-15", "1998-01-01"
 CATEGORIES = ["click", "view", "purchase"]
 LABELS = {"click": "Click", "view": "View", "purchase": "Purchase", "other": "Other"}
 ROUTES = ["/", "/p/:id", "/item/:id", "/wiki/*", "/:section/:id", "/:section"]
-# The pages of the search index.
-PAGES = [(0, "Home", "#/", "home welcome"), (1, "Events & Calendar", "#/events", "events calendar"), (2, "Find a Meeting", "#/meetings", "meetings find groups"), (3, "Districts", "#/districts", "districts"), (4, "Resources & Forms", "#/resources", "resources documents pdf forms")]
+#: Static pages of the search index: row_id, title, url, keywords.
+PAGES = [
+    (0, "Start page", "#/", "overview front"), (1, "What is on", "#/events", "programme dates agenda"), (2, "Groups near you", "#/meetings", "places weekdays hours"), (3, "Areas", "#/districts", "regions map"),
+    (4, "Library", "#/resources", "files downloads"), (5, "Who does what", "#/officers", "people roles"), (6, "Working groups", "#/service", "volunteer tasks"), (7, "News", "#/news", "notices"),
+    (8, "Money", "#/giving", "donate payment"), (9, "First visit", "#/new", "newcomer questions"), (10, "Write to us", "#/contact", "mail address"), (11, "Small print", "#/legal", "privacy imprint"),
+]
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -39,27 +46,33 @@ def search_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def search_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The queries of search_parts for the parts of size 7 alone, as the SQL has it."""
-    return _search_parts(spark, sf_dir, "p_size = 7")
+    """The queries of search_parts for the parts whose key is divisible by 20, against all rows."""
+    return _search_parts(spark, sf_dir, F.col("p_partkey") % 20 == 0)
 
 
 def search_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A query for every part: the end of its name and its brand; every fifth has short tokens alone."""
-    return _search_parts(spark, sf_dir, "true")
+    """A query for every part: the end of its name and its brand; a fifth has short tokens alone."""
+    return _search_parts(spark, sf_dir, F.lit(True))
 
 
-def _search_parts(spark: SparkSession, sf_dir: str, where: str) -> DataFrame:
+def _search_parts(spark: SparkSession, sf_dir: str, where: Column) -> DataFrame:
     part = spark.read.parquet(f"{sf_dir}/part.parquet").where(where)
-    q = F.when(F.col("p_partkey") % 5 == 0, F.concat(F.lit("k "), F.col("p_partkey").cast("string"))).otherwise(F.concat(F.substring(F.lower("p_name"), 3, 40), F.lit("  "), F.upper(F.col("p_brand"))))
-    q = F.when(F.col("p_partkey") % 5 == 0, F.substring(q, 1, 4)).otherwise(q)
-    return search.search(search_index(spark, sf_dir), part.select(F.col("p_partkey").alias("query_id"), q.alias("q")))
+    short = F.substring(F.concat(F.lit("k "), F.col("p_partkey").cast("string")), 1, 4)
+    q = F.when(F.expr("p_partkey div 20 % 5 = 0"), short).otherwise(F.concat(F.substring(F.lower("p_name"), 3, 40), F.lit("  "), F.upper(F.col("p_brand"))))
+    return _searched(search_index(spark, sf_dir), part.select(F.col("p_partkey").alias("query_id"), q.alias("q")))
+
+
+def _searched(index: DataFrame, asked: DataFrame) -> DataFrame:
+    """The index is written once, as the search reads it several times; the result, at most search.TOP rows a query, stays."""
+    with Workspace(index.sparkSession, "search") as tables:
+        return materialise(search.search(tables.write(index, "index"), asked), "search-hits")
 
 
 def search_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     index = docs.select(F.lit("document").alias("type"), F.lit("").alias("title"), F.lit("").alias("url"), F.lower("text").alias("search_text"), F.lit(0).cast("long").alias("type_pos"), F.col("doc_id").alias("item_pos"))
     asked = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("query_id"), F.concat(F.substring("text", 12, 7), F.lit(" "), F.substring("text", 31, 6)).alias("q"))
-    return search.search(index, asked)
+    return _searched(index, asked)
 
 
 def parse_datetime(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,6 +100,23 @@ def route_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return routed.select("page_id", "path", F.coalesce("route", F.lit("not-found")).alias("route"), F.coalesce(F.col("params")["id"], F.lit("")).alias("param_id"), F.size("query").cast("long").alias("n_query"))
 
 
+def csv_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The meetings feed written as CSV and read back by its name (S1, S2); row_id belongs to the files and isn't returned."""
+    with Workspace(spark, "csv") as tables:
+        path = f"{shared_folder(spark)}/csv-feed-{uuid.uuid4().hex}"
+        tables.paths["feed"] = path
+        feed(spark, sf_dir, "meetings").drop("row_id").write.csv(path, header=True, escape='"')
+        rows = normalise.meetings(FeedCatalog({"meetings": path}).read(spark, "meetings"))
+        return materialise(rows.select("name", "day", "time", "address", "city", "district", F.array_join("types", "|").alias("types"), "notes"), "csv-rows")
+
+
+def dismissed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The top announcement unless its id is among the dismissed ones: those of urgent orders that are fulfilled."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_orderpriority = '1-URGENT' and o_orderstatus = 'F'")
+    found = normalise.announcements(feed(spark, sf_dir, "announcements"))
+    return listings.active_announcement(found, ORDERS_AS_OF, orders.select(F.concat(F.lit("an-"), F.col("o_orderkey").cast("string")).alias("id")))
+
+
 def _of(name: str, then: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, sf_dir: then(getattr(normalise, name)(feed(spark, sf_dir, name)))
 
@@ -99,6 +129,11 @@ QUERIES: dict[str, Query] = {
     "calendar_days": lambda s, d: listings.calendar_days(listings.calendar_items(order_events(s, d), ["urgent", "high"]), "1995-01-01", "1996-12-31"),
     "event_detail": lambda s, d: listings.event_detail(events(s, d), "ev-100", pairs=LABELS),
     "export_calendar": lambda s, d: calendar_export.export_calendar(events(s, d), AS_OF),
+    "event_documents": lambda s, d: calendar_export.single_calendars(events(s, d)),
+    "meeting_finder_city": _of("meetings", lambda m: listings.meeting_finder(m, city="Brand#13")),
+    "resource_browser_filtered": _of("resources", lambda r: listings.resource_browser(r, "Cat 3", "EX")),
+    "announcement_dismissed": dismissed,
+    "csv_feed": csv_feed,
     "meeting_finder": _of("meetings", listings.meeting_finder),
     "meeting_finder_filtered": _of("meetings", lambda m: listings.meeting_finder(m, "Tuesday", "", " OAK ave")),
     "facet_values": _of("meetings", lambda m: listings.facet_values(m, "city")),

@@ -30,7 +30,7 @@ def tidy(raw: DataFrame) -> DataFrame:
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """S1, with row_id in the order of the file."""
+    """S1, with row_id in the order of the file; of several files each one's rows are in order, the files by size."""
     raw = spark.read.csv(path, header=True, multiLine=True, escape='"', mode="PERMISSIVE")
     return tidy(raw).withColumn("row_id", F.monotonically_increasing_id())
 

@@ -2,14 +2,17 @@ import datetime as dt
 
 import duckdb
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 import __spark_entry__
 from gazette.functions import scalars as X
-from gazette.operators import listings, normalise, routing, search
+from gazette.operators import calendar_export, listings, normalise, routing, search
 from gazette.plans.oracle import ORACLE_SQL
 from gazette.plans.queries import QUERIES
+from gazette.sources import tables
 from gazette.sources.feeds import FeedCatalog, read_csv
+from gazette.streaming.listings import follow
 
 SF = "/root/testdata/sf0.001"
 
@@ -24,6 +27,11 @@ def test_dates_roll_over_and_junk_is_null(spark):
     assert got == [dt.date(2026, 6, 7), dt.date(2026, 3, 2), dt.date(2027, 1, 1), dt.date(1926, 6, 7), None, None, None, None, None, None]
 
 
+def test_dates_end_with_the_last_day(spark):
+    got = values(spark, ["2026-1201-1", "2026-1-40000", "275760-09-13", "275760-09-14", "99999999-1-1", "2026-99999999-1"], lambda c: X.parse_date(c).cast("string"))
+    assert got == ["2126-01-01", "2135-07-08", "+275760-09-13", None, None, None]
+
+
 def test_both_clocks(spark):
     assert values(spark, ["9:00 AM", "12:30 am", "12 PM", "09:00", "7pm", "7:00 p.m.", "noon", "7:00 PM PST", ""], X.parse_clock) == [540, 30, 720, 540, 1140, 1140, 0, 0, 0]
     assert values(spark, ["8:00 AM", "12:00 AM", "12:00 PM", "1930", "7:30 p.m.", "tba", ""], X.lenient_clock) == [480, 0, 720, 1170, 450, 9999, 9999]
@@ -76,6 +84,56 @@ def test_window_and_dismissal(spark):
     assert listings.active_announcement(found, "2026-01-05", spark.createDataFrame([("b",)], "id string")).isEmpty()
 
 
+def test_calendar_document(spark, tmp_path):
+    rows = [(2, "b", dt.datetime(2026, 2, 1, 9), None, "Later; on", "", "", ""), (1, "a", dt.datetime(2026, 1, 1, 9), dt.datetime(2026, 1, 1, 10), "First", "Hall", "1 Main St", "x")]
+    events = spark.createDataFrame(rows, "row_id long, id string, start timestamp_ntz, end timestamp_ntz, title string, location string, address string, description string")
+    calendar_export.write_calendar(calendar_export.export_calendar(events, "2026-01-01"), str(tmp_path / "out"), name="All")
+    text = "".join(p.read_bytes().decode() for p in sorted((tmp_path / "out").glob("part-*")))
+    assert text.split("\r\n") == [
+        "BEGIN:VCALENDAR", "VERSION:2.0", "PRODID:-//gazette//EN", "X-WR-CALNAME:All",
+        "BEGIN:VEVENT", "UID:a@example.org", "DTSTAMP:20240101T000000Z", "DTSTART:20260101T090000Z", "DTEND:20260101T100000Z", "SUMMARY:First", "LOCATION:Hall  1 Main St", "DESCRIPTION:x", "END:VEVENT",
+        "BEGIN:VEVENT", "UID:b@example.org", "DTSTAMP:20240101T000000Z", "DTSTART:20260201T090000Z", "DTEND:20260201T100000Z", "SUMMARY:Later  on", "END:VEVENT", "END:VCALENDAR", "",
+    ]
+
+
+def test_facets(spark):
+    rows = spark.createDataFrame([(i, c, "t", "u", "d", "") for i, c in enumerate(["A", "B", "A"])], "row_id long, category string, title string, url string, description string, updated string")
+    assert {r.row_id for r in listings.resource_browser(rows, "A").collect()} == {0, 2} and listings.resource_browser(rows).count() == 3
+    assert listings.calendar_items(spark.createDataFrame([], "row_id long, id string, title string, start timestamp_ntz, end timestamp_ntz, category string"), []).isEmpty()
+
+
+def test_counted_joins(spark):
+    rows = spark.createDataFrame([(k, i) for i, k in enumerate(["hot"] * 500 + [f"k{j % 40}" for j in range(200)] + [None])], "key string, i int")
+    table = rows.where("key <> 'k3'").groupBy("key").agg(F.count("*").alias("n"), F.max("i").alias("most")).where("key is not null")
+    for how in ("inner", "left", "left_semi"):
+        for keys in (4096, 2):
+            tables.HOT_KEYS, kept = keys, tables.HOT_KEYS
+            got = tables.join_counted(rows, table, ["key"], "n", how)
+            want = rows.join(table.drop("n"), ["key"], how)
+            assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+            tables.HOT_KEYS = kept
+    assert tables.join_counted(rows, table.limit(0), ["key"], "n", "left").count() == 701
+
+
+def test_workspaces_leave_nothing(spark):
+    with tables.Workspace(spark, "left") as w:
+        first = w.write(spark.range(3), "a")
+        assert w.write(first.where("id > 0"), "a").count() == 2
+        path = w.paths["a"]
+    with pytest.raises(AnalysisException):
+        spark.read.parquet(path)
+    assert tables.fresh(first, "id", "ID", "x") == ["id_", "ID__", "x"]
+
+
+def test_follow_a_folder(spark, tmp_path):
+    schema = "row_id long, name string, purpose string"
+    rows = spark.createDataFrame([(1, "a", None), (2, "", "p")], schema)
+    for k in range(2):
+        rows.write.mode("append").parquet(str(tmp_path / "in"))
+        follow(spark, str(tmp_path / "in"), schema, normalise.committees, str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
+        assert sorted((r.row_id, r.name, r.purpose) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == sorted([(1, "a", ""), (2, "", "p")] * (k + 1))
+
+
 def test_routes(spark):
     rows = spark.createDataFrame([("/events/a%20b?x=1&x=2",), ("/events/",), ("/nope/x/y",)], "u string")
     got = routing.route_urls(rows, "u", ["/events", "/events/:id"]).collect()
