@@ -2,20 +2,25 @@
 
 Sparse word n-grams (one and two words) of a paragraph go through a multinomial logistic
 regression over the licence families and a class for everything else. It is trained on windows
-of the templates below and on a bounded sample of the table's own paragraphs that share no
-three-word run with a template. The unknown class is calibrated: on sampled paragraphs that
-training did not see, the least threshold under which at most one in FALSE_SHARE gets a
-licence, and at least FLOOR. A paragraph is classified by overlapping windows of SPAN words, so
-that a notice within a longer text isn't outweighed by what stands around it. A prediction
-counts once the windows that made it hold most word pairs of one of the family's templates,
-whatever else the paragraph says: holder names, or a whole notice with a text before and after.
-
-Every paragraph (line) of every text is classified. Null and empty texts have no paragraphs;
-repeated rows get equal results; without sampled paragraphs the templates alone train the model.
+of the templates below and on a bounded sample of the table's own distinct paragraphs that share
+no three-word run with a template. A paragraph is classified by overlapping windows of SPAN
+words, so that a notice within a longer text isn't outweighed by what stands around it.
+
+The unknown class is calibrated on all paragraphs: the least threshold, FLOOR or more, that at
+most one in FALSE_SHARE of them reaches with a window that shares no three-word run with a
+template. A prediction counts once the windows that made it hold most word pairs of one of the
+family's templates, whatever else the paragraph says: holder names, or a whole notice with a
+text before and after.
+
+Every paragraph (line) of every text is classified, however long, window by window. Null and empty
+texts have no paragraphs; repeated rows get equal results; without sampled paragraphs the
+templates alone train the model; an empty table gives no rows; other columns aren't looked at.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF
@@ -24,6 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gazette.llm.common import documents
+from gazette.sources.tables import Workspace, materialise
 
 # Families and the wording that their notices use.
 TEMPLATES = [
@@ -57,9 +63,9 @@ TEMPLATES = [
 ]
 OTHER = "none"
 FEATURES = 1 << 14
-SAMPLE = 8000  # paragraphs for class none; as many again calibrate
+SAMPLE = 8000  # distinct paragraphs for class none
 FALSE_SHARE = 1000
-FLOOR = 0.5
+FLOOR, CEILING = 0.5, 0.99
 CONFIRM = 0.6
 WINDOW = 6  # words; shorter templates are used whole
 SPAN, STEP = 16, 8  # words of a paragraph that are classified together, and from one such window to the next
@@ -120,42 +126,42 @@ def _label() -> Column:
 
 
 def _least(rows: DataFrame, n: int, share: int = 4) -> DataFrame:
-    """The n rows with the least hash "at".
+    """at and line of the n least distinct hashes "at"; fewer only if there are no more.
 
-    Only a part of the hashes' range that should hold share * n rows is sorted, so that what one
-    task gets doesn't grow with the input; fewer rows come if equal hashes above it are over
-    (share - 1) / share of all.
+    Only a part of the hashes' range that should hold share * n distinct ones is gathered, so
+    that what one task gets doesn't grow with the input. Copies of a line are one row.
     """
-    part = share * n / max(1, rows.count())
-    return (rows if part >= 1 else rows.where(F.col("at") < int(part * 2**64) - 2**63)).orderBy("at").limit(n)
+    part = share * n / max(1, rows.agg(F.approx_count_distinct("at")).first()[0])
+    taken = rows if part >= 1 else rows.where(F.col("at") < int(part * 2**64) - 2**63)
+    return taken.groupBy("at").agg(F.min("line").alias("line")).orderBy("at").limit(n)
+
+
+def _runs(spark: SparkSession) -> Column:
+    """The three-word runs of the templates, as an array."""
+    runs = templates(spark).select(F.explode(grams(F.col("words"), 3)).alias("run")).distinct().orderBy("run").collect()
+    return F.array(*[F.lit(r.run) for r in runs])
 
 
-def train(docs: DataFrame, sample: int = SAMPLE) -> tuple[PipelineModel, float]:
-    """The model and its calibrated threshold."""
+def train(docs: DataFrame, sample: int = SAMPLE) -> PipelineModel:
+    """The model, from the templates and at most sample paragraphs without a run of theirs."""
     spark = docs.sparkSession
     known = templates(spark)
     last = F.greatest(F.size("words") - WINDOW, F.lit(0))
     windows = known.select("family", F.explode(F.transform(F.sequence(F.lit(0), last), lambda i: F.slice("words", i + 1, WINDOW))).alias("words"))
     wholes = known.select("family", "words")
-    runs = [r[0] for r in known.select(F.explode(grams(F.col("words"), 3))).distinct().collect()]
     # Paragraphs whose hashes are least: the same ones however the table is partitioned.
-    least = _least(paragraphs(docs).select(F.xxhash64("line").alias("at"), "line"), 2 * sample)
-    bounded = least.withColumn("words", words(F.col("line")))
-    clean = bounded.where(~F.arrays_overlap(let(F.col("words"), lambda x: grams(x, 3)), F.array(*map(F.lit, runs)))).select(F.lit(OTHER).alias("family"), "at", F.explode(spans(F.col("words"))).alias("words"), F.pmod("at", F.lit(2)).alias("part")).persist()
+    least = _least(paragraphs(docs).select(F.xxhash64("line").alias("at"), "line"), sample).withColumn("words", words(F.col("line")))
+    clean = least.where(~F.arrays_overlap(let(F.col("words"), lambda x: grams(x, 3)), _runs(spark))).select("at", F.explode(spans(F.col("words"))).alias("words"))
+    # One window of each paragraph trains, so that long ones don't make the sample grow.
+    mine = clean.groupBy("at").agg(F.min_by("words", F.xxhash64("words")).alias("words")).select(F.lit(OTHER).alias("family"), "words")
+    rows = _with_terms(windows.unionByName(wholes).unionByName(wholes).unionByName(mine)).withColumn("label", _label()).persist()
     try:
-        # One window of each paragraph trains, so that long ones don't make the sample grow.
-        mine = clean.where("part = 0").groupBy("at").agg(F.min_by("words", F.xxhash64("words")).alias("words")).select(F.lit(OTHER).alias("family"), "words")
-        positives = windows.unionByName(wholes).unionByName(wholes)
-        rows = _with_terms(positives.unionByName(mine)).withColumn("label", _label())
         share = rows.groupBy("family").agg((1 / F.count("*")).alias("weight"))
-        rows = rows.join(F.broadcast(share), "family").coalesce(4)
+        weighted = rows.join(F.broadcast(share), "family").coalesce(4)
         pipeline = Pipeline(stages=[HashingTF(inputCol="terms", outputCol="features", numFeatures=FEATURES, binary=True), LogisticRegression(maxIter=30, regParam=0.003, family="multinomial", weightCol="weight")])
-        model = pipeline.fit(rows)
-        held = _likely(model.transform(_with_terms(clean.where("part = 1")))).groupBy("at").agg(F.max("probability_of").alias("probability_of"))
-        cut = held.agg(F.expr(f"percentile_approx(probability_of, {1 - 1 / FALSE_SHARE}, 10000)")).first()[0]
+        return pipeline.fit(weighted)
     finally:
-        clean.unpersist()
-    return model, max(FLOOR, min(0.99, cut or 0.0))
+        rows.unpersist()
 
 
 def _likely(scored: DataFrame) -> DataFrame:
@@ -166,14 +172,40 @@ def _likely(scored: DataFrame) -> DataFrame:
     return scored.withColumn("family", F.element_at(names, F.array_position("_p", F.col("probability_of")).cast("int")))
 
 
-def scan(docs: DataFrame, model: PipelineModel, threshold: float, confirm: float = CONFIRM) -> DataFrame:
-    """doc_id, paragraph, family, probability, likeness of the paragraphs that carry a licence."""
-    spark = docs.sparkSession
+def likely_windows(docs: DataFrame, model: PipelineModel) -> DataFrame:
+    """doc_id, paragraph, line, family, probability_of, pairs and clean (no run of a template) of the windows that reach FLOOR."""
     windows = paragraphs(docs).select("doc_id", "paragraph", F.xxhash64("line").alias("line"), F.explode(spans(words(F.col("line")))).alias("words"))
-    likely = _likely(model.transform(_with_terms(windows))).where(F.col("probability_of") >= threshold)
-    known = templates(spark).where(F.size("words") > 1).groupBy("family").agg(F.collect_list(F.array_distinct(grams(F.col("words"), 2))).alias("templates"))
+    likely = _likely(model.transform(windows.withColumn("terms", terms(F.col("words"))))).where(F.col("probability_of") >= FLOOR)
+    clean = ~F.arrays_overlap(let(F.col("words"), lambda x: grams(x, 3)), _runs(docs.sparkSession))
+    return likely.select("doc_id", "paragraph", "line", "family", "probability_of", pairs(F.col("terms")).alias("pairs"), clean.alias("clean"))
+
+
+def calibrated(likely: DataFrame, n_paragraphs: int, false_share: int = FALSE_SHARE) -> float:
+    """The least threshold from FLOOR that at most one in false_share of all paragraphs reaches with a clean window."""
+    each = likely.where("clean").groupBy("doc_id", "paragraph", "line").agg(F.max("probability_of").alias("p"))
+    n = each.count()
+    allowed = n_paragraphs // false_share
+    if n <= allowed:
+        return FLOOR
+    # Of n values all but the allowed ones must stay below.
+    cut = each.agg(F.expr(f"percentile_approx(p, {1 - allowed / n}, 10000)")).first()[0]
+    return min(CEILING, max(FLOOR, math.nextafter(cut, 1.0)))
+
+
+def scan(docs: DataFrame, model: PipelineModel, threshold: float | None = None, confirm: float = CONFIRM) -> DataFrame:
+    """doc_id, paragraph, family, probability, likeness of the paragraphs that carry a licence; the threshold is calibrated on docs if none is given."""
+    spark = docs.sparkSession
+    with Workspace(spark, "license_scan") as tables:
+        likely = tables.write(likely_windows(docs, model), "likely")
+        if threshold is None:
+            threshold = calibrated(likely, paragraphs(docs).count())
+        return materialise(_confirmed(likely.where(F.col("probability_of") >= threshold), confirm), "licensed")
+
+
+def _confirmed(likely: DataFrame, confirm: float) -> DataFrame:
+    known = templates(likely.sparkSession).where(F.size("words") > 1).groupBy("family").agg(F.collect_list(F.array_distinct(grams(F.col("words"), 2))).alias("templates"))
     own = F.array_distinct(F.flatten(F.collect_list("pairs")))
-    found = likely.withColumn("pairs", pairs(F.col("terms"))).groupBy("doc_id", "paragraph", "line", "family").agg(F.max("probability_of").alias("probability"), own.alias("pairs"))
+    found = likely.groupBy("doc_id", "paragraph", "line", "family").agg(F.max("probability_of").alias("probability"), own.alias("pairs"))
     found = found.join(F.broadcast(known), "family")  # one row per family
     alike = F.array_max(F.transform("templates", lambda t: F.size(F.array_intersect(t, F.col("pairs"))) / F.size(t)))
     found = found.withColumn("likeness", alike).where(F.col("likeness") >= confirm)
@@ -185,7 +217,6 @@ def scan(docs: DataFrame, model: PipelineModel, threshold: float, confirm: float
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: its paragraphs with words, licensed ones, families in order, the surest family's probability."""
     docs = documents(spark, sf_dir).select("doc_id", "text")
-    model, threshold = train(docs)
-    found = scan(docs, model, threshold).groupBy("doc_id").agg(F.count("*").alias("n_licensed"), F.array_join(F.array_sort(F.collect_set("family")), ",").alias("families"), F.max("probability").alias("probability"))
+    found = scan(docs, train(docs)).groupBy("doc_id").agg(F.count("*").alias("n_licensed"), F.array_join(F.array_sort(F.collect_set("family")), ",").alias("families"), F.max("probability").alias("probability"))
     total = docs.select("doc_id", F.coalesce(F.size(F.filter(F.split("text", "\n"), lambda x: F.btrim(x) != "")), F.lit(0)).cast("long").alias("n_paragraphs"))
     return total.join(found, "doc_id", "left").select("doc_id", "n_paragraphs", F.coalesce("n_licensed", F.lit(0)).alias("n_licensed"), F.coalesce("families", F.lit("")).alias("families"), "probability")

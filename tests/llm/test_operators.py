@@ -210,7 +210,9 @@ def test_spot_pairs_against_all_pairs(spark, at_least):
 
 def test_least_hashes_are_those_of_a_full_sort(spark):
     rows = spark.range(20000).select(F.xxhash64("id").alias("at"), F.col("id").cast("string").alias("line"))
-    assert license_scan._least(rows, 50).collect() == rows.orderBy("at").limit(50).collect()
+    low = rows.orderBy("at").limit(1).crossJoin(spark.range(9000)).drop("id")  # copies of the line that comes first
+    for table in (rows, rows.unionByName(low)):
+        assert license_scan._least(table, 50).collect() == rows.orderBy("at").limit(50).collect()
     assert license_scan._least(rows.limit(9), 50).count() == 9
     assert license_scan._least(rows.limit(0), 50).count() == 0
 
@@ -301,11 +303,61 @@ def test_spot_signatures(spark):
 def test_license_families(spark):
     texts = [f"{WORDS}\n{t}\n{WORDS[::-1]}" for _, t in license_scan.TEMPLATES] + [WORDS] * 5 + ["License to the old mill is granted by the river"]
     table = docs(spark, texts)
-    model, threshold = license_scan.train(table)
-    found = {r.doc_id: r.family for r in license_scan.scan(table, model, threshold).collect()}
+    found = {r.doc_id: r.family for r in license_scan.scan(table, license_scan.train(table)).collect()}
     assert found == {i: f for i, (f, _) in enumerate(license_scan.TEMPLATES)}
 
 
+NOTICES = [
+    ("mit", "The code is released under the MIT License."),
+    ("apache-2.0", "Our tools are licensed under the Apache License, Version 2.0, like the rest."),
+    ("gpl-3.0", "Note: this work is licensed under the GNU General Public License, version 3 only."),
+    ("cc-by-4.0", "Photos: this work is licensed under a Creative Commons Attribution 4.0 International License, by Jo."),
+    ("bsd-3-clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that these conditions are met."),
+]
+TALK = ["We had a long meeting about which license to choose.", "The driver's license office is closed today.", "Under the river runs a version of the old road.", "Ask for permission before you copy the key.", "The source of the river is open to all.", "Apache pilots flew over the General.", "Public notice: the library is open."]
+
+
+def test_licenses_against_brute_force(spark):
+    """Near wordings are found and talk about licences isn't; windows, threshold and confirmation again in plain Python."""
+    texts = [f"{WORDS}\n{t}" for _, t in NOTICES] + [f"{t}\n{WORDS} {i}" for i, t in enumerate(TALK)] + [f"{WORDS} {i}" for i in range(60)] + [None, "", ". . ."]
+    table = docs(spark, texts)
+    model = license_scan.train(table)
+    found = {(r.doc_id, r.paragraph): (r.family, r.probability, r.likeness) for r in license_scan.scan(table, model).collect()}
+    assert {d: f for (d, _), (f, _, _) in found.items()} == {i: f for i, (f, _) in enumerate(NOTICES)}
+    split = lambda t: [w for w in re.split(r"[\W_]+", t.lower()) if w]
+    pairs = lambda ws: set(zip(ws, ws[1:], strict=False))
+    runs = {r for _, t in license_scan.TEMPLATES for r in zip(split(t), split(t)[1:], split(t)[2:], strict=False)}
+    windows = []
+    for d, text in enumerate(texts):
+        for p, line in enumerate((text or "").split("\n")):
+            ws = split(line)
+            windows += [(d, p, ws[i : i + 16]) for i in range(0, max(len(ws) - 8, 1), 8) if ws]
+    rows = spark.createDataFrame([(i, [*ws, *(" ".join(x) for x in zip(ws, ws[1:], strict=False))]) for i, (_, _, ws) in enumerate(windows)], "i int, terms array<string>")
+    given = {r.i: r.probability.toArray() for r in model.transform(rows).collect()}
+    names = license_scan.families()
+    best = [(max(range(1, len(names)), key=lambda k: given[i][k]), i) for i in range(len(windows))]
+    clean = defaultdict(float)
+    for k, i in best:
+        d, p, ws = windows[i]
+        if given[i][k] >= license_scan.FLOOR and not runs & set(zip(ws, ws[1:], ws[2:], strict=False)):
+            clean[d, p] = max(clean[d, p], given[i][k])
+    allowed = len({(d, p) for d, p, _ in windows}) // license_scan.FALSE_SHARE
+    cut = sorted(clean.values(), reverse=True)[allowed] if len(clean) > allowed else 0
+    gathered = defaultdict(lambda: [0.0, set()])
+    for k, i in best:
+        d, p, ws = windows[i]
+        if given[i][k] > cut and given[i][k] >= license_scan.FLOOR or given[i][k] > 0.99:
+            own = gathered[d, p, names[k]]
+            own[0], own[1] = max(own[0], given[i][k]), own[1] | pairs(ws)
+    want = {}
+    for (d, p, family), (probability, own) in gathered.items():
+        likeness = max(len(x & own) / len(x) for f, t in license_scan.TEMPLATES if f == family and (x := pairs(split(t))))
+        if likeness >= license_scan.CONFIRM and (probability, likeness, family) > want.get((d, p), ("", 0, 0))[1:] + ("",):
+            want[d, p] = (family, probability, likeness)
+    assert found.keys() == want.keys()
+    assert all(found[k][0] == want[k][0] and math.isclose(found[k][1], want[k][1]) and math.isclose(found[k][2], want[k][2]) for k in want)
+
+
 def test_license_notices_within_longer_texts(spark):
     of = lambda family, *starts: " ".join(next(t for f, t in license_scan.TEMPLATES if f == family and t.startswith(x) and len(t) > 80) for x in starts)
     mit = of("mit", "Permission is", "The above", "THE SOFTWARE")
@@ -320,7 +372,7 @@ def test_license_notices_within_longer_texts(spark):
         ("bsd-3-clause", f"Copyright 1999 Ann Roe {of('bsd-3-clause', 'Redistribution and', 'Redistributions of', 'Redistributions in', 'Neither')}"),
     ]
     table = docs(spark, [t for _, t in notices] + [f"{WORDS} {i} {w}" for i, w in enumerate(WORDS.split())])
-    found = {r.doc_id: r.family for r in license_scan.scan(table, *license_scan.train(table)).collect()}
+    found = {r.doc_id: r.family for r in license_scan.scan(table, license_scan.train(table)).collect()}
     assert found == {i: f for i, (f, _) in enumerate(notices)}
 
 
