@@ -13,6 +13,7 @@ QUERIES = {
     "op8_license_scan": license_scan.query,
     "op9_line_dedup": line_dedup.query,
     "op10_lm_scoring": lm_scoring.query,
+    "spot_links": spot_sigs.links_query,
 }
 ORACLE_SQL: dict[str, str] = {
     "op9_line_dedup": line_dedup.ORACLE_SQL,

@@ -11,20 +11,23 @@ their set lengths fall in the same or neighbouring length partitions and they sh
 rarest signatures of each, at places that leave enough to share; what is left is compared in full.
 
 Null texts count as empty. The next document is the next row by ascending doc_id (nulls first,
-equal ids by text), after the last the first; a single row is its own next. An empty table
-gives no rows.
+equal ids by a hash of the text or, where there are few, by the text), after the last the first;
+a single row is its own next. Repeated rows are documents like others. Very long texts are taken
+whole; ids may be as sparse as they like. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Callable
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gazette.llm.common import documents
-from gazette.sources.tables import materialise
+from gazette.sources.tables import join_counted, materialise
 
 # Common words of English, French, German and Spanish that serve as anchors.
 ANCHORS = (
@@ -34,9 +37,9 @@ ANCHORS = (
 CHAIN = 2
 #: Words after an anchor among which its chain is sought.
 REACH = 8
-#: Documents with ids in a range of this width are put in order together.
-WIDTH = 256
-HEADS = 4096
+#: About so many documents are put in order together, unless there are more than RANGES such ranges.
+WIDTH, RANGES = 256, 1 << 14
+NULL_ID = -(2**62)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -72,25 +75,56 @@ def digest(s: Column) -> Column:
     return F.concat(F.hex(F.size(s)), F.lit("-"), F.md5(F.array_join(s.cast("array<string>"), ",").cast("binary")))
 
 
+def _ranges(docs: DataFrame) -> DataFrame:
+    """docs with _id, _tie and _range: ranges of about WIDTH rows (RANGES at most) in the order of _id, _tie.
+
+    The bounds are approximate quantiles of the ids, so it doesn't matter how dense they are. An
+    id (or no id) that is several quantiles gets as many ranges, by a hash of the text.
+    """
+    ids = docs.withColumn("_id", F.coalesce("doc_id", F.lit(NULL_ID)))
+    n = max(1, min(RANGES, ids.count() // WIDTH))
+    cuts = ids.agg(F.percentile_approx("_id", [k / n for k in range(1, n)], max(10_000, 4 * n))).first()[0] if n > 1 else []
+    parts: dict[float, tuple[int, int]] = {}  # by what a double tells apart: quantiles at the bound, the bound
+    for bound, often in Counter(cuts).items():
+        parts[float(bound)] = max(parts.get(float(bound), (0, 0)), (often, bound))
+    zero = F.lit(0).cast("long")
+    if not parts:
+        return ids.withColumns({"_tie": zero, "_range": zero})
+    # A place has the ids below the next bound: those under its own bound, those at it in as many parts as it is quantiles, those beyond it.
+    rows, base = [(0.0, NULL_ID, 1, 0)], 3
+    for place, (_, (often, bound)) in enumerate(sorted(parts.items()), 1):
+        rows.append((float(place), bound, often, base))
+        base += often + 2
+    places = F.broadcast(docs.sparkSession.createDataFrame(rows, "_place double, _bound long, _parts int, _base long"))  # RANGES rows at most
+    bucketizer = Bucketizer(splits=[-math.inf, *sorted(parts), math.inf], inputCol="_double", outputCol="_place")
+    placed = bucketizer.transform(ids.withColumn("_double", F.col("_id").cast("double"))).join(places, "_place")
+    tie = part = zero
+    if max(often for often, _ in parts.values()) > 1:
+        several = (F.col("_parts") > 1) & (F.col("_id") == F.col("_bound"))
+        tie = F.when(several, F.xxhash64("text")).otherwise(0)
+        high = F.shiftrightunsigned(F.xxhash64("text").bitwiseXOR(F.lit(-(2**63))), 33)  # 31 bits, in the order of the hash
+        part = F.when(several, F.floor(high * F.col("_parts") / F.lit(2.0**31))).otherwise(0)
+    where = F.when(F.col("_id") < F.col("_bound"), 0).when(F.col("_id") == F.col("_bound"), part + 1).otherwise(F.col("_parts") + 1)
+    return placed.withColumns({"_tie": tie, "_range": (F.col("_base") + where).cast("long")}).drop("_place", "_bound", "_parts", "_base", "_double")
+
+
 def with_next(docs: DataFrame, add: dict[str, Column]) -> DataFrame:
     """docs with _next_text and, for every column in add, that column and _next_ of it.
 
     Ranges of ids are ordered each for itself; the first row of a range is also copied to the
-    range before it, so that only one row per range, and of those one per HEADS, is ordered globally.
+    range before it. Of each range one key and one text are looked at beyond it.
     """
-    least = -(2**62)
-    ids = docs.withColumn("_id", F.coalesce("doc_id", F.lit(least))).withColumn("_range", F.expr(f"_id div {WIDTH}") - F.when(F.col("_id") % WIDTH < 0, 1).otherwise(0))
-    heads = ids.groupBy("_range").agg(F.min("_id").alias("_id")).withColumn("_group", F.expr(f"_range div {HEADS}"))
-    groups = heads.groupBy("_group").agg(F.max("_range").alias("_last"))
-    groups = groups.withColumn("_last", F.lag("_last").over(Window.orderBy("_group")))
-    end = heads.agg(F.max("_range")).first()[0]
-    before = F.lag("_range").over(Window.partitionBy("_group").orderBy("_range"))
-    heads = heads.withColumn("_before", before).join(groups, "_group").select("_id", F.coalesce("_before", "_last", F.lit(end)).alias("_to"))
-    first = ids.select("_id", "text").join(heads, "_id").groupBy("_id", "_to").agg(F.min("text").alias("text"))
-    first = first.select(F.col("_to").alias("_range"), "_id", "text", F.lit(True).alias("_head"))
-    rows = ids.withColumn("_head", F.lit(False)).unionByName(first, allowMissingColumns=True).repartition("_range").withColumns(add)
-    order = Window.partitionBy("_range").orderBy("_head", "_id", "text")
-    return rows.withColumns({f"_next_{c}": F.lead(c).over(order) for c in ("text", *add)}).where("not _head").drop("_id", "_range", "_head")
+    rows = _ranges(docs)
+    key = F.struct("_id", "_tie")
+    heads = sorted((r._range, r.head._id, r.head._tie) for r in rows.groupBy("_range").agg(F.min(key).alias("head")).collect())  # 4 * RANGES rows at most
+    if not heads:
+        return rows.withColumns(add).withColumns({f"_next_{c}": F.col(c) for c in ("text", *add)}).drop("_id", "_tie", "_range")
+    before = docs.sparkSession.createDataFrame([(i, t, heads[k - 1][0]) for k, (_, i, t) in enumerate(heads)], "_id long, _tie long, _to long")
+    first = rows.select("_id", "_tie", "text").join(F.broadcast(before), ["_id", "_tie"]).groupBy("_id", "_tie", "_to").agg(F.min("text").alias("text"))
+    first = first.select(F.col("_to").alias("_range"), "_id", "_tie", "text", F.lit(True).alias("_head"))
+    both = rows.withColumn("_head", F.lit(False)).unionByName(first, allowMissingColumns=True).repartition("_range").withColumns(add)
+    order = Window.partitionBy("_range").orderBy("_head", "_id", "_tie", "text")
+    return both.withColumns({f"_next_{c}": F.lead(c).over(order) for c in ("text", *add)}).where("not _head").drop("_id", "_tie", "_range", "_head")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -104,8 +138,8 @@ def class_members(docs: DataFrame) -> DataFrame:
     A class of null ids alone has a null class_id.
     """
     rows = fingerprints(docs).withColumn("fingerprint", digest(F.col("signatures")))
-    least = rows.groupBy("fingerprint").agg(F.min("doc_id").alias("class_id"))
-    return rows.join(least, "fingerprint").select("doc_id", "fingerprint", "class_id", "signatures")
+    least = materialise(rows.groupBy("fingerprint").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("n")), "spot-least")
+    return join_counted(rows, least, ["fingerprint"], "n").select("doc_id", "fingerprint", "class_id", "signatures")
 
 
 def near_pairs(docs: DataFrame, at_least: float = 0.8) -> DataFrame:
@@ -135,6 +169,21 @@ def near_pairs(docs: DataFrame, at_least: float = 0.8) -> DataFrame:
     return compared.where(F.col("likeness") >= at_least).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), "likeness", F.col("a").alias("a_fingerprint"), F.col("b").alias("b_fingerprint"))
 
 
+def links(docs: DataFrame, at_least: float = 0.8) -> DataFrame:
+    """doc_id, fingerprint, class_id and n_links, the classes near its own, for each row of docs."""
+    members = materialise(class_members(docs).drop("signatures"), "spot-members")
+    pairs = near_pairs(docs, at_least)
+    each = pairs.select(F.explode(F.array("a_fingerprint", "b_fingerprint")).alias("fingerprint"))
+    counts = members.groupBy("fingerprint").agg(F.count("*").alias("n")).join(each.groupBy("fingerprint").agg(F.count("*").alias("n_links")), "fingerprint")
+    found = join_counted(members, materialise(counts, "spot-counts"), ["fingerprint"], "n", "left")
+    return found.select("doc_id", "fingerprint", "class_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
+def links_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with a likeness of 0.8 or more, by length partitions and pruned Jaccard: each one's class and number of links."""
+    return links(documents(spark, sf_dir))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     rows = with_next(docs, {"signatures": signatures(F.col("text"))})
