@@ -2,10 +2,14 @@
 
 mux() stores bytes without loss as the main data of MPEG-1 Layer III frames: an ID3v2 tag with
 the payload's size and CRC-32, a frame with a Xing table, then checksummed frames of variable
-bitrate. probe() reads any MPEG audio: it skips and parses tags, finds the next frame header
-after junk, reads Xing and VBRI tables, verifies checksums and gives the exact duration
-(samples over sample rate) and the byte offset of every frame. Null media give a null result,
-bytes without a frame one with no frames; null texts count as the empty text.
+bitrate. probe() reads any MPEG audio but free format, whose frames don't state their size: it
+skips and parses tags, finds the next frame header after junk, reads Xing and VBRI tables,
+verifies the checksums of all layers and modes and gives the exact duration (each frame's samples
+over its own rate) and the byte offset of every frame.
+
+Null media give a null result, bytes without a frame one with no frames; null texts count as the
+empty text; equal texts have equal values, so repeated rows do; an empty table gives no rows; a
+text of any length is one stream, held whole by one task; other columns aren't looked at.
 """
 
 from __future__ import annotations
@@ -14,7 +18,9 @@ import hashlib
 import struct
 import zlib
 from bisect import bisect_left
+from collections import Counter
 from dataclasses import dataclass, field
+from fractions import Fraction
 from functools import lru_cache
 
 import numpy as np
@@ -52,6 +58,19 @@ def crc16(data: bytes) -> int:
     return crc
 
 
+def crc16_bits(data: bytes, n: int) -> int:
+    """The same over the first n bits."""
+    crc, rest = crc16(data[: n // 8]), n % 8
+    for k in range(rest):
+        bit = data[n // 8] >> (7 - k) & 1
+        crc = ((crc << 1) ^ 0x8005 if (crc >> 15 & 1) != bit else crc << 1) & 0xFFFF
+    return crc
+
+
+# Fixed values of the MPEG audio format: how many subbands of Layer II have an allocation of so many bits.
+ALLOCATION = {"wide": ((11, 4), (12, 3), (7, 2)), "middle": ((11, 4), (12, 3), (4, 2)), "low": ((2, 4), (6, 3)), "low32": ((2, 4), (10, 3)), "lsf": ((4, 4), (7, 3), (19, 2))}
+
+
 @lru_cache(65536)
 def _frame_head(index: int, n: int) -> bytes:
     """Header, checksum and side information of a frame whose main data are n bytes."""
@@ -92,6 +111,7 @@ class Header:
     mpeg1: bool
     mono: bool
     protected: bool
+    bound: int  # subbands before it have an allocation for each channel (Layers I and II)
 
 
 @lru_cache(65536)
@@ -108,7 +128,40 @@ def parse_header(raw: bytes) -> Header | None:
     samples = 384 if layer == 1 else 1152 if layer == 2 or mpeg1 else 576
     padding = raw[2] >> 1 & 1
     size = (12_000 * kbps // hz + padding) * 4 if layer == 1 else samples // 8 * 1000 * kbps // hz + padding
-    return Header(size, samples, hz, kbps, layer, mpeg1, raw[3] >> 6 == 3, not raw[1] & 1)
+    bound = 4 * ((raw[3] >> 4 & 3) + 1) if raw[3] >> 6 == 1 else 32
+    return Header(size, samples, hz, kbps, layer, mpeg1, raw[3] >> 6 == 3, not raw[1] & 1, bound)
+
+
+def side_bytes(header: Header) -> int:
+    """Bytes of side information of a Layer III frame."""
+    return (17 if header.mono else 32) if header.mpeg1 else (9 if header.mono else 17)
+
+
+def allocation_bits(header: Header) -> list[int]:
+    """Bits of the allocation of each subband of a frame of Layer I or II."""
+    if header.layer == 1:
+        return [4] * 32
+    each = header.kbps if header.mono else header.kbps // 2
+    kind = "lsf" if not header.mpeg1 else ("low32" if header.rate == 32000 else "low") if each <= 48 else "middle" if each <= 80 or header.rate == 48000 else "wide"
+    return [bits for n, bits in ALLOCATION[kind] for _ in range(n)]
+
+
+def protected_bits(frame: bytes, header: Header) -> int:
+    """How many bits after the checksum it covers: side information, or allocation and scale factor selection."""
+    if header.layer == 3:
+        return 8 * side_bytes(header)
+    channels, data, at, used = 1 if header.mono else 2, int.from_bytes(frame[6:134].ljust(128, b"\0"), "big"), 0, 0
+    for band, bits in enumerate(allocation_bits(header)):
+        own = channels if band < header.bound else 1
+        for _ in range(own):
+            at += bits
+            used += (data >> (1024 - at) & ((1 << bits) - 1) > 0) * (channels // own)
+    return at + 2 * used * (header.layer == 2)
+
+
+def checksum_holds(frame: bytes, header: Header) -> bool:
+    n = 16 + protected_bits(frame, header)
+    return crc16_bits((frame[2:4] + frame[6:]).ljust(-(-n // 8), b"\0"), n) == int.from_bytes(frame[4:6], "big")
 
 
 @dataclass
@@ -116,8 +169,7 @@ class Probe:
     tags: dict = field(default_factory=dict)
     table: dict = field(default_factory=dict)
     offsets: list = field(default_factory=list)
-    samples: int = 0
-    rate: int = 0
+    samples: Counter = field(default_factory=Counter)  # by rate
     kbps: set = field(default_factory=set)
     checked: int = 0
     broken: int = 0
@@ -126,7 +178,7 @@ class Probe:
 
     @property
     def seconds(self) -> float:
-        return self.samples / self.rate if self.rate else 0.0
+        return float(sum(Fraction(n, rate) for rate, n in self.samples.items()))
 
     def payload(self) -> bytes:
         """What mux() stored; ValueError if it isn't whole."""
@@ -158,7 +210,7 @@ def _tag(data: bytes, tags: dict) -> int:
 
 
 def _table(frame: bytes, header: Header) -> dict:
-    at = 4 + 2 * header.protected + ((17 if header.mono else 32) if header.mpeg1 else (9 if header.mono else 17))
+    at = 4 + 2 * header.protected + side_bytes(header)
     if frame[at : at + 4] in (b"Xing", b"Info"):
         flags, out, at = int.from_bytes(frame[at + 4 : at + 8], "big"), {"kind": frame[at : at + 4].decode()}, at + 8
         for bit, name in ((1, "frames"), (2, "bytes")):
@@ -197,13 +249,12 @@ def probe(data: bytes) -> Probe:
             out.table = table
         else:
             out.offsets.append(at)
-            out.samples += header.samples
-            out.rate = header.rate
+            out.samples[header.rate] += header.samples
             out.kbps.add(header.kbps)
+            if header.protected:
+                out.checked += 1
+                out.broken += not checksum_holds(frame, header)
             if header.layer == 3 and header.mpeg1 and header.mono:
-                if header.protected:
-                    out.checked += 1
-                    out.broken += crc16(frame[2:4] + frame[6:HEAD]) != int.from_bytes(frame[4:6], "big")
                 begin = HEAD - 2 * (not header.protected)
                 side = int.from_bytes(frame[begin - SIDE : begin], "big")
                 n = (side >> 106 & 0xFFF) + (side >> 47 & 0xFFF)
@@ -220,10 +271,11 @@ def feature(info: Probe, payload: bytes) -> str:
     """Exact duration, frames, bitrates, checksums, a digest of the seek offsets, mean and power of the samples."""
     x = np.frombuffer(payload, np.uint8).astype(np.int64)
     seek = zlib.crc32(np.array(info.offsets, "<u8").tobytes())
-    return f"samples={info.samples}/{info.rate};frames={len(info.offsets)};kbps={min(info.kbps)}-{max(info.kbps)};crc={info.checked - info.broken}/{info.checked};seek={seek:08x};sum={int(x.sum())};power={int((x * x).sum())}"
+    samples = "+".join(f"{n}/{rate}" for rate, n in sorted(info.samples.items()))
+    return f"samples={samples};frames={len(info.offsets)};kbps={min(info.kbps)}-{max(info.kbps)};crc={info.checked - info.broken}/{info.checked};seek={seek:08x};sum={int(x.sum())};power={int((x * x).sum())}"
 
 
-QUERY_SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, seconds double, n_frames long"
+QUERY_SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, seconds double, n_frames long, seek_offsets array<long>"
 
 
 def _arrow(schema: str) -> pa.Schema:
@@ -243,14 +295,14 @@ def store(docs: DataFrame) -> DataFrame:
 
 
 def describe(media: DataFrame) -> DataFrame:
-    """doc_id with duration, frames, checksums and frame seek offsets of the column media."""
-    schema = "doc_id long, seconds double, samples long, rate long, n_frames long, broken long, skipped long, offsets array<long>"
+    """doc_id with duration, frames, checksums and frame seek offsets of the column media; rate is null if the frames have several."""
+    schema = "doc_id long, seconds double, samples long, rate long, n_frames long, checked long, broken long, skipped long, offsets array<long>"
 
     def run(batches):
         for batch in batches:
             infos = [None if m is None else probe(m) for m in batch.column(1).to_pylist()]
-            rows = [[None] * 7 if i is None else [i.seconds, i.samples, i.rate, len(i.offsets), i.broken, i.skipped, i.offsets] for i in infos]
-            cols = [list(c) for c in zip(*rows, strict=True)] or [[]] * 7
+            rows = [[None] * 8 if i is None else [i.seconds, i.samples.total(), next(iter(i.samples)) if len(i.samples) == 1 else None, len(i.offsets), i.checked, i.broken, i.skipped, i.offsets] for i in infos]
+            cols = [list(c) for c in zip(*rows, strict=True)] or [[]] * 8
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, f.type) for c, f in zip(cols, list(_arrow(schema))[1:], strict=True)]], schema=_arrow(schema))
 
     return media.select("doc_id", "media").mapInArrow(run, schema)
@@ -267,7 +319,7 @@ def digests(docs: DataFrame) -> DataFrame:
                 media = mux(padded(text))
                 info = probe(media)
                 back = info.payload()
-                out.append((len(text), len(back), sha(back), zlib.crc32(back[-UNIT:]), len(media), sha(media), feature(info, back), info.seconds, len(info.offsets)))
+                out.append((len(text), len(back), sha(back), zlib.crc32(back[-UNIT:]), len(media), sha(media), feature(info, back), info.seconds, len(info.offsets), info.offsets))
             cols = [pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), list(_arrow(QUERY_SCHEMA))[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([rows.column(0), *cols], schema=_arrow(QUERY_SCHEMA))
 

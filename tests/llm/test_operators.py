@@ -206,6 +206,9 @@ def test_spot_pairs_against_all_pairs(spark, at_least):
     assert {(min(r.a, r.b), max(r.a, r.b)): r.likeness for r in got} == {k: v for k, v in likeness.items() if v >= at_least}
     assert len(got) == len({(r.a, r.b) for r in got})
     assert spot_sigs.near_pairs(table.limit(0)).count() == 0
+    linked = {r.doc_id: (r.class_id, r.n_links) for r in spot_sigs.links(table, at_least).collect()}
+    count = Counter(x for k, v in likeness.items() if v >= at_least for x in k)
+    assert linked == {d: (m.class_id, count[m.class_id]) for d, m in members.items()}
 
 
 def test_least_hashes_are_those_of_a_full_sort(spark):
@@ -256,7 +259,7 @@ def test_audio_round_trip_and_resynchronisation():
     media = mpeg_audio.mux(payload)
     info = mpeg_audio.probe(media)
     assert info.payload() == payload and info.table["frames"] == len(info.offsets) and info.broken == 0
-    assert info.samples == 1152 * len(info.offsets) and info.rate == 44100
+    assert info.samples == {44100: 1152 * len(info.offsets)}
     noisy = media[: info.offsets[2]] + b"\xff\x00junk\xff" + media[info.offsets[2] :]
     again = mpeg_audio.probe(noisy)
     assert again.payload() == payload and again.skipped == 7
@@ -276,6 +279,66 @@ def test_audio_round_trip_and_resynchronisation():
     assert tagged.tags["id3v1_title"] == "name" and tagged.payload() == payload[:64]
 
 
+def bits_crc(bits):
+    """The checksum by long division, bit by bit."""
+    crc = 0xFFFF
+    for b in bits:
+        top = crc >> 15
+        crc = crc << 1 & 0xFFFF
+        if top != int(b):
+            crc ^= 0x8005
+    return crc
+
+
+@pytest.mark.parametrize(("version", "layer", "mode", "extension", "covered"), [
+    (3, 3, 3, 0, 17 * 8), (3, 3, 0, 0, 32 * 8), (3, 3, 1, 2, 32 * 8), (2, 3, 3, 0, 9 * 8), (2, 3, 0, 0, 17 * 8), (0, 3, 1, 0, 17 * 8),
+    (3, 1, 3, 0, 128), (3, 1, 0, 0, 256), (3, 1, 1, 1, 4 * (8 * 2 + 24)), (3, 2, 3, 0, None), (3, 2, 0, 0, None), (3, 2, 1, 0, None), (2, 2, 0, 0, None),
+])
+def test_checksums_of_all_layers_and_modes(version, layer, mode, extension, covered):
+    rng = np.random.default_rng(version * 100 + layer * 10 + mode)
+    media = b""
+    for rate in (0, 1, 2):
+        head = bytes((0xFF, 0xE0 | version << 3 | (4 - layer) << 1, 9 << 4 | rate << 2, mode << 6 | extension << 4))
+        header = mpeg_audio.parse_header(head)
+        body = rng.integers(0, 256, header.size - 6, dtype=np.uint8).tobytes()
+        stream = "".join(f"{b:08b}" for b in body)
+        n = covered
+        if n is None:  # Layer II, read as a player would: allocations, then two bits for every one that isn't 0
+            channels, mpeg1 = 1 if mode == 3 else 2, version == 3
+            each = header.kbps // channels
+            widths = [4] * 4 + [3] * 7 + [2] * 19 if not mpeg1 else [4] * 11 + [3] * 12 + [2] * (4 if each < 96 or rate == 1 else 7)
+            assert not mpeg1 or each >= 56
+            n = used = 0
+            for band, w in enumerate(widths):
+                for _ in range(1 if mode == 1 and band >= 4 * (extension + 1) else channels):
+                    used += (int(stream[n : n + w], 2) > 0) * (channels if mode == 1 and band >= 4 * (extension + 1) else 1)
+                    n += w
+            n += 2 * used
+        crc = bits_crc("".join(f"{b:08b}" for b in head[2:]) + stream[:n])
+        media += head + crc.to_bytes(2, "big") + body
+        if rate == 1:
+            media += head + (crc ^ 1).to_bytes(2, "big") + body
+    info = mpeg_audio.probe(media)
+    assert (info.checked, info.broken, len(info.offsets), info.skipped) == (4, 1, 4, 0)
+    per = 384 if layer == 1 else 576 if layer == 3 and version != 3 else 1152
+    rates = [x >> {3: 0, 2: 1, 0: 2}[version] for x in (44100, 48000, 32000)]
+    assert info.samples == {rates[0]: per, rates[1]: 2 * per, rates[2]: per}
+    assert math.isclose(info.seconds, per / rates[0] + 2 * per / rates[1] + per / rates[2])
+
+
+def test_audio_query_against_plain_python(spark, folder):
+    table = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{folder}/documents.parquet").collect() if r.doc_id is not None}
+    for r in mpeg_audio.query(spark, folder).collect():
+        text = table.get(r.doc_id, WORDS).encode()
+        payload = text + bytes(-len(text) % 64 if text else 64)
+        media = mpeg_audio.mux(payload)
+        assert (r.n_bytes, r.payload_bytes, r.media_bytes) == (len(text), len(payload), len(media))
+        assert r.payload_sha256 == hashlib.sha256(payload).hexdigest() and r.tail_crc32 == zlib.crc32(payload[-64:]) and r.media_sha256 == hashlib.sha256(media).hexdigest()
+        assert r.n_frames == len(r.seek_offsets) == -(-len(payload) // max(mpeg_audio.ROOM)) and math.isclose(r.seconds, r.n_frames * 1152 / 44100)
+        assert all(media[at : at + 2] == b"\xff\xfa" for at in r.seek_offsets)
+        assert f";sum={sum(payload)};power={sum(b * b for b in payload)}" in r.feature and f"samples={r.n_frames * 1152}/44100;" in r.feature
+
+
 def test_spot_signatures(spark):
     rows = {r.doc_id: r for r in spot_sigs.query(spark, "/root/testdata/sf0.001").collect()}
     table = {r.doc_id: r.text or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
@@ -300,6 +363,27 @@ def test_spot_signatures(spark):
         assert math.isclose(r.near_edited, len(a & b) / len(a | b)) and math.isclose(r.near_next, len(a & c) / len(a | c))
 
 
+@pytest.mark.parametrize("ids", ["dense", "sparse", "one", "none", "mixed"])
+def test_next_documents(spark, monkeypatch, ids):
+    """Whatever the ids, each row's next text follows in one circle, ids ascend along it, and no range is large."""
+    monkeypatch.setattr(spot_sigs, "WIDTH", 4)
+    of = {"dense": lambda i: i, "sparse": lambda i: 2**61 + i * 4096 if i % 2 else i * 2**40 - 2**60, "one": lambda i: 7, "none": lambda i: None, "mixed": lambda i: [None, 5, i, 2**62 + i * 8192, -i][i % 5]}[ids]
+    rows = [(of(i), f"text {i}") for i in range(200)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.text: (r.doc_id, r._next_text) for r in spot_sigs.with_next(table, {}).collect()}
+    assert {t: i for t, (i, _) in got.items()} == {t: i for i, t in rows} and {x for _, x in got.values()} == set(got)
+    key = lambda t: spot_sigs.NULL_ID if got[t][0] is None else got[t][0]
+    assert sum(key(t) > key(x) for t, (_, x) in got.items()) == (len({key(t) for t in got}) > 1)
+    at = rows[0][1]
+    for _ in range(200):
+        at = got[at][1]
+    assert at == rows[0][1]
+    assert max(r["count"] for r in spot_sigs._ranges(table).groupBy("_range").count().collect()) <= 16
+    same = spark.createDataFrame([(1, "a")] * 3 + [(2, "b")], "doc_id long, text string")
+    assert sorted((r.text, r._next_text) for r in spot_sigs.with_next(same, {}).collect()) == [("a", "a"), ("a", "a"), ("a", "b"), ("b", "a")]
+    assert spot_sigs.with_next(same.where("doc_id = 2"), {}).first()._next_text == "b" and spot_sigs.with_next(same.limit(0), {}).count() == 0
+
+
 def test_license_families(spark):
     texts = [f"{WORDS}\n{t}\n{WORDS[::-1]}" for _, t in license_scan.TEMPLATES] + [WORDS] * 5 + ["License to the old mill is granted by the river"]
     table = docs(spark, texts)
