@@ -5,17 +5,26 @@ how often the context h occurred. The mixture weights are learned by expectation
 counts come from the training documents without a held-out fold of them, likelihoods from
 that fold. Scores then use the counts of all training documents.
 
-All counting is exact. Texts are cut into blocks; a block asks for the counts of its distinct
-words and word pairs (64-bit hashes) and contributes its own, one row per slice of the hash
-space. A slice's task adds them up and answers every block that asked. A frequent word is one
-number per block, so no task grows with a word's frequency, and no table is broadcast.
-
-Null texts count as empty: one token, the end. Repeated rows count as often as they occur.
-Without training documents every token is unknown.
+Texts are cut into blocks; a block asks for the counts of its distinct words and word pairs
+(64-bit hashes) and contributes its own, one row per slice of the hash space. A slice's task adds
+them up and answers every block that asked. A frequent word is one number per block, so no task
+grows with a word's frequency, and no table is broadcast. Slices are as many as keep a slice's
+share of the text at SLICE_BYTES; blocks grow with the square root of the text, up to MOST_BYTES,
+so that the rows between blocks and slices stay few. Beyond that size, at about 0.3 TB, they grow
+with the square of the text.
+
+Every occurrence of all training documents is counted, by hash: two of n words or pairs are taken
+for one with odds of n^2 / 2^65, one in fifty for a billion of them; of 10^13, one in two
+million shares its count with another one.
+
+Null texts count as empty: one token, the end. Repeated rows count as often as they occur. A text
+longer than a block is a block of its own. Without training documents every token is unknown; an
+empty table gives no rows; other columns aren't looked at.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 
 import numpy as np
@@ -25,13 +34,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gazette.llm.common import documents, hashed_words, mix, text_blocks
-from gazette.sources.tables import materialise
+from gazette.llm.common import BLOCK_BYTES, documents, hashed_words, mix, text_blocks
+from gazette.sources.tables import Workspace, materialise
 
 FOLDS, HELD_OUT, TUNING = 7, 2, 3
 BUCKETS = 24
 STEP = 8  # likelihoods are grouped by eighths of a power of two for the EM
 ROUNDS = 60
+#: Bytes of text of which a slice counts the words, and the most that a block holds.
+SLICE_BYTES, MOST_BYTES = 16 << 20, 16 << 20
 END, START = np.uint64(0x51ED270B27B5A0F1), np.uint64(0xC2B2AE3D27D4EB4F)
 SCORE_SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
@@ -40,14 +51,21 @@ def _role(doc_id) -> int:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % FOLDS
 
 
-def _blocks(docs: DataFrame) -> DataFrame:
+def _sizes(docs: DataFrame) -> tuple[int, int]:
+    """Slices, and bytes of a block."""
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    slices = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // SLICE_BYTES))
+    return slices, min(MOST_BYTES, max(BLOCK_BYTES, 32 * math.isqrt(total)))
+
+
+def _blocks(docs: DataFrame, limit: int) -> DataFrame:
     """Texts in blocks, those of the tuning fold in blocks of their own with odd ids."""
     schema = "block long, doc_ids array<long>, sizes array<int>, texts binary"
 
     def run(batches):
         pack = zstandard.ZstdCompressor(level=1)
         made = TaskContext.get().partitionId() << 32
-        for values, rows in text_blocks(batches):
+        for values, rows in text_blocks(batches, limit=limit):
             ids = rows.column(0).to_pylist()
             for odd in (0, 1):
                 own = [i for i, x in enumerate(ids) if (_role(x) == TUNING) == odd]
@@ -239,16 +257,20 @@ def mixture(code: np.ndarray, n: np.ndarray, unknown: float, rounds: int = ROUND
 
 def score(docs: DataFrame) -> DataFrame:
     """One row per document (SCORE_SCHEMA)."""
-    spark = docs.sparkSession
-    slices = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    blocks = materialise(_blocks(docs), "lm-blocks")
-    replies = materialise(_replies(_requests(blocks, slices), slices), "lm-counts")
-    stats = replies.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("n_distinct", "n_tokens", "n_tuning")]).first()
-    distinct, counted, tuning = map(int, stats)
-    rows = _histogram(blocks, replies, slices, counted).toPandas().sort_values("code", ignore_index=True)
-    weights = mixture(rows["code"].to_numpy(np.int64), rows["n"].to_numpy(float), 1 / (distinct + 1))
-    total = counted + tuning
-
+    with Workspace(docs.sparkSession, "lm") as tables:
+        slices, limit = _sizes(docs)
+        blocks = tables.write(_blocks(docs, limit), "blocks")
+        replies = tables.write(_replies(_requests(blocks, slices), slices), "counts")
+        stats = replies.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("n_distinct", "n_tokens", "n_tuning")]).first()
+        distinct, counted, tuning = map(int, stats)
+        rows = _histogram(blocks, replies, slices, counted).toArrow()
+        code, n = rows["code"].to_numpy(), rows["n"].to_numpy().astype(float)
+        order = np.argsort(code)
+        weights = mixture(code[order], n[order], 1 / (distinct + 1))
+        return materialise(_scored(blocks, replies, slices, distinct, counted + tuning, weights), "lm-scores")
+
+
+def _scored(blocks: DataFrame, replies: DataFrame, slices: int, distinct: int, total: int, weights: np.ndarray) -> DataFrame:
     def run(key, block, answers):
         ids, per, (w0, p0, w1, p1), at, context_at, pair_at = _looked_up(block, answers, slices)
         words, pairs = w0 + w1, p0 + p1

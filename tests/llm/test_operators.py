@@ -254,6 +254,86 @@ def test_lookup_table_by_turns():
     assert sum(a != b for a, b in zip(full, less, strict=True)) < 1009 * 0.4
 
 
+def test_placement_of_rows(spark, tmp_path):
+    names = [f"n{i}" for i in range(5)]
+    rows = spark.createDataFrame([(f"k{i}" if i else None, "old", -1, i) for i in range(300)], "shard string, slot string, at int, file int")
+    table = sharding.lookup_table(names, 1009)
+    slot = lambda k: int(hashlib.md5((k or "").encode()).hexdigest()[:15], 16) % 1009
+    keys = {i: f"k{i}" if i else None for i in range(300)}
+    got = sharding.place(rows, "shard", names, 1009)
+    assert sorted(got.columns) == ["at", "file", "shard", "slot"]
+    assert {r.file: (r.slot, r.shard, r["at"]) for r in got.collect()} == {i: (slot(k), table[slot(k)], -1) for i, k in keys.items()}
+    sharding.write_sharded(rows, "shard", names, str(tmp_path / "out"), 2, 1009)
+    assert {r.file: r.shard for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {i: table[slot(k)] for i, k in keys.items()}
+    with pytest.raises(ValueError):
+        sharding.lookup_table(names, 1009, [0] * 5)
+    weighted = Counter(sharding.lookup_table(names, 1009, [3, 1, 1, 1, 0]))
+    assert weighted[4] == 0 and abs(weighted[0] - 3 * weighted[1]) <= 3
+
+
+def test_sharding_query_against_the_table(spark, folder):
+    names = [f"shard-{i:04d}" for i in range(sharding.SHARDS)]
+    table, less = sharding.lookup_table(names), sharding.lookup_table(names[:-1])
+    for r in sharding.query(spark, folder).collect():
+        slot = int(hashlib.md5(("" if r.doc_id is None else str(r.doc_id)).encode()).hexdigest()[:15], 16) % sharding.TABLE_SIZE
+        assert (r.slot, r.shard, r.shard_without_last, r.moved) == (slot, table[slot], less[slot], table[slot] != less[slot])
+
+
+def test_kneser_ney_against_plain_counts(spark):
+    """The ratio of every word by the definition: shared continuation counts below, class counts on top."""
+    order, shared, d, top = toxicity.ORDER, toxicity.SHARED_ORDER, toxicity.DISCOUNT, toxicity.TOP_DISCOUNT
+    texts = [("rotten apples and rotten lies", 1)] * 4 + [("apples are fine and the river is fine", 0)] * 5 + [("lies", 1), ("été 日本 ſtrasse", 0)]
+    table = spark.createDataFrame(texts, "text string, toxic int")
+    model = toxicity.KneserNey(toxicity._counts(table, order, shared, top))
+    grams = (Counter(), Counter())
+    marked = lambda w: chr(2) * (order - 1) + w + chr(3)
+    for text, toxic in texts:
+        for w in toxicity._words(text.lower()):
+            grams[toxic].update(marked(w)[i : i + order] for i in range(len(w) + 1))
+    kinds = [Counter(g[order - shared :] for g in set(grams[0]) | set(grams[1]))]
+    while len(next(iter(kinds[-1]))) > 1:
+        kinds.append(Counter(g[1:] for g in kinds[-1]))
+
+    def lower(g):
+        n = len(g)
+        own = kinds[shared - n]
+        if n == 1:
+            return (max(own[g] - d, 0) + d * len(own) / 65536) / sum(own.values())
+        under = {k: v for k, v in own.items() if k[:-1] == g[:-1]}
+        return (max(own[g] - d, 0) + d * len(under) * lower(g[1:])) / sum(under.values()) if under else lower(g[1:])
+
+    def full(g, own):
+        under = {k: v for k, v in own.items() if k[:-1] == g[:-1]}
+        p = lower(g[order - shared :])
+        return (max(own[g] - top, 0) + sum(min(v, top) for v in under.values()) * p) / sum(under.values()) if under else p
+
+    words = ["rotten", "apples", "lies", "fine", "river", "new", "rot", "日本", "x"]
+    want = [sum(math.log(full(marked(w)[i : i + order], grams[1])) - math.log(full(marked(w)[i : i + order], grams[0])) for i in range(len(w) + 1)) for w in words]
+    assert np.allclose(model.ratios(words), want)
+    assert want[0] > 0.5 and want[3] < 0
+
+
+def test_toxicity_with_labels_of_one_kind(spark, tmp_path):
+    """Nothing to learn: one smoothed share for all, and the pipeline's stage keeps every document."""
+    table = docs(spark, TEXTS)
+    spark.createDataFrame([(i, 1) for i in range(9)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    model = toxicity.fit(table, spark.read.parquet(f"{tmp_path}/labels.parquet"))
+    assert model.language is None and model.prior > toxicity.THRESHOLD
+    assert {r.score for r in toxicity.score(table, model).collect()} == {model.prior}
+    assert corpus_pipeline.toxic_documents_go(spark, table, str(tmp_path)).count() == len(TEXTS)
+
+
+def test_toxicity_keeps_columns_and_bounds_its_text(spark):
+    texts = [f"rotten lies {i} rotten" for i in range(40)] + [f"the fine river {i}" for i in range(40)] + [None, ""]
+    table, labels = docs(spark, texts), spark.createDataFrame([(i, int(i < 40)) for i in range(80)], "doc_id long, toxic int")
+    model = toxicity.fit(table, labels)
+    out = toxicity.score(table, model)
+    assert sorted(out.columns) == sorted(table.columns) and all(0 <= r.score <= 1 for r in out.collect())
+    few = toxicity.fit(table, labels, max_chars=250)
+    assert 0 < few.prior < 1 and few.language is not None
+    assert few.language.top.values.sum() < model.language.top.values.sum()
+
+
 def test_audio_round_trip_and_resynchronisation():
     payload = mpeg_audio.padded(bytes(range(256)) * 20)
     media = mpeg_audio.mux(payload)
@@ -496,5 +576,44 @@ def test_lm_scores_against_plain_counts(spark):
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held(i), len(own), sum(count[x] > 0 for x in own), n)
         assert math.isclose(r.base_score, sum(math.log10((count[x] + 1) / (n + v + 1)) for x in own), rel_tol=1e-9)
         assert r.score < 0
+    # The model again, with plain dictionaries, one likelihood per token and textbook EM.
+    role = lambda i: zlib.crc32(str(i).encode()) % 7
+    pairs = [list(zip(["<s>", *own[:-1]], own, strict=True)) for own in tokens]
+    tune = [i for i in range(len(texts)) if role(i) == lm_scoring.TUNING]
+    rest = [i for i in range(len(texts)) if not held(i) and role(i) != lm_scoring.TUNING]
+    of = lambda ids: (Counter(x for i in ids for x in tokens[i]), Counter(p for i in ids for p in pairs[i]), Counter(h for i in ids for h, _ in pairs[i]))
+    bucket = lambda c: min(c.bit_length(), lm_scoring.BUCKETS - 1)
+
+    def likelihoods(h, w, words, two, before):
+        return np.array([1 / (v + 1), words[w] / sum(words.values()), two[h, w] / before[h] if before[h] else 0.0])
+
+    def learn(x, lean, strength):
+        a = np.full(3, 1 / 3)
+        for _ in range(lm_scoring.ROUNDS):
+            part = a * x
+            part /= part.sum(1, keepdims=True)
+            a = part.sum(0) + lean * strength
+            a /= a.sum()
+        return a
+
+    counts = of(rest)
+    step = lambda q: 2.0 ** (-round(-math.log2(q) * lm_scoring.STEP) / lm_scoring.STEP) if q > 0 else 0.0  # noqa: E731  as grouped for the EM
+    seen = defaultdict(list)
+    for i in tune:
+        for h, w in pairs[i]:
+            x = likelihoods(h, w, *counts)
+            seen[bucket(counts[2][h])].append([x[0], step(x[1]), step(x[2])])
+    mean = learn(np.array([x for own in seen.values() for x in own]), np.full(3, 1 / 3), 1.0)
+    weights = {b: learn(np.array(own), mean, 20.0) for b, own in seen.items()}
+    final = of([*rest, *tune])
+    for i, own in enumerate(pairs):
+        want = 0.0
+        for h, w in own:
+            a = weights.get(bucket(final[2][h]), mean).copy()
+            if not final[2][h]:
+                a[2] = 0
+                a /= a.sum()
+            want += math.log10(a @ likelihoods(h, w, *final))
+        assert math.isclose(rows[i].score, want, rel_tol=1e-6), (i, rows[i].score, want)
     test = [i for i in rows if held(i)]
     assert sum(rows[i].score for i in test) > sum(rows[i].base_score for i in test)
