@@ -8,8 +8,9 @@ token is padding; what is left joins the next group, and at the task's end it fi
 sequences of power-of-two sizes, which need no padding either.
 
 Null texts count as empty: one piece with the closing id alone. Repeated rows are packed
-each on its own; of equally long documents the earlier row goes first. An empty table
-gives no pieces.
+each on its own; of equally long documents the earlier row goes first. A text longer than a group
+is a group of its own, cut into sequences like others. An empty table gives no pieces; other
+columns aren't looked at.
 """
 
 from __future__ import annotations

@@ -7,7 +7,8 @@ hash(key) mod size: constant time, even shares (slots per shard differ by one at
 few keys move when a shard comes or goes. Weighted shards take several turns a round.
 
 The table's size is a parameter, so the broadcast is bounded whatever the data.
-A null key is placed as the empty text; equal keys land together; an empty table gives no rows.
+A null key is placed as the empty text; equal keys land together, so repeated rows do; keys of any
+length are hashed whole; an empty table gives no rows; columns named slot or shard are replaced.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gazette.llm.common import documents
+from gazette.sources.tables import fresh
 
 TABLE_SIZE = 65537
 SHARDS = 256
@@ -31,6 +33,8 @@ def lookup_table(shards: list[str], size: int = TABLE_SIZE, weights: list[int] |
     """Slot -> index of its shard."""
     if not is_prime(size) or not 0 < len(shards) <= size:
         raise ValueError("the size must be a prime not below the number of shards")
+    if weights is not None and (len(weights) != len(shards) or min(weights) < 0 or not any(weights)):
+        raise ValueError("a weight per shard, none below 0 and one above it")
     starts = []
     for name in shards:
         digest = hashlib.md5(name.encode()).digest()
@@ -56,17 +60,20 @@ def slot_of(key: Column, size: int = TABLE_SIZE) -> Column:
 
 
 def place(df: DataFrame, key: str, shards: list[str], size: int = TABLE_SIZE, weights: list[int] | None = None) -> DataFrame:
-    """df with slot and shard (index into shards)."""
-    spark = df.sparkSession
+    """df with slot and shard (index into shards), in place of columns of these names."""
     table = lookup_table(shards, size, weights)
-    rows = spark.createDataFrame(list(enumerate(table)), "slot long, shard int")
-    return df.withColumn("slot", slot_of(F.col(key), size)).join(F.broadcast(rows), "slot", "left")
+    rows = df.sparkSession.createDataFrame(list(enumerate(table)), "slot long, shard int")
+    (at,) = fresh(df, "at")
+    placed = df.withColumn(at, slot_of(F.col(f"`{key}`"), size)).drop("slot", "shard").withColumnRenamed(at, "slot")
+    return placed.join(F.broadcast(rows), "slot", "left")
 
 
 def write_sharded(df: DataFrame, key: str, shards: list[str], path: str, files_per_shard: int = 1, size: int = TABLE_SIZE) -> None:
     """One folder shard=N per shard; files_per_shard spreads each over as many tasks."""
-    placed = place(df, key, shards, size).withColumn("_file", F.col("slot") % files_per_shard)
-    placed.repartition(len(shards) * files_per_shard, "shard", "_file").drop("slot", "_file").write.partitionBy("shard").parquet(path)
+    placed = place(df, key, shards, size)
+    (file,) = fresh(placed, "file")
+    placed = placed.withColumn(file, F.col("slot") % files_per_shard)
+    placed.repartition(len(shards) * files_per_shard, "shard", file).drop("slot", file).write.partitionBy("shard").parquet(path)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
