@@ -71,15 +71,22 @@ def _grams(points: np.ndarray, order: int) -> list[np.ndarray]:
 
 
 class Table:
-    """Hash -> row of numbers, 0 for what isn't there."""
+    """Hash -> row of numbers, 0 for what isn't there. The first bits of a hash lead to a place at or just before its own."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
         order = np.argsort(keys)
         self.keys = np.concatenate((keys[order], [np.uint64(2**64 - 1)]))
         self.values = np.concatenate((values[order], np.zeros((1, values.shape[1]))))
+        bits = max(1, len(keys).bit_length())
+        self.shift = np.uint64(64 - bits)
+        self.start = np.searchsorted(self.keys, np.arange(1 << bits, dtype=np.uint64) << self.shift).astype(np.int32)
 
     def __call__(self, keys: np.ndarray) -> np.ndarray:
-        at = np.searchsorted(self.keys, keys)
+        at = self.start[(keys >> self.shift).astype(np.int64)]
+        short = np.flatnonzero(self.keys[at] < keys)
+        while len(short):
+            at[short] += 1
+            short = short[self.keys[at[short]] < keys[short]]
         return self.values[np.where(self.keys[at] == keys, at, len(self.keys) - 1)]
 
 
