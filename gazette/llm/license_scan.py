@@ -94,7 +94,8 @@ def grams(ws: Column, n: int) -> Column:
 
 def terms(ws: Column) -> Column:
     """Words, then word pairs: 2 n - 1 terms of n words."""
-    return let(ws, lambda x: F.concat(x, grams(x, 2)))
+    pair = lambda a, b: F.concat(a, F.lit(" "), b)
+    return let(ws, lambda x: F.concat(x, F.zip_with(F.slice(x, 1, F.greatest(F.size(x) - 1, F.lit(0))), F.slice(x, F.lit(2), F.size(x)), pair)))
 
 
 def pairs(found: Column) -> Column:
