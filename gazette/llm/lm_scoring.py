@@ -99,31 +99,36 @@ def _pairs(token: np.ndarray, before: np.ndarray) -> np.ndarray:
     return mix(before * np.uint64(0x9E3779B97F4A7C15) + token)
 
 
-def _slim(x: np.ndarray) -> bytes:
-    """Whole numbers in the least width that holds them; nothing if all are 0."""
-    top = int(x.max(initial=0))
-    kind = next(k for k in "1248" if top < 256 ** int(k))
-    return kind.encode() + x.astype(f"<u{kind}").tobytes() if top else b""
-
-
-def _wide(raw: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(raw[1:], f"<u{raw[:1].decode()}").astype(np.int64) if raw else np.zeros(n, np.int64)
+def _packed(x: np.ndarray) -> bytes:
+    """Whole numbers in the width that takes least room; those it can't hold follow in eight bytes each. Nothing if all are 0."""
+    x = x.astype("<u8")
+    if not x.any():
+        return b""
+    most = lambda w: np.uint64(256**w - 1)
+    width = min(range(1, 9), key=lambda w: len(x) * w + (8 * np.count_nonzero(x >= most(w)) if w < 8 else 0))
+    beyond = x[x >= most(width)] if width < 8 else x[:0]
+    return bytes([width]) + np.minimum(x, most(width)).view(np.uint8).reshape(-1, 8)[:, :width].tobytes() + beyond.tobytes()
+
+
+def _unpacked(raw: bytes, n: int) -> np.ndarray:
+    if not raw:
+        return np.zeros(n, np.uint64)
+    width = raw[0]
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :width] = np.frombuffer(raw, np.uint8, n * width, 1).reshape(n, width)
+    out = out.reshape(-1).view("<u8")
+    if width < 8:
+        out[out == np.uint64(256**width - 1)] = np.frombuffer(raw, "<u8", offset=1 + n * width)
+    return out
 
 
 def _squeezed(keys: np.ndarray) -> bytes:
-    """Sorted 64-bit keys as differences of six bytes where they fit."""
-    gaps = np.diff(keys, prepend=np.uint64(0)).astype("<u8")
-    first = gaps[:1].tobytes()
-    width = 6 if int(gaps[1:].max(initial=0)) < 1 << 48 else 8
-    return bytes([width]) + first + gaps[1:].view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+    """Sorted 64-bit keys as their differences."""
+    return _packed(np.diff(keys, prepend=np.uint64(0)))
 
 
-def _unsqueezed(raw: bytes) -> np.ndarray:
-    width, rest = raw[0], np.frombuffer(raw[9:], np.uint8)
-    gaps = np.zeros((len(rest) // width + 1, 8), np.uint8)
-    gaps[0] = np.frombuffer(raw[1:9], np.uint8)
-    gaps[1:, :width] = rest.reshape(-1, width)
-    return np.cumsum(gaps.reshape(-1).view("<u8"), dtype=np.uint64)
+def _unsqueezed(raw: bytes, n: int) -> np.ndarray:
+    return np.cumsum(_unpacked(raw, n), dtype=np.uint64)
 
 
 def _distinct(row: dict):
@@ -151,7 +156,7 @@ def _requests(blocks: DataFrame, slices: int) -> DataFrame:
                     cuts = np.searchsorted(keys, (np.arange(slices + 1, dtype=object) * (1 << 64) // slices)[1:-1].astype(np.uint64)) if slices > 1 else []
                     for s, (lo, hi) in enumerate(zip([0, *cuts], [*cuts, len(keys)], strict=True)):
                         if hi > lo:
-                            own = _slim(counts[lo:hi])
+                            own = _packed(counts[lo:hi])
                             out.append((kind * slices + s, row["block"], hi - lo, _squeezed(keys[lo:hi]), b"" if odd else own, own if odd else b""))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["part", "block", "n", "keys", "counts", "tuning"])
 
@@ -165,8 +170,8 @@ def _replies(requests: DataFrame, slices: int) -> DataFrame:
     def run(key, table):
         rows = table.to_pylist()
         part = rows[0]["part"]
-        keys, at = np.unique(np.concatenate([_unsqueezed(r["keys"]) for r in rows]), return_inverse=True)
-        sums = [np.bincount(at, np.concatenate([_wide(r[c], r["n"]) for r in rows]), len(keys)).astype(np.int64) for c in ("counts", "tuning")]
+        keys, at = np.unique(np.concatenate([_unsqueezed(r["keys"], r["n"]) for r in rows]), return_inverse=True)
+        sums = [np.bincount(at, np.concatenate([_unpacked(r[c], r["n"]).astype(np.int64) for r in rows]), len(keys)).astype(np.int64) for c in ("counts", "tuning")]
         stats = [0, 0, 0]
         if part < slices:
             real = keys != START
@@ -175,7 +180,7 @@ def _replies(requests: DataFrame, slices: int) -> DataFrame:
         for i, r in enumerate(rows):
             own = at[begin : begin + r["n"]]
             begin += r["n"]
-            out.append((part, r["block"], r["n"], _slim(sums[0][own]), _slim(sums[1][own]), *(stats if i == 0 else (0, 0, 0))))
+            out.append((part, r["block"], r["n"], _packed(sums[0][own]), _packed(sums[1][own]), *(stats if i == 0 else (0, 0, 0))))
         types = (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=[x.split()[0] for x in schema.split(", ")])
 
@@ -187,7 +192,7 @@ def _counts_of(replies: list[dict], slices: int, words: int, pairs: int) -> list
     out = []
     for column in ("counts", "tuning"):
         for kind, n in ((0, words), (1, pairs)):
-            own = [_wide(r[column], r["n"]) for r in replies if (r["part"] >= slices) == kind]
+            own = [_unpacked(r[column], r["n"]).astype(np.int64) for r in replies if (r["part"] >= slices) == kind]
             own = np.concatenate(own) if own else np.zeros(0, np.int64)
             if len(own) != n:
                 raise ValueError(f"{len(own)} counts for {n} keys")

@@ -617,3 +617,15 @@ def test_lm_scores_against_plain_counts(spark):
         assert math.isclose(rows[i].score, want, rel_tol=1e-6), (i, rows[i].score, want)
     test = [i for i in rows if held(i)]
     assert sum(rows[i].score for i in test) > sum(rows[i].base_score for i in test)
+
+
+def test_lm_numbers_packed_in_the_least_width():
+    rng = np.random.default_rng(1)
+    ones = np.ones(1000, np.uint64)
+    for x in (ones[:0], ones - ones, np.array([255, 254, 0, 256, 2**64 - 1], np.uint64), rng.integers(0, 2**63, 500).astype(np.uint64), np.concatenate((ones, [255, 300, 2**40])).astype(np.uint64)):
+        raw = lm_scoring._packed(x)
+        assert (lm_scoring._unpacked(raw, len(x)) == x).all() and len(raw) <= 1 + 8 * len(x)
+    assert len(lm_scoring._packed(np.concatenate((ones, [300])).astype(np.uint64))) == 1 + 1001 + 8
+    keys = np.unique(rng.integers(0, 2**63, 5000).astype(np.uint64))
+    raw = lm_scoring._squeezed(keys)
+    assert (lm_scoring._unsqueezed(raw, len(keys)) == keys).all() and len(raw) < 7.01 * len(keys)
