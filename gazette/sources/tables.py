@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A key is hot if more than one row in so many has it; there can't be more hot keys than this.
 HOT_KEYS = 4096
+#: Spark's own setting by which a query's shuffle files go when it ends.
+FREES_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -23,11 +27,23 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+@contextmanager
+def shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of a table's job go once the table is written, instead of when the driver next collects garbage."""
+    before = spark.conf.get(FREES_SHUFFLES, "false")
+    spark.conf.set(FREES_SHUFFLES, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(FREES_SHUFFLES, before)
+
+
 def materialise(df: DataFrame, what: str) -> DataFrame:
     """Cut the lineage: write df as Parquet in the shared folder and read it again. The table stays there for the caller."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with shuffles_freed(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -40,7 +56,8 @@ class Workspace:
     def write(self, df: DataFrame, name: str) -> DataFrame:
         """df as a table of its own, which goes with the workspace or when the name is written again."""
         path = f"{shared_folder(self.spark)}/{self.what}-{name}-{uuid.uuid4().hex}"
-        df.write.parquet(path)
+        with shuffles_freed(self.spark):
+            df.write.parquet(path)
         self.drop(name)
         self.paths[name] = path
         return self.spark.read.schema(df.schema).parquet(path)

@@ -151,3 +151,12 @@ def test_against_duckdb(spark, name):
         db.execute(f"create view {table} as select * from '{SF}/{table}.parquet'")
     expected = db.execute("select " + ", ".join(f'"{c}"' for c in columns) + f" from ({ORACLE_SQL[name]})").fetchall()
     assert sorted(map(str, (tuple(r) for r in found.select(columns).collect()))) == sorted(map(str, expected))
+
+
+def test_writing_tables_leaves_the_settings_alone(spark):
+    before = spark.conf.get(tables.FREES_SHUFFLES, "false")
+    assert tables.materialise(spark.range(100).repartition(3, "id"), "freed").count() == 100
+    assert spark.conf.get(tables.FREES_SHUFFLES) == before
+    with pytest.raises(Exception), tables.Workspace(spark, "freed") as w:
+        w.write(spark.range(3).select(F.raise_error(F.lit("no"))), "never")
+    assert spark.conf.get(tables.FREES_SHUFFLES) == before
