@@ -10,8 +10,12 @@ Texts are cut into blocks; a block asks for the counts of its distinct words and
 them up and answers every block that asked. A frequent word is one number per block, so no task
 grows with a word's frequency, and no table is broadcast. Slices are as many as keep a slice's
 share of the text at SLICE_BYTES; blocks grow with the square root of the text, up to MOST_BYTES,
-so that the rows between blocks and slices stay few. Beyond that size, at about 0.3 TB, they grow
-with the square of the text.
+so that the rows between blocks and slices stay few.
+
+More than FANOUT slices (64 GB of text) are too many to ask each: a block then asks the square
+root of their number of coarse slices, groups of as many blocks add up what they ask of a coarse
+slice, and the group asks its fine slices once for all of them. So the rows grow as the text to
+the power 1.5 at any size, and the results are the same.
 
 Every occurrence of all training documents is counted, by hash: two of n words or pairs are taken
 for one with odds of n^2 / 2^65, one in fifty for a billion of them; of 10^13, one in two
@@ -43,7 +47,11 @@ STEP = 8  # likelihoods are grouped by eighths of a power of two for the EM
 ROUNDS = 60
 #: Bytes of text of which a slice counts the words, and the most that a block holds.
 SLICE_BYTES, MOST_BYTES = 16 << 20, 16 << 20
+#: Slices that blocks ask directly; more are asked by groups of blocks.
+FANOUT = 4096
 END, START = np.uint64(0x51ED270B27B5A0F1), np.uint64(0xC2B2AE3D27D4EB4F)
+REQUESTS = "part int, block long, n int, keys binary, counts binary, tuning binary"
+REPLIES = "part int, block long, n int, counts binary, tuning binary, n_distinct long, n_tokens long, n_tuning long"
 SCORE_SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
@@ -51,11 +59,16 @@ def _role(doc_id) -> int:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % FOLDS
 
 
-def _sizes(docs: DataFrame) -> tuple[int, int]:
-    """Slices, and bytes of a block."""
+def _sizes(docs: DataFrame) -> tuple[int, int, int, int]:
+    """Slices that a block asks, finer ones in each of these, groups of blocks, and bytes of a block."""
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     slices = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // SLICE_BYTES))
-    return slices, min(MOST_BYTES, max(BLOCK_BYTES, 32 * math.isqrt(total)))
+    limit = min(MOST_BYTES, max(BLOCK_BYTES, 32 * math.isqrt(total)))
+    if slices <= FANOUT:
+        return slices, 1, 1, limit
+    fine = math.isqrt(slices - 1) + 1
+    slices = -(-slices // fine)
+    return slices, fine, max(1, -(-total // (limit * slices))), limit
 
 
 def _blocks(docs: DataFrame, limit: int) -> DataFrame:
@@ -140,9 +153,21 @@ def _distinct(row: dict):
     return ids, token, before, per, words, word_at, pairs, pair_at
 
 
-def _requests(blocks: DataFrame, slices: int) -> DataFrame:
-    schema = "part int, block long, n int, keys binary, counts binary, tuning binary"
+def _columns(rows: list[tuple], schema: str) -> pa.Table:
+    types = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    names, kinds = zip(*(x.split() for x in schema.split(", ")), strict=True)
+    return pa.Table.from_arrays([pa.array([r[i] for r in rows], types[k]) for i, k in enumerate(kinds)], names=list(names))
+
 
+def _parts(keys: np.ndarray, slices: int, first: int = 0, n: int | None = None):
+    """(slice, from, to) of sorted keys for the slices from first, n of them, that hold any."""
+    n = slices - first if n is None else n
+    bounds = np.array([(first + k) * (1 << 64) // slices for k in range(1, n)], np.uint64)
+    cuts = [0, *np.searchsorted(keys, bounds).tolist(), len(keys)]
+    return [(first + k, cuts[k], cuts[k + 1]) for k in range(n) if cuts[k + 1] > cuts[k]]
+
+
+def _requests(blocks: DataFrame, slices: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
@@ -153,38 +178,74 @@ def _requests(blocks: DataFrame, slices: int) -> DataFrame:
                 out = []
                 for kind, keys, at, w in ((0, words, word_at, np.concatenate((weight, trains))), (1, pairs, pair_at, weight)):
                     counts = np.bincount(at, w, len(keys)).astype(np.int64)
-                    cuts = np.searchsorted(keys, (np.arange(slices + 1, dtype=object) * (1 << 64) // slices)[1:-1].astype(np.uint64)) if slices > 1 else []
-                    for s, (lo, hi) in enumerate(zip([0, *cuts], [*cuts, len(keys)], strict=True)):
-                        if hi > lo:
-                            own = _packed(counts[lo:hi])
-                            out.append((kind * slices + s, row["block"], hi - lo, _squeezed(keys[lo:hi]), b"" if odd else own, own if odd else b""))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["part", "block", "n", "keys", "counts", "tuning"])
+                    for s, lo, hi in _parts(keys, slices):
+                        own = _packed(counts[lo:hi])
+                        out.append((kind * slices + s, row["block"], hi - lo, _squeezed(keys[lo:hi]), b"" if odd else own, own if odd else b""))
+                yield from _columns(out, REQUESTS).to_batches()
+
+    return blocks.mapInArrow(run, REQUESTS)
+
+
+def _united(rows: list[dict]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys of some requests, and where among them each request's keys are, one request after the other."""
+    return np.unique(np.concatenate([_unsqueezed(r["keys"], r["n"]) for r in rows]), return_inverse=True)
+
+
+def _added(rows: list[dict], at: np.ndarray, n: int) -> list[np.ndarray]:
+    """Sums of the requests' counts without and within the tuning fold, by key."""
+    return [np.bincount(at, np.concatenate([_unpacked(r[c], r["n"]).astype(np.int64) for r in rows]), n).astype(np.int64) for c in ("counts", "tuning")]
 
-    return blocks.mapInArrow(run, schema)
+
+def _answers(rows: list[dict], at: np.ndarray, sums: list[np.ndarray], stats: tuple[int, int, int] = (0, 0, 0)) -> pa.Table:
+    """A reply to each of the requests; stats stand in the first."""
+    out, begin = [], 0
+    for i, r in enumerate(rows):
+        own = at[begin : begin + r["n"]]
+        begin += r["n"]
+        out.append((r["part"], r["block"], r["n"], _packed(sums[0][own]), _packed(sums[1][own]), *(stats if i == 0 else (0, 0, 0))))
+    return _columns(out, REPLIES)
 
 
 def _replies(requests: DataFrame, slices: int) -> DataFrame:
     """For every request the counts of its keys without and within the tuning fold; distinct and all tokens once per slice."""
-    schema = "part int, block long, n int, counts binary, tuning binary, n_distinct long, n_tokens long, n_tuning long"
 
     def run(key, table):
         rows = table.to_pylist()
-        part = rows[0]["part"]
-        keys, at = np.unique(np.concatenate([_unsqueezed(r["keys"], r["n"]) for r in rows]), return_inverse=True)
-        sums = [np.bincount(at, np.concatenate([_unpacked(r[c], r["n"]).astype(np.int64) for r in rows]), len(keys)).astype(np.int64) for c in ("counts", "tuning")]
-        stats = [0, 0, 0]
-        if part < slices:
+        keys, at = _united(rows)
+        sums = _added(rows, at, len(keys))
+        stats = (0, 0, 0)
+        if rows[0]["part"] < slices:
             real = keys != START
-            stats = [int(((sums[0] + sums[1]) > 0)[real].sum()), int(sums[0][real].sum()), int(sums[1][real].sum())]
-        out, begin = [], 0
-        for i, r in enumerate(rows):
-            own = at[begin : begin + r["n"]]
-            begin += r["n"]
-            out.append((part, r["block"], r["n"], _packed(sums[0][own]), _packed(sums[1][own]), *(stats if i == 0 else (0, 0, 0))))
-        types = (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
-        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=[x.split()[0] for x in schema.split(", ")])
+            stats = (int(((sums[0] + sums[1]) > 0)[real].sum()), int(sums[0][real].sum()), int(sums[1][real].sum()))
+        return _answers(rows, at, sums, stats)
+
+    return requests.groupBy("part").applyInArrow(run, REPLIES)
+
+
+def _merged(asked: DataFrame, slices: int, fine: int) -> DataFrame:
+    """Requests of groups ("mid") of blocks, each for its own coarse slice, to the fine slices in that."""
+
+    def run(key, table):
+        rows = table.to_pylist()
+        keys, at = _united(rows)
+        without, within = _added(rows, at, len(keys))
+        kind, coarse = divmod(rows[0]["part"], slices)
+        parts = _parts(keys, slices * fine, coarse * fine, fine)
+        out = [(kind * slices * fine + s, rows[0]["mid"], hi - lo, _squeezed(keys[lo:hi]), _packed(without[lo:hi]), _packed(within[lo:hi])) for s, lo, hi in parts]
+        return _columns(out, REQUESTS)
+
+    return asked.groupBy("mid").applyInArrow(run, REQUESTS)
+
+
+def _handed_back(asked: DataFrame, answers: DataFrame) -> DataFrame:
+    """The replies to the groups' requests, as replies to the blocks' own."""
+
+    def run(key, own, answered):
+        rows, found = own.to_pylist(), sorted(answered.to_pylist(), key=lambda r: r["part"])
+        _, at = _united(rows)
+        return _answers(rows, at, [np.concatenate([_unpacked(r[c], r["n"]) for r in found]) for c in ("counts", "tuning")])
 
-    return requests.groupBy("part").applyInArrow(run, schema)
+    return asked.groupBy("mid").cogroup(answers.groupBy("block")).applyInArrow(run, REPLIES)
 
 
 def _counts_of(replies: list[dict], slices: int, words: int, pairs: int) -> list[np.ndarray]:
@@ -263,10 +324,18 @@ def mixture(code: np.ndarray, n: np.ndarray, unknown: float, rounds: int = ROUND
 def score(docs: DataFrame) -> DataFrame:
     """One row per document (SCORE_SCHEMA)."""
     with Workspace(docs.sparkSession, "lm") as tables:
-        slices, limit = _sizes(docs)
+        slices, fine, groups, limit = _sizes(docs)
         blocks = tables.write(_blocks(docs, limit), "blocks")
-        replies = tables.write(_replies(_requests(blocks, slices), slices), "counts")
-        stats = replies.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("n_distinct", "n_tokens", "n_tuning")]).first()
+        requests = _requests(blocks, slices)
+        if fine == 1:
+            replies = answers = tables.write(_replies(requests, slices), "counts")
+        else:
+            mid = F.col("part").cast("long") * groups + F.pmod(F.xxhash64("block"), F.lit(groups))
+            asked = tables.write(requests.withColumn("mid", mid), "asked")
+            answers = tables.write(_replies(_merged(asked, slices, fine), slices * fine), "answers")
+            replies = tables.write(_handed_back(asked, answers), "counts")
+            tables.drop("asked")
+        stats = answers.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("n_distinct", "n_tokens", "n_tuning")]).first()
         distinct, counted, tuning = map(int, stats)
         rows = _histogram(blocks, replies, slices, counted).toArrow()
         code, n = rows["code"].to_numpy(), rows["n"].to_numpy().astype(float)

@@ -619,6 +619,17 @@ def test_lm_scores_against_plain_counts(spark):
     assert sum(rows[i].score for i in test) > sum(rows[i].base_score for i in test)
 
 
+def test_lm_groups_of_blocks_ask_for_them(spark, folder, monkeypatch):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    plain = {r.doc_id: r for r in lm_scoring.score(docs).collect()}
+    monkeypatch.setattr(lm_scoring, "FANOUT", 2)
+    monkeypatch.setattr(lm_scoring, "BLOCK_BYTES", 1 << 10)
+    slices, fine, groups, _ = lm_scoring._sizes(docs)
+    assert slices > 1 and fine > 1 and groups > 1
+    grouped = {r.doc_id: r for r in lm_scoring.score(docs).collect()}
+    assert grouped == plain
+
+
 def test_lm_numbers_packed_in_the_least_width():
     rng = np.random.default_rng(1)
     ones = np.ones(1000, np.uint64)
