@@ -1,6 +1,6 @@
 """The queries of this subpackage and their SQL, where SQL can express them."""
 
-from gazette.llm import byte_bpe, license_scan, line_dedup, lm_scoring, mpeg_audio, near_dedup, packing, sharding, spot_sigs, toxicity
+from gazette.llm import byte_bpe, license_scan, line_dedup, lm_scoring, merkle, mpeg_audio, near_dedup, packing, sharding, spot_sigs, toxicity
 
 QUERIES = {
     "op1_packing": packing.query,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_license_scan": license_scan.query,
     "op9_line_dedup": line_dedup.query,
     "op10_lm_scoring": lm_scoring.query,
+    "op11_merkle_manifest": merkle.query,
     "spot_links": spot_sigs.links_query,
 }
 ORACLE_SQL: dict[str, str] = {
