@@ -8,8 +8,8 @@ likewise. A witness holds a leaf's siblings, level by level.
 Leaves are appended as a stream to an Appender, which keeps one open run per level. A leaf begins
 with an empty partial witness; when a run is complete (or the stream ends), every witness under it
 is extended by the run's siblings and the run's hash is appended to the level above. Aligned
-blocks of BLOCK leaves are streams of their own, wherever they run: their roots are nodes of the
-same tree, and are appended like leaves in the next round, BLOCK times fewer each time. Witnesses of
+blocks of FANOUT^HEIGHT leaves are streams of their own, wherever they run: their roots are nodes of the
+same tree, and are appended like leaves in the next round, a block's size times fewer each time. Witnesses of
 the rounds join from the top down, one row per block. No task holds more than a block and the
 witness above it, and the driver holds no node.
 
@@ -33,8 +33,9 @@ from pyspark.sql import functions as F
 from gazette.llm.common import documents, fold
 from gazette.sources.tables import Workspace, join_counted, materialise
 
-FANOUT, HEIGHT = 16, 2
-BLOCK = FANOUT**HEIGHT
+FANOUT = 16
+#: Levels of a block, which has FANOUT to that power leaves.
+HEIGHT = 2
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 TAMPERED = 5
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -129,12 +130,12 @@ def _by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list[d
         yield at, rows
 
 
-def _appended(nodes: list[str], n: int) -> tuple[str, list[list[str]]]:
+def _appended(nodes: list[str], n: int, height: int) -> tuple[str, list[list[str]]]:
     """Root and witnesses of a block in a group of n nodes: blocks among others have a fixed height."""
     tree = Appender()
     for node in nodes:
         tree.append(node)
-    return tree.close(HEIGHT if n > BLOCK else None), tree.witnesses
+    return tree.close(height if n > FANOUT**height else None), tree.witnesses
 
 
 def _flushed(out: list[tuple], schema: pa.Schema, every: int = 1) -> Iterator[pa.RecordBatch]:
@@ -143,7 +144,7 @@ def _flushed(out: list[tuple], schema: pa.Schema, every: int = 1) -> Iterator[pa
         out.clear()
 
 
-def _gathered(rows: DataFrame) -> DataFrame:
+def _gathered(rows: DataFrame, height: int) -> DataFrame:
     """A row per aligned block: grp, block, n, its nodes in order, ids, tampered nodes and its root."""
     schema = pa.schema([("grp", pa.string()), ("block", pa.int64()), ("n", pa.int64()), ("root", pa.string()), ("nodes", pa.list_(pa.string())), ("ids", pa.list_(pa.int64())), ("tampered", pa.list_(pa.string()))])
 
@@ -151,29 +152,30 @@ def _gathered(rows: DataFrame) -> DataFrame:
         out: list[tuple] = []
         for (group, block), own in _by_block(batches):
             nodes = [r["node"] for r in own]
-            root, _ = _appended(nodes, own[0]["n"])
+            root, _ = _appended(nodes, own[0]["n"], height)
             out.append((group, block, own[0]["n"], root, nodes, [r["doc_id"] for r in own], [r["tampered"] for r in own]))
             yield from _flushed(out, schema, 64)
         yield from _flushed(out, schema)
 
-    dealt = rows.withColumn("block", F.expr(f"pos div {BLOCK}")).repartition("grp", "block").sortWithinPartitions("grp", "block", "pos")
+    dealt = rows.withColumn("block", F.expr(f"pos div {FANOUT**height}")).repartition("grp", "block").sortWithinPartitions("grp", "block", "pos")
     return dealt.select("grp", "block", "n", "node", "doc_id", "tampered").mapInArrow(run, "grp string, block long, n long, root string, nodes array<string>, ids array<long>, tampered array<string>")
 
 
-def _witnessed(rows: DataFrame, tables: Workspace, name: str, finish: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def _witnessed(rows: DataFrame, height: int, tables: Workspace, name: str, finish: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """finish(blocks) of the blocks of rows (grp, pos, n, node, doc_id, tampered), each with steps, the witness above it, and top, its group's root."""
-    blocks = tables.write(_gathered(rows), f"{name}-blocks")
-    alone = blocks.where(F.col("n") <= BLOCK).withColumns({"steps": F.array().cast("array<string>"), "top": F.col("root")})
-    several = blocks.where(F.col("n") > BLOCK)
+    size, nodes = FANOUT**height, lambda x: _node_witnesses(x, height)
+    blocks = tables.write(_gathered(rows, height), f"{name}-blocks")
+    alone = blocks.where(F.col("n") <= size).withColumns({"steps": F.array().cast("array<string>"), "top": F.col("root")})
+    several = blocks.where(F.col("n") > size)
     if several.isEmpty():
         return finish(alone)
     nothing = {"doc_id": F.lit(None).cast("long"), "tampered": F.lit(None).cast("string")}
-    further = several.select("grp", F.col("block").alias("pos"), F.expr(f"(n + {BLOCK - 1}) div {BLOCK}").alias("n"), F.col("root").alias("node")).withColumns(nothing)
-    above = _witnessed(further, tables, f"{name}-up", _node_witnesses).withColumnRenamed("pos", "block")
+    further = several.select("grp", F.col("block").alias("pos"), F.expr(f"(n + {size - 1}) div {size}").alias("n"), F.col("root").alias("node")).withColumns(nothing)
+    above = _witnessed(further, height, tables, f"{name}-up", nodes).withColumnRenamed("pos", "block")
     return finish(alone.unionByName(several.join(above, ["grp", "block"])))
 
 
-def _node_witnesses(blocks: DataFrame) -> DataFrame:
+def _node_witnesses(blocks: DataFrame, height: int) -> DataFrame:
     """grp, pos, steps and top of every node."""
     schema = pa.schema([("grp", pa.string()), ("pos", pa.int64()), ("steps", pa.list_(pa.string())), ("top", pa.string())])
 
@@ -181,8 +183,8 @@ def _node_witnesses(blocks: DataFrame) -> DataFrame:
         for batch in batches:
             out: list[tuple] = []
             for r in batch.to_pylist():
-                _, witnesses = _appended(r["nodes"], r["n"])
-                out += [(r["grp"], r["block"] * BLOCK + i, w + r["steps"], r["top"]) for i, w in enumerate(witnesses)]
+                _, witnesses = _appended(r["nodes"], r["n"], height)
+                out += [(r["grp"], r["block"] * FANOUT**height + i, w + r["steps"], r["top"]) for i, w in enumerate(witnesses)]
             yield from _flushed(out, schema)
 
     return blocks.mapInArrow(run, "grp string, pos long, steps array<string>, top string")
@@ -195,7 +197,7 @@ def folded(node: str, steps: list[str]) -> str:
     return node
 
 
-def _verified(blocks: DataFrame) -> DataFrame:
+def _verified(blocks: DataFrame, height: int) -> DataFrame:
     """RESULT for the leaves of blocks with steps, top, and those of their source: upper and root."""
     schema = pa.schema([("doc_id", pa.int64()), *[(c, pa.string()) for c in ("leaf", "subroot", "root", "proof_sha256", "folded_root")], ("verified", pa.bool_())])
 
@@ -203,7 +205,7 @@ def _verified(blocks: DataFrame) -> DataFrame:
         for batch in batches:
             out: list[tuple] = []
             for r in batch.to_pylist():
-                _, witnesses = _appended(r["nodes"], r["n"])
+                _, witnesses = _appended(r["nodes"], r["n"], height)
                 above = r["steps"] + r["upper"]
                 for doc_id, node, tampered, witness in zip(r["ids"], r["nodes"], r["tampered"], witnesses, strict=True):
                     found = folded(tampered or node, witness + above)
@@ -213,17 +215,17 @@ def _verified(blocks: DataFrame) -> DataFrame:
     return blocks.mapInArrow(run, RESULT)
 
 
-def manifest(docs: DataFrame) -> DataFrame:
+def manifest(docs: DataFrame, height: int = HEIGHT) -> DataFrame:
     """RESULT: a row per document with its leaf, subroot, root, the hash of its witness, and whether its tampered form still leads to the root."""
     with Workspace(docs.sparkSession, "merkle") as tables:
         rows = placed(tables.write(leaves(docs), "leaves"), ["doc_id", "node"], tables, "leaves")
-        blocks = tables.write(_witnessed(rows, tables, "leaves", lambda x: x), "witnessed")
+        blocks = tables.write(_witnessed(rows, height, tables, "leaves", lambda x: x), "witnessed")
         sources = tables.write(blocks.groupBy("grp").agg(F.first("top").alias("node"), F.count("*").alias("doc_id")), "sources")
         order = placed(sources.select(F.lit("").alias("grp"), F.col("grp").alias("tampered"), "node", "doc_id"), ["tampered"], tables, "sources")
         order = tables.write(order, "order")
-        above = _witnessed(order, tables, "sources", _node_witnesses).select("pos", F.col("steps").alias("upper"), F.col("top").alias("whole"))
+        above = _witnessed(order, height, tables, "sources", lambda x: _node_witnesses(x, height)).select("pos", F.col("steps").alias("upper"), F.col("top").alias("whole"))
         named = order.select("pos", F.col("tampered").alias("grp"), F.col("doc_id").alias("n_blocks")).join(above, "pos").drop("pos")
-        return materialise(_verified(join_counted(blocks, tables.write(named, "roots"), ["grp"], "n_blocks")), "merkle")
+        return materialise(_verified(join_counted(blocks, tables.write(named, "roots"), ["grp"], "n_blocks"), height), "merkle")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

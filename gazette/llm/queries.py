@@ -1,6 +1,6 @@
 """The queries of this subpackage and their SQL, where SQL can express them."""
 
-from gazette.llm import byte_bpe, license_scan, line_dedup, lm_scoring, merkle, mpeg_audio, near_dedup, packing, sharding, spot_sigs, toxicity
+from gazette.llm import byte_bpe, collocations, license_scan, line_dedup, lm_scoring, merkle, mpeg_audio, near_dedup, packing, sharding, spot_sigs, substring_dedup, toxicity
 
 QUERIES = {
     "op1_packing": packing.query,
@@ -14,8 +14,12 @@ QUERIES = {
     "op9_line_dedup": line_dedup.query,
     "op10_lm_scoring": lm_scoring.query,
     "op11_merkle_manifest": merkle.query,
+    "op12_substring_dedup": substring_dedup.query,
+    "op13_collocations": collocations.query,
     "spot_links": spot_sigs.links_query,
 }
 ORACLE_SQL: dict[str, str] = {
     "op9_line_dedup": line_dedup.ORACLE_SQL,
+    "op12_substring_dedup": substring_dedup.ORACLE_SQL,
+    "op13_collocations": collocations.ORACLE_SQL,
 }

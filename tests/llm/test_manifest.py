@@ -51,9 +51,7 @@ def plainly(rows):
 
 
 @pytest.mark.parametrize("height", [1, 2])
-def test_manifest_against_a_tree_built_level_by_level(spark, monkeypatch, height):
-    monkeypatch.setattr(merkle, "HEIGHT", height)
-    monkeypatch.setattr(merkle, "BLOCK", 16**height)
+def test_manifest_against_a_tree_built_level_by_level(spark, height):
     sizes = {None: 17, "": 1, "a": 300, "b": 16, "é": 33, **{f"s{i}": 2 for i in range(20)}}
     rows, n = [], 0
     for source, size in sizes.items():
@@ -62,7 +60,7 @@ def test_manifest_against_a_tree_built_level_by_level(spark, monkeypatch, height
             n += 1
     rows += [rows[20], rows[20], (None, "A", None, "a", None, None, None), (None, "", None, "a", None, None, None), (5, "other", "en", "a", 1, None, None)]
     docs = spark.createDataFrame(rows, SCHEMA).repartition(5)
-    got = merkle.manifest(docs)
+    got = merkle.manifest(docs, height)
     assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, plainly(docs.collect())))
     assert got.where("not verified").count() > 20
 
