@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+import itertools
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MISSING_MINUTES = 9999
-# White space that the feeds' trim and \s cover, beyond ASCII.
-SPACE = r"(?U)[\s\x{FEFF}]"
+# The white space of the feeds' trim and \s, as a set of a regular expression and as characters.
+SPACE = r"[\t-\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
+SPACES = "\t\n\v\f\r \xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 # The last year, and the last day from 1970-01-01, of the dates that feeds can state.
 LAST_YEAR, LAST_DAY = 275_760, 100_000_000
 # Clock texts in the strict and in the lenient form.
-STRICT_CLOCK, LENIENT_CLOCK = r"(?i)^(\d{1,2})(?::(\d{2}))?\s*(am|pm)?$", r"(?i)(\d{1,2}):?(\d{2})?\s*(am|pm)?"
+STRICT_CLOCK, LENIENT_CLOCK = r"(?i)^(\d{1,2})(?::(\d{2}))?\s*(am|pm)?$", rf"(?i)(\d{{1,2}}):?(\d{{2}})?{SPACE}*(am|pm)?"
 # Kinds of URLs, the first rule that holds.
 URL_KINDS = ((r"\.pdf$", "pdf"), (r"\.(docx?|odt)$", "word"), (r"\.(xlsx?|csv|ods)$", "sheet"), (r"\.(jpg|jpeg|png|gif|webp)$", "image"), (r"youtu", "video"), (r"docs\.google\.com", "doc"))
 
@@ -36,7 +39,16 @@ def trim(c: Column) -> Column:
 
 
 def header(name: str) -> str:  # X10
-    return "_".join(name.strip("﻿ \t\r\n ").lower().split())
+    return re.sub(f"[{SPACES}]+", "_", name.strip(SPACES).lower())
+
+
+def headers(names: list[str], taken: tuple[str, ...] = ()) -> list[str]:
+    """Normalised names; one that is taken gets the first free number after it."""
+    out = list(taken)
+    for name in map(header, names):
+        free = (name if not k else f"{name}_{k}" for k in itertools.count())
+        out.append(next(x for x in free if x not in out))
+    return out[len(taken) :]
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -100,7 +112,7 @@ def tags(c: Column) -> Column:  # X8
 
 
 def int_prefix(c: Column) -> Column:  # X9
-    return whole(F.regexp_extract(c, r"^\s*([+-]?\d+)", 1))
+    return whole(F.regexp_extract(c, rf"^{SPACE}*([+-]?\d+)", 1))
 
 
 def search_text(*fields: Column) -> Column:  # X11
@@ -117,7 +129,7 @@ def truncate(c: Column, n: int = 160) -> Column:  # X13
 
 
 def initials(name: Column) -> Column:  # X14
-    first = F.transform(F.slice(F.split(F.trim(name), r"\s+"), 1, 2), lambda w: F.substr(w, F.lit(1), F.lit(1)))
+    first = F.transform(F.slice(F.split(trim(name), f"{SPACE}+"), 1, 2), lambda w: F.substr(w, F.lit(1), F.lit(1)))
     return default(F.upper(F.array_join(first, "")), "??")
 
 

@@ -46,7 +46,7 @@ def containing(text: Column, q: str) -> Column:
 
 def event_listing(events: DataFrame, as_of: str, categories: list[str], q: str = "", pairs: dict[str, str] = CATEGORY_LABELS, past: int = PAST) -> DataFrame:  # C1
     text = X.search_text(F.col("title"), F.col("location"), F.col("description"))
-    found = events.where(chosen(F.col("category"), categories) & containing(text, q.strip()))
+    found = events.where(chosen(F.col("category"), categories) & containing(text, q.strip(X.SPACES)))
     upcoming = found.where(F.col("start") >= midnight(as_of)).withColumns({"section": F.lit("upcoming"), "pos": F.lit(None).cast("long")})
     latest = found.where(F.col("start") < midnight(as_of)).orderBy(F.desc("start"), F.desc("row_id")).limit(past)
     place = F.row_number().over(Window.orderBy(F.desc("start"), F.desc("row_id"))).cast("long")
@@ -79,7 +79,7 @@ def event_detail(events: DataFrame, event_id: str, map_base: str = "https://maps
 
 def meeting_finder(meetings: DataFrame, day: str = "", city: str = "", q: str = "") -> DataFrame:  # C6
     text = X.search_text(F.col("name"), F.array_join("types", " "), F.col("notes"), F.col("address"))
-    found = meetings.where(containing(text, q.strip()))
+    found = meetings.where(containing(text, q.strip(X.SPACES)))
     for column, value in (("day", day), ("city", city)):
         found = found.where(F.col(column) == value) if value else found
     order = F.array_position(F.array(*map(F.lit, DAYS)), F.col("day"))

@@ -39,7 +39,7 @@ def build_search_index(feeds: dict[str, DataFrame], pages: DataFrame | None = No
 
 def tokens(q: Column) -> Column:
     """without duplicates, which change nothing."""
-    return F.array_distinct(F.filter(F.split(F.lower(q), r"\s+"), lambda t: t != ""))
+    return F.array_distinct(F.filter(F.split(F.lower(q), f"{X.SPACE}+"), lambda t: t != ""))
 
 
 def all_in(text: Column, toks: Column) -> Column:

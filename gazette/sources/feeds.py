@@ -8,7 +8,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gazette.functions.scalars import header, trim
+from gazette.functions.scalars import headers, trim
+from gazette.sources import csv_ranges
 
 # The columns of the feeds.
 FEEDS = {
@@ -23,16 +24,18 @@ FEEDS = {
 
 
 def tidy(raw: DataFrame) -> DataFrame:
-    """Normalised headers, trimmed strings, no row without a value."""
-    out = raw.toDF(*map(header, raw.columns))
-    out = out.select(*[trim(F.col(f"`{c}`").cast("string")).alias(c) for c in out.columns])
-    return out.where(reduce(lambda a, b: a | b, [F.coalesce(F.col(f"`{c}`"), F.lit("")) != "" for c in out.columns]))
+    """Normalised headers, trimmed strings, no row without a value; row_id, if there, as it is."""
+    own = [c for c in raw.columns if c != "row_id"]
+    out = raw.toDF(*(f"c{i}" if c in own else c for i, c in enumerate(raw.columns)))
+    cells = [c for c in out.columns if c != "row_id"]
+    rows = out.select(*[trim(F.col(c).cast("string")).alias(c) for c in cells], *(["row_id"] if len(own) < len(raw.columns) else []))
+    rows = rows.where(reduce(lambda a, b: a | b, [F.coalesce(F.col(c), F.lit("")) != "" for c in cells], F.lit(False)))
+    return rows.toDF(*headers(own), *rows.columns[len(cells) :])
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """S1, with row_id in the order of the file; of several files each one's rows are in order, the files by size."""
-    raw = spark.read.csv(path, header=True, multiLine=True, escape='"', mode="PERMISSIVE")
-    return tidy(raw).withColumn("row_id", F.monotonically_increasing_id())
+    """S1, in as many tasks as the files have ranges; row_id is the place among the records of all files, these by name."""
+    return tidy(csv_ranges.read(spark, path))
 
 
 class FeedCatalog:
