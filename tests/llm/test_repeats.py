@@ -92,7 +92,7 @@ def scored(rows, least, top):
 def test_collocations_against_plain_counts(spark, parts):
     rng = random.Random(5)
     vocab = ["a", "of", "New", "york", "é", "\x01", "x\x85y", "日本", "B-c"]
-    rows = [(i, "".join(rng.choice(vocab) + rng.choice([" ", " ", "  ", "\t", ", ", ".\n"]) for _ in range(rng.randrange(40))), rng.choice(["en", "fr", None, "und", ""])) for i in range(150)]
+    rows = [(i, "".join(rng.choice(vocab) + rng.choice([" ", " ", "  ", "\t", ", ", ".\n"]) for _ in range(rng.randrange(120))), rng.choice(["en", "fr", None, "und", ""])) for i in range(150)]
     rows += [(900, None, "en"), (901, "", None), (902, " .,; ", "de")]
     want = scored(rows, 10, 25)
     got = collocations.collocations(table(spark, rows).repartition(parts), top=25)
