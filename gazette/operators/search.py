@@ -1,16 +1,36 @@
-"""One index over all feeds, and batches of queries against it."""
+"""One index over all feeds, and batches of queries against it.
+
+A search index is a folder of tables, in segments: the rows in index order, and for every run of one to
+three characters (gram) the rows that hold it, in pieces of the order, so that a gram of all rows is as many
+pieces as there are blocks of rows. append() adds a segment; nothing is read again for it.
+
+A query looks for the rarest gram of its tokens: of tokens of three characters or more their trigrams,
+of shorter ones the token itself. Its rows come in rounds, in index order: the first AT_FIRST times k of each set of tokens, then
+FURTHER times as many for the sets that still lack k rows in a segment. So a query for a word that every row holds
+looks at AT_FIRST times k texts. Equal sets of tokens are looked for once.
+"""
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gazette.functions import scalars as X
+from gazette.sources.tables import Workspace, join_counted, materialise, shared_folder, shuffles_freed
 
 TOP = 30
 FOUND = ("pos", "type", "title", "url", "type_pos", "item_pos")
+GRAM = 3
+#: Times k rows that a set of tokens looks at in the first round, and times as many in each further one.
+AT_FIRST, FURTHER = 4, 4
+#: Rows of the order, as a power of two, that a piece of a gram's rows comes from.
+BLOCK_BITS = 12
+#: Candidates that are sent to the rows instead of meeting them in a shuffle: a few tokens and two numbers each.
+SENT = 200_000
+STORED = ("type", "title", "url", "search_text", "type_pos", "item_pos")
 COLUMNS = ("type", "title", "sub", "url", "external", "search_text", "type_pos", "item_pos")
 
 
@@ -46,8 +66,8 @@ def all_in(text: Column, toks: Column) -> Column:
     return (F.size(toks) > 0) & F.forall(toks, lambda t: F.contains(text, t))
 
 
-def _first(hits: DataFrame, k: int, by: str = "toks") -> DataFrame:
-    order = Window.partitionBy(by).orderBy("type_pos", "item_pos")
+def _first(hits: DataFrame, k: int, *by: str) -> DataFrame:
+    order = Window.partitionBy(*by).orderBy("type_pos", "item_pos")
     return hits.withColumn("pos", F.row_number().over(order).cast("long")).where(F.col("pos") <= k)
 
 
@@ -67,44 +87,103 @@ def _runs(c: Column, *sizes: int) -> Column:
     return F.transform(F.array(F.split(c, "")), of)[0]
 
 
-def _trigrams(c: Column) -> Column:
-    return _runs(c, 3)
-
-
-def _short_search(index: DataFrame, asked: DataFrame, k: int) -> DataFrame:
-    """Sets of tokens (toks) that all have one or two characters, and their first k rows.
-
-    Such a token is itself a run of the rows that hold it. Each row keeps the wanted runs it has;
-    a set looks for its rarest one among the rows and is checked on the row's runs. Texts don't
-    move, and only first rows meet the index.
-    """
-    wanted = asked.select("toks", F.explode("toks").alias("run"))
-    posted = index.select("type_pos", "item_pos", F.explode(_runs(F.col("search_text"), 1, 2)).alias("run")).join(wanted.select("run").distinct(), "run", "left_semi")
-    often = posted.groupBy("run").agg(F.count("*").alias("n"))
-    rarest = wanted.join(often, "run", "left").groupBy("toks").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "run")).alias("r"))
-    rows = posted.groupBy("type_pos", "item_pos").agg(F.collect_set("run").alias("runs")).withColumn("run", F.explode("runs"))
-    hits = rows.join(rarest.select("toks", F.col("r.run").alias("run")), "run").where(F.size(F.array_except("toks", "runs")) == 0)
-    first = _first(hits.select("toks", "type_pos", "item_pos"), k)
-    return first.join(index.select("type_pos", "item_pos", "type", "title", "url"), ["type_pos", "item_pos"]).select("toks", *FOUND)
-
-
-def search(index: DataFrame, queries: DataFrame, k: int = TOP) -> DataFrame:
-    """query_id, pos and the first k rows of the index that hold all of a query's tokens.
-
-    A row that holds a token holds the token's trigrams: each query looks for the rarest trigram
-    of its tokens and then checks all tokens; equal sets of tokens are looked for once. Rows are
-    known by (type_pos, item_pos), so their texts move once, for the check. Queries of short
-    tokens alone look for the tokens themselves.
-    """
-    asked = queries.select("query_id", F.array_sort(tokens(F.col("q"))).alias("toks")).where(F.size("toks") > 0)
-    sets = asked.select("toks").distinct().withColumn("grams", F.array_distinct(F.flatten(F.transform("toks", _trigrams))))
-    wanted = sets.select("toks", F.explode("grams").alias("gram"))
-    posted = index.select("type_pos", "item_pos", F.explode(_trigrams(F.col("search_text"))).alias("gram"))
-    needed = posted.join(wanted.select("gram").distinct(), "gram", "left_semi")
-    often = needed.groupBy("gram").agg(F.count("*").alias("n"))
-    rarest = wanted.join(often, "gram", "left").groupBy("toks").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("r"))
-    found = needed.join(rarest.select("toks", F.col("r.gram").alias("gram")), "gram").drop("gram")
-    hits = index.join(found, ["type_pos", "item_pos"]).where(all_in(F.col("search_text"), F.col("toks")))
-    short = sets.where(F.size("grams") == 0).select("toks")
-    first = _first(hits, k).select("toks", *FOUND).unionByName(_short_search(index, short, k))
-    return asked.join(first, "toks").select("query_id", *FOUND)
+def _grams(toks: Column) -> Column:
+    """The grams that a row with all the tokens holds."""
+    return F.array_distinct(F.flatten(F.transform(toks, lambda t: F.when(F.length(t) >= GRAM, _runs(t, GRAM)).otherwise(F.array(t)))))
+
+
+def token_sets(queries: DataFrame) -> DataFrame:
+    """query_id and toks, the tokens in order; queries without any are left out."""
+    return queries.select("query_id", F.array_sort(tokens(F.col("q"))).alias("toks")).where(F.size("toks") > 0)
+
+
+class SearchIndex:
+    """The index in a folder that all executors share; see the top of the file."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+
+    @classmethod
+    def build(cls, rows: DataFrame, path: str, grams: DataFrame | None = None) -> SearchIndex:
+        """The rows as segment 0 of a new index; with grams (gram) for these alone, as for a single batch."""
+        index = cls(rows.sparkSession, path)
+        index._add(rows, 0, grams)
+        return index
+
+    def append(self, rows: DataFrame) -> None:
+        """More rows, as a segment of their own; a row has its place in the index order wherever it stands."""
+        self._add(rows, max(self.segments()) + 1)
+
+    def segments(self) -> list[int]:
+        """Those whose tables are all written: what a failed append leaves isn't read."""
+        return [r.segment for r in self.spark.read.parquet(f"{self.path}/segments").collect()]  # a row per append
+
+    def table(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/{name}").where(F.col("segment").isin(self.segments()))
+
+    def _add(self, rows: DataFrame, segment: int, grams: DataFrame | None = None) -> None:
+        def write(df: DataFrame, name: str) -> DataFrame:
+            to = f"{self.path}/{name}/segment={segment}"
+            with shuffles_freed(self.spark):
+                df.write.mode("overwrite").parquet(to)
+            return self.spark.read.schema(df.schema).parquet(to)
+
+        placed = rows.select(*STORED).repartitionByRange("type_pos", "item_pos").sortWithinPartitions("type_pos", "item_pos").withColumn("at", F.monotonically_increasing_id())
+        stored = write(placed, "rows")
+        sizes = range(1, GRAM + 1) if grams is None else [r[0] for r in grams.select(F.length("gram")).distinct().collect()]  # three at most
+        each = stored.select("at", F.explode(_runs(F.col("search_text"), *sizes) if sizes else F.array().cast("array<string>")).alias("gram"))
+        each = each if grams is None else each.join(grams, "gram", "left_semi")
+        pieces = each.groupBy("gram", F.shiftright("at", BLOCK_BITS).alias("block")).agg(F.array_sort(F.collect_list("at")).alias("rows"), F.count("*").alias("n"))
+        pieces = write(pieces, "postings")
+        write(pieces.groupBy("gram").agg(F.sum("n").alias("n")), "counts")
+        write(self.spark.range(1).select(F.lit(0).alias("written")), "segments")
+
+    def search(self, queries: DataFrame, k: int = TOP) -> DataFrame:
+        """query_id, pos and the first k rows of the index that hold all of a query's tokens."""
+        with Workspace(self.spark, "search") as tables:
+            asked = tables.write(token_sets(queries), "asked")
+            wanted = tables.write(asked.select("toks").distinct().select("toks", F.explode(_grams(F.col("toks"))).alias("gram")), "wanted")
+            often = self.table("counts").join(wanted.select("gram").distinct(), "gram").groupBy("gram").agg(F.sum("n").alias("n"))
+            rarest = wanted.join(often, "gram", "left").groupBy("toks").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("r"))
+            sets = tables.write(rarest.where("r.n > 0").select("toks", F.col("r.gram").alias("gram")), "sets")
+            hits = _rounds(self, sets, k, tables)
+            return materialise(asked.join(_first(hits, k, "toks"), "toks").select("query_id", *FOUND), "search-hits")
+
+
+def _rounds(index: SearchIndex, sets: DataFrame, k: int, tables: Workspace) -> DataFrame:
+    """toks and the first rows of the index for each of the sets (toks, gram): k of each segment, if there are so many."""
+    per_gram = sets.groupBy("gram").agg(F.count("*").alias("sets"))
+    before = Window.partitionBy("segment", "gram").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    pieces = index.table("postings").join(per_gram, "gram").withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    pieces = tables.write(pieces, "pieces")
+    totals = tables.write(pieces.groupBy("segment", "gram").agg(F.sum("n").alias("total")), "totals")
+    pending = tables.write(sets.join(totals, "gram").select("toks", "segment", "gram", "total"), "pending-0")
+    rows, found, low, high, turn = index.table("rows"), None, 0, AT_FIRST * k, 0
+    while not pending.isEmpty():
+        turn += 1
+        part = pieces.where((F.col("first") < high) & (F.col("first") + F.col("n") > low))
+        skip = F.greatest(F.lit(low) - F.col("first"), F.lit(0))
+        part = part.select("segment", "gram", "sets", F.slice("rows", (skip + 1).cast("int"), (F.lit(high) - F.col("first") - skip).cast("int")).alias("rows"))
+        # The pieces of a gram in this round are one row, of at most high - low rows.
+        part = part.groupBy("segment", "gram").agg(F.first("sets").alias("sets"), F.flatten(F.collect_list("rows")).alias("rows"))
+        asked = join_counted(pending.select("toks", "segment", "gram"), tables.write(part, f"part-{turn}"), ["segment", "gram"], "sets")
+        candidates = tables.write(asked.select("toks", "segment", F.explode("rows").alias("at")), f"candidates-{turn}")
+        few = candidates.count() <= SENT
+        texts = rows.join(F.broadcast(candidates) if few else candidates, ["segment", "at"])
+        new = tables.write(texts.where(all_in(F.col("search_text"), F.col("toks"))).select("toks", "segment", *FOUND[1:]), f"hits-{turn}")
+        found = new if found is None else found.unionByName(new)
+        enough = found.groupBy("toks", "segment").agg(F.count("*").alias("n")).where(F.col("n") >= k)
+        pending = tables.write(pending.where(F.col("total") > high).join(enough, ["toks", "segment"], "left_anti"), f"pending-{turn}")
+        low, high = high, high * FURTHER
+    empty = "toks array<string>, segment int, type string, title string, url string, type_pos long, item_pos long"
+    return index.spark.createDataFrame([], empty) if found is None else found
+
+
+def search(rows: DataFrame, queries: DataFrame, k: int = TOP) -> DataFrame:
+    """SearchIndex.search() against rows that are asked this once: only the grams of the queries are looked for in them."""
+    spark = rows.sparkSession
+    with Workspace(spark, "search-once") as tables:
+        grams = tables.write(token_sets(queries).select(F.explode(_grams(F.col("toks"))).alias("gram")).distinct(), "grams")
+        path = f"{shared_folder(spark)}/search-once-{uuid.uuid4().hex}"
+        tables.paths["index"] = path
+        return SearchIndex.build(rows, path, grams).search(queries, k)

@@ -139,6 +139,7 @@ SELECT row_id, id, title, body, CASE WHEN url = '' THEN '' WHEN starts_with(url,
   FROM top WHERE id NOT IN (SELECT concat('an-', o_orderkey) FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'F')""",
     "search_index": f"WITH {INDEX} SELECT * FROM idx",
     "search_batch": f"WITH {INDEX}, q0 AS (SELECT p_partkey AS query_id, CASE WHEN (p_partkey // 20) % 5 = 0 THEN substr('k ' || p_partkey, 1, 4) ELSE substr(lower(p_name), 3, 40) || '  ' || upper(p_brand) END AS q FROM part WHERE p_partkey % 20 = 0), {SEARCH}",
+    "search_appended": f"WITH {INDEX}, q0 AS (SELECT p_partkey AS query_id, CASE WHEN (p_partkey // 20) % 5 = 0 THEN substr('k ' || p_partkey, 1, 4) ELSE substr(lower(p_name), 3, 40) || '  ' || upper(p_brand) END AS q FROM part WHERE p_partkey % 20 = 0), {SEARCH}",
     "search_parts": f"WITH {INDEX}, q0 AS (SELECT p_partkey AS query_id, CASE WHEN (p_partkey // 20) % 5 = 0 THEN substr('k ' || p_partkey, 1, 4) ELSE substr(lower(p_name), 3, 40) || '  ' || upper(p_brand) END AS q FROM part), {SEARCH}",
     "search_documents": f"WITH idx AS (SELECT 'document' AS type, '' AS title, '' AS url, lower(text) AS search_text, 0::BIGINT AS type_pos, doc_id AS item_pos FROM documents), q0 AS (SELECT item_id AS query_id, substr(text, 12, 7) || ' ' || substr(text, 31, 6) AS q FROM benchmark), {SEARCH}",
     "parse_datetime": f"""WITH r AS (SELECT o_orderkey AS row_id, CASE o_orderkey % 7 WHEN 0 THEN concat(year(o_orderdate), '-13-31') WHEN 1 THEN concat('98-02-', o_orderkey % 40) WHEN 2 THEN 'TBA' ELSE CAST(CAST(o_orderdate AS DATE) AS VARCHAR) END AS d,

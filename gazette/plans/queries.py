@@ -55,17 +55,33 @@ def search_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _search_parts(spark, sf_dir, F.lit(True))
 
 
-def _search_parts(spark: SparkSession, sf_dir: str, where: Column) -> DataFrame:
+def _part_queries(spark: SparkSession, sf_dir: str, where: Column) -> DataFrame:
     part = spark.read.parquet(f"{sf_dir}/part.parquet").where(where)
     short = F.substring(F.concat(F.lit("k "), F.col("p_partkey").cast("string")), 1, 4)
     q = F.when(F.expr("p_partkey div 20 % 5 = 0"), short).otherwise(F.concat(F.substring(F.lower("p_name"), 3, 40), F.lit("  "), F.upper(F.col("p_brand"))))
-    return _searched(search_index(spark, sf_dir), part.select(F.col("p_partkey").alias("query_id"), q.alias("q")))
+    return part.select(F.col("p_partkey").alias("query_id"), q.alias("q"))
+
+
+def _search_parts(spark: SparkSession, sf_dir: str, where: Column) -> DataFrame:
+    return _searched(search_index(spark, sf_dir), _part_queries(spark, sf_dir, where))
 
 
 def _searched(index: DataFrame, asked: DataFrame) -> DataFrame:
-    """The index is written once, as the search reads it several times; the result, at most search.TOP rows a query, stays."""
-    with Workspace(index.sparkSession, "search") as tables:
-        return materialise(search.search(tables.write(index, "index"), asked), "search-hits")
+    """The rows are written once, as putting them in order reads them several times; the result, at most search.TOP rows a query, stays."""
+    with Workspace(index.sparkSession, "feeds") as tables:
+        return search.search(tables.write(index, "index"), asked)
+
+
+def search_appended(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """search_batch against a kept index to which every third row is appended later, as two batches: the even and the odd keys."""
+    with Workspace(spark, "kept") as tables:
+        tables.paths["index"] = f"{shared_folder(spark)}/kept-index-{uuid.uuid4().hex}"
+        rows = tables.write(search_index(spark, sf_dir), "rows")
+        index = search.SearchIndex.build(rows.where("item_pos % 3 <> 0"), tables.paths["index"])
+        index.append(rows.where("item_pos % 3 = 0"))
+        asked = _part_queries(spark, sf_dir, F.col("p_partkey") % 20 == 0)
+        batches = [index.search(asked.where(F.col("query_id") % 40 == k)) for k in (0, 20)]
+        return batches[0].unionByName(batches[1])
 
 
 def search_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -146,6 +162,7 @@ QUERIES: dict[str, Query] = {
     "search_index": search_index,
     "search_batch": search_batch,
     "search_parts": search_parts,
+    "search_appended": search_appended,
     "search_documents": search_documents,
     "parse_datetime": parse_datetime,
     "text_scalars": text_scalars,
