@@ -1,10 +1,11 @@
 """Operator 13: phrases whose words stand together more often than apart, from sorted count streams.
 
 Texts are cut into pieces at punctuation and line ends, pieces into words; A-Z count as lower case.
-Counting: blocks of texts ask slices of the key space which of their words and word pairs are found LEAST
-times or more in all blocks together (40-bit hashes; a collision only lets a rare one through). Then they send the
-phrases of up to three words that can be frequent, as words: those are added up exactly, and what
-is found LEAST times stays. A part of a phrase is at least as frequent as the phrase, so all that scores need is there.
+Counting: blocks of texts send their distinct phrases of up to three words, as sorted 64-bit keys with counts, to slices of
+the key space, which add them up. A phrase found LEAST times or more is told to the first block that has it, with its count;
+that block gives its words. A part of a phrase is at least as frequent as the phrase, so all that scores need is there. Two of n
+phrases have the same key with odds of n^2 / 2^65: one in a thousand for 200 million; of 10^13, one in two million shares its
+count with another one.
 
 Estimation: the counts are laid out as two streams, sorted by language and then by a phrase's words
 from the first on (prefix order) and from the last on (suffix order). In prefix order a phrase follows the phrases that it
@@ -42,8 +43,9 @@ SALTS = 16
 _CUT = bytes.maketrans(ENDS, b"\n" * len(ENDS))
 #: Stands between pieces; no UTF-8 text holds it.
 _GAP = b"\xff"
-#: Bits of a key that count.
-_KEPT = np.uint64((1 << 64) - (1 << 24))
+#: Bytes of text whose phrases a slice adds up.
+SLICE_BYTES = 8 << 20
+_A = np.uint64(0x9E3779B97F4A7C15)
 COUNTS = "lang string, w1 string, w2 string, w3 string, f long"
 STREAM = "part int, lang string, w1 string, w2 string, w3 string, f long, one long, two long, extension long"
 
@@ -61,79 +63,93 @@ def _coded(row: dict) -> list[tuple]:
     return out
 
 
-def _keys(lang: str, code: np.ndarray, codes: exchange.Codes) -> tuple[np.ndarray, ...]:
-    """Keys of the words by number, the distinct pairs of numbers, their keys, and each place's pair (that of no pair is their number)."""
-    salt = exchange.Codes({lang.encode(): 0}).hashes()[0]
-    word = mix(codes.hashes() ^ salt)
-    many = np.int64(len(codes))
-    real = (code[:-1] > 0) & (code[1:] > 0)
-    pairs, at = np.unique((code[:-1] * many + code[1:])[real], return_inverse=True)
-    place = np.full(len(code), len(pairs), np.int64)
-    place[:-1][real] = at
-    key = mix(word[pairs // many] * np.uint64(0x9E3779B97F4A7C15) + word[pairs % many])
-    return word & _KEPT, pairs, key & _KEPT, place
-
-
-def _requested(stored: DataFrame, least: int, n_slices: int) -> DataFrame:
+class _Phrases:
+    """The distinct phrases of one to three words of one language in a block: keys, counts, and the numbers of their words."""
+
+    def __init__(self, lang: str, code: np.ndarray, codes: exchange.Codes):
+        self.lang, self.codes, self.total = lang, codes, int(np.count_nonzero(code))
+        many = np.int64(len(codes))
+        # Not the same mixing for both: a language's name is a word of another one whose name is a word of it.
+        word = mix(codes.hashes() + mix(exchange.Codes({lang.encode(): 0}).hashes() * _A)[0])
+        real = (code[:-1] > 0) & (code[1:] > 0)
+        pairs, at, n_pairs = np.unique((code[:-1] * many + code[1:])[real], return_inverse=True, return_counts=True)
+        place = np.full(len(code), -1, np.int64)
+        place[:-1][real] = at
+        both = np.flatnonzero(real[:-1] & real[1:])
+        triples, n_triples = np.unique(place[both] * many + code[both + 2], return_counts=True)
+        key = mix(word[pairs // many] * _A + word[pairs % many])
+        self.keys = np.concatenate((word[1:], key, mix(key[triples // many] * _A + word[triples % many] + _A)))
+        self.counts = np.concatenate((np.bincount(code, minlength=len(codes))[1:], n_pairs, n_triples))
+        one, none = np.arange(1, len(codes)), np.zeros(len(codes) - 1, np.int64)
+        first = pairs // many
+        self.words = [
+            np.concatenate((one, first, first[triples // many])),
+            np.concatenate((none, pairs % many, (pairs % many)[triples // many])),
+            np.concatenate((none, np.zeros(len(pairs), np.int64), triples % many)),
+        ]
+
+
+def _phrases(row: dict) -> tuple[list[_Phrases], np.ndarray, np.ndarray, np.ndarray]:
+    """Of a block: its languages' phrases; sorted distinct keys of them all, the place of each among them, and their counts."""
+    each = [_Phrases(*x) for x in _coded(row)]
+    keys, first, at = np.unique(np.concatenate([x.keys for x in each]), return_index=True, return_inverse=True)
+    return each, keys, first, np.bincount(at, np.concatenate([x.counts for x in each]), len(keys)).astype(np.int64)
+
+
+def _requested(stored: DataFrame, n_slices: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                keys, counts = [], []
-                for lang, code, codes in _coded(row):
-                    word, pairs, pair, place = _keys(lang, code, codes)
-                    keys += [word[1:], pair]
-                    counts += [np.bincount(code, minlength=len(word))[1:], np.bincount(place, minlength=len(pairs) + 1)[:-1]]
-                every, at = np.unique(np.concatenate(keys), return_inverse=True)
-                if len(every):
-                    n = np.minimum(np.bincount(at, np.concatenate(counts), len(every)), least).astype(np.int64)
-                    yield from exchange.requests(row, every, n_slices, 0, n, np.zeros(len(n), np.int64))
+                _, keys, _, counts = _phrases(row)
+                if len(keys):
+                    yield from exchange.requests(row, keys, n_slices, 0, counts - 1, np.zeros(len(keys), np.int64))
 
     return stored.mapInArrow(run, exchange.REQUESTS)
 
 
 def _frequent(rows: list[dict], least: int) -> list[tuple]:
-    keys, at = exchange.united(rows)
-    often = np.bincount(at, exchange.numbers(rows, "first"), len(keys))[at] >= least
-    ends = np.cumsum([r["n"] for r in rows])
-    return [(r["slice"], r["block"], r["n"], 0, np.packbits(often[to - r["n"] : to]).tobytes(), b"", b"") for r, to in zip(rows, ends.tolist(), strict=True)]
-
-
-def _phrases(row: dict, answers: list[dict]):
-    """COUNTS of the phrases of a block that can be frequent; no words at all count all of the language's."""
-    coded = [(lang, code, codes, *_keys(lang, code, codes)) for lang, code, codes in _coded(row)]
-    every = np.unique(np.concatenate([np.concatenate((x[3][1:], x[5])) for x in coded]))
-    often = exchange.flags(answers)
-    if len(often) != len(every):
-        raise ValueError(f"{len(often)} answers for {len(every)} keys")
-    for lang, code, codes, word, pairs, pair, place in coded:
-        words = pa.array([w.decode("utf-8", "replace") for w in codes])
-        many = len(codes)
-        held = np.concatenate(([False], often[np.searchsorted(every, word[1:])]))
-        good = np.concatenate((often[np.searchsorted(every, pair)], [False]))[place]
-        one, n_one = np.unique(code[held[code]], return_counts=True)
-        two, n_two = np.unique(place[good], return_counts=True)
-        three = np.flatnonzero(good[:-1] & good[1:])
-        three, n_three = np.unique(place[three] * np.int64(many) + code[three + 2], return_counts=True)
-        none = np.zeros(1, np.int64)
-        firsts = [none, one, pairs[two] // many, pairs[three // many] // many]
-        seconds = [none, np.zeros_like(one), pairs[two] % many, pairs[three // many] % many]
-        thirds = [none, np.zeros_like(one), np.zeros_like(two), three % many]
-        n = np.concatenate(([np.count_nonzero(code)], n_one, n_two, n_three))
-        blank = pa.concat_arrays([pa.array([""]), words.slice(1)])
-        columns = [blank.take(pa.array(np.concatenate(x))) for x in (firsts, seconds, thirds)]
-        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), *columns, pa.array(n, pa.int64())], ["lang", "w1", "w2", "w3", "f"])
+    """Of a slice's requests the answers: each frequent key's count, to the first block that has it."""
+    keys = np.concatenate([exchange.unsqueezed(r["keys"], r["n"]) for r in rows])
+    _, first, at = np.unique(keys, return_index=True, return_inverse=True)
+    sums = np.bincount(at, exchange.numbers(rows, "first") + 1, len(first)).astype(np.int64)
+    often = sums >= least
+    told = np.zeros(len(keys), np.int64)
+    told[first[often]] = sums[often]
+    out, ends = [], np.cumsum([r["n"] for r in rows]).tolist()
+    for r, to in zip(rows, ends, strict=True):
+        own = told[to - r["n"] : to]
+        out.append((r["slice"], r["block"], r["n"], 0, np.packbits(own > 0).tobytes(), exchange.packed(own[own > 0]), b""))
+    return out
+
+
+def _named(row: dict, answers: list[dict]):
+    """COUNTS of the phrases that a block has been told the count of; no words at all are a language's words in the block."""
+    each, keys, first, _ = _phrases(row)
+    told = exchange.flags(answers)
+    if len(told) != len(keys):
+        raise ValueError(f"{len(told)} answers for {len(keys)} keys")
+    hits = [(int(exchange.flags([r]).sum()), r) for r in answers]
+    place = first[told]
+    total = np.concatenate([exchange.unpacked(r["first"], n).astype(np.int64) for n, r in hits] or [np.zeros(0, np.int64)])
+    begin = 0
+    for x in each:
+        own = (place >= begin) & (place < begin + len(x.keys))
+        at, n = place[own] - begin, np.concatenate((total[own], [x.total]))
+        begin += len(x.keys)
+        words = pa.array(["", *[w.decode("utf-8", "replace") for w in x.codes][1:]])
+        columns = [words.take(pa.array(np.concatenate((w[at], [0])))) for w in x.words]
+        yield pa.RecordBatch.from_arrays([pa.array([x.lang] * len(n), pa.string()), *columns, pa.array(n, pa.int64())], ["lang", "w1", "w2", "w3", "f"])
 
 
 def phrase_counts(docs: DataFrame, tables: Workspace, least: int = LEAST) -> DataFrame:
     """COUNTS of all phrases of one to three words with least or more occurrences; rows without words have a language's number of words."""
     stored = exchange.written(docs.select("lang", "text"), "lang", tables)
-    n_slices = exchange.slices(docs)
-    answers = tables.write(exchange.answered(_requested(stored, least, n_slices), lambda rows: _frequent(rows, least)), "answers")
-    sent = exchange.met(stored, answers, _phrases, COUNTS)
-    total = sent.groupBy("lang", "w1", "w2", "w3").agg(F.sum("f").alias("f"))
-    out = tables.write(total.where((F.col("f") >= least) | (F.col("w1") == "")), "counts")
+    n_slices = exchange.slices(docs, SLICE_BYTES)
+    answers = tables.write(exchange.answered(_requested(stored, n_slices), lambda rows: _frequent(rows, least)), "answers")
+    sent = tables.write(exchange.met(stored, answers, _named, COUNTS), "sent")
     tables.drop("blocks", "answers")
-    return out
+    total = sent.where("w1 = ''").groupBy("lang", "w1", "w2", "w3").agg(F.sum("f").alias("f"))
+    return sent.where("w1 <> ''").unionByName(total)
 
 
 def _streamed(counts: DataFrame, order: list[str], tables: Workspace, name: str) -> DataFrame:
@@ -239,10 +255,10 @@ ORACLE_SQL = r"""
 WITH piece AS (
   SELECT lang, row_number() OVER () AS piece, list_filter(string_split_regex(part, '[\x20\x09]+'), lambda x: x <> '') AS ws
   FROM (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS part FROM documents)
-), at AS (
+), spot AS (
   SELECT lang, ws, unnest(generate_series(1, len(ws))) AS i FROM piece
 ), f AS (
-  SELECT lang, ws[i : i + k - 1] AS ph, count(*) AS f FROM at, (VALUES (1), (2), (3)) v(k) WHERE i + k - 1 <= len(ws) GROUP BY ALL
+  SELECT lang, ws[i : i + k - 1] AS ph, count(*) AS f FROM spot, (VALUES (1), (2), (3)) v(k) WHERE i + k - 1 <= len(ws) GROUP BY ALL
 ), total AS (
   SELECT lang, sum(f)::BIGINT AS n FROM f WHERE len(ph) = 1 GROUP BY lang
 ), c AS (

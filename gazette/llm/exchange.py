@@ -24,7 +24,9 @@ from gazette.llm.common import hash_spans, mix, text_blocks
 from gazette.llm.lm_scoring import _columns as columns
 from gazette.llm.lm_scoring import _packed as packed
 from gazette.llm.lm_scoring import _parts as parts
+from gazette.llm.lm_scoring import _squeezed as squeezed
 from gazette.llm.lm_scoring import _unpacked as unpacked
+from gazette.llm.lm_scoring import _unsqueezed as unsqueezed
 from gazette.sources.tables import Workspace
 
 SLICE_BYTES, BLOCK_BYTES = 16 << 20, 8 << 20
@@ -33,9 +35,9 @@ ANSWERS = "slice int, block long, n int, base long, flags binary, first binary,
 _A = np.uint64(0x9E3779B97F4A7C15)
 
 
-def slices(docs: DataFrame) -> int:
+def slices(docs: DataFrame, size: int = SLICE_BYTES) -> int:
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // SLICE_BYTES))
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // size))
 
 
 def blocks(docs: DataFrame, tag: str, limit: int = BLOCK_BYTES) -> DataFrame:
@@ -84,22 +86,11 @@ def run_hashes(word: np.ndarray, n: int) -> np.ndarray:
 
 
 def requests(row: dict, keys: np.ndarray, n_slices: int, base: int, first: np.ndarray, second: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """The rows by which a block sends sorted distinct keys with two numbers each; keys whose low bytes are all 0 take less room."""
+    """The rows by which a block sends sorted distinct keys with two numbers each."""
     out = [(s, row["block"], hi - lo, base, squeezed(keys[lo:hi]), packed(first[lo:hi]), packed(second[lo:hi])) for s, lo, hi in parts(keys, n_slices)]
     yield from columns(out, REQUESTS).to_batches()
 
 
-def squeezed(keys: np.ndarray) -> bytes:
-    """Sorted keys as their differences, without the low bits that none has."""
-    every = int(np.bitwise_or.reduce(keys))
-    shift = (every & -every).bit_length() - 1 if every else 0
-    return bytes([shift]) + packed(np.diff(keys >> np.uint64(shift), prepend=np.uint64(0)))
-
-
-def unsqueezed(raw: bytes, n: int) -> np.ndarray:
-    return np.cumsum(unpacked(raw[1:], n), dtype=np.uint64) << np.uint64(raw[0])
-
-
 def united(rows: list[dict]) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys of some requests, and where among them each request's keys are, one request after the other."""
     return np.unique(np.concatenate([unsqueezed(r["keys"], r["n"]) for r in rows]), return_inverse=True)
