@@ -99,6 +99,41 @@ def parse_datetime(date: Column, clock: Column) -> Column:  # X4
     return F.timestamp_add("MINUTE", parse_clock(clock), parse_date(date).cast("timestamp_ntz"))
 
 
+def with_datetimes(df: DataFrame, **of: tuple[Column, Column | None]) -> DataFrame:
+    """df with a timestamp for each name: parse_datetime() of a date and a clock, or midnight of parse_date() without a clock.
+
+    The same results as those functions in steps, each of which names what the one before has worked out once. A step
+    is a generator of one row: Spark compiles it, and moves neither filters nor projections through it, which would
+    write its expressions out wherever they are named.
+    """
+    steps: list[dict[str, Column]] = [{}, {}, {}, {}, {}]
+    for k, (name, (date, clock)) in enumerate(of.items()):
+        part, minute, first, day = (f"_{x}{k}" for x in ("part", "minute", "first", "day"))
+        y, m, d = (f"_{x}{k}" for x in "ymd")
+        steps[0][part] = F.split(date, "-", 4)
+        steps[1] |= {c: whole(F.get(part, F.lit(i))) for i, c in enumerate((y, m, d))}
+        usable = F.col(y).between(1, LAST_YEAR) & F.col(m).between(1, 12 * LAST_YEAR) & F.col(d).between(1, 2 * LAST_DAY)
+        steps[2][first] = F.make_date(F.when(usable, F.when(F.col(y) < 100, F.col(y) + 1900).otherwise(F.col(y))), F.lit(1), F.lit(1))
+        steps[3][day] = F.date_add(F.add_months(first, F.col(m) - 1), F.col(d) - 1)
+        midnight = F.when(F.col(day) <= F.date_from_unix_date(F.lit(LAST_DAY)), F.col(day)).cast("timestamp_ntz")
+        steps[4][name] = midnight
+        if clock is not None:
+            # A text of the strict form becomes its three parts; others have no comma, as none is kept.
+            kept = F.trim(F.regexp_replace(clock, r"(?i)[^0-9:apm ]", ""))
+            half, hour = F.lower(F.get(f"_clock{k}", F.lit(2))), F.col(f"_hour{k}")
+            steps[0][f"_clock{k}"] = F.split(F.regexp_replace(kept, STRICT_CLOCK, "$1,$2,$3"), ",")
+            steps[1][f"_hour{k}"] = F.when(F.size(f"_clock{k}") == 3, whole(F.get(f"_clock{k}", F.lit(0))))
+            within = F.when((half == "pm") & (hour < 12), hour + 12).when((half == "am") & (hour == 12), 0).otherwise(hour)
+            steps[2][minute] = F.coalesce(within * 60 + F.coalesce(whole(F.get(f"_clock{k}", F.lit(1))), F.lit(0)), F.lit(0))
+            steps[4][name] = F.timestamp_add("MINUTE", F.col(minute), midnight)
+    kept = [F.col(f"`{c}`") for c in df.columns]
+    for k, step in enumerate(steps):
+        made = F.struct(*[v.alias(c) for c, v in step.items()])
+        earlier = [] if k == len(steps) - 1 else [F.col(c) for old in steps[:k] for c in old]
+        df = df.select("*", F.inline(F.array(made))).select(*kept, *earlier, *step)
+    return df
+
+
 def flag(c: Column) -> Column:  # X6
     return F.coalesce(F.lower(c).isin("y", "yes", "true", "1"), F.lit(False))
 

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gazette.functions import scalars as X
+from gazette.sources.tables import join_counted, materialise
 
 # Labels and orders of the closed sets.
 CATEGORY_LABELS = {"assembly": "Assembly", "workshop": "Workshop", "committee": "Committee", "convention": "Convention", "other": "Other"}
@@ -64,11 +65,23 @@ def calendar_items(events: DataFrame, categories: list[str]) -> DataFrame:  # C2
 
 
 def calendar_days(items: DataFrame, first: str, last: str) -> DataFrame:  # C3
-    """Rows per covered day from first to last, with how many items cover it."""
+    """Rows per covered day from first to last, with how many items cover it.
+
+    An item is two rows whatever its length: one more from its first day on, one less after its last. The changes are
+    summed by day, then by prefix sums within years that start from the sums of the years before; a
+    day without a change is as the one before.
+    """
     until = F.when(F.col("end") > F.col("start"), F.col("end") - F.expr("interval 1 microsecond")).otherwise(F.col("start"))
     low, high = F.greatest(F.to_date("start"), F.lit(first).cast("date")), F.least(F.to_date(until), F.lit(last).cast("date"))
-    days = items.select(low.alias("low"), high.alias("high")).where("low <= high").select(F.explode(F.sequence("low", "high")).alias("day"))
-    return days.groupBy("day").agg(F.count("*").alias("n_items"))
+    borders = items.select(low.alias("low"), high.alias("high")).where("low <= high")
+    borders = borders.select(F.inline(F.array(F.struct(F.col("low").alias("day"), F.lit(1).alias("change")), F.struct(F.date_add("high", 1).alias("day"), F.lit(-1).alias("change")))))
+    changes = borders.groupBy("day").agg(F.sum("change").alias("change")).withColumn("year", F.year("day"))
+    years = changes.groupBy("year").agg(F.sum("change").alias("change"), F.min("day").alias("begins"))
+    by_year = Window.orderBy("year")  # a row per year
+    years = years.select("year", (F.sum("change").over(by_year) - F.col("change")).alias("base"), F.lead("begins").over(by_year).alias("next_begins"))
+    within = Window.partitionBy("year").orderBy("day")
+    known = changes.join(years, "year").select("day", (F.col("base") + F.sum("change").over(within)).alias("n_items"), F.coalesce(F.lead("day").over(within), "next_begins").alias("until"))
+    return known.where("n_items > 0").select(F.explode(F.sequence("day", F.date_sub("until", 1))).alias("day"), "n_items")
 
 
 def event_detail(events: DataFrame, event_id: str, map_base: str = "https://maps.example.org/?q=", pairs: dict[str, str] = CATEGORY_LABELS) -> DataFrame:  # C4
@@ -91,11 +104,24 @@ def facet_values(df: DataFrame, column: str) -> DataFrame:  # C7, A4
     return df.select(F.col(column).alias("value")).where("value <> ''").distinct()
 
 
+def facet_options(df: DataFrame, column: str, every: str = "All") -> DataFrame:  # C7, A4
+    """The choices of a facet that begins with one for every row: pos and value, in whose order they stand."""
+    first = df.sparkSession.createDataFrame([(0, every)], "pos long, value string")
+    return first.unionByName(facet_values(df, column).select(F.lit(1).cast("long").alias("pos"), "value"))
+
+
+def no_match(**listings: DataFrame) -> DataFrame:  # A6
+    """listing and empty: which of them show their state for no rows; of each at most one row is looked for."""
+    states = [df.limit(1).agg((F.count("*") == 0).alias("empty")).select(F.lit(name).alias("listing"), "empty") for name, df in listings.items()]
+    return reduce(DataFrame.unionByName, states)
+
+
 def resource_browser(resources: DataFrame, category: str = "All", q: str = "") -> DataFrame:  # C8
+    """Rows with their section's order. The sections are counted and written once, so that the rows of a category that most have stay where they are."""
     found = resources.where(containing(X.search_text(F.col("title"), F.col("description")), q))
     found = found if category == "All" else found.where(F.col("category") == category)
-    sections = found.groupBy("category").agg(F.min("row_id").alias("section_order"))
-    return found.join(sections, "category").select("section_order", "category", "row_id", "title", "url", X.url_kind(F.col("url")).alias("kind"), "updated")
+    sections = materialise(found.groupBy("category").agg(F.min("row_id").alias("section_order"), F.count("*").alias("n")), "sections")
+    return join_counted(found, sections, ["category"], "n").select("section_order", "category", "row_id", "title", "url", X.url_kind(F.col("url")).alias("kind"), "updated")
 
 
 def roster(officers: DataFrame, vacant: str = "Open position") -> DataFrame:  # C9

@@ -14,11 +14,10 @@ def _texts(df: DataFrame, *names: str):
 
 def events(raw: DataFrame) -> DataFrame:  # P1, F1
     f = lambda n: X.field(raw, n)
-    # A start is null if its date is: the clock always has a value.
-    return raw.where(X.parse_date(f("start_date")).isNotNull()).select(
+    dates = {"_start": (f("start_date"), f("start_time")), "_end": (X.default(f("end_date"), f("start_date")), X.default(f("end_time"), f("start_time")))}
+    return X.with_datetimes(raw, **dates).where("_start is not null").select(
         "row_id", X.default(f("id"), X.slug_id(f("start_date"), f("title"))).alias("id"), X.default(f("title"), "(Untitled event)").alias("title"),
-        F.lower(X.default(f("category"), "other")).alias("category"), X.parse_datetime(f("start_date"), f("start_time")).alias("start"),
-        X.parse_datetime(X.default(f("end_date"), f("start_date")), X.default(f("end_time"), f("start_time"))).alias("end"),
+        F.lower(X.default(f("category"), "other")).alias("category"), F.col("_start").alias("start"), F.col("_end").alias("end"),
         X.default(f("end_date"), X.default(f("start_date"))).alias("end_date"), *_texts(raw, "start_date", "start_time", "end_time", "location", "address", "district", "url", "flyer_url", "description", "contact"),
         X.flag(f("featured")).alias("featured"),
     )
@@ -45,8 +44,8 @@ def resources(raw: DataFrame) -> DataFrame:  # P5
 
 def announcements(raw: DataFrame) -> DataFrame:  # P6
     f = lambda n: X.field(raw, n)
-    day = lambda n: X.parse_date(f(n)).cast("timestamp_ntz").alias(n)
-    return raw.select("row_id", X.default(f("id"), X.default(f("title"))).alias("id"), *_texts(raw, "title", "body", "url"), day("starts"), day("ends"), X.int_prefix(X.default(f("priority"), "5")).alias("priority"))
+    dated = X.with_datetimes(raw, _starts=(f("starts"), None), _ends=(f("ends"), None))
+    return dated.select("row_id", X.default(f("id"), X.default(f("title"))).alias("id"), *_texts(raw, "title", "body", "url"), F.col("_starts").alias("starts"), F.col("_ends").alias("ends"), X.int_prefix(X.default(f("priority"), "5")).alias("priority"))
 
 
 def meetings(raw: DataFrame) -> DataFrame:  # P7

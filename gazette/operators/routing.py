@@ -20,6 +20,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gazette.sources.tables import fresh
+
 # A name within a pattern.
 NAME = r":([A-Za-z_]+)"
 _BETWEEN = "\x1e"
@@ -120,13 +122,11 @@ def query_map(asked: Column) -> Column:
 def route_urls(df: DataFrame, url: str, routes: list[str]) -> DataFrame:
     """df with path, query (a map), route (the first pattern that matches, or null) and params (a map); columns of these names are replaced."""
     table = compiled(routes)
-    rest = F.regexp_replace(F.coalesce(F.col(url), F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*", "")
-    path = F.regexp_extract(rest, r"^([^?#]*)", 1)
-    asked = F.regexp_extract(rest, r"^[^?#]*\?([^#]*)", 1)
-    own = df.columns
-    parts, trimmed, rank = (next(f"{n}{'_' * k}" for k in range(99) if f"{n}{'_' * k}" not in own) for n in ("_parts", "_trimmed", "_rank"))
+    rest, parts, trimmed, rank = fresh(df, "_rest", "_parts", "_trimmed", "_rank")
     # Each projection names what the one before has worked out once.
-    rows = df.withColumns({"path": F.when(path == "", "/").otherwise(path), "query": query_map(asked)})
+    rows = df.withColumn(rest, F.regexp_replace(F.coalesce(F.col(url), F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*", ""))
+    path, asked = F.regexp_extract(rest, r"^([^?#]*)", 1), F.regexp_extract(rest, r"^[^?#]*\?([^#]*)", 1)
+    rows = rows.withColumns({"path": F.when(path == "", "/").otherwise(path), "query": query_map(asked)})
     rows = rows.withColumns({parts: F.split("path", "/"), trimmed: F.split(F.regexp_replace("path", "/$", ""), "/")})
     ranks = [_rank(s, parts, trimmed) for s in table.shapes] + [F.when(F.col("path").rlike(r), F.lit(i)) for i, r in table.regexes.items()]
     none = F.lit(None).cast("int")
@@ -142,4 +142,4 @@ def route_urls(df: DataFrame, url: str, routes: list[str]) -> DataFrame:
 
     empty = F.create_map().cast("map<string,string>")
     params = F.when((F.size(names) > 0) & (names[0] != ""), F.map_from_arrays(names, F.transform(places, lambda i: decoded(found(i))))).otherwise(empty)
-    return rows.withColumns({"route": at(routes), "params": params}).drop(parts, trimmed, rank)
+    return rows.withColumns({"route": at(routes), "params": params}).drop(rest, parts, trimmed, rank)

@@ -10,6 +10,18 @@ from gazette.plans.queries import PAGES, ROUTES
 from gazette.sources.adapters import SQL
 
 
+# The white space of feeds; the patterns of _strict(), _lenient() and _number(); the URL kinds of KIND below.
+WHITE = r"[\t-\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
+
+
+def _trim(x: str) -> str:
+    return f"regexp_replace({x}, '^{WHITE}+|{WHITE}+$', '', 'g')"
+
+
+def _initials(x: str) -> str:
+    return _or(f"upper(array_to_string(list_transform(string_split_regex({_trim(x)}, '{WHITE}+')[1:2], lambda w: w[1:1]), ''))", "'??'")
+
+
 def _date(x: str) -> str:
     y, m, d = (f"try_cast(split_part({x}, '-', {i}) AS INT)" for i in (1, 2, 3))
     return f"CASE WHEN {y} BETWEEN 1 AND 275760 AND {m} BETWEEN 1 AND 3309120 AND {d} BETWEEN 1 AND 200000000 THEN CAST(make_date(CASE WHEN {y} < 100 THEN {y} + 1900 ELSE {y} END, 1, 1) + to_months({m} - 1) + to_days({d} - 1) AS TIMESTAMP) END"
@@ -28,7 +40,7 @@ def _strict(x: str) -> str:
 
 
 def _lenient(x: str) -> str:
-    return "coalesce(" + _minutes(x, r"(\d{1,2}):?(\d{2})?\s*(am|pm)?") + ", 9999)"
+    return "coalesce(" + _minutes(x, rf"(\d{{1,2}}):?(\d{{2}})?{WHITE}*(am|pm)?") + ", 9999)"
 
 
 def _or(x: str, otherwise: str) -> str:
@@ -36,7 +48,7 @@ def _or(x: str, otherwise: str) -> str:
 
 
 def _number(x: str) -> str:
-    return rf"try_cast(nullif(regexp_extract({x}, '^\s*([+-]?\d+)', 1), '') AS INT)"
+    return rf"try_cast(nullif(regexp_extract({x}, '^{WHITE}*([+-]?\d+)', 1), '') AS INT)"
 
 
 EVENTS = f"""raw_events AS ({SQL["events"]}), e AS (
@@ -71,7 +83,7 @@ INDEX = rf"""{EVENTS}, m AS ({SQL["meetings"]}), o AS ({SQL["officers"]}), k AS
   UNION ALL SELECT 'resource', title, {_or("category", "'General'")}, {_or("url", "'#'")}, regexp_matches({_or("url", "'#'")}, '^https?://'), lower(concat_ws(' ', title, description, {_or("category", "'General'")})), 5, row_id FROM r
   UNION ALL SELECT 'meeting', name, day || ' ' || time || ' · ' || {_or("city", "address")}, '#/meetings', false,
     lower(concat_ws(' ', name, day, time, city, address, array_to_string(list_filter(list_transform(string_split_regex(types, '[|,]'), lambda x: trim(x)), lambda x: x <> ''), ' '))), 6, row_id FROM m)"""
-SEARCH = r"""asked AS (SELECT query_id, list_filter(string_split_regex(lower(q), '\s+'), lambda t: t <> '') AS toks FROM q0), hits AS (
+SEARCH = rf"""asked AS (SELECT query_id, list_filter(string_split_regex(lower(q), '{WHITE}+'), lambda t: t <> '') AS toks FROM q0), hits AS (
   SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY type_pos, item_pos) AS pos, type, title, url, type_pos, item_pos
   FROM idx JOIN asked ON len(toks) > 0 AND len(list_filter(toks, lambda t: contains(search_text, t))) = len(toks))
 SELECT * FROM hits WHERE pos <= 30"""
@@ -97,11 +109,14 @@ def _routes() -> str:
     cases = {"/": "^/?$", "/p/:id": "^/p/([^/]+)/?$", "/item/:id": "^/item/([^/]+)/?$", "/wiki/*": "^/wiki/.*/?$", "/:section/:id": "^/([^/]+)/([^/]+)/?$", "/:section": "^/([^/]+)/?$"}
     assert list(cases) == ROUTES
     route = " ".join(f"WHEN regexp_matches(path, '{r}') THEN '{p}'" for p, r in cases.items())
-    return rf"""WITH a AS (SELECT page_id, regexp_replace(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*', '') AS rest FROM pages),
-  b AS (SELECT page_id, {_or("regexp_extract(rest, '^([^?#]*)', 1)", "'/'")} AS path, regexp_extract(rest, '^[^?#]*\?([^#]*)', 1) AS asked FROM a),
-  c AS (SELECT *, CASE {route} ELSE 'not-found' END AS route FROM b)
-SELECT page_id, path, route, CASE WHEN route IN ('/p/:id', '/item/:id', '/:section/:id') THEN url_decode(regexp_extract(path, '([^/]+)/?$', 1)) ELSE '' END AS param_id,
-  CAST(len(list_distinct(list_transform(list_filter(string_split(asked, '&'), lambda x: x <> ''), lambda x: split_part(x, '=', 1)))) AS BIGINT) AS n_query FROM c"""
+    return rf"""WITH u AS (SELECT page_id, CASE WHEN page_id % 3 = 0 THEN regexp_extract(url, '^[a-z]+://[^/]+') || '/p/x+y%20' || page_id || '?a%20b=1+2&x=%C3%A9&x=2&=z&flag&+=' ELSE url END AS url FROM pages),
+  a AS (SELECT page_id, regexp_replace(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*', '') AS rest FROM u),
+  b AS (SELECT page_id, {_or("regexp_extract(rest, '^([^?#]*)', 1)", "'/'")} AS path, list_filter(string_split(regexp_extract(rest, '^[^?#]*\?([^#]*)', 1), '&'), lambda x: x <> '') AS pieces FROM a),
+  c AS (SELECT *, CASE {route} ELSE 'not-found' END AS route, list_transform(pieces, lambda x: url_decode(replace(split_part(x, '=', 1), '+', ' '))) AS ks,
+    list_transform(pieces, lambda x: url_decode(replace(CASE WHEN contains(x, '=') THEN substr(x, strpos(x, '=') + 1) ELSE '' END, '+', ' '))) AS vs FROM b),
+  d AS (SELECT *, list_filter(generate_series(1, len(ks)), lambda i: list_position(ks, ks[i]) = i) AS firsts FROM c)
+SELECT page_id, path, route, CASE WHEN route IN ('/p/:id', '/item/:id', '/:section/:id') THEN url_decode(replace(regexp_extract(path, '([^/]+)/?$', 1), '+', '%2B')) ELSE '' END AS param_id,
+  CAST(len(firsts) AS BIGINT) AS n_query, array_to_string(list_sort(list_transform(firsts, lambda i: ks[i] || '=' || vs[i])), '&') AS asked FROM d"""
 
 
 ORACLE_SQL = {
@@ -120,7 +135,17 @@ UNION ALL SELECT * FROM (SELECT 'committee', row_number() OVER (ORDER BY r_regio
     "event_documents": rf"""WITH {EVENTS} SELECT row_id, id, concat_ws(chr(13) || chr(10), 'BEGIN:VCALENDAR', 'VERSION:2.0', 'PRODID:-//gazette//EN', {VEVENT}, 'END:VCALENDAR') AS document FROM e""",
     "meeting_finder": MEETINGS,
     "meeting_finder_city": MEETINGS + " AND city = 'Brand#13'",
-    "csv_feed": f"WITH m AS ({SQL['meetings']}) SELECT name, day, time, address, city, district, array_to_string({TYPES}, '|') AS types, notes FROM m",
+    "csv_feed": f"WITH m AS ({SQL['meetings']}) SELECT row_number() OVER (ORDER BY row_id) - 1 AS row_id, name, day, time, address, city, district, array_to_string({TYPES}, '|') AS types, notes FROM m",
+    "csv_feed_messy": r"""WITH r AS (SELECT *, row_number() OVER (ORDER BY p_partkey) - 1 AS row_id FROM part)
+SELECT row_id, p_name AS part_name, CASE WHEN p_partkey % 5 = 0 THEN p_type ELSE 'a "quoted" ' || p_name || ',' || chr(10) || '"' || p_brand || '"' || chr(10) || chr(10) || '; end' END AS description, p_partkey AS part_key,
+  CASE WHEN p_partkey % 3 = 0 THEN '""' ELSE 'x,y' END AS description_1 FROM r WHERE p_partkey % 17 <> 0""",
+    "feed_states": "SELECT 'events' AS feed, 0::BIGINT AS n_rows, 16::BIGINT AS n_columns UNION ALL SELECT 'resources', 0, 6 UNION ALL SELECT 'meetings', count(*), 7 FROM part",
+    "no_match_states": "SELECT unnest(['events', 'meetings', 'resources', 'events_none', 'events_no_category', 'meetings_none', 'resources_none']) AS listing, unnest([false, false, false, true, true, true, true]) AS empty",
+    "announcement_dismissals": ANNOUNCEMENTS + """, top AS (SELECT id FROM live ORDER BY live.priority NULLS LAST, row_id LIMIT 1)
+SELECT 'nothing' AS dismissed, 1::BIGINT AS n, id FROM top UNION ALL SELECT 'others', 1, id FROM top UNION ALL SELECT 'top', 0, NULL""",
+    "export_calendar_zone": rf"""WITH {ORDER_EVENTS}, z AS (SELECT *, timezone('America/New_York', start) AT TIME ZONE 'UTC' AS s, timezone('America/New_York', "end") AT TIME ZONE 'UTC' AS t FROM e WHERE start >= TIMESTAMP '1997-09-01')
+SELECT row_id, start, concat_ws(chr(13) || chr(10), 'BEGIN:VEVENT', 'UID:' || id || '@example.org', 'DTSTAMP:20240101T000000Z', 'DTSTART:' || {STAMP.format("s")}, 'DTEND:' || {STAMP.format("t")}, 'SUMMARY:' || title, 'END:VEVENT') AS vevent FROM z""",
+    "facet_options": f"""WITH r0 AS ({SQL["resources"]}) SELECT 0::BIGINT AS pos, 'All' AS value UNION ALL SELECT DISTINCT 1, {_or("category", "'General'")} FROM r0""",
     "meeting_finder_filtered": MEETINGS + f" AND day = 'Tuesday' AND contains(lower(concat_ws(' ', name, array_to_string({TYPES}, ' '), notes, address)), 'oak ave')",
     "facet_values": f"WITH m AS ({SQL['meetings']}) SELECT DISTINCT city AS value FROM m WHERE city <> ''",
     "resource_browser": f"""WITH r0 AS ({SQL["resources"]}), r AS (SELECT row_id, {_or("category", "'General'")} AS category, {_or("url", "'#'")} AS url, title, updated FROM r0)
@@ -129,7 +154,7 @@ SELECT min(row_id) OVER (PARTITION BY category) AS section_order, category, row_
 SELECT min(row_id) OVER (PARTITION BY category) AS section_order, category, row_id, title, url, {KIND} AS kind, updated FROM r WHERE category = 'Cat 3' AND contains(lower(title || ' ' || description), 'ex')""",
     "roster": rf"""WITH o0 AS ({SQL["officers"]}), o AS (SELECT *, CASE WHEN lower(type) IN ('chair', 'dcm') THEN lower(type) ELSE 'officer' END AS section FROM o0)
 SELECT CAST(list_position(['officer', 'chair', 'dcm'], section) AS BIGINT) AS section_pos, section, CAST({_number(_or("sort", "'99'"))} AS BIGINT) AS sort, row_id, {_or("name", "'Open position'")} AS name,
-  {_or(r"upper(array_to_string(list_transform(string_split_regex(trim(name), '\s+')[1:2], lambda w: w[1:1]), ''))", "'??'")} AS initials, position, {MAIL} AS contact_url FROM o""",
+  {_initials("name")} AS initials, position, {MAIL} AS contact_url FROM o""",
     "district_directory": f"WITH d AS ({SQL['districts']}) SELECT CAST({_number('number')} AS BIGINT) AS order_number, row_id, number, name, area, {MAIL} AS contact_url FROM d",
     "committee_directory": f"WITH k AS ({SQL['committees']}) SELECT row_id, name, purpose, chair, meeting_schedule, {_or('icon', chr(39) + 'people' + chr(39))} AS icon, {MAIL} AS contact_url FROM k",
     "active_announcements": ANNOUNCEMENTS + " SELECT row_id, id, starts, ends, CAST(priority AS BIGINT) AS priority FROM live",
@@ -141,14 +166,16 @@ SELECT row_id, id, title, body, CASE WHEN url = '' THEN '' WHEN starts_with(url,
     "search_batch": f"WITH {INDEX}, q0 AS (SELECT p_partkey AS query_id, CASE WHEN (p_partkey // 20) % 5 = 0 THEN substr('k ' || p_partkey, 1, 4) ELSE substr(lower(p_name), 3, 40) || '  ' || upper(p_brand) END AS q FROM part WHERE p_partkey % 20 = 0), {SEARCH}",
     "search_appended": f"WITH {INDEX}, q0 AS (SELECT p_partkey AS query_id, CASE WHEN (p_partkey // 20) % 5 = 0 THEN substr('k ' || p_partkey, 1, 4) ELSE substr(lower(p_name), 3, 40) || '  ' || upper(p_brand) END AS q FROM part WHERE p_partkey % 20 = 0), {SEARCH}",
     "search_parts": f"WITH {INDEX}, q0 AS (SELECT p_partkey AS query_id, CASE WHEN (p_partkey // 20) % 5 = 0 THEN substr('k ' || p_partkey, 1, 4) ELSE substr(lower(p_name), 3, 40) || '  ' || upper(p_brand) END AS q FROM part), {SEARCH}",
-    "search_documents": f"WITH idx AS (SELECT 'document' AS type, '' AS title, '' AS url, lower(text) AS search_text, 0::BIGINT AS type_pos, doc_id AS item_pos FROM documents), q0 AS (SELECT item_id AS query_id, substr(text, 12, 7) || ' ' || substr(text, 31, 6) AS q FROM benchmark), {SEARCH}",
+    "search_documents": f"WITH idx AS (SELECT 'document' AS type, '' AS title, '' AS url, lower(text) AS search_text, 0::BIGINT AS type_pos, doc_id AS item_pos FROM documents), q0 AS (SELECT item_id AS query_id, substr(text, 12, 7) || CASE WHEN item_id % 2 = 0 THEN chr(160) ELSE ' ' END || substr(text, 31, 6) AS q FROM benchmark), {SEARCH}",
     "parse_datetime": f"""WITH r AS (SELECT o_orderkey AS row_id, CASE o_orderkey % 7 WHEN 0 THEN concat(year(o_orderdate), '-13-31') WHEN 1 THEN concat('98-02-', o_orderkey % 40) WHEN 2 THEN 'TBA' ELSE CAST(CAST(o_orderdate AS DATE) AS VARCHAR) END AS d,
-  CASE o_orderkey % 5 WHEN 0 THEN concat(o_orderkey % 14, ':30 p.m.') WHEN 1 THEN concat(o_orderkey % 30, ':75') WHEN 2 THEN 'noon' WHEN 3 THEN concat(o_orderkey % 13, 'AM') ELSE lpad(CAST(o_orderkey % 24 AS VARCHAR), 2, '0') END AS t FROM orders)
+  CASE o_orderkey % 5 WHEN 0 THEN concat(o_orderkey % 14, ':30 p.m.') WHEN 1 THEN concat(o_orderkey % 30, ':75') WHEN 2 THEN 'noon' WHEN 3 THEN concat(o_orderkey % 13, 'AM') ELSE lpad(CAST(o_orderkey % 24 AS VARCHAR), 2, '0') END AS t0,
+  CASE WHEN o_orderkey % 11 = 0 THEN concat(o_orderkey % 13, ':05', CASE WHEN o_orderkey % 2 = 0 THEN chr(160) ELSE chr(8239) END, 'pm') ELSE t0 END AS t FROM orders)
 SELECT row_id, {_date("d")} + to_minutes({_strict("t")}) AS at, CAST({_lenient("t")} AS BIGINT) AS lenient FROM r""",
     "text_scalars": rf"""SELECT doc_id, CASE WHEN length(text) > 160 THEN substr(text, 1, 159) || '…' ELSE text END AS teaser,
-  {_or(r"upper(array_to_string(list_transform(string_split_regex(trim(replace(text, chr(10), ' ')), '\s+')[1:2], lambda w: w[1:1]), ''))", "'??'")} AS initials,
+  {_initials("named")} AS initials,
   lower(substr(regexp_replace(text, '[^A-Za-z0-9]+', '_', 'g'), 1, 60)) AS stem, CAST(len(list_filter(string_split_regex(text, '[|,]'), lambda x: regexp_replace(x, '\s+', '', 'g') <> '')) AS BIGINT) AS n_tags,
-  md5(regexp_replace(text, '[\n,;]', ' ', 'g')) AS plain_md5, CAST({_number("concat(doc_id % 90, text)")} AS BIGINT) AS number FROM documents""",
+  md5(regexp_replace(text, '[\n,;]', ' ', 'g')) AS plain_md5, CAST({_number("concat(CASE WHEN doc_id % 2 = 0 THEN chr(8239) || ' ' || chr(160) ELSE '' END, doc_id % 90, text)")} AS BIGINT) AS number
+  FROM (SELECT *, CASE WHEN doc_id % 3 = 0 THEN chr(9) || chr(12288) || replace(replace(text, chr(10), ' '), ' ', chr(160)) ELSE replace(text, chr(10), ' ') END AS named FROM documents)""",
     "date_formats": f"""WITH {ORDER_EVENTS} SELECT row_id, strftime(start, '%A, %B %-d, %Y') AS long_date, strftime(start, '%b %-d, %Y') AS short_date, {TIMES} AS times, upper(strftime(start, '%b')) AS tile_month, {STAMP.format("start")} AS stamp FROM e""",
     "route_urls": _routes(),
 }

@@ -87,7 +87,7 @@ def search_appended(spark: SparkSession, sf_dir: str) -> DataFrame:
 def search_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     index = docs.select(F.lit("document").alias("type"), F.lit("").alias("title"), F.lit("").alias("url"), F.lower("text").alias("search_text"), F.lit(0).cast("long").alias("type_pos"), F.col("doc_id").alias("item_pos"))
-    asked = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("query_id"), F.concat(F.substring("text", 12, 7), F.lit(" "), F.substring("text", 31, 6)).alias("q"))
+    asked = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("query_id"), F.concat(F.substring("text", 12, 7), F.when(F.col("item_id") % 2 == 0, "\xa0").otherwise(" "), F.substring("text", 31, 6)).alias("q"))
     return _searched(index, asked)
 
 
@@ -96,13 +96,18 @@ def parse_datetime(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")
     date = F.when(k % 7 == 0, F.concat(F.year("o_orderdate").cast("string"), F.lit("-13-31"))).when(k % 7 == 1, F.concat(F.lit("98-02-"), (k % 40).cast("string"))).when(k % 7 == 2, "TBA").otherwise(F.col("o_orderdate").cast("date").cast("string"))
     clock = F.when(k % 5 == 0, F.concat((k % 14).cast("string"), F.lit(":30 p.m."))).when(k % 5 == 1, F.concat((k % 30).cast("string"), F.lit(":75"))).when(k % 5 == 2, "noon").when(k % 5 == 3, F.concat((k % 13).cast("string"), F.lit("AM"))).otherwise(F.lpad((k % 24).cast("string"), 2, "0"))
+    clock = F.when(k % 11 == 0, F.concat((k % 13).cast("string"), F.lit(":05"), F.when(k % 2 == 0, "\xa0").otherwise("\u202f"), F.lit("pm"))).otherwise(clock)
     rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select(k.alias("row_id"), date.alias("d"), clock.alias("t"))
     return rows.select("row_id", X.parse_datetime(F.col("d"), F.col("t")).alias("at"), X.lenient_clock(F.col("t")).cast("long").alias("lenient"))
 
 
 def text_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each text; every third name and every other number with white space beyond ASCII."""
     t = F.col("text")
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", X.truncate(t).alias("teaser"), X.initials(F.replace(t, F.lit("\n"), F.lit(" "))).alias("initials"), X.file_stem(t).alias("stem"), F.size(X.tags(t)).cast("long").alias("n_tags"), F.md5(X.calendar_text(t).cast("binary")).alias("plain_md5"), X.int_prefix(F.concat((F.col("doc_id") % 90).cast("string"), t)).cast("long").alias("number"))
+    name = F.replace(t, F.lit("\n"), F.lit(" "))
+    name = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("\t\u3000"), F.replace(name, F.lit(" "), F.lit("\xa0")))).otherwise(name)
+    number = F.concat(F.when(F.col("doc_id") % 2 == 0, "\u202f \xa0").otherwise(""), (F.col("doc_id") % 90).cast("string"), t)
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", X.truncate(t).alias("teaser"), X.initials(name).alias("initials"), X.file_stem(t).alias("stem"), F.size(X.tags(t)).cast("long").alias("n_tags"), F.md5(X.calendar_text(t).cast("binary")).alias("plain_md5"), X.int_prefix(number).cast("long").alias("number"))
 
 
 def date_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,18 +117,62 @@ def date_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def route_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    routed = routing.route_urls(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url"), "url", ROUTES)
-    return routed.select("page_id", "path", F.coalesce("route", F.lit("not-found")).alias("route"), F.coalesce(F.col("params")["id"], F.lit("")).alias("param_id"), F.size("query").cast("long").alias("n_query"))
+    """The pages' URLs; every third one's path with a plus and codes, and a query with codes, pluses and a repeated key."""
+    host = F.regexp_extract("url", "^[a-z]+://[^/]+", 0)
+    odd = F.concat(host, F.lit("/p/x+y%20"), F.col("page_id").cast("string"), F.lit("?a%20b=1+2&x=%C3%A9&x=2&=z&flag&+="))
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.when(F.col("page_id") % 3 == 0, odd).otherwise(F.col("url")).alias("url"))
+    routed = routing.route_urls(pages, "url", ROUTES)
+    asked = F.array_join(F.array_sort(F.transform(F.map_entries("query"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), "&")
+    return routed.select("page_id", "path", F.coalesce("route", F.lit("not-found")).alias("route"), F.coalesce(F.col("params")["id"], F.lit("")).alias("param_id"), F.size("query").cast("long").alias("n_query"), asked.alias("asked"))
+
+
+def _csv_files(rows: DataFrame, order: str, folder: str) -> None:
+    """rows without order as CSV in five folders of different sizes, whose files are in that order by name."""
+    low, high = rows.agg(F.min(order), F.max(order)).first()
+    cuts = [low, *(low + (high - low) * share // 100 for share in (1, 5, 30, 90)), (high or 0) + 1] if high is not None else []
+    for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+        part = rows.where((F.col(order) >= a) & (F.col(order) < b)).orderBy(order).drop(order)
+        part.write.csv(f"{folder}/{k}", header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+
+
+def _csv_read(spark: SparkSession, rows: DataFrame, name: str, then: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What then makes of rows written as CSV in the order of row_id and read back by their name."""
+    with Workspace(spark, "csv") as tables:
+        tables.paths["feed"] = path = f"{shared_folder(spark)}/csv-feed-{uuid.uuid4().hex}"
+        _csv_files(rows, "row_id", path)
+        return materialise(then(FeedCatalog({name: f"{path}/*/"}).read(spark, name)), "csv-rows")
 
 
 def csv_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The meetings feed written as CSV and read back by its name (S1, S2); row_id belongs to the files and isn't returned."""
-    with Workspace(spark, "csv") as tables:
-        path = f"{shared_folder(spark)}/csv-feed-{uuid.uuid4().hex}"
-        tables.paths["feed"] = path
-        feed(spark, sf_dir, "meetings").drop("row_id").write.csv(path, header=True, escape='"')
-        rows = normalise.meetings(FeedCatalog({"meetings": path}).read(spark, "meetings"))
-        return materialise(rows.select("name", "day", "time", "address", "city", "district", F.array_join("types", "|").alias("types"), "notes"), "csv-rows")
+    """The meetings feed written as CSV files of different sizes and read back by its name (S1, S2), with row_id over all files."""
+    kept = ("row_id", "name", "day", "time", "address", "city", "district")
+    return _csv_read(spark, feed(spark, sf_dir, "meetings"), "meetings", lambda raw: normalise.meetings(raw).select(*kept, F.array_join("types", "|").alias("types"), "notes"))
+
+
+def csv_feed_messy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headers with capitals, inner and outer spaces, one of them twice; values with quotes, separators, line ends and no-break spaces; blank rows."""
+    key = F.col("p_partkey")
+    blank = key % 17 == 0
+    cell = lambda c: F.when(blank, F.lit("  ")).otherwise(c)
+    text = F.concat(F.lit('a "quoted" '), F.col("p_name"), F.lit(',\n"'), F.col("p_brand"), F.lit('"\n\n; end'))
+    rows = spark.read.parquet(f"{sf_dir}/part.parquet").select(key.alias("row_id"), cell(F.concat(F.lit("\xa0 "), F.col("p_name"), F.lit("\t\u202f"))).alias(" Part  Name "), cell(F.when(key % 5 == 0, F.col("p_type")).otherwise(text)).alias("DESCRIPTION"), cell(key.cast("string")).alias("Part\xa0Key"), cell(F.when(key % 3 == 0, '""').otherwise("x,y")).alias("description "))
+    return _csv_read(spark, rows, "parts", lambda raw: raw.select("row_id", "part_name", "description", F.col("part_key").cast("long").alias("part_key"), "description_1"))
+
+
+def feed_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Feeds of a catalogue with files and without, and how many rows and columns each is read with (S3)."""
+    catalog = FeedCatalog({"meetings": f"{sf_dir}/part.parquet", "events": f"{sf_dir}/no-such-feed.csv", "resources": f"{sf_dir}/no-such-feed.parquet"}, on_missing="empty")
+    states = [(name, catalog.read(spark, name)) for name in sorted(catalog.paths)]
+    counted = [df.agg(F.count("*").alias("n_rows")).select(F.lit(name).alias("feed"), "n_rows", F.lit(len(df.columns)).cast("long").alias("n_columns")) for name, df in states]
+    return counted[0].unionByName(counted[1]).unionByName(counted[2])
+
+
+def no_match_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Listings with a query that finds something and with one that finds nothing."""
+    e, m, r = (getattr(normalise, n)(feed(spark, sf_dir, n)) for n in ("events", "meetings", "resources"))
+    found = {"events": listings.event_listing(e, AS_OF, CATEGORIES, "hall"), "meetings": listings.meeting_finder(m, q="oak"), "resources": listings.resource_browser(r, q="page")}
+    none = {"events_none": listings.event_listing(e, AS_OF, CATEGORIES, "no such hall"), "events_no_category": listings.event_listing(e, AS_OF, []), "meetings_none": listings.meeting_finder(m, city="Nowhere"), "resources_none": listings.resource_browser(r, "Cat 99")}
+    return listings.no_match(**found, **none)
 
 
 def dismissed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,6 +182,21 @@ def dismissed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return listings.active_announcement(found, ORDERS_AS_OF, orders.select(F.concat(F.lit("an-"), F.col("o_orderkey").cast("string")).alias("id")))
 
 
+def dismissals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many rows the banner shows, and which: with nothing dismissed, with all but the top one dismissed, with the top one dismissed."""
+    found = normalise.announcements(feed(spark, sf_dir, "announcements"))
+    top = listings.active_announcement(found, ORDERS_AS_OF).select("id")
+    cases = {"nothing": found.select("id").limit(0), "others": found.select("id").join(top, "id", "left_anti"), "top": top}
+    shown = [listings.active_announcement(found, ORDERS_AS_OF, ids).agg(F.count("*").alias("n"), F.max("id").alias("id")).select(F.lit(case).alias("dismissed"), "n", "id") for case, ids in cases.items()]
+    return shown[0].unionByName(shown[1]).unionByName(shown[2])
+
+
+def export_calendar_zone(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as events of a zone with daylight saving."""
+    events = order_events(spark, sf_dir).withColumns({c: F.lit("") for c in ("location", "address", "description")})
+    return calendar_export.export_calendar(events, "1997-09-01", "America/New_York")
+
+
 def _of(name: str, then: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, sf_dir: then(getattr(normalise, name)(feed(spark, sf_dir, name)))
 
@@ -149,7 +213,13 @@ QUERIES: dict[str, Query] = {
     "meeting_finder_city": _of("meetings", lambda m: listings.meeting_finder(m, city="Brand#13")),
     "resource_browser_filtered": _of("resources", lambda r: listings.resource_browser(r, "Cat 3", "EX")),
     "announcement_dismissed": dismissed,
+    "announcement_dismissals": dismissals,
     "csv_feed": csv_feed,
+    "csv_feed_messy": csv_feed_messy,
+    "feed_states": feed_states,
+    "no_match_states": no_match_states,
+    "export_calendar_zone": export_calendar_zone,
+    "facet_options": _of("resources", lambda r: listings.facet_options(r, "category")),
     "meeting_finder": _of("meetings", listings.meeting_finder),
     "meeting_finder_filtered": _of("meetings", lambda m: listings.meeting_finder(m, "Tuesday", "", " OAK ave")),
     "facet_values": _of("meetings", lambda m: listings.facet_values(m, "city")),

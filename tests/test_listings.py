@@ -1,4 +1,6 @@
 import datetime as dt
+import re
+import time
 
 import duckdb
 import pytest
@@ -137,7 +139,82 @@ def test_routes(spark):
     rows = spark.createDataFrame([("/events/a%20b?x=1&x=2",), ("/events/",), ("/nope/x/y",)], "u string")
     got = routing.route_urls(rows, "u", ["/events", "/events/:id"]).collect()
     assert [(r.route, r.params) for r in got] == [("/events/:id", {"id": "a b"}), ("/events", {}), (None, {})]
-    assert got[0].query == {"x": "2"}
+    assert got[0].query == {"x": "1"}
+
+
+def test_pluses_keys_and_patterns_without_a_shape(spark):
+    urls = ["/events/a+b", "http://h.org/wiki/?a%20b=1+2&=z&flag&%zz=1", "/wiki", "/wiki/a/b", "/p-5.html/q+", "//x", "/events//", None, "/a.b", "/axb", "/events/%zz"]
+    routes = ["/", "/events", "/events/:id", "/wiki/*", "/p-:n.html/:m", "/a.b", "/x*y", "/:a/:a"]
+    got = routing.route_urls(spark.createDataFrame([(u,) for u in urls], "path string"), "path", routes).collect()
+    assert [r.route for r in got] == ["/events/:id", "/wiki/*", None, "/wiki/*", "/p-:n.html/:m", None, None, "/", "/a.b", None, "/events/:id"]
+    assert [r.params for r in got] == [{"id": "a+b"}, {}, {}, {}, {"n": "5", "m": "q+"}, {}, {}, {}, {}, {}, {"id": None}]
+    assert got[1].query == {"a b": "1 2", "": "z", "flag": ""}
+    assert routing.route_urls(spark.createDataFrame([("/u/v",)], "u string"), "u", routes).first().params == {"a": "v"}
+    assert routing.route_urls(spark.createDataFrame([("/u",)], "u string"), "u", []).first().route is None
+
+
+def test_many_routes_as_one_by_one(spark):
+    routes = [f"/s{i % 167}/:id" if i % 3 == 0 else f"/s{i % 167}/t{i}/:a/:b" if i % 3 == 1 else f"/s{i % 167}" for i in range(500)] + ["/:any", "/s3/*"]
+    compiled = routing.compiled(routes)
+    assert len(compiled.shapes) == 5 and not compiled.regexes
+    paths = [f"/s{i % 200}" + ["", "/", "/x", f"/t{i}/u/v/"][i % 4] for i in range(400)] + ["/s3/", "/s3/a/b/c/d", "/", ""]
+    rows = spark.createDataFrame([(p,) for p in paths], "p string")
+    began = time.time()
+    routed = routing.route_urls(rows, "p", routes)
+    routed._jdf.queryExecution().executedPlan()
+    assert time.time() - began < 5  # with room for a busy machine
+    first = lambda p: next((r for r in routes if re.search(routing.regex(r)[0], p or "/")), None)
+    assert [r.route for r in routed.collect()] == [first(p) for p in paths]
+
+
+def test_white_space_beyond_ascii(spark):
+    nbsp, narrow = "\xa0", "\u202f"
+    assert values(spark, [f"7:30{nbsp}pm", f"7:30{narrow}pm", "7:30\u3000pm", "7:30\x85pm"], X.lenient_clock) == [1170, 1170, 1170, 450]
+    assert values(spark, [f"Ann{nbsp}Cole", f"Ann{narrow}Cole", "\tAnn Cole", "\ufeff Ann\u2003Cole"], X.initials) == ["AC"] * 4
+    assert values(spark, [f"{nbsp}7", f" {narrow}-7x"], X.int_prefix) == [7, -7]
+    assert values(spark, [f"hall{nbsp}one{narrow} two"], search.tokens) == [["hall", "one", "two"]]
+    assert X.headers([" A  b", "a\xa0B", "A_B_1", "a b"]) == ["a_b", "a_b_1", "a_b_1_1", "a_b_2"]
+
+
+def test_long_items_are_two_rows(spark):
+    rows = [(1, "1950-01-01", "2050-01-01"), (2, "1999-12-31", "1999-12-31"), (3, "2000-02-28", "2000-03-02"), (4, "2000-03-01", None), (5, "2300-01-01", "2300-01-02"), (6, "1900-01-01", "1950-01-02")]
+    items = spark.createDataFrame(rows, "i int, start string, end string").select("i", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"))
+    got = {str(r.day): r.n_items for r in listings.calendar_days(items, "1949-12-30", "2050-12-31").collect()}
+    want = {}
+    for _, low, high in rows:
+        day, last = dt.date.fromisoformat(low), dt.date.fromisoformat(high or low)
+        while day == dt.date.fromisoformat(low) or day < last:
+            if "1949-12-30" <= str(day) <= "2050-12-31":
+                want[str(day)] = want.get(str(day), 0) + 1
+            day += dt.timedelta(days=1)
+    assert got == want
+    plan = listings.calendar_days(items, "1949-12-30", "2050-12-31")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("sequence(") < plan.index("inline(")  # days are made of the sums, not of the items
+    assert listings.calendar_days(items.limit(0), "1949-12-30", "2050-12-31").isEmpty()
+
+
+def test_facet_options_and_empty_states(spark):
+    rows = spark.createDataFrame([(i, c, "t", "u", "d", "") for i, c in enumerate(["B", "A", "B", ""])], "row_id long, category string, title string, url string, description string, updated string")
+    assert [tuple(r) for r in listings.facet_options(rows, "category").orderBy("pos", "value").collect()] == [(0, "All"), (1, "A"), (1, "B")]
+    states = listings.no_match(some=listings.resource_browser(rows, "A"), none=listings.resource_browser(rows, "Z")).collect()
+    assert {r.listing: r.empty for r in states} == {"some": False, "none": True}
+
+
+def test_a_hot_category_stays_spread(spark):
+    rows = spark.range(20000, numPartitions=8).select(F.col("id").alias("row_id"), F.when(F.col("id") % 10 == 0, F.concat(F.lit("c"), (F.col("id") % 70).cast("string"))).otherwise("hot").alias("category"), F.lit("t").alias("title"), F.lit("u").alias("url"), F.lit("").alias("description"), F.lit("").alias("updated"))
+    out = listings.resource_browser(rows)
+    sizes = [r["count"] for r in out.where("category = 'hot'").groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 18000 and max(sizes) <= 3000
+    assert {r.category: r.section_order for r in out.select("category", "section_order").distinct().collect()} == {"hot": 1, **{f"c{k}": k for k in range(0, 70, 10)}}
+
+
+def test_dates_in_steps_are_those_of_the_expressions(spark):
+    dates = ["2026-06-07", "2026-02-30", "26-06-07", "2026-06-07 09:00", "TBA", "", None, "275760-09-14", "99999999-1-1", "2026-1-1-1", "1-1-1"]
+    clocks = ["9:00 AM", "12:30 am", "25:75", "noon", "", None, "7:00 p.m.", "7pm PST", "1,2", "99"]
+    rows = spark.createDataFrame([(d, c) for d in dates for c in clocks], "d string, c string")
+    got = X.with_datetimes(rows, a=(F.col("d"), F.col("c")), b=(F.col("d"), None)).withColumns({"x": X.parse_datetime(F.col("d"), F.col("c")), "y": X.parse_date(F.col("d")).cast("timestamp_ntz")})
+    assert got.columns == ["d", "c", "a", "b", "x", "y"]
+    assert got.where("not (a <=> x and b <=> y)").isEmpty() and got.where("a is not null").count() > 30
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
