@@ -3,17 +3,22 @@
 Sparse word n-grams (one and two words) of a paragraph go through a multinomial logistic
 regression over the licence families and a class for everything else. It is trained on windows
 of the templates below and on a bounded sample of the table's own distinct paragraphs that share
-no three-word run with a template. A paragraph is classified by overlapping windows of SPAN
+no three-word run with a template. A paragraph (line) is classified by overlapping windows of SPAN
 words, so that a notice within a longer text isn't outweighed by what stands around it.
 
 The unknown class is calibrated on all paragraphs: the least threshold, FLOOR or more, that at
 most one in FALSE_SHARE of them reaches with a window that shares no three-word run with a
-template. A prediction counts once the windows that made it hold most word pairs of one of the
-family's templates, whatever else the paragraph says: holder names, or a whole notice with a
-text before and after.
+template.
 
-Every paragraph (line) of every text is classified, however long, window by window. Null and empty
-texts have no paragraphs; repeated rows get equal results; without sampled paragraphs the
+A notice may be wrapped: lines of one family that follow each other, with up to GAP lines between, are
+one run. A prediction counts once the windows that made it hold most word pairs of one of the
+family's templates, over the run, pairs across its line ends included, whatever else its lines say: holder names,
+comment marks (no marks are words), or a text before and after. A line of several confirmed runs counts for
+the surest; a run that keeps a line is one notice.
+
+Every paragraph of every text is classified, however long, window by window. Null and empty
+texts have no paragraphs; rows are known by their id and text, so null ids keep their notices, rows that share an id have
+those of their own text, and repeated rows get equal results; without sampled paragraphs the
 templates alone train the model; an empty table gives no rows; other columns aren't looked at.
 """
 
@@ -25,7 +30,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gazette.llm.common import documents
@@ -67,6 +72,10 @@ SAMPLE = 8000  # distinct paragraphs for class none
 FALSE_SHARE = 1000
 FLOOR, CEILING = 0.5, 0.99
 CONFIRM = 0.6
+#: Lines without a prediction that may stand within a notice.
+GAP = 2
+#: What a row is known by.
+ROW = ("doc_id", "text_id")
 WINDOW = 6  # words; shorter templates are used whole
 SPAN, STEP = 16, 8  # words of a paragraph that are classified together, and from one such window to the next
 
@@ -113,11 +122,17 @@ def families() -> list[str]:
 
 
 def paragraphs(docs: DataFrame) -> DataFrame:
-    """doc_id, paragraph and line, for lines that have words."""
-    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("paragraph", "line"))
+    """doc_id, text_id, paragraph and line, for lines that have words."""
+    lines = docs.select("doc_id", F.xxhash64("text").alias("text_id"), F.posexplode(F.split("text", "\n")).alias("paragraph", "line"))
     return lines.where(F.col("line").rlike(r"[\p{L}\p{N}]"))
 
 
+def survey(docs: DataFrame) -> tuple[int, int]:
+    """How many paragraphs there are, and about how many distinct ones."""
+    found = paragraphs(docs).agg(F.count("*"), F.approx_count_distinct(F.xxhash64("line"))).first()
+    return found[0], found[1]
+
+
 def _with_terms(df: DataFrame) -> DataFrame:
     return df.withColumn("terms", terms(F.col("words"))).drop("words")
 
@@ -126,13 +141,14 @@ def _label() -> Column:
     return F.array_position(F.array(*map(F.lit, families())), F.col("family")).cast("double") - 1
 
 
-def _least(rows: DataFrame, n: int, share: int = 4) -> DataFrame:
-    """at and line of the n least distinct hashes "at"; fewer only if there are no more.
+def _least(rows: DataFrame, n: int, share: int = 4, distinct: int | None = None) -> DataFrame:
+    """at and line of the n least distinct hashes "at", of which there are about distinct; fewer only if there are no more.
 
     Only a part of the hashes' range that should hold share * n distinct ones is gathered, so
     that what one task gets doesn't grow with the input. Copies of a line are one row.
     """
-    part = share * n / max(1, rows.agg(F.approx_count_distinct("at")).first()[0])
+    distinct = rows.agg(F.approx_count_distinct("at")).first()[0] if distinct is None else distinct
+    part = share * n / max(1, distinct)
     taken = rows if part >= 1 else rows.where(F.col("at") < int(part * 2**64) - 2**63)
     return taken.groupBy("at").agg(F.min("line").alias("line")).orderBy("at").limit(n)
 
@@ -143,15 +159,16 @@ def _runs(spark: SparkSession) -> Column:
     return F.array(*[F.lit(r.run) for r in runs])
 
 
-def train(docs: DataFrame, sample: int = SAMPLE) -> PipelineModel:
-    """The model, from the templates and at most sample paragraphs without a run of theirs."""
+def train(docs: DataFrame, sample: int = SAMPLE, distinct: int | None = None) -> PipelineModel:
+    """The model, from the templates and at most sample paragraphs without a run of theirs, of about distinct ones."""
     spark = docs.sparkSession
+    distinct = survey(docs)[1] if distinct is None else distinct
     known = templates(spark)
     last = F.greatest(F.size("words") - WINDOW, F.lit(0))
     windows = known.select("family", F.explode(F.transform(F.sequence(F.lit(0), last), lambda i: F.slice("words", i + 1, WINDOW))).alias("words"))
     wholes = known.select("family", "words")
     # Paragraphs whose hashes are least: the same ones however the table is partitioned.
-    least = _least(paragraphs(docs).select(F.xxhash64("line").alias("at"), "line"), sample).withColumn("words", words(F.col("line")))
+    least = _least(paragraphs(docs).select(F.xxhash64("line").alias("at"), "line"), sample, distinct=distinct).withColumn("words", words(F.col("line")))
     clean = least.where(~F.arrays_overlap(let(F.col("words"), lambda x: grams(x, 3)), _runs(spark))).select("at", F.explode(spans(F.col("words"))).alias("words"))
     # One window of each paragraph trains, so that long ones don't make the sample grow.
     mine = clean.groupBy("at").agg(F.min_by("words", F.xxhash64("words")).alias("words")).select(F.lit(OTHER).alias("family"), "words")
@@ -174,16 +191,17 @@ def _likely(scored: DataFrame) -> DataFrame:
 
 
 def likely_windows(docs: DataFrame, model: PipelineModel) -> DataFrame:
-    """doc_id, paragraph, line, family, probability_of, pairs and clean (no run of a template) of the windows that reach FLOOR."""
-    windows = paragraphs(docs).select("doc_id", "paragraph", F.xxhash64("line").alias("line"), F.explode(spans(words(F.col("line")))).alias("words"))
+    """doc_id, text_id, paragraph, place, family, probability_of, pairs, first and last word and clean (no run of a template) of the windows that reach FLOOR."""
+    windows = paragraphs(docs).select(*ROW, "paragraph", F.posexplode(spans(words(F.col("line")))).alias("place", "words"))
     likely = _likely(model.transform(windows.withColumn("terms", terms(F.col("words"))))).where(F.col("probability_of") >= FLOOR)
     clean = ~F.arrays_overlap(let(F.col("words"), lambda x: grams(x, 3)), _runs(docs.sparkSession))
-    return likely.select("doc_id", "paragraph", "line", "family", "probability_of", pairs(F.col("terms")).alias("pairs"), clean.alias("clean"))
+    ends = [F.element_at("words", 1).alias("first"), F.element_at("words", -1).alias("last")]
+    return likely.select(*ROW, "paragraph", "place", "family", "probability_of", pairs(F.col("terms")).alias("pairs"), *ends, clean.alias("clean"))
 
 
 def calibrated(likely: DataFrame, n_paragraphs: int, false_share: int = FALSE_SHARE) -> float:
     """The least threshold from FLOOR that at most one in false_share of all paragraphs reaches with a clean window."""
-    each = likely.where("clean").groupBy("doc_id", "paragraph", "line").agg(F.max("probability_of").alias("p"))
+    each = likely.where("clean").groupBy(*ROW, "paragraph").agg(F.max("probability_of").alias("p"))
     n = each.count()
     allowed = n_paragraphs // false_share
     if n <= allowed:
@@ -193,31 +211,44 @@ def calibrated(likely: DataFrame, n_paragraphs: int, false_share: int = FALSE_SH
     return min(CEILING, max(FLOOR, math.nextafter(cut, 1.0)))
 
 
-def scan(docs: DataFrame, model: PipelineModel, threshold: float | None = None, confirm: float = CONFIRM) -> DataFrame:
-    """doc_id, paragraph, family, probability, likeness of the paragraphs that carry a licence; the threshold is calibrated on docs if none is given."""
+def scan(docs: DataFrame, model: PipelineModel, threshold: float | None = None, confirm: float = CONFIRM, n_paragraphs: int | None = None) -> DataFrame:
+    """doc_id, text_id, paragraph (the first), n_lines, family, probability, likeness of the notices; the threshold is calibrated on docs if none is given.
+
+    text_id is the xxhash64 of the text; rows that repeat both are one.
+    """
     spark = docs.sparkSession
     with Workspace(spark, "license_scan") as tables:
         likely = tables.write(likely_windows(docs, model), "likely")
         if threshold is None:
-            threshold = calibrated(likely, paragraphs(docs).count())
+            threshold = calibrated(likely, survey(docs)[0] if n_paragraphs is None else n_paragraphs)
         return materialise(_confirmed(likely.where(F.col("probability_of") >= threshold), confirm), "licensed")
 
 
 def _confirmed(likely: DataFrame, confirm: float) -> DataFrame:
-    known = templates(likely.sparkSession).where(F.size("words") > 1).groupBy("family").agg(F.collect_list(F.array_distinct(grams(F.col("words"), 2))).alias("templates"))
     own = F.array_distinct(F.flatten(F.collect_list("pairs")))
-    found = likely.groupBy("doc_id", "paragraph", "line", "family").agg(F.max("probability_of").alias("probability"), own.alias("pairs"))
+    lines = likely.groupBy(*ROW, "paragraph", "family").agg(F.max("probability_of").alias("probability"), own.alias("pairs"), F.min_by("first", "place").alias("first"), F.max_by("last", "place").alias("last"))
+    order = Window.partitionBy(*ROW, "family").orderBy("paragraph")
+    lines = lines.withColumns({"before": F.lag("paragraph").over(order), "ended": F.lag("last").over(order)})
+    begins = F.col("before").isNull() | (F.col("paragraph") > F.col("before") + GAP + 1)
+    across = F.when(F.col("paragraph") == F.col("before") + 1, F.array(F.concat("ended", F.lit(" "), "first"))).otherwise(F.array().cast("array<string>"))
+    lines = lines.withColumns({"run": F.sum(begins.cast("int")).over(order), "pairs": F.concat("pairs", across)})
+    found = lines.groupBy(*ROW, "family", "run").agg(F.max("probability").alias("probability"), own.alias("pairs"), F.collect_set("paragraph").alias("lines"))
+    known = templates(likely.sparkSession).where(F.size("words") > 1).groupBy("family").agg(F.collect_list(F.array_distinct(grams(F.col("words"), 2))).alias("templates"))
     found = found.join(F.broadcast(known), "family")  # one row per family
     alike = F.array_max(F.transform("templates", lambda t: F.size(F.array_intersect(t, F.col("pairs"))) / F.size(t)))
     found = found.withColumn("likeness", alike).where(F.col("likeness") >= confirm)
-    # Windows of one paragraph may show several families: the likeliest confirmed one counts.
-    best = F.max(F.struct("probability", "likeness", "family")).alias("best")
-    return found.groupBy("doc_id", "paragraph", "line").agg(best).select("doc_id", "paragraph", "best.family", "best.probability", "best.likeness")
+    # Lines of several families' runs count for the likeliest one.
+    best = F.max(F.struct("probability", "likeness", "family", "run")).alias("best")
+    kept = found.withColumn("paragraph", F.explode("lines")).groupBy(*ROW, "paragraph").agg(best)
+    return kept.groupBy(*ROW, F.col("best.family").alias("family"), F.col("best.run").alias("run")).agg(F.min("paragraph").alias("paragraph"), F.count("*").alias("n_lines"), F.max("best.probability").alias("probability"), F.max("best.likeness").alias("likeness")).drop("run")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per document: its paragraphs with words, licensed ones, families in order, the surest family's probability."""
+    """Per document: its paragraphs with words, notices, families in order, the surest family's probability."""
     docs = documents(spark, sf_dir).select("doc_id", "text")
-    found = scan(docs, train(docs)).groupBy("doc_id").agg(F.count("*").alias("n_licensed"), F.array_join(F.array_sort(F.collect_set("family")), ",").alias("families"), F.max("probability").alias("probability"))
-    total = docs.select("doc_id", F.coalesce(F.size(F.filter(F.split("text", "\n"), lambda x: F.btrim(x) != "")), F.lit(0)).cast("long").alias("n_paragraphs"))
-    return total.join(found, "doc_id", "left").select("doc_id", "n_paragraphs", F.coalesce("n_licensed", F.lit(0)).alias("n_licensed"), F.coalesce("families", F.lit("")).alias("families"), "probability")
+    n_paragraphs, distinct = survey(docs)
+    found = scan(docs, train(docs, distinct=distinct), n_paragraphs=n_paragraphs).groupBy(*ROW).agg(F.count("*").alias("n_licensed"), F.array_join(F.array_sort(F.collect_set("family")), ",").alias("families"), F.max("probability").alias("probability"))
+    has_words = lambda x: x.rlike(r"[\p{L}\p{N}]")
+    total = docs.select("doc_id", F.xxhash64("text").alias("text_id"), F.coalesce(F.size(F.filter(F.split("text", "\n"), has_words)), F.lit(0)).cast("long").alias("n_paragraphs"))
+    same = F.col("t.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("t.text_id") == F.col("f.text_id"))
+    return total.alias("t").join(found.alias("f"), same, "left").select("t.doc_id", "n_paragraphs", F.coalesce("n_licensed", F.lit(0)).alias("n_licensed"), F.coalesce("families", F.lit("")).alias("families"), "probability")
