@@ -14,8 +14,10 @@ def _texts(df: DataFrame, *names: str):
 
 def events(raw: DataFrame) -> DataFrame:  # P1, F1
     f = lambda n: X.field(raw, n)
-    dates = {"_start": (f("start_date"), f("start_time")), "_end": (X.default(f("end_date"), f("start_date")), X.default(f("end_time"), f("start_time")))}
-    return X.with_datetimes(raw, **dates).where("_start is not null").select(
+    # The end comes in steps of its own, so that filters on the start go below them.
+    dated = X.with_datetimes(raw, _start=(f("start_date"), f("start_time"))).where("_start is not null")
+    dated = X.with_datetimes(dated, _end=(X.default(f("end_date"), f("start_date")), X.default(f("end_time"), f("start_time"))))
+    return dated.select(
         "row_id", X.default(f("id"), X.slug_id(f("start_date"), f("title"))).alias("id"), X.default(f("title"), "(Untitled event)").alias("title"),
         F.lower(X.default(f("category"), "other")).alias("category"), F.col("_start").alias("start"), F.col("_end").alias("end"),
         X.default(f("end_date"), X.default(f("start_date"))).alias("end_date"), *_texts(raw, "start_date", "start_time", "end_time", "location", "address", "district", "url", "flyer_url", "description", "contact"),
