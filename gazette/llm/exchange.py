@@ -29,15 +29,15 @@ from gazette.llm.lm_scoring import _unpacked as unpacked
 from gazette.llm.lm_scoring import _unsqueezed as unsqueezed
 from gazette.sources.tables import Workspace
 
-SLICE_BYTES, BLOCK_BYTES = 16 << 20, 8 << 20
+SLICE_BYTES, BLOCK_BYTES = 8 << 20, 5 << 20
 REQUESTS = "slice int, block long, n int, base long, keys binary, first binary, second binary"
 ANSWERS = "slice int, block long, n int, base long, flags binary, first binary, second binary"
 _A = np.uint64(0x9E3779B97F4A7C15)
 
 
-def slices(docs: DataFrame, size: int = SLICE_BYTES) -> int:
+def slices(docs: DataFrame) -> int:
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // size))
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // SLICE_BYTES))
 
 
 def blocks(docs: DataFrame, tag: str, limit: int = BLOCK_BYTES) -> DataFrame:

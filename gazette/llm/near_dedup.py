@@ -317,9 +317,11 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS,
         named = classes.select("n_shingles", "d1", "d2", "rep", "copies").join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").withColumn("label", F.coalesce("label", "rep")).drop("rep")
         out = join_counted(rows.drop("bands"), tables.write(named, "named"), ["n_shingles", "d1", "d2"], "copies", "left")
         # Rows with one id are one document.
-        ids = tables.write(out.where("label is not null and doc_id is not null").groupBy("doc_id").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.array_distinct(F.collect_list("label")).alias("all")).where("a < b"), "repeated")
+        named_ids = out.where("label is not null and doc_id is not null").select("doc_id", "label")
+        ids = tables.write(named_ids.groupBy("doc_id").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count("*").alias("n")).where("a < b").select("doc_id", "a", "n"), "repeated")
         if not ids.isEmpty():
-            over = components(ids.select("a", F.explode("all").alias("b")).where("a < b"), tables)
+            same = join_counted(named_ids, ids, ["doc_id"], "n").where("a < label").select("a", F.col("label").alias("b"))
+            over = components(same, tables)
             out = out.join(over.select(F.col("node").alias("label"), F.col("label").alias("new")), "label", "left").withColumn("label", F.coalesce("new", "label"))
         component = F.when(F.col("n_shingles") > 0, F.coalesce("label", "doc_id")).otherwise(F.col("doc_id"))
         out = out.select("doc_id", "n_shingles", component.alias("component_id"))
