@@ -107,6 +107,19 @@ def terms(ws: Column) -> Column:
     return let(ws, lambda x: F.concat(x, F.zip_with(F.slice(x, 1, F.greatest(F.size(x) - 1, F.lit(0))), F.slice(x, F.lit(2), F.size(x)), pair)))
 
 
+def term_spans(ws: Column) -> Column:
+    """terms() of each of spans(), from word pairs that are joined once a line."""
+    pair = lambda a, b: F.concat(a, F.lit(" "), b)
+    joined = lambda x: F.zip_with(F.slice(x, 1, F.greatest(F.size(x) - 1, F.lit(0))), F.slice(x, F.lit(2), F.size(x)), pair)
+    starts = lambda x: F.sequence(F.lit(0), F.greatest(F.size(x) - (SPAN - STEP) - 1, F.lit(0)), F.lit(STEP))
+    return let(ws, lambda x: let(joined(x), lambda y: F.transform(starts(x), lambda i: F.concat(F.slice(x, i + 1, SPAN), F.slice(y, i + 1, SPAN - 1)))))
+
+
+def single(found: Column) -> Column:
+    """The words among terms()."""
+    return F.slice(found, F.lit(1), F.expr("(size(terms) + 1) div 2").cast("int"))
+
+
 def pairs(found: Column) -> Column:
     """The word pairs among terms()."""
     return F.slice(found, F.expr("(size(terms) + 1) div 2 + 1").cast("int"), F.size(found))
@@ -182,18 +195,15 @@ def train(docs: DataFrame, sample: int = SAMPLE, distinct: int | None = None) ->
         rows.unpersist()
 
 
-def _likely(scored: DataFrame) -> DataFrame:
-    """The likeliest licence family and its probability."""
-    names = F.array(*map(F.lit, families()[1:]))
-    p = F.slice(vector_to_array("probability"), 2, len(families()) - 1)
-    scored = scored.withColumn("_p", p).withColumn("probability_of", F.array_max("_p"))
-    return scored.withColumn("family", F.element_at(names, F.array_position("_p", F.col("probability_of")).cast("int")))
-
-
 def likely_windows(docs: DataFrame, model: PipelineModel) -> DataFrame:
     """doc_id, text_id, paragraph, place, family, probability_of, pairs, first and last word and clean (no run of a template) of the windows that reach FLOOR."""
-    windows = paragraphs(docs).select(*ROW, "paragraph", F.posexplode(spans(words(F.col("line")))).alias("place", "words"))
-    likely = _likely(model.transform(windows.withColumn("terms", terms(F.col("words"))))).where(F.col("probability_of") >= FLOOR)
+    windows = paragraphs(docs).select(*ROW, "paragraph", F.posexplode(term_spans(words(F.col("line")))).alias("place", "terms"))
+    names = F.array(*map(F.lit, families()[1:]))
+    p = F.slice(vector_to_array("probability"), 2, len(families()) - 1)
+    # A generator of one row: the filter stays above it, else it would ask the model anew for each time it names the probability.
+    scored = model.transform(windows).select(*ROW, "paragraph", "place", "terms", F.inline(F.array(F.struct(p.alias("p")))))
+    likely = scored.withColumn("probability_of", F.array_max("p")).where(F.col("probability_of") >= FLOOR)
+    likely = likely.withColumns({"family": F.element_at(names, F.array_position("p", F.col("probability_of")).cast("int")), "words": single(F.col("terms"))})
     clean = ~F.arrays_overlap(let(F.col("words"), lambda x: grams(x, 3)), _runs(docs.sparkSession))
     ends = [F.element_at("words", 1).alias("first"), F.element_at("words", -1).alias("last")]
     return likely.select(*ROW, "paragraph", "place", "family", "probability_of", pairs(F.col("terms")).alias("pairs"), *ends, clean.alias("clean"))

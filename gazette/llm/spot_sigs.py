@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gazette.llm.common import documents
-from gazette.sources.tables import join_counted, materialise
+from gazette.sources.tables import Workspace, join_counted, materialise
 
 # Common words of English, French, German and Spanish that serve as anchors.
 ANCHORS = (
@@ -109,7 +109,7 @@ def _ranges(docs: DataFrame) -> DataFrame:
 
 
 def with_next(docs: DataFrame, add: dict[str, Column]) -> DataFrame:
-    """docs with _next_text and, for every column in add, that column and _next_ of it.
+    """docs with _next_text and, for every column in add, that column and _next_ of it; columns of docs of these names are replaced, _id, _tie, _range, _head and _to dropped.
 
     Ranges of ids are ordered each for itself; the first row of a range is also copied to the
     range before it. Of each range one key and one text are looked at beyond it.
@@ -132,24 +132,29 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", signatures(F.coalesce("text", F.lit(""))).alias("signatures"))
 
 
-def class_members(docs: DataFrame) -> DataFrame:
+def _written(df: DataFrame, name: str, tables: Workspace | None) -> DataFrame:
+    """A table that goes with tables, or stays for the caller's lazy result."""
+    return materialise(df, f"spot-{name}") if tables is None else tables.write(df, name)
+
+
+def class_members(docs: DataFrame, tables: Workspace | None = None) -> DataFrame:
     """doc_id, fingerprint (equal for equal sets), class_id (the least doc_id of that fingerprint), signatures.
 
     A class of null ids alone has a null class_id.
     """
     rows = fingerprints(docs).withColumn("fingerprint", digest(F.col("signatures")))
-    least = materialise(rows.groupBy("fingerprint").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("n")), "spot-least")
+    least = _written(rows.groupBy("fingerprint").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("n")), "least", tables)
     return join_counted(rows, least, ["fingerprint"], "n").select("doc_id", "fingerprint", "class_id", "signatures")
 
 
-def near_pairs(docs: DataFrame, at_least: float = 0.8) -> DataFrame:
+def near_pairs(docs: DataFrame, at_least: float = 0.8, tables: Workspace | None = None) -> DataFrame:
     """a, b, likeness, a_fingerprint, b_fingerprint: classes (by class_id) with a likeness of at_least (over 0, below 1) or more.
 
     a has the smaller set; with as many signatures, the lesser fingerprint. Copies are not
     expanded: class_members() has them. An empty table gives no rows.
     """
     rows = fingerprints(docs).withColumn("fingerprint", digest(F.col("signatures")))
-    sets = materialise(rows.groupBy("fingerprint").agg(F.min("doc_id").alias("class_id"), F.any_value("signatures").alias("signatures")), "spot-classes")
+    sets = _written(rows.groupBy("fingerprint").agg(F.min("doc_id").alias("class_id"), F.any_value("signatures").alias("signatures")), "classes", tables)
     held = sets.select("fingerprint", F.size("signatures").alias("size"), F.explode("signatures").alias("signature"))
     known = held.join(held.groupBy("signature").agg(F.count("*").alias("rows")), "signature")
     # Sets with this likeness share one of their rarest size - ceil(at_least * size) + 1 signatures.
@@ -158,7 +163,7 @@ def near_pairs(docs: DataFrame, at_least: float = 0.8) -> DataFrame:
     rarest = known.groupBy("fingerprint", "size").agg(F.array_sort(F.collect_list(F.struct("rows", "signature"))).alias("_all"))
     enough = (F.col("size") - F.ceil(F.col("size") * at_least - 1e-9) + 1).cast("int")
     rarest = rarest.select("fingerprint", "size", part, F.posexplode(F.slice("_all", F.lit(1), enough)).alias("place", "s"))
-    rarest = materialise(rarest.select("fingerprint", "size", "part", "place", "s.signature"), "spot-index")
+    rarest = _written(rarest.select("fingerprint", "size", "part", "place", "s.signature"), "index", tables)
     short = rarest.select(F.col("fingerprint").alias("a"), F.col("size").alias("a_size"), F.col("place").alias("a_place"), "signature", F.explode(F.array(F.col("part"), F.col("part") + 1)).alias("part"))
     long = rarest.select(F.col("fingerprint").alias("b"), F.col("size").alias("b_size"), F.col("place").alias("b_place"), "signature", "part")
     shared = F.least(F.expr("a_size - a_place"), F.expr("b_size - b_place"))
@@ -171,12 +176,12 @@ def near_pairs(docs: DataFrame, at_least: float = 0.8) -> DataFrame:
 
 def links(docs: DataFrame, at_least: float = 0.8) -> DataFrame:
     """doc_id, fingerprint, class_id and n_links, the classes near its own, for each row of docs."""
-    members = materialise(class_members(docs).drop("signatures"), "spot-members")
-    pairs = near_pairs(docs, at_least)
-    each = pairs.select(F.explode(F.array("a_fingerprint", "b_fingerprint")).alias("fingerprint"))
-    counts = members.groupBy("fingerprint").agg(F.count("*").alias("n")).join(each.groupBy("fingerprint").agg(F.count("*").alias("n_links")), "fingerprint")
-    found = join_counted(members, materialise(counts, "spot-counts"), ["fingerprint"], "n", "left")
-    return found.select("doc_id", "fingerprint", "class_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    with Workspace(docs.sparkSession, "spot") as tables:
+        members = tables.write(class_members(docs, tables).drop("signatures"), "members")
+        each = near_pairs(docs, at_least, tables).select(F.explode(F.array("a_fingerprint", "b_fingerprint")).alias("fingerprint"))
+        counts = members.groupBy("fingerprint").agg(F.count("*").alias("n")).join(each.groupBy("fingerprint").agg(F.count("*").alias("n_links")), "fingerprint")
+        found = join_counted(members, tables.write(counts, "counts"), ["fingerprint"], "n", "left")
+        return materialise(found.select("doc_id", "fingerprint", "class_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")), "spot-links")
 
 
 def links_query(spark: SparkSession, sf_dir: str) -> DataFrame:
