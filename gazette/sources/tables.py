@@ -56,10 +56,11 @@ class Workspace:
     def write(self, df: DataFrame, name: str) -> DataFrame:
         """df as a table of its own, which goes with the workspace or when the name is written again."""
         path = f"{shared_folder(self.spark)}/{self.what}-{name}-{uuid.uuid4().hex}"
+        self.paths[path] = path  # so that what a failed job leaves goes too
         with shuffles_freed(self.spark):
             df.write.parquet(path)
         self.drop(name)
-        self.paths[name] = path
+        self.paths[name] = self.paths.pop(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
