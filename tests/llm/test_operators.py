@@ -51,6 +51,9 @@ def empty(spark, tmp_path_factory):
 def test_edges_and_empty_tables(spark, folder, empty, name):
     assert QUERIES[name](spark, empty).count() == 0
     rows = QUERIES[name](spark, folder).collect()
+    if name.startswith("op13_"):  # phrases, not documents
+        assert {r.lang for r in rows} == {"en"} and len(rows) > 5
+        return
     ids = Counter(r.doc_id for r in rows)
     if name.startswith("op1_"):
         assert set(ids) == {None, *range(len(TEXTS))}
