@@ -196,10 +196,11 @@ def _records(batches: Iterator[pa.RecordBatch], begins: dict[tuple[str, int], _B
         yield from rows(opened(at, begin.number))
 
 
-def _header(spark: SparkSession, file: str) -> list[str]:
+def _header(lines: DataFrame, file: str) -> list[str]:
+    """The cells of a file's first record, of a thousand lines at most."""
     inside, record = False, []
-    for i, row in enumerate(spark.read.text(file, lineSep="\n").limit(1000).collect()):
-        line = _text(row.value, i == 0)
+    for i, row in enumerate(lines.where((F.col("file") == file) & (F.col("start") == 0)).select("line").limit(1000).collect()):
+        line = _text(row.line, i == 0)
         record.append(line)
         inside = ends_inside(line, inside)
         if not inside:
@@ -217,7 +218,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     last = {}
     for (file, _), begin in begins.items():
         last[file] = max(last.get(file, 0), begin.number)
-    names = _header(spark, min(last, key=str.encode))
+    names = _header(lines, min(last, key=str.encode))
     if not names:
         return spark.createDataFrame([], "row_id long")
     schema = "row_id long, number int, record string"

@@ -71,6 +71,8 @@ def test_plain_files_and_what_no_record_closes(spark, tmp_path, small_ranges):
 
 
 def test_missing_feeds_and_headers(spark, tmp_path):
+    tmp_path = tmp_path / "a folder, 50%"
+    tmp_path.mkdir()
     (tmp_path / "meetings.csv").write_text('NAME , Day\xa0Of  Week,name\n a ,Monday,"b ""c"""\n,,\n')
     catalog = FeedCatalog({"meetings": str(tmp_path / "meetings.csv"), "events": str(tmp_path / "gone.csv")}, on_missing="empty")
     (row,) = catalog.read(spark, "meetings").collect()
