@@ -191,7 +191,7 @@ def _streamed(counts: DataFrame, order: list[str], tables: Workspace, name: str)
     laid = counts.repartitionByRange(*keys).sortWithinPartitions(*keys).select("lang", *[F.col(c).alias(f"w{i}") for i, c in enumerate(order, 1)], "f")
     rows = tables.write(laid.mapInArrow(run, STREAM), name)
     # What a part lacks is the same in all its rows: one word and one pair a part.
-    lacks = rows.where("f is not null and (one is null or (w3 <> '' and two is null))").select("part", "lang", "w1", F.when(F.col("w3") != "", F.col("w2")).otherwise("").alias("w2"), F.col("one").isNull().alias("no_one"))
+    lacks = rows.where("f is not null and (one is null or (w3 <> '' and two is null))").select("part", "lang", "w1", F.when((F.col("w3") != "") & F.col("two").isNull(), F.col("w2")).otherwise("").alias("w2"), F.col("one").isNull().alias("no_one"))
     known = rows.where("f is not null and w3 = ''").select("lang", "w1", "w2", F.col("f").alias("g"))
     first = lacks.where("no_one").select("part", "lang", "w1").distinct().withColumn("w2", F.lit(""))
     second = lacks.where("w2 <> ''").select("part", "lang", "w1", "w2").distinct()

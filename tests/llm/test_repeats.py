@@ -120,3 +120,25 @@ def test_kept_digest(spark, tmp_path):
     table(spark, [(1, "a  b\n c", "en")]).write.parquet(f"{tmp_path}/documents.parquet")
     (row,) = substring_dedup.query(spark, str(tmp_path)).collect()
     assert row.kept_sha256 == hashlib.sha256(b"a b c").hexdigest() and (row.n_words, row.n_removed) == (3, 0)
+
+
+def test_streams_may_be_cut_anywhere(spark):
+    """Parts that begin within the phrases of a word or a pair get the counts that stand in earlier parts."""
+    rng = random.Random(9)
+    rows = [(i, " ".join(rng.choice(["of", "of", "a", "b", "c", "d"]) for _ in range(60)), rng.choice(["en", "en", "fr"])) for i in range(60)]
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        got = sorted(map(tuple, collocations.collocations(table(spark, rows)).collect()))
+        with Workspace(spark, "cut") as tables:
+            counts = collocations.phrase_counts(table(spark, rows), tables)
+            stream = collocations._streamed(counts.where("w1 <> ''"), ["w1", "w2", "w3"], tables, "prefix")
+            parts = spark.read.parquet(tables.paths["prefix"])
+            assert parts.where("f is not null and one is null").select("part").distinct().count() > 5
+            assert parts.where("w3 <> '' and two is null").select("part").distinct().count() > 5
+            assert stream.where("f is not null and (one is null or w3 <> '' and two is null)").isEmpty()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == scored(rows, 10, 2000) and len(got) > 60
