@@ -36,6 +36,8 @@ from gazette.sources.tables import Workspace, materialise
 
 WORDS = 13
 NO_ID = 2**63 - 1
+#: Bytes of text of a block, and of a slice's share: a window is one key a word, a third of what phrases are.
+BLOCK_BYTES, SLICE_BYTES = 8 << 20, 16 << 20
 RESULT = "doc_id long, n_words long, n_removed long, kept string, factors array<struct<start:long,length:long,source_id:long,source_start:long>>"
 
 
@@ -150,8 +152,8 @@ def _parsed(row: dict, answers: list[dict], n: int):
 def parse(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """RESULT for each row of docs (doc_id, text): its number of words, of those in duplicate spans, the text of the others, and the factors."""
     with Workspace(docs.sparkSession, "substring") as tables:
-        stored = exchange.written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id", tables)
-        n_slices = exchange.slices(docs)
+        stored = exchange.written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id", tables, BLOCK_BYTES)
+        n_slices = exchange.slices(docs, SLICE_BYTES)
         answers = tables.write(exchange.answered(_requested(stored, words, n_slices), _sources), "answers")
         return materialise(exchange.met(stored, answers, lambda row, own: _parsed(row, own, words), RESULT), "substring-parsed")
 
