@@ -190,7 +190,10 @@ def train(docs: DataFrame, sample: int = SAMPLE, distinct: int | None = None) ->
         share = rows.groupBy("family").agg((1 / F.count("*")).alias("weight"))
         weighted = rows.join(F.broadcast(share), "family").coalesce(4)
         pipeline = Pipeline(stages=[HashingTF(inputCol="terms", outputCol="features", numFeatures=FEATURES, binary=True), LogisticRegression(maxIter=30, regParam=0.003, family="multinomial", weightCol="weight")])
-        return pipeline.fit(weighted)
+        model = pipeline.fit(weighted)
+        # Only probabilities are asked for; without raw scores they take one call a window instead of two.
+        model.stages[-1].setRawPredictionCol("").setPredictionCol("")
+        return model
     finally:
         rows.unpersist()
 
