@@ -168,6 +168,13 @@ def test_many_routes_as_one_by_one(spark):
     assert [r.route for r in routed.collect()] == [first(p) for p in paths]
 
 
+def test_initials_are_one_character_each(spark):
+    """Upper case of several characters (ß, ligatures, Greek with iota) as DuckDB's upper() has it in the SQL of text_scalars."""
+    assert values(spark, ["eva ßb", "ßa", "ﬁn ŉa", "ᾳb ᾲc", "ärger ǆx", None], X.initials) == ["Eẞ", "ẞ", "ﬁŉ", "ᾼᾲ", "ÄǄ", "??"]
+    several = X.ONE_UPPER[0]
+    assert len(several) == 102 and values(spark, list(several), X.initials) == [duckdb.execute("SELECT upper(?)", [c]).fetchone()[0] for c in several]
+
+
 def test_white_space_beyond_ascii(spark):
     nbsp, narrow = "\xa0", "\u202f"
     assert values(spark, [f"7:30{nbsp}pm", f"7:30{narrow}pm", "7:30\u3000pm", "7:30\x85pm"], X.lenient_clock) == [1170, 1170, 1170, 450]
