@@ -1,7 +1,8 @@
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from gazette.operators import search
+from gazette.operators import grams, search
 from gazette.sources.tables import Workspace
 
 SCHEMA = "type string, title string, url string, search_text string, type_pos long, item_pos long"
@@ -88,3 +89,43 @@ def test_an_empty_index_and_no_queries(spark, tmp_path):
     index = search.SearchIndex.build(rows(spark, []), str(tmp_path))
     assert index.search(asked(spark, "a", "abc")).isEmpty()
     assert search.search(rows(spark, ["abc"]), asked(spark, "", None)).isEmpty()
+
+
+ODD = ["hall 1 k", None, "", "b😀c hall", "ſtraße K\u0301", "a" * 400 + " k", "k", "hall k hall", "日本語 hall", "k\x00\ud7ffk", "\U0010ffff\u0001k"]
+ASKED = ("hall", "k", "hall k", "😀c", "b😀c hall", "日本", "ß", "hal hall", "\x00\ud7ff", "\U0010ffff", "aaaa", "aaaab", "nowhere", "", None, "hall k")
+
+
+@pytest.mark.parametrize("scanned", [0, 1 << 14])
+def test_a_batch_against_every_row(spark, monkeypatch, scanned):
+    """Rows in falling order, equal types, odd characters; up to SCANNED sets of tokens no index is built, beyond it one is."""
+    built = []
+    monkeypatch.setattr(search, "SCANNED", scanned)
+    build = search.SearchIndex.build.__func__
+    monkeypatch.setattr(search.SearchIndex, "build", classmethod(lambda cls, *a: built.append(1) or build(cls, *a)))
+    table = rows(spark, ODD * 12).orderBy(F.desc("item_pos"))
+    found = sorted(map(tuple, search.search(table, asked(spark, *ASKED), 7).collect()))
+    assert found == sorted(map(tuple, search.scan_search(table, asked(spark, *ASKED), 7).collect())) and len(found) > 60
+    assert built == ([] if scanned else [1])
+
+
+def test_many_answers_are_dealt_to_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(search, "DEALT", 300)
+    table = rows(spark, [f"hall {i}" for i in range(40)])
+    found = search.search(table, asked(spark, *["hall", "hall 1"] * 60).coalesce(1))
+    assert found.count() == 60 * 30 + 60 * 13 and len(found.select(F.input_file_name()).distinct().collect()) > 3
+
+
+def test_pieces_of_an_alphabet_of_all_characters():
+    """More characters than a gram and its row have room for in one number: halves, with the same rows."""
+    texts = ["".join(map(chr, range(a, a + 9000))) for a in range(0x4E00, 0x4E00 + 9000, 3000)] + ["".join(map(chr, range(0x10000, 0x10000 + 300_000))), "ab", "b"]
+    batch = pa.RecordBatch.from_pydict({"at": pa.array(range(70, 70 + len(texts)), pa.int64()), "search_text": texts})
+    got = {}
+    for part in grams.postings(4096, (1, 2, 3))([batch]):
+        for r in part.to_pylist():
+            assert r["n"] == len(r["rows"]) and r["rows"] == sorted(set(r["rows"]))
+            got.setdefault(r["gram"], []).extend(r["block"] + i for i in r["rows"])
+    want = {}
+    for i, t in enumerate(texts):
+        for g in {t[j : j + n] for n in (1, 2, 3) for j in range(len(t) - n + 1)}:
+            want.setdefault(g, []).append(70 + i)
+    assert got == want
