@@ -9,6 +9,8 @@ intersected (likeness(..., at_least)).
 near_pairs() finds all similar texts: rows of equal sets are one class, and classes meet only if
 their set lengths fall in the same or neighbouring length partitions and they share one of the
 rarest signatures of each, at places that leave enough to share; what is left is compared in full.
+Where many classes share a rare signature, blocks of their sets meet in tiles, so that a set moves
+once a block and not once a pair; all pairs of a crowd are still looked at, since each may be a link.
 
 Null texts count as empty. The next document is the next row by ascending doc_id (nulls first,
 equal ids by a hash of the text or, where there are few, by the text), after the last the first;
@@ -40,6 +42,10 @@ REACH = 8
 #: About so many documents are put in order together, unless there are more than RANGES such ranges.
 WIDTH, RANGES = 256, 1 << 14
 NULL_ID = -(2**62)
+#: More than FEW sets that meet by one signature do so in tiles of about BLOCK by BLOCK, unless they have more than about TILED signatures.
+FEW, BLOCK, TILED = 64, 1024, 512
+#: Pairs of sets in tiles that a task looks at, about, unless that makes more than MOST_TASKS tasks.
+TASK_PAIRS, MOST_TASKS = 2_000_000, 4096
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -137,50 +143,97 @@ def _written(df: DataFrame, name: str, tables: Workspace | None) -> DataFrame:
     return materialise(df, f"spot-{name}") if tables is None else tables.write(df, name)
 
 
+def _rows(docs: DataFrame, tables: Workspace | None) -> DataFrame:
+    """doc_id, signatures, fingerprint of each row: written, so that texts are read once."""
+    return _written(fingerprints(docs).withColumn("fingerprint", digest(F.col("signatures"))), "rows", tables)
+
+
+def _sets(rows: DataFrame, tables: Workspace | None) -> DataFrame:
+    """key, fingerprint, class_id, n (rows), signatures of each class: written, so that keys stay."""
+    sets = rows.groupBy("fingerprint").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("n"), F.any_value("signatures").alias("signatures"))
+    return _written(sets.withColumn("key", F.monotonically_increasing_id()), "classes", tables)
+
+
 def class_members(docs: DataFrame, tables: Workspace | None = None) -> DataFrame:
     """doc_id, fingerprint (equal for equal sets), class_id (the least doc_id of that fingerprint), signatures.
 
     A class of null ids alone has a null class_id.
     """
-    rows = fingerprints(docs).withColumn("fingerprint", digest(F.col("signatures")))
+    rows = _rows(docs, tables)
     least = _written(rows.groupBy("fingerprint").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("n")), "least", tables)
     return join_counted(rows, least, ["fingerprint"], "n").select("doc_id", "fingerprint", "class_id", "signatures")
 
 
+def _near(sets: DataFrame, at_least: float, tables: Workspace | None) -> DataFrame:
+    """a, b, likeness: the keys of near classes, once a pair; a has the smaller set or, with as many signatures, the lesser key."""
+    held = sets.select("key", F.size("signatures").alias("size"), F.explode("signatures").alias("signature"))
+    # What one class alone has is shared with none: it takes the first places, and its number says enough.
+    known = held.join(held.groupBy("signature").agg(F.count("*").alias("rows")).where("rows > 1"), "signature")
+    known = known.groupBy("key", "size").agg(F.array_sort(F.collect_list(F.struct("rows", "signature"))).alias("_all"))
+    # Sets with this likeness share one of their rarest size - ceil(at_least * size) + 1 signatures.
+    # Partition p + 1 starts where the sets of p's start become too short to be similar.
+    partition = lambda size: F.floor(F.log(size) / -math.log(at_least) + 1e-9)
+    enough = (F.col("size") - F.ceil(F.col("size") * at_least - 1e-9) + 1).cast("int")
+    known = known.select("key", "size", partition("size").alias("part"), F.expr("size - size(_all)").alias("alone"), F.col("_all.signature").alias("set"), enough.alias("enough"))
+    known = _written(known.where("enough > alone"), "known", tables)
+    index = known.select("key", "size", "alone", "part", F.posexplode(F.expr("slice(set, 1, enough - alone)")).alias("at", "signature"))
+    index = index.select("key", "size", "at", F.expr("at + alone").alias("place"), "signature", F.col("part").alias("own"), F.explode(F.array(F.col("part"), F.col("part") + 1)).alias("part"))
+    met = index.groupBy("signature", "part").agg(F.count("*").alias("shorter"), F.count_if(F.expr("own = part")).alias("longer"))
+    index = _written(index.join(met.where("shorter > 1 and longer > 0"), ["signature", "part"]), "index", tables)
+    crowd = (F.col("shorter") > FEW) & (F.col("part") <= partition(F.lit(TILED)))
+
+    def sides(rows: DataFrame, *more: str) -> tuple[DataFrame, DataFrame]:
+        of = lambda x: [F.col(c).alias(f"{x}_{c}") for c in ("size", "place", *more)]
+        return rows.select("part", "signature", F.col("key").alias("a"), *of("a")), rows.where("own = part").select("part", "signature", F.col("key").alias("b"), *of("b"))
+
+    shared = F.least(F.expr("a_size - a_place"), F.expr("b_size - b_place"))
+    may_be = F.expr("a_size < b_size or (a_size = b_size and a < b)") & (F.col("a_size") >= at_least * F.col("b_size") - 1e-9) & (shared * (1 + at_least) >= at_least * F.expr("a_size + b_size") - 1e-9)
+
+    def compared(pairs: DataFrame) -> DataFrame:
+        pairs = pairs.select("a", "b", "a_size", "b_size", F.explode(F.array(F.size(F.array_intersect("a_set", "b_set")))).alias("n"))  # as a generator: once a pair
+        return pairs.select("a", "b", F.expr("n / (a_size + b_size - n)").alias("likeness")).where(F.col("likeness") >= at_least)
+
+    short, long = sides(index.where(~crowd))
+    pairs = short.join(long, ["signature", "part"]).where(may_be).select("a", "b").distinct()
+    side = lambda x: known.select(F.col("key").alias(x), F.col("size").alias(f"{x}_size"), F.col("set").alias(f"{x}_set"))
+    found = compared(pairs.join(side("a"), "a").join(side("b"), "b"))
+    # In a crowd nothing is written down by pair: blocks of sets meet in tiles, and a pair counts where it first meets.
+    many = index.where(crowd)
+    work = many.where("own = part").agg(F.sum("shorter")).first()[0]
+    if not work:
+        return found
+    blocks = F.ceil(F.col("shorter") / BLOCK).cast("int")
+    many = many.join(known.select("key", "set"), "key").withColumns({"mine": F.pmod(F.xxhash64("key"), blocks), "others": F.sequence(F.lit(0), blocks - 1)})
+    short, long = sides(many, "at", "set", "mine", "others")
+    tasks, tile = min(MOST_TASKS, 2 + work // TASK_PAIRS), ["signature", "part", "i", "j"]
+    short = short.withColumns({"i": F.col("a_mine").cast("int"), "j": F.explode("a_others")}).drop("a_mine", "a_others").repartition(tasks, *tile)
+    long = long.withColumns({"j": F.col("b_mine").cast("int"), "i": F.explode("b_others")}).drop("b_mine", "b_others").repartition(tasks, *tile)
+    first = ~F.arrays_overlap(F.slice("a_set", F.lit(1), F.col("a_at")), F.slice("b_set", F.lit(1), F.col("b_at")))
+    return found.unionByName(compared(short.join(long, tile).where(may_be & first))).distinct()
+
+
 def near_pairs(docs: DataFrame, at_least: float = 0.8, tables: Workspace | None = None) -> DataFrame:
     """a, b, likeness, a_fingerprint, b_fingerprint: classes (by class_id) with a likeness of at_least (over 0, below 1) or more.
 
     a has the smaller set; with as many signatures, the lesser fingerprint. Copies are not
     expanded: class_members() has them. An empty table gives no rows.
     """
-    rows = fingerprints(docs).withColumn("fingerprint", digest(F.col("signatures")))
-    sets = _written(rows.groupBy("fingerprint").agg(F.min("doc_id").alias("class_id"), F.any_value("signatures").alias("signatures")), "classes", tables)
-    held = sets.select("fingerprint", F.size("signatures").alias("size"), F.explode("signatures").alias("signature"))
-    known = held.join(held.groupBy("signature").agg(F.count("*").alias("rows")), "signature")
-    # Sets with this likeness share one of their rarest size - ceil(at_least * size) + 1 signatures.
-    # Partition p + 1 starts where the sets of p's start become too short to be similar.
-    part = F.floor(F.log("size") / -math.log(at_least) + 1e-9).alias("part")
-    rarest = known.groupBy("fingerprint", "size").agg(F.array_sort(F.collect_list(F.struct("rows", "signature"))).alias("_all"))
-    enough = (F.col("size") - F.ceil(F.col("size") * at_least - 1e-9) + 1).cast("int")
-    rarest = rarest.select("fingerprint", "size", part, F.posexplode(F.slice("_all", F.lit(1), enough)).alias("place", "s"))
-    rarest = _written(rarest.select("fingerprint", "size", "part", "place", "s.signature"), "index", tables)
-    short = rarest.select(F.col("fingerprint").alias("a"), F.col("size").alias("a_size"), F.col("place").alias("a_place"), "signature", F.explode(F.array(F.col("part"), F.col("part") + 1)).alias("part"))
-    long = rarest.select(F.col("fingerprint").alias("b"), F.col("size").alias("b_size"), F.col("place").alias("b_place"), "signature", "part")
-    shared = F.least(F.expr("a_size - a_place"), F.expr("b_size - b_place"))
-    pairs = short.join(long, ["signature", "part"]).where("a_size < b_size or (a_size = b_size and a < b)")
-    pairs = pairs.where((F.col("a_size") >= at_least * F.col("b_size") - 1e-9) & (shared * (1 + at_least) >= at_least * F.expr("a_size + b_size") - 1e-9)).select("a", "b").distinct()
-    side = lambda x: sets.select(F.col("fingerprint").alias(x), F.col("class_id").alias(f"{x}_id"), F.col("signatures").alias(f"{x}_set"))
-    compared = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("likeness", likeness(F.col("a_set"), F.col("b_set"), at_least))
-    return compared.where(F.col("likeness") >= at_least).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), "likeness", F.col("a").alias("a_fingerprint"), F.col("b").alias("b_fingerprint"))
+    with Workspace(docs.sparkSession, "spot") as brief:
+        sets = _sets(_rows(docs, brief), tables)
+    side = lambda x: sets.select(F.col("key").alias(x), F.struct(F.size("signatures").alias("size"), "fingerprint", "class_id").alias(f"_{x}"))
+    pairs = _near(sets, at_least, tables).join(side("a"), "a").join(side("b"), "b")
+    pairs = pairs.select("likeness", F.array_sort(F.array("_a", "_b")).alias("_"))
+    return pairs.select(F.expr("_[0].class_id").alias("a"), F.expr("_[1].class_id").alias("b"), "likeness", F.expr("_[0].fingerprint").alias("a_fingerprint"), F.expr("_[1].fingerprint").alias("b_fingerprint"))
 
 
 def links(docs: DataFrame, at_least: float = 0.8) -> DataFrame:
     """doc_id, fingerprint, class_id and n_links, the classes near its own, for each row of docs."""
     with Workspace(docs.sparkSession, "spot") as tables:
-        members = tables.write(class_members(docs, tables).drop("signatures"), "members")
-        each = near_pairs(docs, at_least, tables).select(F.explode(F.array("a_fingerprint", "b_fingerprint")).alias("fingerprint"))
-        counts = members.groupBy("fingerprint").agg(F.count("*").alias("n")).join(each.groupBy("fingerprint").agg(F.count("*").alias("n_links")), "fingerprint")
-        found = join_counted(members, tables.write(counts, "counts"), ["fingerprint"], "n", "left")
+        rows = _rows(docs, tables)
+        sets = _sets(rows, tables)
+        each = _near(sets, at_least, tables).select(F.explode(F.array("a", "b")).alias("key"))
+        counts = sets.select("key", "fingerprint", "class_id", "n").join(each.groupBy("key").agg(F.count("*").alias("n_links")), "key", "left").drop("key")
+        found = join_counted(rows.drop("signatures"), tables.write(counts, "counts"), ["fingerprint"], "n")
         return materialise(found.select("doc_id", "fingerprint", "class_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")), "spot-links")
 
 

@@ -214,6 +214,36 @@ def test_spot_pairs_against_all_pairs(spark, at_least):
     assert linked == {d: (m.class_id, count[m.class_id]) for d, m in members.items()}
 
 
+@pytest.mark.parametrize(("few", "block", "tiled"), [(2, 3, 512), (2, 1000, 20), (10, 7, 40)])
+def test_spot_crowds_meet_in_tiles(spark, monkeypatch, few, block, tiled):
+    """Near copies of one text, more than meet pair by pair: every link once, whichever way each signature's sets meet."""
+    for name, value in (("FEW", few), ("BLOCK", block), ("TILED", tiled), ("TASK_PAIRS", 50)):
+        monkeypatch.setattr(spot_sigs, name, value)
+    edited = lambda n, i: " ".join(f"the c{k}{'x' if (k * 31 + i * i * 7) % 97 < i % 12 else ''} d{k} of" for k in range(n))
+    texts = [*(edited(40, i) for i in range(60)), *(edited(46, i) for i in range(20)), *(edited(9, i) for i in range(12)), edited(40, 5), WORDS, None]
+    table = docs(spark, texts)
+    sets = {r.class_id: set(r.signatures) for r in spot_sigs.class_members(table).collect()}
+    likeness = {(a, b): len(x & y) / len(x | y) for a, x in sets.items() for b, y in sets.items() if a < b}
+    near = {k: v for k, v in likeness.items() if v >= 0.8}
+    got = spot_sigs.near_pairs(table).collect()
+    assert len(got) > 300 and Counter((min(r.a, r.b), max(r.a, r.b)) for r in got) == Counter(list(near))
+    assert all(r.likeness == near[min(r.a, r.b), max(r.a, r.b)] and (len(sets[r.a]), r.a_fingerprint) < (len(sets[r.b]), r.b_fingerprint) for r in got)
+    count = Counter(x for k in near for x in k)
+    assert all(r.n_links == count[r.class_id] for r in spot_sigs.links(table).collect())
+
+
+def test_spot_links_reads_texts_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def read(i):
+        seen.add(1)
+        return f"{WORDS} {i % 40}"
+
+    table = spark.range(100).select(F.col("id").alias("doc_id"), F.udf(read)("id").alias("text")).repartition(2)
+    assert spot_sigs.links(table).count() == 100
+    assert seen.value == 100
+
+
 def test_least_hashes_are_those_of_a_full_sort(spark):
     rows = spark.range(20000).select(F.xxhash64("id").alias("at"), F.col("id").cast("string").alias("line"))
     low = rows.orderBy("at").limit(1).crossJoin(spark.range(9000)).drop("id")  # copies of the line that comes first
